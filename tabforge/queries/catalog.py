@@ -1,4 +1,5 @@
 """Every registered query, imported for its registration side effect."""
 
+from tabforge.queries import feature_queries  # noqa: F401
 from tabforge.queries import profiling_cleaning  # noqa: F401
 from tabforge.queries.registry import ORACLES, QUERIES  # noqa: F401
