@@ -225,9 +225,9 @@ def q_filter_contains(spark, sf):
     return out.drop(ROW_ID)
 
 
-@query("filter_mixed_compare", """SELECT * FROM events WHERE user_id >= 500 AND props <> '{"k": 69}'""")
+@query("filter_mixed_compare", """SELECT * FROM events WHERE user_id >= 50 AND props <> '{"k": 69}'""")
 def q_filter_mixed_compare(spark, sf):
-    out = ex.filter_predictions(events(spark, sf), [("user_id", ">=", "500"), ("event_type", ">", "a"),
+    out = ex.filter_predictions(events(spark, sf), [("user_id", ">=", "50"), ("event_type", ">", "a"),
                                                     ("props", "!=", '{"k": 69}'), ("value", "<", "abc")])
     return out.drop(ROW_ID)
 
