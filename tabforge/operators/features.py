@@ -270,8 +270,7 @@ class SimpleImputer(FeatureStep):
         num, other = _split_numeric(df, cols)
         fill, dropped = {}, []
         if strategy in ("mean", "median"):
-            if other:
-                raise InvalidParameter(f"SimpleImputer({strategy}) needs numeric columns, got {other}")
+            # statistics of numbers only; text columns pass through untouched
             if strategy == "mean":
                 row = df.agg(*[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(num)]).first() if num else {}
                 vals = {c: row[f"m{i}"] for i, c in enumerate(num)}
@@ -522,8 +521,6 @@ class SelectKBest(FeatureStep):
     def _fit_state(self, df, cols):
         label = self.getOrDefault(self.labelCol)
         num, other = _split_numeric(df, cols)
-        if other:
-            raise InvalidParameter(f"SelectKBest needs numeric features, got {other}")
         fn = f_regression if self.getOrDefault(self.score_func) == "f_regression" else anova_f
         scores = fn(df, num, label)
         k = self.getOrDefault(self.k)
@@ -536,6 +533,7 @@ class SelectKBest(FeatureStep):
             order = sorted(range(len(num)), key=lambda i: (_score_key(scores[num[i]]), i))
             chosen = set(order[len(num) - kk:]) if kk else set()
             keep = [c for i, c in enumerate(num) if i in chosen]
+        keep = [c for c in cols if c in keep or c in other]
         return {"scores": {c: _json_float(v) for c, v in scores.items()}}, keep
 
 
@@ -566,8 +564,6 @@ class VarianceThreshold(FeatureStep):
 
     def _fit_state(self, df, cols):
         num, other = _split_numeric(df, cols)
-        if other:
-            raise InvalidParameter(f"VarianceThreshold needs numeric features, got {other}")
         thr = self.getOrDefault(self.threshold)
         row = df.agg(*[F.var_pop(_num(c)).alias(f"v{i}") for i, c in enumerate(num)],
                      *[(F.max(_num(c)) - F.min(_num(c))).alias(f"p{i}") for i, c in enumerate(num)]).first()
@@ -580,7 +576,7 @@ class VarianceThreshold(FeatureStep):
         keep = [c for c in num if var[c] is not None and var[c] > thr]
         if not keep:
             raise InvalidParameter(f"VarianceThreshold: no feature has variance above {thr}")
-        return {"variances": var}, keep
+        return {"variances": var}, [c for c in cols if c in keep or c in other]
 
 
 # ---------------------------------------------------------------- PCA
@@ -617,8 +613,6 @@ class PCA(FeatureStep):
 
     def _fit_state(self, df, cols):
         num, other = _split_numeric(df, cols)
-        if other:
-            raise InvalidParameter(f"PCA needs numeric features, got {other}")
         k = self.getOrDefault(self.n_components)
         row = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(num)]).first()
         n = row["n"]
@@ -639,7 +633,7 @@ class PCA(FeatureStep):
                 comps[j] = [-w for w in comps[j]]
         return ({"cols": num, "mean": means, "components": comps,
                  "explained_variance": list(model.explainedVariance.toArray())},
-                [f"pca{j}" for j in range(k)])
+                other + [f"pca{j}" for j in range(k)])
 
 
 # ---------------------------------------------------------------- label encoding
