@@ -24,7 +24,7 @@ PREVIEW_ROWS = 50
 
 
 def _missing(df: DataFrame, c: str):
-    col = F.col(c)
+    col = F.col(f"`{c}`")
     if is_floating(field_type(df, c)):
         return col.isNull() | F.isnan(col)
     return col.isNull()
@@ -82,7 +82,7 @@ def numeric_stats(df: DataFrame) -> DataFrame:
     cols = numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
-        v = F.col(c).cast("double")
+        v = F.col(f"`{c}`").cast("double")
         v = F.when(~F.isnan(v), v)
         aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
                  F.avg(v).alias(f"av{i}"), F.stddev_samp(v).alias(f"sd{i}")]
@@ -129,7 +129,7 @@ def describe_dataset(df: DataFrame, preview_rows: int = PREVIEW_ROWS) -> dict:
     num = numeric_columns(df)
     aggs = [F.count(F.lit(1)).alias("__rows"), *null_count_exprs(df)]
     for i, c in enumerate(num):
-        v = F.col(c).cast("double")
+        v = F.col(f"`{c}`").cast("double")
         v = F.when(~F.isnan(v), v)
         aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
                  F.avg(v).alias(f"av{i}"), F.stddev_samp(v).alias(f"sd{i}")]
@@ -147,3 +147,26 @@ def describe_dataset(df: DataFrame, preview_rows: int = PREVIEW_ROWS) -> dict:
         "stats": stats,
         "preview": preview,
     }
+
+
+def describe_columns(df: DataFrame) -> DataFrame:
+    """Per column: dtype, null count and (numbers only) min/max/mean/std —
+    the whole profile from ONE aggregate, melted JVM-side."""
+    cols = user_columns(df)
+    num = set(numeric_columns(df))
+    names = dtypes(df)
+    aggs = [*null_count_exprs(df)]
+    for i, c in enumerate(cols):
+        if c in num:
+            v = F.col(f"`{c}`").cast("double")
+            v = F.when(~F.isnan(v), v)
+            aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
+                     F.avg(v).alias(f"av{i}"), F.stddev_samp(v).alias(f"sd{i}")]
+    wide = df.agg(*aggs)
+    null = "CAST(NULL AS DOUBLE)"
+    parts = []
+    for i, c in enumerate(cols):
+        stats = (f"`mn{i}`, `mx{i}`, `av{i}`, `sd{i}`" if c in num else ", ".join([null] * 4))
+        parts.append(f"'{c}', '{names[c]}', `__nulls_{i}`, {stats}")
+    return wide.select(F.expr(
+        f"stack({len(cols)}, {', '.join(parts)}) as (column_name, dtype, null_count, min, max, mean, std)"))

@@ -63,6 +63,20 @@ def q_numeric_stats(spark, sf):
     return rounded(st, 4, ["mean", "std"])
 
 
+_DTYPE = {"o_orderkey": "int64", "o_custkey": "int64", "o_orderstatus": "object", "price": "float64",
+          "o_orderdate": "datetime64[ns]", "priority": "object"}
+
+
+@query("describe_dataset", W + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, '{_DTYPE[c]}' AS dtype, CAST(count_if({c} IS NULL) AS BIGINT) AS null_count, "
+    + (f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, {R(f'avg({c})', 4)} AS mean, "
+       f"{R(f'stddev_samp({c})', 4)} AS std" if _DTYPE[c] in ("int64", "float64") else
+       "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean, "
+       "CAST(NULL AS DOUBLE) AS std") + " FROM orders_n" for c in ORDERS_COLS))
+def q_describe_dataset(spark, sf):
+    return rounded(profile.describe_columns(orders_n(spark, sf)), 4, ["mean", "std"])
+
+
 @query("preview_head", W + "SELECT * FROM orders_n ORDER BY o_orderkey LIMIT 50")
 def q_preview_head(spark, sf):
     return profile.preview_head(orders_n(spark, sf), 50)
