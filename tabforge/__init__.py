@@ -7,7 +7,15 @@ computed by distributed aggregates and only O(columns) numbers ever
 reach the driver.
 """
 
-from tabforge.errors import (  # noqa: F401
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions that run inside Python workers (Arrow-batched UDFs) are shipped
+# by value, so executors do not need this package installed.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from tabforge.errors import (  # noqa: F401,E402
     TabforgeError,
     UnknownOperation,
     UnknownStep,
@@ -15,8 +23,8 @@ from tabforge.errors import (  # noqa: F401
     InvalidParameter,
     DatasetNotFound,
 )
-from tabforge.session import get_spark, checkpoint_dir  # noqa: F401
-from tabforge.functions.columns import ROW_ID  # noqa: F401
+from tabforge.session import get_spark, checkpoint_dir  # noqa: F401,E402
+from tabforge.functions.columns import ROW_ID  # noqa: F401,E402
 
 __all__ = [
     "get_spark",

@@ -28,6 +28,9 @@ itself demands it.
 
 from __future__ import annotations
 
+import logging
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -40,6 +43,7 @@ from tabforge.functions.columns import ROW_ID
 from tabforge.session import checkpoint_dir
 
 _MAX_ROUNDS = 24
+log = logging.getLogger(__name__)
 
 
 def _sqdist(a, b):
@@ -72,6 +76,7 @@ class KNNModel:
         """(qid, tid, label, dist2) of the exact k nearest training rows."""
         spark = test.sparkSession
         checkpoint_dir(spark)
+        t0 = time.perf_counter()
         k, S = self.k, self.S
         w = F.array(*[F.lit(float(v)) for v in self.w])
         u_of = lambda x: F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
@@ -87,7 +92,8 @@ class KNNModel:
                    .sortWithinPartitions("u", "is_train", "id")
                    .withColumn("pid", F.spark_partition_id()))
         schema = T.StructType(list(ordered.schema.fields) + [T.StructField("before", T.LongType())])
-        counted = ordered.mapInPandas(_prefix_counts, schema)
+        # materialize once: offsets and ranks must come from the same partitioning
+        counted = ordered.mapInPandas(_prefix_counts, schema).checkpoint()
         # offsets: one row per partition
         totals = sorted((r["pid"], r["n"]) for r in
                         counted.groupBy("pid").agg(F.sum("is_train").alias("n")).collect())
@@ -96,9 +102,10 @@ class KNNModel:
             offs[pid] = acc
             acc += int(n)
         n_train = acc
+        log.info("knn: ranked %d training rows in %.2fs", n_train, time.perf_counter() - t0)
         off_map = F.create_map(*[x for pid, o in offs.items() for x in (F.lit(pid), F.lit(o))])
         ranked = counted.select("id", "x", "u", "y", "is_train",
-                                (off_map[F.col("pid")] + F.col("before")).alias("pos")).checkpoint()
+                                (off_map[F.col("pid")] + F.col("before")).alias("pos"))
         n_buckets = max((n_train + S - 1) // S, 1)
         trains = ranked.where("is_train = 1").select(
             F.col("id").alias("tid"), F.col("x").alias("tx"), F.col("u").alias("tu"), "y",
@@ -141,7 +148,10 @@ class KNNModel:
             done_parts.append(topk.join(ok_ids, "qid", "left_semi").select("qid", "tid", "y", "d2"))
             pending = (pending.join(status.where("not ok").select("qid"), "qid", "left_semi")
                        .withColumn("half", F.col("half") * 4))
-            if pending.limit(1).count() == 0:
+            n_pending = pending.count()
+            log.info("knn: round half=%s left %d test rows unresolved (%.2fs)", _, n_pending,
+                     time.perf_counter() - t0)
+            if n_pending == 0:
                 break
         else:
             raise RuntimeError("knn: search did not converge")
@@ -193,16 +203,19 @@ class KNNClassifier:
         # identical vectors: the k smallest ids suffice (limit applied map-side)
         rn = F.row_number().over(Window.partitionBy("x").orderBy("id"))
         base = base.withColumn("rn", rn).where(F.col("rn") <= self.k).drop("rn")
-        from pyspark.ml.stat import Summarizer
-
-        stats = train.select(Summarizer.variance(F.col(self.features_col)).alias("v"),
-                             F.max(F.col(self.label_col)).alias("ymax"),
-                             F.count(F.lit(1)).alias("n")).first()
+        stats = train.select(F.max(F.col(self.label_col)).alias("ymax"), F.count(F.lit(1)).alias("n")).first()
         if not stats["n"]:
             raise InvalidParameter("KNN: empty training set")
-        var = stats["v"].toArray()
-        w = np.where(var > 0, 1.0 / np.sqrt(np.where(var > 0, var, 1.0)), 1.0)
-        w = w / np.linalg.norm(w)
+        # Project on the direction of largest spread in the distance's own
+        # (unscaled) space: the top principal component, from Spark's
+        # distributed covariance. Any unit vector keeps the search exact;
+        # this one keeps the candidate windows narrowest.
+        from pyspark.ml.feature import PCA
+
+        pc = PCA(k=1, inputCol=self.features_col, outputCol="__pc").fit(
+            train.select(self.features_col)).pc.toArray()[:, 0]
+        norm = float(np.linalg.norm(pc))
+        w = pc / norm if norm > 0 else np.ones_like(pc) / np.sqrt(len(pc))
         u = F.aggregate(F.zip_with(F.col("x"), F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b),
                         F.lit(0.0), lambda acc, v: acc + v)
         prepared = base.withColumn("u", u)
