@@ -10,8 +10,8 @@ Layout under one root folder (shared storage on a cluster)::
     _catalog/history     one row per cleaned dataset: source id + ops JSON
     _catalog/runs        one row per training run
 
-Counts and statistics are recorded at write time (an ``Observation`` on
-the write itself), so listing datasets never rescans them. A dataset
+Row counts are recorded at write time (read from the Parquet footers of
+the written files), so listing datasets never rescans the data. A dataset
 becomes visible only once its catalog row is appended after a successful
 write, so a failed ingest leaves nothing behind in the catalog.
 """
@@ -23,7 +23,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.errors import DatasetNotFound, InvalidParameter, RunNotFound
@@ -79,9 +79,9 @@ class Store:
 
     # ------------------------------------------------------------ ingest
     def _write(self, df: DataFrame, path: str) -> tuple[int, list[str]]:
-        obs = Observation("write")
-        df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
-        return int(obs.get["n"]), user_columns(df)
+        df.write.mode("errorifexists").parquet(path)
+        # the count comes from the Parquet footers of the written files
+        return self.spark.read.parquet(path).count(), user_columns(df)
 
     def ingest(self, path: str, name: str | None = None, dataset_id: str | None = None) -> dict:
         """Read a CSV (with type inference) or Parquet file/folder, snapshot
