@@ -332,8 +332,9 @@ class OneHotEncoderModel(FeatureModel):
                     st["labels"][c], inputCol=c, outputCol=f"{out_name}__idx",
                     handleInvalid="keep" if st["handle_unknown"] == "ignore" else "error")
                 df = idx_model.transform(df)
-                enc = _SparkOneHot(inputCols=[f"{out_name}__idx"], outputCols=[out_name], dropLast=True,
-                                   handleInvalid="keep")
+                # the indexer's extra "unknown" slot is the one dropLast removes,
+                # so unknown values encode as all zeros
+                enc = _SparkOneHot(inputCols=[f"{out_name}__idx"], outputCols=[out_name], dropLast=True)
                 df = enc.fit(df).transform(df).drop(f"{out_name}__idx")
         return super()._transform(df)
 
@@ -674,3 +675,80 @@ STEP_CLASSES = {
     "VarianceThreshold": VarianceThreshold,
     "PCA": PCA,
 }
+
+
+# ---------------------------------------------------------------- RFE
+
+class RFEModel(_SelectModel):
+    pass
+
+
+class RFE(FeatureStep):
+    """Recursive feature elimination: fit a Spark ML learner on the current
+    features, drop the ``step`` weakest (|coefficient| or tree importance),
+    refit, until ``n_features_to_select`` remain (default: half). Each round
+    is one distributed fit; the driver only orders the d importances."""
+    model_class = RFEModel
+    estimator = Param(Params._dummy(), "estimator", "learner used for ranking",
+                      typeConverter=TypeConverters.toString)
+    n_features_to_select = Param(Params._dummy(), "n_features_to_select", "features to keep",
+                                 typeConverter=TypeConverters.toInt)
+    step = Param(Params._dummy(), "step", "features removed per round", typeConverter=TypeConverters.toInt)
+
+    def __init__(self, estimator: str = "LinearRegression", n_features_to_select: int | None = None,
+                 step: int = 1):
+        super().__init__()
+        self._setDefault(estimator="LinearRegression", step=1)
+        self._set(estimator=estimator, step=int(step))
+        if n_features_to_select is not None:
+            self._set(n_features_to_select=int(n_features_to_select))
+
+    def _ranker(self, cols: list[str], label: str):
+        from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+        from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+
+        name = self.getOrDefault(self.estimator)
+        kinds = {"LinearRegression": lambda: LinearRegression(regParam=0.0),
+                 "LogisticRegression": lambda: LogisticRegression(standardization=False),
+                 "RandomForestClassifier": lambda: RandomForestClassifier(numTrees=20, seed=42),
+                 "RandomForestRegressor": lambda: RandomForestRegressor(numTrees=20, seed=42)}
+        if name not in kinds:
+            raise InvalidParameter(f"RFE: unsupported estimator {name!r}")
+        return kinds[name]().setFeaturesCol("__rfe").setLabelCol(label)
+
+    def _fit_state(self, df, cols):
+        label = self.getOrDefault(self.labelCol)
+        num, other = _split_numeric(df, cols)
+        target = (self.getOrDefault(self.n_features_to_select) if self.isDefined(self.n_features_to_select)
+                  else max(len(num) // 2, 1))
+        step = max(self.getOrDefault(self.step), 1)
+        data = df.select(*[_num(c).alias(c) for c in num], F.col(f"`{label}`").cast("double").alias("__y"))
+        data = data.na.drop().persist()
+        remaining = list(num)
+        rounds: list[list[str]] = []
+        try:
+            while len(remaining) > target:
+                vec = VectorAssembler(inputCols=remaining, outputCol="__rfe").transform(data)
+                m = self._ranker(remaining, "__y").fit(vec)
+                if hasattr(m, "featureImportances"):
+                    imp = m.featureImportances.toArray()
+                elif hasattr(m, "coefficientMatrix"):
+                    imp = abs(m.coefficientMatrix.toArray()).sum(axis=0)
+                else:
+                    imp = abs(m.coefficients.toArray())
+                order = sorted(range(len(remaining)), key=lambda i: (imp[i], i))
+                drop = [remaining[i] for i in order[:min(step, len(remaining) - target)]]
+                rounds.append(drop)
+                remaining = [c for c in remaining if c not in drop]
+        finally:
+            data.unpersist()
+        # kept features rank 1; the last round's eliminations rank 2, and so on
+        ranking = {c: 1 for c in remaining}
+        for r, dropped in enumerate(rounds):
+            for c in dropped:
+                ranking[c] = len(rounds) - r + 1
+        keep = [c for c in cols if c in remaining or c in other]
+        return {"ranking": ranking}, keep
+
+
+STEP_CLASSES["RFE"] = RFE

@@ -237,3 +237,11 @@ def q_filter_mixed_compare_js(spark, sf):
     out = ex.filter_predictions(events(spark, sf), [("value", "<", "120abc"), ("props", "!=", "x")],
                                 js_compat=True)
     return out.drop(ROW_ID)
+
+
+@query("color_scale_binary", """SELECT doc_id, CASE WHEN TRY_CAST(CAST(toxic AS VARCHAR) AS DOUBLE) = 1
+  THEN 'rgb(0, 229, 160)' ELSE 'rgb(0, 144, 255)' END AS color FROM labels""")
+def q_color_scale_binary(spark, sf):
+    """A text column colours by whether its value reads as 1."""
+    df = load_table(spark, sf, "labels").withColumn("toxic", F.col("toxic").cast("string"))
+    return df.select("doc_id", ex.color_scale(df, "toxic").alias("color"))

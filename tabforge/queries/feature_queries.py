@@ -208,3 +208,45 @@ def q_label_encode(spark, sf):
 def q_train_test_split(spark, sf):
     df = orders_n(spark, sf).select(*[c for c in ["_row_id", "o_orderkey"]])
     return split_flag(df, 0.2, 42, key_cols=["o_orderkey"]).select("o_orderkey", "is_test")
+
+
+@query("rfe")
+def q_rfe(spark, sf):
+    """Recursive elimination down to two lineitem features (one fit per round)."""
+    df = lineitem(spark, sf).withColumn("l_linenumber", F.col("l_linenumber").cast("double"))
+    feats = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    model, _ = _fit_transform(fs.RFE(estimator="LinearRegression", n_features_to_select=2), df, feats,
+                              label="l_extendedprice")
+    ranking = model.feature_state()["ranking"]
+    kept = set(model.output_columns())
+    return spark.createDataFrame([(c, int(ranking[c]), c in kept) for c in feats],
+                                 "feature string, ranking int, selected boolean")
+
+
+@query("select_k_best_regression", "WITH f AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, corr({c}, l_extendedprice) AS r, count(*) AS n FROM lineitem" for c in LI_FEATS[:1]
+    + ["l_discount", "l_tax"]) + ") SELECT feature, " + R("r * r / (1 - r * r) * (n - 2)", 6) + " AS score, "
+    "row_number() OVER (ORDER BY r * r / (1 - r * r) * (n - 2) DESC) <= 2 AS selected FROM f")
+def q_select_k_best_regression(spark, sf):
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    model, _ = _fit_transform(fs.SelectKBest(k=2, score_func="f_regression"), lineitem(spark, sf), feats,
+                              label="l_extendedprice")
+    scores = model.feature_state()["scores"]
+    kept = set(model.output_columns())
+    rows = [(c, scores[c], c in kept) for c in feats]
+    return rounded(spark.createDataFrame(rows, "feature string, score double, selected boolean"), 6)
+
+
+@query("one_hot_encoder_vector", """SELECT c_custkey,
+  CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS hot_index,
+  CAST(count(*) OVER () AS INTEGER) AS width FROM customer""")
+def q_one_hot_encoder_vector(spark, sf):
+    """A vocabulary above the scalar limit is encoded as a sparse vector."""
+    from pyspark.ml.functions import vector_to_array
+
+    from tabforge.queries.fixtures import customer
+
+    model, out = _fit_transform(fs.OneHotEncoder(), customer(spark, sf), ["c_name"])
+    arr = vector_to_array(F.col("c_name_onehot"))
+    return out.select("c_custkey", (F.array_position(arr, 1.0) - 1).cast("int").alias("hot_index"),
+                      F.size(arr).cast("int").alias("width"))

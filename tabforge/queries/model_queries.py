@@ -152,3 +152,64 @@ def q_linear_regression(spark, sf):
     m = LinearRegression(featuresCol="f", labelCol="l_extendedprice", regParam=0.0, solver="normal").fit(data)
     return rounded(spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
                                          "slope double, intercept double"), 4)
+
+
+KNN_DIST_SQL = f"""WITH s AS (
+  SELECT *, row_number() OVER (ORDER BY md5(CAST(c_custkey AS VARCHAR) || '-42'))
+            <= (SELECT ceil(count(*) * 0.2) FROM customer) AS is_test FROM customer),
+te AS (SELECT c_custkey AS qid, c_acctbal AS a, CAST(c_nationkey AS DOUBLE) AS b FROM s WHERE is_test),
+tr AS (SELECT c_custkey AS tid, c_acctbal AS a, CAST(c_nationkey AS DOUBLE) AS b, c_mktsegment AS y
+       FROM s WHERE NOT is_test),
+d AS (SELECT qid, tid, y, (te.a - tr.a) * (te.a - tr.a) + (te.b - tr.b) * (te.b - tr.b) AS d2
+      FROM te CROSS JOIN tr),
+nn AS (SELECT *, min(d2) OVER (PARTITION BY qid) = 0 AS has_zero FROM (
+         SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, tid) AS rn FROM d) t WHERE rn <= 7),
+v AS (SELECT qid, y, sum(CASE WHEN has_zero THEN CASE WHEN d2 = 0 THEN 1.0 ELSE 0.0 END
+                         ELSE 1.0 / sqrt(d2) END) AS v FROM nn GROUP BY qid, y),
+b AS (SELECT qid, y, v, sum(v) OVER (PARTITION BY qid) AS tot,
+             row_number() OVER (PARTITION BY qid ORDER BY v DESC, y) AS r FROM v)
+SELECT qid AS c_custkey, y AS predicted, {R("v / tot", 6)} AS probability FROM b WHERE r = 1"""
+
+
+@query("knn_classifier_distance", KNN_DIST_SQL)
+def q_knn_classifier_distance(spark, sf):
+    c = load_table(spark, sf, "customer", order_by="c_custkey").select(
+        ROW_ID, "c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+    spec = TrainSpec(target_column="c_mktsegment", feature_columns=["c_acctbal", "c_nationkey"],
+                     steps=[{"name": "KNeighborsClassifier", "category": "estimators",
+                             "params": {"n_neighbors": "7", "weights": "distance"}}])
+    out = train(c, spec).predictions.select(F.col(ROW_ID).alias("c_custkey"), "predicted", "probability")
+    return rounded(out, 6)
+
+
+@query("predictions_preview")
+def q_predictions_preview(spark, sf):
+    """The first 200 rows of a run's predictions, in row order."""
+    df = labelled_documents(spark, sf)
+    spec = TrainSpec(target_column="toxic", feature_columns=["n_chars", "n_words", "n_digits"],
+                     steps=[{"name": "RandomForestClassifier", "category": "estimators",
+                             "params": {"n_estimators": "10", "max_depth": "4"}}])
+    run = train(df, spec)
+    rows = run.predictions_preview(200)
+    return spark.createDataFrame(rows, run.predictions.drop(ROW_ID).schema) if rows else \
+        run.predictions.drop(ROW_ID).limit(0)
+
+
+@query("save_model")
+def q_save_model(spark, sf):
+    """Fit, persist the stages as a PipelineModel, load them back and score
+    the whole table with the loaded model."""
+    from pyspark.ml import PipelineModel
+
+    from tabforge.session import scratch_path
+    from tabforge.sources.store import Store
+
+    st = Store(spark, scratch_path(spark, "store"))
+    ds = st.ingest(f"{sf}/part.parquet", dataset_id="part0001")["id"]
+    spec = TrainSpec(target_column="p_retailprice", feature_columns=["p_size"],
+                     steps=[{"name": "PolynomialFeatures", "params": {"degree": "2"}},
+                            {"name": "LinearRegression", "category": "estimators"}], dataset_id=ds)
+    run = st.train(spec, job_id="model001")
+    path = st.runs().where(F.col("job_id") == run.job_id).first()["model_path"]
+    loaded = PipelineModel.load(path)
+    return loaded.transform(st.load(ds)).select("p_partkey", "prediction")

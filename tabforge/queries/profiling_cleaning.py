@@ -77,6 +77,14 @@ def q_describe_dataset(spark, sf):
     return rounded(profile.describe_columns(orders_n(spark, sf)), 4, ["mean", "std"])
 
 
+@query("dtypes", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS dtype" for c, t in _DTYPE.items()))
+def q_dtypes(spark, sf):
+    from tabforge.functions.columns import dtypes
+
+    return spark.createDataFrame(list(dtypes(orders_n(spark, sf)).items()), "column_name string, dtype string")
+
+
 @query("preview_head", W + "SELECT * FROM orders_n ORDER BY o_orderkey LIMIT 50")
 def q_preview_head(spark, sf):
     return profile.preview_head(orders_n(spark, sf), 50)
@@ -282,3 +290,17 @@ f3 AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER
 SELECT o_orderkey, o_custkey, o_orderstatus, {R('price', 4)} AS total_price, priority FROM f3 WHERE rn = 1""")
 def q_apply_ops(spark, sf):
     return _clean_orders(spark, sf, CHAIN)
+
+
+@query("preview_clean", W + f""", f1 AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus,
+         COALESCE(price, (SELECT quantile_cont(price, 0.5) FROM orders_n)) AS price, o_orderdate, priority
+  FROM orders_n),
+f2 AS (SELECT * FROM f1 WHERE priority IS DISTINCT FROM '1-URGENT'),
+f3 AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS rn FROM f2)
+SELECT o_orderkey, o_custkey, o_orderstatus, {R('price', 4)} AS total_price, priority FROM f3 WHERE rn = 1
+ORDER BY o_orderkey LIMIT 50""")
+def q_preview_clean(spark, sf):
+    """The first 50 rows of the op chain's result, as the clean preview shows them."""
+    out = apply_ops(orders_n(spark, sf), CHAIN)
+    return rounded(profile.preview_head(out, 50), 4)
