@@ -6,11 +6,13 @@ number of distinct values. Here the exact answer is found by narrowing:
 
 1. one aggregate gives the count, an approximate distinct count and an
    approximate quantile sketch (merged map-side, constant size);
-2. the sketch gives a value bracket around each wanted rank; one aggregate
-   counts the values below and inside every bracket (and verifies that the
-   rank really lies inside — if not, the bracket is widened);
-3. once a bracket holds few distinct values, its (value, count) pairs are
-   grouped by Spark and only those pairs reach the driver.
+2. the sketch gives a value bracket around each wanted rank; one grouped
+   pass counts the values below each bracket and the (value, count) pairs
+   inside it, and verifies that the rank really lies inside (if not, the
+   bracket is widened);
+3. when even a sketch bracket would hold too many rows (huge inputs), the
+   bracket is narrowed repeatedly with sketches of the bracket itself;
+   only (value, count) pairs of a small bracket ever reach the driver.
 
 A value that holds a third of all rows is one (value, count) pair, so
 heavy ties cost nothing. Every step is a partial-aggregating job.
@@ -24,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 10_000
+DEFAULT_ACCURACY = 2_000
 # Largest number of distinct values per bracket whose counts are collected.
 BRACKET_LIMIT = 100_000
 _MAX_ROUNDS = 8
@@ -122,26 +124,69 @@ def _collect_brackets(df: DataFrame, cols, targets: list[_Target]) -> None:
                 break
 
 
+def _collect_with_below(df: DataFrame, cols, targets: list[_Target]) -> list[_Target]:
+    """One pass: per target, the count below its bracket and the (value,
+    count) pairs inside it. Returns the targets whose rank was not inside."""
+    entries = []
+    for i, t in enumerate(targets):
+        c = cols[t.col]
+        entries.append(F.when(_in_bracket(c, t), F.struct(F.lit(i).alias("t"), c.alias("v"), F.lit(False).alias("b")))
+                       .when(c < F.lit(t.lo), F.struct(F.lit(i).alias("t"), F.lit(None).cast("double").alias("v"),
+                                                       F.lit(True).alias("b"))))
+    pairs = (df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
+             .select("e.t", "e.v", "e.b").groupBy("t", "v", "b").count())
+    below: dict[int, int] = {}
+    inside: dict[int, list] = {}
+    for r in pairs.collect():
+        if r["b"]:
+            below[r["t"]] = r["count"]
+        else:
+            inside.setdefault(r["t"], []).append((r["v"], r["count"]))
+    missed = []
+    for i, t in enumerate(targets):
+        t.below = below.get(i, 0)
+        vals = sorted(inside.get(i, []))
+        t.inside = sum(n for _, n in vals)
+        if not (t.below <= t.ranks[0] and t.below + t.inside > t.ranks[1]):
+            missed.append(t)
+            continue
+        seen, wanted = t.below, sorted(set(t.ranks))
+        for v, n in vals:
+            seen += n
+            while wanted and wanted[0] < seen:
+                t.values[wanted.pop(0)] = v
+            if not wanted:
+                break
+    return missed
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     accuracy: int = DEFAULT_ACCURACY,
                     bracket_limit: int = BRACKET_LIMIT) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation (the pandas/numpy default).
 
-    Nulls and NaN are ignored; an all-null column gives None.
+    Nulls and NaN are ignored; an all-null column gives None. Pass 1 gives
+    counts, distinct estimates and a sketch bracket per wanted rank. Small
+    columns are then collected as (value, count) pairs; medium ones take
+    one pass counting below and inside the sketch brackets; only columns
+    whose brackets would still be too wide run the narrowing loop.
     """
     if not cols:
         return {}
-    exprs = [F.col(c).cast("double") for c in cols]
+    exprs = [F.col(f"`{c}`").cast("double") for c in cols]
     exprs = [F.when(F.isnan(e), F.lit(None)).otherwise(e) for e in exprs]
     data = df.select([e.alias(f"c{i}") for i, e in enumerate(exprs)])
     ccols = [F.col(f"c{i}") for i in range(len(cols))]
+    margin = 3.0 / accuracy
+    qs = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
 
     row = data.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(ccols)],
-                   *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(ccols)]).first()
+                   *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(ccols)],
+                   *[F.percentile_approx(c, qs, accuracy).alias(f"q{i}") for i, c in enumerate(ccols)]).first()
     counts = [int(row[f"n{i}"]) for i in range(len(cols))]
 
     targets: list[_Target] = []
-    plan = []  # (col index, prob) -> target index, fraction
+    plan = []
     for i, n in enumerate(counts):
         for p in probs:
             if n == 0:
@@ -150,16 +195,31 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             pos = (n - 1) * p
             lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
             t = _Target(col=i, ranks=(lo_r, hi_r), inside=n, distinct=int(row[f"d{i}"]))
+            sketch = dict(zip(qs, row[f"q{i}"]))
+            if t.distinct > bracket_limit:
+                t.lo = float(sketch[min(max(p - margin, 0.0), 1.0)])
+                t.hi = float(sketch[min(max(p + margin, 0.0), 1.0)])
             targets.append(t)
             plan.append((i, p, len(targets) - 1, pos - lo_r))
 
+    small = [t for t in targets if t.distinct <= bracket_limit]
+    medium = [t for t in targets if t.distinct > bracket_limit and counts[t.col] * 2 * margin * 4 <= bracket_limit]
+    large = [t for t in targets if t not in small and t not in medium]
+    if medium:
+        missed = _collect_with_below(data, ccols, medium)
+        for t in missed:  # the sketch missed its guarantee: fall back to narrowing
+            t.lo, t.hi, t.below, t.inside = -math.inf, math.inf, 0, counts[t.col]
+            large.append(t)
+    for t in large:
+        if t.lo != -math.inf or t.hi != math.inf:
+            t.lo, t.hi, t.below, t.inside = -math.inf, math.inf, 0, counts[t.col]
     for _ in range(_MAX_ROUNDS):
-        wide = [t for t in targets if t.distinct > bracket_limit]
+        wide = [t for t in large if t.distinct > bracket_limit]
         if not wide:
             break
         _narrow(data, ccols, wide, accuracy)
-    if targets:
-        _collect_brackets(data, ccols, targets)
+    if small or large:
+        _collect_brackets(data, ccols, small + large)
 
     out: dict[str, list[float | None]] = {c: [] for c in cols}
     for i, p, ti, frac in plan:

@@ -17,15 +17,15 @@ from tabforge.operators import stats
 from tabforge.operators.knn import KNNClassifier
 
 
-@pytest.mark.parametrize("limit", [100_000, 40])
-def test_exact_quantiles_match_numpy(spark, limit):
+@pytest.mark.parametrize("limit,accuracy", [(100_000, 200), (40, 200), (150, 1000)])
+def test_exact_quantiles_match_numpy(spark, limit, accuracy):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25), rng.integers(0, 5, 500).astype(float)])
     y = rng.exponential(size=5000)
     rows = [(i, float(a), float(b) if i % 9 else None) for i, (a, b) in enumerate(zip(x, y))]
     df = spark.createDataFrame(rows, f"{ROW_ID} bigint, x double, y double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = stats.exact_quantiles(df, ["x", "y"], probs, accuracy=200, bracket_limit=limit)
+    got = stats.exact_quantiles(df, ["x", "y"], probs, accuracy=accuracy, bracket_limit=limit)
     yy = np.array([r[2] for r in rows if r[2] is not None])
     for p, gx, gy in zip(probs, got["x"], got["y"]):
         assert gx == pytest.approx(float(np.percentile(x, p * 100)), abs=1e-12)
