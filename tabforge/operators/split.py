@@ -35,7 +35,7 @@ def split_hash(key_cols: list[str], seed: int) -> tuple[Column, Column]:
     return h, m
 
 
-def _cut(scored: DataFrame, test_size: float) -> tuple[int, str] | None:
+def _cut(scored: DataFrame, test_size: float) -> tuple[int, str, int] | None:
     """(hash, md5) of the last test row, i.e. the k-th smallest (0-based)
     by (hash, md5) with k = ceil(n * test_size) - 1. The first histogram
     also gives n, so no separate count pass is needed."""
@@ -49,6 +49,7 @@ def _cut(scored: DataFrame, test_size: float) -> tuple[int, str] | None:
         counts = sorted((r["b"], r["count"]) for r in hist)
         if k is None:
             n = sum(c for _, c in counts)
+            total = n
             n_test = int(math.ceil(float(test_size) * n))
             if n == 0 or n_test >= n:
                 raise InvalidParameter(f"cannot split {n} rows with test_size={test_size}")
@@ -67,12 +68,16 @@ def _cut(scored: DataFrame, test_size: float) -> tuple[int, str] | None:
         if n <= _FINAL_ROWS or width == 1:
             rows = (scored.where((F.col("__h") >= lo) & (F.col("__h") < hi))
                     .select("__h", "__m").orderBy("__h", "__m").offset(k - below).limit(1).collect())
-            return (rows[0]["__h"], rows[0]["__m"]) if rows else None
+            return (rows[0]["__h"], rows[0]["__m"], total) if rows else None
 
 
 def test_condition(df: DataFrame, test_size: float = 0.2, seed: int = 42,
                    key_cols: list[str] | None = None) -> Column:
     """Boolean column: the row belongs to the test set (exact size)."""
+    return _condition(df, test_size, seed, key_cols)[0]
+
+
+def _condition(df: DataFrame, test_size: float, seed: int, key_cols: list[str] | None) -> tuple[Column, int]:
     if not (0.0 < float(test_size) < 1.0):
         raise InvalidParameter("test_size must be in (0, 1)")
     keys = key_cols or [ROW_ID]
@@ -81,8 +86,8 @@ def test_condition(df: DataFrame, test_size: float = 0.2, seed: int = 42,
     cut = _cut(scored, test_size)
     if cut is None:
         raise RuntimeError("split: cut not found")
-    ht, mt = cut
-    return (h < F.lit(ht)) | ((h == F.lit(ht)) & (m <= F.lit(mt)))
+    ht, mt, n = cut
+    return (h < F.lit(ht)) | ((h == F.lit(ht)) & (m <= F.lit(mt))), n
 
 
 def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
@@ -92,8 +97,15 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
     ``key_cols`` default to the hidden row id. Keys should be unique; equal
     keys get equal hashes, and the cut is exact only between distinct keys.
     """
-    is_test = test_condition(df, test_size, seed, key_cols)
-    return df.where(~is_test), df.where(is_test)
+    train, test, _ = split_counted(df, test_size, seed, key_cols)
+    return train, test
+
+
+def split_counted(df: DataFrame, test_size: float = 0.2, seed: int = 42,
+                  key_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(train, test, total rows); the count comes free with the cut."""
+    is_test, n = _condition(df, test_size, seed, key_cols)
+    return df.where(~is_test), df.where(is_test), n
 
 
 def split_flag(df: DataFrame, test_size: float = 0.2, seed: int = 42,

@@ -13,6 +13,7 @@ importances come from distributed aggregates.
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass, field
 
@@ -28,11 +29,12 @@ from tabforge.functions.columns import ROW_ID, field_type, is_numeric, user_colu
 from tabforge.operators import evaluate as ev
 from tabforge.operators.features import STEP_CLASSES
 from tabforge.operators.models import ESTIMATORS, feature_importance, fit_estimator
-from tabforge.operators.split import train_test_split
+from tabforge.operators.split import split_counted
 
 RESERVED = ("actual", "predicted", "probability", "residual")
 PREVIEW_PREDICTIONS = 200
 MAX_CLASSES = 10_000
+ROWS_PER_PARTITION = 100_000
 _ORIG = "__orig__"
 _LABEL = "__label"
 _FEATURES = "__features"
@@ -174,7 +176,9 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
     data, labels = _encode_target(data, target, is_clf)
     # keep the untouched features for the predictions table
     data = data.select("*", *[F.col(f"`{c}`").alias(_ORIG + c) for c in feats])
-    train_df, test_df = train_test_split(data, spec.test_size, spec.random_state)
+    train_df, test_df, n_rows = split_counted(data, spec.test_size, spec.random_state)
+    n_test = int(math.ceil(float(spec.test_size) * n_rows))
+    train_df, test_df = _spread(train_df, n_rows - n_test), _spread(test_df, n_test)
     train_df = train_df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         current = list(feats)
@@ -221,6 +225,20 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
         final_features=current, labels=labels, stages=stages + [fitted])
 
 
+def _spread(df: DataFrame, n_rows: int) -> DataFrame:
+    """Learners parallelise over partitions. An input read as too few
+    partitions for its size (one big file, one row group) is
+    hash-partitioned on the row id into ~ROWS_PER_PARTITION-row parts, at
+    most one per core — deterministic, so a lost partition is recomputed
+    identically. Small or already wide inputs are left alone: more tasks
+    than data only adds per-iteration scheduling cost."""
+    target = min(df.sparkSession.sparkContext.defaultParallelism,
+                 max(1, math.ceil(n_rows / ROWS_PER_PARTITION)))
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, ROW_ID)
+    return df
+
+
 def _predictions_table(scored: DataFrame, feats, target, is_clf, labels, fitted) -> DataFrame:
     orig = [F.col(f"`{_ORIG + c}`").alias(c) for c in feats]
     pred = F.col("prediction")

@@ -52,17 +52,23 @@ def with_row_ids_parquet(df: DataFrame) -> DataFrame:
 
 
 def with_row_ids_text(df: DataFrame) -> DataFrame:
-    """Add ``_row_id`` to a CSV/text scan (file order, then line order)."""
+    """Add ``_row_id`` to a CSV/text scan (file order, then line order).
+
+    One grouped pass gives, per (file, block), its row count and its first
+    monotonic id; the running sum of counts is the block's offset.
+    """
     tagged = df.select("*", F.col("_metadata.file_path").alias("__file"),
                        F.col("_metadata.file_block_start").alias("__blk"),
                        F.monotonically_increasing_id().alias("__mono"))
-    first = tagged.groupBy("__file", "__blk").agg(F.min("__mono").alias("__first"))
+    keys = ["__file", "__blk"]
+    per_block = tagged.groupBy(*keys).agg(F.min("__mono").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select(*keys, "__first", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
     n_blocks = max(df.rdd.getNumPartitions(), len(df.inputFiles()), 1) * 4
     if n_blocks <= MAX_BROADCAST_OFFSETS:
-        first = F.broadcast(first)
-    tagged = tagged.join(first, ["__file", "__blk"]).withColumn("__pos", F.col("__mono") - F.col("__first"))
-    out = _attach_offsets(tagged, ["__file", "__blk"], F.col("__pos"), n_blocks)
-    return out.drop("__mono", "__first", "__pos")
+        offsets = F.broadcast(offsets)
+    out = tagged.join(offsets, keys).withColumn(ROW_ID, F.col("__off") + F.col("__mono") - F.col("__first"))
+    return out.drop("__mono", "__first", "__off", *keys)
 
 
 def scan_parquet(spark: SparkSession, path: str, row_ids: bool = True) -> DataFrame:
@@ -173,6 +179,7 @@ def apply_schema(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 def scan_csv(spark: SparkSession, path: str, multiline: bool = True, row_ids: bool = True) -> DataFrame:
     text = read_csv_text(spark, path, multiline=multiline)
+    types = infer_schema(text)  # inference needs no row order
     if row_ids:
         text = with_row_ids_text(text)
-    return apply_schema(text, infer_schema(text))
+    return apply_schema(text, types)

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference processes uploaded files in batch and has no streaming
+sources, watermarks or state, so nothing is built here. Batch ingest
+(``tabforge.sources``) and the lazy cleaning plan (``tabforge.plans``)
+are what a Structured Streaming job would reuse if one were needed.
+"""
