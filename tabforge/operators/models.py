@@ -6,6 +6,8 @@ Parameter translation (scikit-learn convention -> Spark ML):
   since Spark averages the loss;
 * ``max_depth`` -> ``maxDepth`` (Spark's limit is 30);
 * ``n_estimators`` -> ``numTrees`` / ``maxIter``;
+* ``tol`` -> ``tol`` with the reference estimators' own defaults (1e-3 for
+  SVC, 1e-4 for LogisticRegression) instead of Spark's 1e-6;
 * every learner is seeded with the run's ``random_state``.
 """
 
@@ -128,7 +130,7 @@ def fit_estimator(name: str, params: dict, train: DataFrame, features: str, labe
         if C <= 0:
             raise InvalidParameter("C must be > 0")
         m = LogisticRegression(featuresCol=features, labelCol=label, regParam=1.0 / (C * n_train()),
-                               elasticNetParam=0.0, standardization=False,
+                               elasticNetParam=0.0, standardization=False, tol=_float(params, "tol", 1e-4),
                                maxIter=_int(params, "max_iter", 100)).fit(train)
         return FittedEstimator(m, True, n_classes, True)
     if name == "LinearRegression":
@@ -159,12 +161,18 @@ def fit_estimator(name: str, params: dict, train: DataFrame, features: str, labe
             col = "__poly"
         elif kernel != "linear":
             raise InvalidParameter(f"SVC kernel {kernel!r} is not supported (linear, rbf, poly)")
-        data = pre.transform(train) if pre is not None else train
+        # the mapped features are computed once and reused by every solver pass
+        data = pre.transform(train).select(col, label).persist() if pre is not None else train
         svc = LinearSVC(featuresCol=col, labelCol=label, regParam=1.0 / (C * n_train()),
-                        maxIter=_int(params, "max_iter", 100))
+                        tol=_float(params, "tol", 1e-3), maxIter=_int(params, "max_iter", 100))
         if n_classes > 2:
             svc = OneVsRest(classifier=svc, featuresCol=col, labelCol=label, parallelism=4)
-        return FittedEstimator(svc.fit(data), True, n_classes, False, pre=pre)
+        try:
+            fitted = svc.fit(data)
+        finally:
+            if pre is not None:
+                data.unpersist()
+        return FittedEstimator(fitted, True, n_classes, False, pre=pre)
     if name == "KNeighborsClassifier":
         from tabforge.operators.knn import KNNClassifier
 

@@ -13,7 +13,9 @@ importances come from distributed aggregates.
 
 from __future__ import annotations
 
+import logging
 import math
+import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -31,6 +33,8 @@ from tabforge.operators.features import STEP_CLASSES
 from tabforge.operators.models import ESTIMATORS, feature_importance, fit_estimator
 from tabforge.operators.split import split_counted
 
+log = logging.getLogger(__name__)
+
 RESERVED = ("actual", "predicted", "probability", "residual")
 PREVIEW_PREDICTIONS = 200
 MAX_CLASSES = 10_000
@@ -169,17 +173,24 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
     """Fit the pipeline on the training rows and score the test rows."""
     if ROW_ID not in df.columns:
         raise InvalidParameter(f"training needs the {ROW_ID} row order column (ingest the data first)")
+    t0 = time.perf_counter()
+
+    def mark(what: str) -> None:
+        log.info("train: %s done at %.2fs", what, time.perf_counter() - t0)
+
     feats, est_step, pre_steps = _validate(df, spec)
     is_clf = ESTIMATORS[est_step.name]
     target = spec.target_column
     data = df.select(ROW_ID, *[F.col(f"`{c}`") for c in dict.fromkeys(feats + [target])])
     data, labels = _encode_target(data, target, is_clf)
+    mark("target encoding")
     # keep the untouched features for the predictions table
     data = data.select("*", *[F.col(f"`{c}`").alias(_ORIG + c) for c in feats])
     train_df, test_df, n_rows = split_counted(data, spec.test_size, spec.random_state)
     n_test = int(math.ceil(float(spec.test_size) * n_rows))
     train_df, test_df = _spread(train_df, n_rows - n_test), _spread(test_df, n_test)
     train_df = train_df.persist(StorageLevel.MEMORY_AND_DISK)
+    mark("split")
     try:
         current = list(feats)
         stages = []
@@ -191,6 +202,7 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
             stages.append(model)
             cur_train = model.transform(cur_train)
             current = model.output_columns()
+            mark(f"step {s.name}")
         types = {f.name: f.dataType for f in cur_train.schema.fields}
         bad = [c for c in current if not (is_numeric(types[c]) or isinstance(types[c], T.BooleanType)
                                           or types[c].typeName() == "vector")]
@@ -205,6 +217,7 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
               for c in cur_train.columns]))
         fitted = fit_estimator(est_step.name, est_step.params, fit_data, _FEATURES, _LABEL,
                                len(labels or []), spec.random_state, len(current))
+        mark(f"estimator {est_step.name}")
         scored = test_df
         for m in stages[:-1]:
             scored = m.transform(scored)
@@ -215,6 +228,7 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
         predictions = _predictions_table(scored, feats, target, is_clf, labels, fitted)
         predictions = predictions.persist(StorageLevel.MEMORY_AND_DISK)
         metrics = _metrics(predictions, is_clf)
+        mark("scoring and metrics")
         importance = feature_importance(fitted, current)
     finally:
         train_df.unpersist()
@@ -230,12 +244,16 @@ def _spread(df: DataFrame, n_rows: int) -> DataFrame:
     partitions for its size (one big file, one row group) is
     hash-partitioned on the row id into ~ROWS_PER_PARTITION-row parts, at
     most one per core — deterministic, so a lost partition is recomputed
-    identically. Small or already wide inputs are left alone: more tasks
+    identically. Tiny inputs are coalesced to one partition: more tasks
     than data only adds per-iteration scheduling cost."""
     target = min(df.sparkSession.sparkContext.defaultParallelism,
                  max(1, math.ceil(n_rows / ROWS_PER_PARTITION)))
-    if df.rdd.getNumPartitions() < target:
+    parts = df.rdd.getNumPartitions()
+    if parts < target:
         return df.repartition(target, ROW_ID)
+    if n_rows < ROWS_PER_PARTITION and parts > 1:
+        # tiny inputs: one task per solver iteration instead of many
+        return df.coalesce(1)
     return df
 
 
