@@ -347,17 +347,21 @@ class OneHotEncoder(FeatureStep):
     applies_to = "categorical"
     handle_unknown = Param(Params._dummy(), "handle_unknown", "ignore or error",
                            typeConverter=TypeConverters.toString)
+    max_scalar_categories = Param(Params._dummy(), "max_scalar_categories",
+                                  "largest vocabulary emitted as named scalar columns",
+                                  typeConverter=TypeConverters.toInt)
 
-    def __init__(self, handle_unknown: str = "ignore"):
+    def __init__(self, handle_unknown: str = "ignore", max_scalar_categories: int = MAX_SCALAR_CATEGORIES):
         super().__init__()
-        self._setDefault(handle_unknown="ignore")
-        self._set(handle_unknown=handle_unknown)
+        self._setDefault(handle_unknown="ignore", max_scalar_categories=MAX_SCALAR_CATEGORIES)
+        self._set(handle_unknown=handle_unknown, max_scalar_categories=int(max_scalar_categories))
 
     def _fit_state(self, df, cols):
         hu = self.getOrDefault(self.handle_unknown)
         if hu not in ("ignore", "error"):
             raise InvalidParameter(f"OneHotEncoder: handle_unknown must be ignore or error, got {hu!r}")
         _, cat = _split_numeric(df, cols)
+        limit = self.getOrDefault(self.max_scalar_categories)
         st = {"handle_unknown": hu, "scalar": {}, "names": {}, "vector": {}, "labels": {}}
         out = []
         for c in cols:
@@ -365,9 +369,9 @@ class OneHotEncoder(FeatureStep):
                 out.append(c)
                 continue
             vals = (df.select(_q(c).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-                    .orderBy("v").limit(MAX_SCALAR_CATEGORIES + 1).collect())
+                    .orderBy("v").limit(limit + 1).collect())
             cats = [r["v"] for r in vals]
-            if len(cats) <= MAX_SCALAR_CATEGORIES:
+            if len(cats) <= limit:
                 names = [f"{c}_{v}" for v in cats]
                 st["scalar"][c], st["names"][c] = cats, names
                 out.extend(names)

@@ -241,12 +241,12 @@ def q_select_k_best_regression(spark, sf):
   CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS hot_index,
   CAST(count(*) OVER () AS INTEGER) AS width FROM customer""")
 def q_one_hot_encoder_vector(spark, sf):
-    """A vocabulary above the scalar limit is encoded as a sparse vector."""
+    """A vocabulary above the scalar limit (32 here) is encoded as a sparse vector."""
     from pyspark.ml.functions import vector_to_array
 
     from tabforge.queries.fixtures import customer
 
-    model, out = _fit_transform(fs.OneHotEncoder(), customer(spark, sf), ["c_name"])
+    model, out = _fit_transform(fs.OneHotEncoder(max_scalar_categories=32), customer(spark, sf), ["c_name"])
     arr = vector_to_array(F.col("c_name_onehot"))
     return out.select("c_custkey", (F.array_position(arr, 1.0) - 1).cast("int").alias("hot_index"),
                       F.size(arr).cast("int").alias("width"))
