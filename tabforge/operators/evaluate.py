@@ -122,3 +122,29 @@ def probability_column(prob_vector: str = "probability", n_classes: int = 2) ->
     """Binary: P(class 1); multiclass: the largest class probability."""
     arr = vector_to_array(F.col(prob_vector))
     return (arr[1] if n_classes == 2 else F.array_max(arr)).alias("probability")
+
+
+def metrics_from_counts(pairs: list[tuple]) -> dict:
+    """accuracy / weighted precision, recall, f1 and the confusion matrix
+    from collected (actual, predicted, n) rows — at most classes² rows,
+    the size of the matrix the caller receives anyway."""
+    labels = sorted({a for a, _, _ in pairs if a is not None} | {p for _, p, _ in pairs if p is not None})
+    idx = {v: i for i, v in enumerate(labels)}
+    k = len(labels)
+    cm = [[0] * k for _ in range(k)]
+    for a, p, n in pairs:
+        if a is not None and p is not None:
+            cm[idx[a]][idx[p]] += int(n)
+    total = sum(map(sum, cm))
+    out = {"accuracy": 0.0, "precision": 0.0, "recall": 0.0, "f1": 0.0, "confusion_matrix": cm}
+    if not total:
+        return out
+    for i in range(k):
+        tp = cm[i][i]
+        support = sum(cm[i])
+        pred = sum(cm[r][i] for r in range(k))
+        out["accuracy"] += tp / total
+        out["precision"] += support * (tp / pred if pred else 0.0) / total
+        out["recall"] += support * (tp / support if support else 0.0) / total
+        out["f1"] += support * (2.0 * tp / (support + pred) if support + pred else 0.0) / total
+    return out

@@ -25,7 +25,6 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabforge.errors import InvalidParameter
 from tabforge.functions.columns import field_type, is_numeric

@@ -277,7 +277,7 @@ def _predictions_table(scored: DataFrame, feats, target, is_clf, labels, fitted)
 
 def _metrics(predictions: DataFrame, is_clf: bool) -> dict:
     if is_clf:
-        row = ev.classification_metrics(predictions).first().asDict()
-        row["confusion_matrix"] = ev.confusion_matrix_array(predictions)
-        return row
+        # one partial-aggregating job; its result is the k x k matrix itself
+        pairs = [tuple(r) for r in ev.confusion_counts(predictions).collect()]
+        return ev.metrics_from_counts(pairs)
     return ev.regression_metrics(predictions).first().asDict()

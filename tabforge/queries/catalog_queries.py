@@ -8,7 +8,6 @@ can name them.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tabforge.functions.columns import ROW_ID
 from tabforge.operators import profile

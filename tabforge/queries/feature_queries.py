@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabforge.functions.columns import user_columns
 from tabforge.operators import features as fs
 from tabforge.operators.split import split_flag
 from tabforge.queries.fixtures import ORDERS_N_SQL, lineitem, orders_n, part

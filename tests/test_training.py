@@ -115,3 +115,15 @@ def test_gbt_multiclass(spark):
                                          "params": {"n_estimators": 3, "max_depth": 2}}],
                               feature_columns=[f"e{i}" for i in range(6)]))
     assert run.predictions.count() == math.ceil(0.2 * df.count())
+
+
+def test_local_metrics_match_spark_metrics(spark):
+    from tabforge.operators import evaluate as ev
+    from tabforge.queries.evaluation_queries import predictions_multi
+
+    p = predictions_multi(spark, SF)
+    spark_row = ev.classification_metrics(p).first().asDict()
+    local = ev.metrics_from_counts([tuple(r) for r in ev.confusion_counts(p).collect()])
+    for k in ("accuracy", "precision", "recall", "f1"):
+        assert local[k] == pytest.approx(spark_row[k], rel=1e-12)
+    assert local["confusion_matrix"] == ev.confusion_matrix_array(p)
