@@ -21,6 +21,8 @@ from tabforge.functions.columns import (
 )
 
 PREVIEW_ROWS = 50
+# Pages starting this deep locate their first row by counting, not sorting.
+DEEP_PAGE = 10_000
 
 
 def _missing(df: DataFrame, c: str):
@@ -116,8 +118,18 @@ def preview_page(df: DataFrame, page: int = 0, page_size: int = PREVIEW_ROWS,
     if dense_row_ids and ROW_ID in df.columns:
         return (df.where((F.col(ROW_ID) >= start) & (F.col(ROW_ID) < start + page_size))
                 .orderBy(ROW_ID).select(user_columns(df)))
-    ordered = df.orderBy(ROW_ID) if ROW_ID in df.columns else df
-    return ordered.offset(start).limit(page_size).select(user_columns(df))
+    if ROW_ID not in df.columns:
+        return df.offset(start).limit(page_size)
+    if start >= DEEP_PAGE:
+        # a deep page would be a take-ordered of start+size rows; find the
+        # row id at rank `start` by bucketed counting and read from there
+        from tabforge.operators.stats import kth_smallest
+
+        first = kth_smallest(df, ROW_ID, start)
+        if first is None:
+            return df.limit(0).select(user_columns(df))
+        return df.where(F.col(ROW_ID) >= first).orderBy(ROW_ID).limit(page_size).select(user_columns(df))
+    return df.orderBy(ROW_ID).offset(start).limit(page_size).select(user_columns(df))
 
 
 def describe_dataset(df: DataFrame, preview_rows: int = PREVIEW_ROWS) -> dict:

@@ -268,3 +268,30 @@ def column_means(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
         exprs.append(F.avg(F.when(~F.isnan(e), e)).alias(f"m{i}"))
     row = df.agg(*exprs).first()
     return {c: row[f"m{i}"] for i, c in enumerate(cols)}
+
+
+def kth_smallest(df: DataFrame, col: str, k: int, buckets: int = 4096, final_rows: int = 100_000):
+    """The k-th smallest (0-based) value of an integral column, exactly,
+    without sorting the table: histograms over the value range are refined
+    until the bucket holding rank k is small, then only that bucket is
+    ordered. Returns None when the column has k or fewer values."""
+    c = F.col(f"`{col}`")
+    row = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("n")).first()
+    if row["n"] is None or row["n"] <= k:
+        return None
+    lo, hi, below = int(row["lo"]), int(row["hi"]) + 1, 0
+    while True:
+        width = max((hi - lo + buckets - 1) // buckets, 1)
+        hist = (df.where((c >= lo) & (c < hi))
+                .groupBy(F.floor((c - F.lit(lo)) / F.lit(width)).cast("bigint").alias("b")).count().collect())
+        seen, target = below, None
+        for b, n in sorted((r["b"], r["count"]) for r in hist):
+            if seen + n > k:
+                target = (b, n)
+                break
+            seen += n
+        b, n = target
+        lo, hi, below = lo + b * width, min(lo + (b + 1) * width, hi), seen
+        if n <= final_rows or width == 1:
+            return (df.where((c >= lo) & (c < hi)).select(c.alias("v")).orderBy("v")
+                    .offset(k - below).limit(1).first()["v"])

@@ -39,6 +39,8 @@ RESERVED = ("actual", "predicted", "probability", "residual")
 PREVIEW_PREDICTIONS = 200
 MAX_CLASSES = 10_000
 ROWS_PER_PARTITION = 100_000
+# Up to this many classes a label's code is an array lookup in the row.
+SMALL_LABEL_SET = 64
 _ORIG = "__orig__"
 _LABEL = "__label"
 _FEATURES = "__features"
@@ -164,9 +166,15 @@ def _encode_target(df: DataFrame, target: str, is_classifier: bool):
     labels = [r["v"] for r in vals]
     if len(labels) > MAX_CLASSES:
         raise InvalidParameter(f"more than {MAX_CLASSES} classes: use a regressor for this target")
-    arr = F.array(*[F.lit(v) for v in labels])
-    code = (F.array_position(arr, y) - 1).cast("double")
-    return df.where(y.isNotNull()).withColumn(_LABEL, code), labels
+    base = df.where(y.isNotNull())
+    if len(labels) <= SMALL_LABEL_SET:
+        arr = F.array(*[F.lit(v) for v in labels])
+        return base.withColumn(_LABEL, (F.array_position(arr, y) - 1).cast("double")), labels
+    # many classes: a hash lookup through a broadcast of the (bounded) label table
+    codes = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(labels)],
+                                            T.StructType([T.StructField("__lv", field_type(df, target)),
+                                                          T.StructField(_LABEL, T.DoubleType())]))
+    return base.join(F.broadcast(codes), y == F.col("__lv")).drop("__lv"), labels
 
 
 def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResult:

@@ -92,3 +92,23 @@ def test_knn_matches_brute_force(spark, weights, k, bucket):
     for q in want:
         assert got[q][0] == want[q][0], q
         assert got[q][1] == pytest.approx(want[q][1])
+
+
+def test_kth_smallest_and_deep_page(spark):
+    from tabforge.operators import profile
+    from tabforge.operators.stats import kth_smallest
+
+    ids = spark.range(0, 60000).select((F.col("id") * 3 + (F.col("id") % 3)).alias(ROW_ID), F.col("id").alias("v"))
+    assert kth_smallest(ids, ROW_ID, 12345, buckets=16, final_rows=50) == 12345 * 3 + 12345 % 3
+    page = profile.preview_page(ids, page=500, page_size=20)
+    assert [r["v"] for r in page.collect()] == list(range(10000, 10020))
+    assert profile.preview_page(ids, page=4000, page_size=20).count() == 0
+
+
+def test_many_class_target_uses_lookup_join(spark):
+    from tabforge.plans.training import _encode_target
+
+    df = spark.range(300).select(F.col("id").alias(ROW_ID), (F.col("id") % 100).cast("string").alias("t"))
+    out, labels = _encode_target(df, "t", True)
+    got = {r["t"]: r["__label"] for r in out.collect()}
+    assert len(labels) == 100 and all(labels[int(code)] == t for t, code in got.items())
