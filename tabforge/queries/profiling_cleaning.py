@@ -304,3 +304,13 @@ def q_preview_clean(spark, sf):
     """The first 50 rows of the op chain's result, as the clean preview shows them."""
     out = apply_ops(orders_n(spark, sf), CHAIN)
     return rounded(profile.preview_head(out, 50), 4)
+
+
+@query("preview_page_deep", W + """SELECT * FROM orders_n WHERE priority IS DISTINCT FROM '1-URGENT'
+ORDER BY o_orderkey LIMIT 50 OFFSET 10000""")
+def q_preview_page_deep(spark, sf):
+    """A deep page of a filtered (sparse row id) dataset: the first row is
+    located by bucketed counting instead of a take-ordered of 10,050 rows."""
+    out = apply_ops(orders_n(spark, sf), [("filter_rows", {"column": "priority", "operator": "!=",
+                                                           "value": "1-URGENT"})])
+    return profile.preview_page(out, page=200, page_size=50)
