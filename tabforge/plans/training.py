@@ -32,6 +32,7 @@ from tabforge.operators import evaluate as ev
 from tabforge.operators.features import STEP_CLASSES
 from tabforge.operators.models import ESTIMATORS, feature_importance, fit_estimator
 from tabforge.operators.split import split_counted
+from tabforge.session import checkpoint_dir
 
 log = logging.getLogger(__name__)
 
@@ -189,8 +190,11 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
     feats, est_step, pre_steps = _validate(df, spec)
     is_clf = ESTIMATORS[est_step.name]
     target = spec.target_column
-    data = df.select(ROW_ID, *[F.col(f"`{c}`") for c in dict.fromkeys(feats + [target])])
-    data, labels = _encode_target(data, target, is_clf)
+    # the selected columns are read by the encoding, the split, the fits and
+    # the scoring: materialise them once instead of recomputing the input
+    source = df.select(ROW_ID, *[F.col(f"`{c}`") for c in dict.fromkeys(feats + [target])])
+    source = source.persist(StorageLevel.MEMORY_AND_DISK)
+    data, labels = _encode_target(source, target, is_clf)
     mark("target encoding")
     # keep the untouched features for the predictions table
     data = data.select("*", *[F.col(f"`{c}`").alias(_ORIG + c) for c in feats])
@@ -234,12 +238,16 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
                                  for c in scored.columns])
         scored = fitted.transform(assembler.transform(scored))
         predictions = _predictions_table(scored, feats, target, is_clf, labels, fitted)
-        predictions = predictions.persist(StorageLevel.MEMORY_AND_DISK)
+        # a reliable checkpoint: the table outlives the cached inputs and an
+        # executor loss, and every later metric/chart reads it directly
+        checkpoint_dir(df.sparkSession)
+        predictions = predictions.checkpoint()
         metrics = _metrics(predictions, is_clf)
         mark("scoring and metrics")
         importance = feature_importance(fitted, current)
     finally:
         train_df.unpersist()
+        source.unpersist()
     return RunResult(
         job_id=job_id or uuid.uuid4().hex[:8], dataset_id=spec.dataset_id, target_column=target,
         feature_columns=feats, steps=[s.__dict__ for s in pre_steps + [est_step]], is_classifier=is_clf,
