@@ -194,7 +194,7 @@ class KNNClassifier:
             raise InvalidParameter("weights must be uniform or distance")
         self.k, self.weights = k, weights
         self.features_col, self.label_col, self.id_col = features_col, label_col, id_col
-        self.bucket_rows = bucket_rows or max(2 * k, 16)
+        self.bucket_rows = bucket_rows or max(4 * k, 32)
 
     def fit(self, train: DataFrame) -> KNNModel:
         x = vector_to_array(F.col(self.features_col))
