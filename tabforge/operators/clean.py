@@ -136,10 +136,8 @@ def rename_column(df: DataFrame, params: dict, ctx: OpContext) -> DataFrame:
 
 # ---------------------------------------------------------------- fills
 
-def _fill_value_expr(df: DataFrame, c: str, value) -> Column:
-    dt = field_type(df, c)
-    col = F.col(f"`{c}`")
-    return F.when(_missing(df, c), value).otherwise(col)
+def _fill_value_expr(df: DataFrame, c: str, value: Column) -> Column:
+    return F.when(_missing(df, c), value).otherwise(F.col(f"`{c}`"))
 
 
 def fill_with_stats(df: DataFrame, strategy: str, cols: list[str]) -> DataFrame:
@@ -188,29 +186,25 @@ def fill_mode(df: DataFrame, c: str) -> DataFrame:
 
 
 def fill_constant(df: DataFrame, c: str, value) -> DataFrame:
+    """Fill with a constant cast to the column's type; an integral column
+    filled with a fractional number becomes DOUBLE. A value that does not
+    fit the type raises (the reference would silently mix types)."""
     dt = field_type(df, c)
     if isinstance(dt, T.StringType):
-        lit = F.lit(value if isinstance(value, str) else str(value))
-    elif is_numeric(dt):
+        return _replace(df, c, _fill_value_expr(df, c, F.lit(value if isinstance(value, str) else str(value))))
+    if is_numeric(dt):
         try:
             num = float(value)
         except (TypeError, ValueError):
             raise InvalidParameter(f"fill constant: {value!r} is not a number for {c!r}")
         if is_integral(dt) and num.is_integer():
-            lit = F.lit(int(num)).cast(dt)
-        else:
-            lit = F.lit(num).cast("double")
-            return _replace(df, c, _fill_value_expr(df, c, lit).cast("double"))
-    elif isinstance(dt, T.BooleanType):
-        try:
-            lit = F.lit(filter_literal(dt, value))
-        except NotComparable as e:
-            raise InvalidParameter(f"fill constant: {e}")
-    else:
-        try:
-            lit = typed_lit(filter_literal(dt, value), dt)
-        except NotComparable as e:
-            raise InvalidParameter(f"fill constant: {e}")
+            return _replace(df, c, _fill_value_expr(df, c, F.lit(int(num)).cast(dt)))
+        filled = _fill_value_expr(df, c, F.lit(num).cast("double"))
+        return _replace(df, c, filled.cast("double"))
+    try:
+        lit = typed_lit(filter_literal(dt, value), dt)
+    except NotComparable as e:
+        raise InvalidParameter(f"fill constant: {e}")
     return _replace(df, c, _fill_value_expr(df, c, lit))
 
 
