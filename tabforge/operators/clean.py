@@ -352,8 +352,12 @@ def _cast_plan(df: DataFrame, c: str, target: str, strict: bool) -> tuple[Column
             parsed = F.trim(col).try_cast(target)
             bad = ~col.rlike(INTEGER_TEXT) | parsed.isNull()
             return null_fail | (col.isNotNull() & bad), parsed
-        if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-            return null_fail, (F.unix_micros(col.cast("timestamp")) * 1000).cast(target)
+        if isinstance(dt, T.TimestampNTZType):
+            # naive timestamps count from the naive epoch, whatever the session time zone
+            micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col)
+            return null_fail, (micros * 1000).cast(target)
+        if isinstance(dt, T.TimestampType):
+            return null_fail, (F.unix_micros(col) * 1000).cast(target)
         return F.lit(True), col
     if target == "string":
         return never, col.cast("string")

@@ -158,3 +158,14 @@ def test_preview_clean_shapes(spark):
     res = preview_clean(df, [("drop_nulls", {})])
     assert (res["original_rows"], res["result_rows"], res["result_cols"]) == (3, 2, 1)
     assert res["null_counts"] == {"x": 0}
+
+
+def test_cast_naive_timestamp_to_int_is_epoch_nanos(spark):
+    df = frame(spark, "t timestamp_ntz", [dt.datetime(1970, 1, 2)])
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        out = apply_ops(df, [("cast_dtype", {"column": "t", "dtype": "int64"})])
+        assert col(out, "t") == [86_400 * 10**9]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
