@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tabforge.errors import InvalidParameter
 from tabforge.functions.columns import field_type, is_numeric
-from tabforge.operators.stats import column_mode, exact_quantiles
+from tabforge.operators.stats import column_mode, exact_quantiles, numeric_column_stats
 
 # One-hot categories up to this count become named scalar columns; above
 # it the encoding is a sparse vector column (StringIndexer + OneHotEncoder).
@@ -125,11 +125,10 @@ class StandardScaler(FeatureStep):
         num, _ = _split_numeric(df, cols)
         if not num:
             return {}, cols
-        row = df.agg(*[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(num)],
-                     *[F.stddev_pop(_num(c)).alias(f"s{i}") for i, c in enumerate(num)]).first()
+        stats = numeric_column_stats(df, num, ["mean", "std_pop"])
         st = {}
-        for i, c in enumerate(num):
-            m, s = row[f"m{i}"], row[f"s{i}"]
+        for c in num:
+            m, s = stats[c]["mean"], stats[c]["std_pop"]
             st[c] = (m if m is not None else 0.0, s if s not in (None, 0.0) and not math.isnan(s) else 1.0)
         return st, cols
 
@@ -160,10 +159,9 @@ class MinMaxScaler(FeatureStep):
         num, _ = _split_numeric(df, cols)
         st = {"range": [lo, hi], "cols": {}}
         if num:
-            row = df.agg(*[F.min(_num(c)).alias(f"a{i}") for i, c in enumerate(num)],
-                         *[F.max(_num(c)).alias(f"b{i}") for i, c in enumerate(num)]).first()
-            for i, c in enumerate(num):
-                a, b = row[f"a{i}"], row[f"b{i}"]
+            stats = numeric_column_stats(df, num, ["min", "max"])
+            for c in num:
+                a, b = stats[c]["min"], stats[c]["max"]
                 a = a if a is not None else 0.0
                 rng = (b - a) if b is not None and b != a else 1.0
                 st["cols"][c] = (a, rng)
@@ -271,8 +269,7 @@ class SimpleImputer(FeatureStep):
         if strategy in ("mean", "median"):
             # statistics of numbers only; text columns pass through untouched
             if strategy == "mean":
-                row = df.agg(*[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(num)]).first() if num else {}
-                vals = {c: row[f"m{i}"] for i, c in enumerate(num)}
+                vals = {c: v["mean"] for c, v in numeric_column_stats(df, num, ["mean"]).items()}
             else:
                 vals = {c: v[0] for c, v in exact_quantiles(df, num, [0.5]).items()}
             for c in num:
@@ -569,11 +566,12 @@ class VarianceThreshold(FeatureStep):
     def _fit_state(self, df, cols):
         num, other = _split_numeric(df, cols)
         thr = self.getOrDefault(self.threshold)
-        row = df.agg(*[F.var_pop(_num(c)).alias(f"v{i}") for i, c in enumerate(num)],
-                     *[(F.max(_num(c)) - F.min(_num(c))).alias(f"p{i}") for i, c in enumerate(num)]).first()
+        stats = numeric_column_stats(df, num, ["var_pop", "min", "max"])
         var = {}
-        for i, c in enumerate(num):
-            v, p = row[f"v{i}"], row[f"p{i}"]
+        for c in num:
+            v = stats[c]["var_pop"]
+            lo, hi = stats[c]["min"], stats[c]["max"]
+            p = hi - lo if lo is not None and hi is not None else None
             if thr == 0 and v is not None and p is not None:
                 v = min(v, p)
             var[c] = v
@@ -618,11 +616,11 @@ class PCA(FeatureStep):
     def _fit_state(self, df, cols):
         num, other = _split_numeric(df, cols)
         k = self.getOrDefault(self.n_components)
-        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(num)]).first()
-        n = row["n"]
+        n = df.count()
         if k < 1 or k > min(n, len(num)):
             raise InvalidParameter(f"PCA: n_components={k} must be between 1 and min(n_samples, n_features)")
-        means = [row[f"m{i}"] or 0.0 for i in range(len(num))]
+        stats = numeric_column_stats(df, num, ["mean"])
+        means = [stats[c]["mean"] or 0.0 for c in num]
         centred = df.select([(F.coalesce(_num(c), F.lit(m)) - F.lit(m)).alias(f"x{i}")
                              for i, (c, m) in enumerate(zip(num, means))])
         vec = VectorAssembler(inputCols=[f"x{i}" for i in range(len(num))], outputCol="__v").transform(centred)

@@ -295,3 +295,44 @@ def kth_smallest(df: DataFrame, col: str, k: int, buckets: int = 4096, final_row
         if n <= final_rows or width == 1:
             return (df.where((c >= lo) & (c < hi)).select(c.alias("v")).orderBy("v")
                     .offset(k - below).limit(1).first()["v"])
+
+
+# From this many columns, per-column statistics are computed in long format.
+LONG_FORMAT_COLUMNS = 16
+
+_METRICS = {
+    "count": F.count,
+    "mean": F.avg,
+    "min": F.min,
+    "max": F.max,
+    "var_pop": F.var_pop,
+    "std_pop": F.stddev_pop,
+    "std_samp": F.stddev_samp,
+}
+
+
+def numeric_column_stats(df: DataFrame, cols: list[str], metrics: list[str]) -> dict[str, dict]:
+    """Per-column statistics of numeric columns, NaN and NULL ignored.
+
+    Few columns: one wide aggregate. Many columns: the values are turned
+    into (column index, value) pairs and grouped by index — two or three
+    codegen'd aggregate functions instead of hundreds of buffer fields,
+    which Spark would run without whole-stage codegen (measured faster at
+    600k x 64, and far cheaper to plan). Either way it is one partially
+    aggregated job and d rows reach the driver.
+    """
+    if not cols:
+        return {}
+    vals = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in cols]
+    if len(cols) < LONG_FORMAT_COLUMNS:
+        row = df.agg(*[_METRICS[m](v).alias(f"{m}__{i}") for i, v in enumerate(vals) for m in metrics]).first()
+        return {c: {m: row[f"{m}__{i}"] for m in metrics} for i, c in enumerate(cols)}
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(vals)])
+    rows = (df.select(F.inline(pairs)).groupBy("i")
+            .agg(*[_METRICS[m](F.col("v")).alias(m) for m in metrics]).collect())
+    got = {r["i"]: r for r in rows}
+    out = {}
+    for i, c in enumerate(cols):
+        r = got.get(i)
+        out[c] = {m: (r[m] if r is not None else (0 if m == "count" else None)) for m in metrics}
+    return out

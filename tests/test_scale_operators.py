@@ -112,3 +112,19 @@ def test_many_class_target_uses_lookup_join(spark):
     out, labels = _encode_target(df, "t", True)
     got = {r["t"]: r["__label"] for r in out.collect()}
     assert len(labels) == 100 and all(labels[int(code)] == t for t, code in got.items())
+
+
+def test_numeric_stats_long_and_wide_agree(spark):
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(300, 20))
+    data[::7, 3] = np.nan
+    rows = [tuple(float(v) if not np.isnan(v) else None for v in r) for r in data]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(20)))
+    metrics = ["count", "mean", "min", "max", "var_pop", "std_pop"]
+    long = stats.numeric_column_stats(df, [f"c{i}" for i in range(20)], metrics)
+    wide = stats.numeric_column_stats(df, [f"c{i}" for i in range(4)], metrics)
+    for i in range(4):
+        for m in metrics:
+            assert long[f"c{i}"][m] == pytest.approx(wide[f"c{i}"][m])
+    col3 = data[:, 3][~np.isnan(data[:, 3])]
+    assert long["c3"]["count"] == len(col3) and long["c3"]["var_pop"] == pytest.approx(col3.var())
