@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tabforge.errors import InvalidParameter
 from tabforge.functions.columns import field_type, is_numeric
-from tabforge.operators.stats import column_mode, exact_quantiles, numeric_column_stats
+from tabforge.operators.stats import LONG_FORMAT_COLUMNS, column_mode, exact_quantiles, numeric_column_stats
 
 # One-hot categories up to this count become named scalar columns; above
 # it the encoding is a sparse vector column (StringIndexer + OneHotEncoder).
@@ -450,6 +450,8 @@ def anova_f(df: DataFrame, cols: list[str], label: str) -> dict[str, float | Non
         return {}
     y = _q(label)
     base = df.where(y.isNotNull())
+    if len(cols) >= LONG_FORMAT_COLUMNS:
+        return _anova_f_long(base, y, cols)
     per = base.groupBy(y.alias("__y")).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(_q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)],
@@ -474,6 +476,26 @@ def anova_f(df: DataFrame, cols: list[str], label: str) -> dict[str, float | Non
     return out
 
 
+def _anova_f_long(base: DataFrame, y: Column, cols: list[str]) -> dict[str, float | None]:
+    """The same F statistics for many features: (feature, class) sums in
+    long format, then one aggregate per feature — d rows reach the driver."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), _q(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    per = (base.select(y.alias("__y"), F.inline(pairs)).groupBy("i", "__y")
+           .agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")))
+    rows = per.groupBy("i").agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("G"), F.sum("s").alias("S"),
+                                F.sum("q").alias("Q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B")).collect()
+    out = {c: None for c in cols}
+    for r in rows:
+        n, g, S, Q, B = r["N"], r["G"], r["S"], r["Q"], r["B"]
+        if n - g <= 0 or g < 2 or S is None:
+            continue
+        ssb = B - S * S / n
+        ssw = (Q - S * S / n) - ssb
+        msb, msw = ssb / (g - 1), ssw / (n - g)
+        out[cols[r["i"]]] = msb / msw if msw != 0 else (math.inf if msb != 0 else None)
+    return out
+
+
 def f_regression(df: DataFrame, cols: list[str], label: str) -> dict[str, float | None]:
     """F statistic of a univariate linear regression of the label on each feature."""
     if not cols:

@@ -120,3 +120,14 @@ def test_models_persist_in_pipeline(spark, store_root):
     PipelineModel(stages=[m1, m2]).write().overwrite().save(path)
     back = PipelineModel.load(path)
     assert values(back.transform(df), m2.output_columns()) == values(d2, m2.output_columns())
+
+
+def test_anova_long_matches_wide(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 4, *[float(v) for v in rng.normal(size=18) + (i % 4) * np.arange(18) / 10]) for i in range(400)]
+    cols = [f"f{j}" for j in range(18)]
+    df = spark.createDataFrame(rows, f"{ROW_ID} bigint, y int, " + ", ".join(f"{c} double" for c in cols))
+    long = fs.anova_f(df, cols, "y")
+    wide = fs.anova_f(df, cols[:5], "y")
+    for c in cols[:5]:
+        assert long[c] == pytest.approx(wide[c], rel=1e-9)
