@@ -137,8 +137,21 @@ def describe_dataset(df: DataFrame, preview_rows: int = PREVIEW_ROWS) -> dict:
     null counts, numeric statistics, preview). One fused aggregate plus one
     take-ordered for the preview.
     """
+    from tabforge.operators.stats import LONG_FORMAT_COLUMNS
+
     cols = user_columns(df)
     num = numeric_columns(df)
+    if len(cols) >= LONG_FORMAT_COLUMNS:
+        per = {r["column_name"]: r for r in _describe_long(df).collect()}
+        return {
+            "rows": df.count(),
+            "columns": len(cols),
+            "column_names": cols,
+            "dtypes": dtypes(df),
+            "null_counts": {c: int(per[c]["null_count"]) for c in cols},
+            "stats": {c: {k: per[c][k] for k in ("min", "max", "mean", "std")} for c in num},
+            "preview": [r.asDict() for r in preview_head(df, preview_rows).collect()],
+        }
     aggs = [F.count(F.lit(1)).alias("__rows"), *null_count_exprs(df)]
     for i, c in enumerate(num):
         v = F.col(f"`{c}`").cast("double")
@@ -161,10 +174,38 @@ def describe_dataset(df: DataFrame, preview_rows: int = PREVIEW_ROWS) -> dict:
     }
 
 
+def _describe_long(df: DataFrame) -> DataFrame:
+    """describe_columns for wide tables: every cell becomes (column index,
+    numeric value or NULL, missing flag) and one group-by on the index
+    computes all figures — a handful of codegen'd aggregate functions
+    instead of hundreds of buffer fields."""
+    cols = user_columns(df)
+    num = set(numeric_columns(df))
+    names = dtypes(df)
+    cells = []
+    for i, c in enumerate(cols):
+        col = F.col(f"`{c}`")
+        v = F.nanvl(col.cast("double"), F.lit(None).cast("double")) if c in num else F.lit(None).cast("double")
+        cells.append(F.struct(F.lit(i).alias("i"), v.alias("v"), _missing(df, c).alias("m")))
+    per = (df.select(F.inline(F.array(*cells))).groupBy("i")
+           .agg(F.count_if("m").alias("null_count"), F.min("v").alias("min"), F.max("v").alias("max"),
+                F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")))
+    label = F.array(*[F.lit(c) for c in cols])
+    kind = F.array(*[F.lit(names[c]) for c in cols])
+    return per.select(F.element_at(label, F.col("i") + 1).alias("column_name"),
+                      F.element_at(kind, F.col("i") + 1).alias("dtype"),
+                      "null_count", "min", "max", "mean", "std")
+
+
 def describe_columns(df: DataFrame) -> DataFrame:
     """Per column: dtype, null count and (numbers only) min/max/mean/std —
-    the whole profile from ONE aggregate, melted JVM-side."""
+    the whole profile from ONE aggregate, melted JVM-side (long format from
+    LONG_FORMAT_COLUMNS columns on)."""
+    from tabforge.operators.stats import LONG_FORMAT_COLUMNS
+
     cols = user_columns(df)
+    if len(cols) >= LONG_FORMAT_COLUMNS:
+        return _describe_long(df)
     num = set(numeric_columns(df))
     names = dtypes(df)
     aggs = [*null_count_exprs(df)]

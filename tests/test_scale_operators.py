@@ -128,3 +128,34 @@ def test_numeric_stats_long_and_wide_agree(spark):
             assert long[f"c{i}"][m] == pytest.approx(wide[f"c{i}"][m])
     col3 = data[:, 3][~np.isnan(data[:, 3])]
     assert long["c3"]["count"] == len(col3) and long["c3"]["var_pop"] == pytest.approx(col3.var())
+
+
+def test_describe_long_matches_wide(spark):
+    from tabforge.operators import profile
+    from tabforge.operators.stats import LONG_FORMAT_COLUMNS
+
+    rng = np.random.default_rng(9)
+    n_num = LONG_FORMAT_COLUMNS
+    rows = []
+    for i in range(200):
+        vals = [float(v) if rng.random() > 0.1 else None for v in rng.normal(size=n_num)]
+        rows.append((i, *vals, None if i % 5 == 0 else f"t{i % 3}"))
+    schema = f"{ROW_ID} bigint, " + ", ".join(f"x{j} double" for j in range(n_num)) + ", s string"
+    df = spark.createDataFrame(rows, schema)
+    long = {r["column_name"]: r.asDict() for r in profile.describe_columns(df).collect()}
+    narrow = df.select(ROW_ID, "x0", "x1", "s")
+    wide = {r["column_name"]: r.asDict() for r in profile.describe_columns(narrow).collect()}
+    assert len(long) == n_num + 1
+    for c in ("x0", "x1", "s"):
+        for k, v in wide[c].items():
+            assert long[c][k] == (pytest.approx(v) if isinstance(v, float) else v)
+
+
+def test_describe_dataset_wide_table(spark):
+    from tabforge.operators import profile
+
+    df = spark.range(50).select(F.col("id").alias(ROW_ID), *[(F.col("id") * j).cast("double").alias(f"c{j}")
+                                                              for j in range(20)])
+    info = profile.describe_dataset(df)
+    assert info["rows"] == 50 and info["columns"] == 20 and info["stats"]["c3"]["max"] == 147.0
+    assert info["null_counts"]["c0"] == 0 and len(info["preview"]) == 50
