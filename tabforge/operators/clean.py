@@ -382,6 +382,25 @@ def cast_column(df: DataFrame, c: str, dtype: str, strict: bool = True) -> tuple
     return _replace(df, c, value), True
 
 
+def cast_columns(df: DataFrame, casts: list[tuple[str, str]], strict: bool = True) -> tuple[DataFrame, list[str]]:
+    """Several all-or-nothing casts on different columns with ONE validity
+    aggregate. Returns the frame and the columns left unchanged."""
+    plans = {}
+    for c, dtype in casts:
+        target = _CAST_TARGETS.get(str(dtype).lower())
+        if target is None:
+            raise InvalidParameter(f"cast_dtype: unknown dtype {dtype!r}")
+        fail, value = _cast_plan(df, c, target, strict)
+        if target in ("double", "float"):
+            value = F.when(F.isnan(value), F.lit(None)).otherwise(value).cast(target)
+        plans[c] = (fail, value)
+    row = df.agg(*[F.count_if(fail).alias(f"bad{i}") for i, (fail, _) in enumerate(plans.values())]).first()
+    failed = [c for i, c in enumerate(plans) if row[f"bad{i}"]]
+    ok = {c: v for c, (_, v) in plans.items() if c not in failed}
+    out = df.select([ok[c].alias(c) if c in ok else F.col(f"`{c}`") for c in df.columns])
+    return out, failed
+
+
 @register_op("cast_dtype")
 def cast_dtype(df: DataFrame, params: dict, ctx: OpContext) -> DataFrame:
     col, dtype = params.get("column"), params.get("dtype", "float")

@@ -4,7 +4,8 @@ The fold builds a single Catalyst logical plan (projections collapse,
 filters push into the scan); statistics needed by fill ops are computed by
 small aggregates on the plan prefix. Adjacent fills of the same kind on
 different columns share one aggregate, since filling one column cannot
-change another column's statistic.
+change another column's statistic; adjacent casts of different columns
+share one validity aggregate for the same reason.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from tabforge.operators.clean import (
     OpContext,
     OpReport,
     apply_operation,
+    cast_columns,
     fill_with_stats,
 )
 from tabforge.operators.profile import PREVIEW_ROWS, null_count_exprs, preview_head
@@ -53,6 +55,18 @@ def _stat_fill(op: CleanOp, df: DataFrame):
     return None
 
 
+def _cast_op(op: CleanOp, df: DataFrame):
+    if op.op != "cast_dtype":
+        return None
+    col = op.params.get("column")
+    strict = op.params.get("strict", True)
+    if isinstance(strict, str):
+        strict = strict.lower() != "false"
+    if col and col in user_columns(df) and strict is True:
+        return col, op.params.get("dtype", "float")
+    return None
+
+
 def apply_ops(df: DataFrame, ops, strict: bool = False,
               reports: list[OpReport] | None = None) -> DataFrame:
     """Fold ops left to right. Unknown op names raise."""
@@ -75,6 +89,24 @@ def apply_ops(df: DataFrame, ops, strict: bool = False,
                 ctx.reports.extend(OpReport(o.op, o.params) for o in ops[i:j])
                 i = j
                 continue
+        first_cast = _cast_op(ops[i], df)
+        if first_cast is not None:
+            casts, j = [first_cast], i + 1
+            while j < len(ops):
+                nxt = _cast_op(ops[j], df)
+                if nxt is None or nxt[0] in {c for c, _ in casts}:
+                    break
+                casts.append(nxt)
+                j += 1
+            if j - i > 1:
+                df, failed = cast_columns(df, casts)
+                for o, (c, _) in zip(ops[i:j], casts):
+                    if c in failed:
+                        ctx.skipped(o.op, o.params, f"some values of {c!r} do not convert to {o.params.get('dtype')}")
+                    else:
+                        ctx.reports.append(OpReport(o.op, o.params))
+                i = j
+                continue
         df = apply_operation(df, ops[i].op, ops[i].params, ctx)
         i += 1
     if reports is not None:

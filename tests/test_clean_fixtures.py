@@ -169,3 +169,15 @@ def test_cast_naive_timestamp_to_int_is_epoch_nanos(spark):
         assert col(out, "t") == [86_400 * 10**9]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_adjacent_casts_share_one_check(spark):
+    df = spark.createDataFrame([(0, "1", "x", 2.5), (1, "2", "3", None)],
+                               f"{ROW_ID} bigint, a string, b string, c double")
+    reports = []
+    out = apply_ops(df, [("cast_dtype", {"column": "a", "dtype": "int64"}),
+                         ("cast_dtype", {"column": "b", "dtype": "float64"}),
+                         ("cast_dtype", {"column": "c", "dtype": "str"})], reports=reports)
+    assert dict(out.dtypes)["a"] == "bigint" and dict(out.dtypes)["b"] == "string"
+    assert col(out, "a") == [1, 2] and col(out, "c") == ["2.5", None]
+    assert [r.applied for r in reports] == [True, False, True]
