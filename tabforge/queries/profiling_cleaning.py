@@ -314,3 +314,14 @@ def q_preview_page_deep(spark, sf):
     out = apply_ops(orders_n(spark, sf), [("filter_rows", {"column": "priority", "operator": "!=",
                                                            "value": "1-URGENT"})])
     return profile.preview_page(out, page=200, page_size=50)
+
+
+@query("cast_many", """SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_brand,
+  CAST(trunc(p_retailprice) AS BIGINT) AS p_retailprice FROM part""")
+def q_cast_many(spark, sf):
+    """Three adjacent casts checked by one aggregate; the text one fails and
+    leaves its column unchanged."""
+    out = apply_ops(part(spark, sf), [("cast_dtype", {"column": "p_size", "dtype": "float64"}),
+                                      ("cast_dtype", {"column": "p_brand", "dtype": "float64"}),
+                                      ("cast_dtype", {"column": "p_retailprice", "dtype": "int64"})])
+    return out.select("p_partkey", "p_size", "p_brand", "p_retailprice")
