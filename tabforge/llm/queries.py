@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.block_naming import exact_duplicates
 from tabforge.llm.common import table
+from tabforge.llm.mixing import taken_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +35,28 @@ FROM d WINDOW w AS (PARTITION BY t)
 """)
 def op9_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_slot_schedule", """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
+           FROM documents),
+t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS src FROM t),
+w AS (SELECT *, [5.0, 2.0, 1.0][(src % 3 + 1)::INT]::DOUBLE AS w, source_size * 3 AS cap FROM r),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, src
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+c AS (SELECT arg_min(level, struct_pack(a := cap / w, b := src)) AS common FROM l WHERE cap > level * w),
+s AS (SELECT source, src, source_size,
+             round(CASE WHEN common IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, common * w) END, 6) AS target
+      FROM l, c),
+e AS (SELECT d.doc_id, d.size, s.src, s.target, x.epoch,
+             ('0x' || substr(md5('7|' || x.epoch || CASE WHEN doc_id IS NULL THEN '' ELSE '|' || doc_id END), 1, 15))::BIGINT AS o
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, (SELECT unnest([0, 1, 2]) AS epoch) x),
+p AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY epoch, o, doc_id ROWS UNBOUNDED PRECEDING) - size AS pos FROM e),
+k AS (SELECT doc_id, sum(greatest(0, least(pos + size, round(target)) - pos))::BIGINT AS taken FROM p GROUP BY doc_id)
+SELECT d.doc_id, d.size, s.source_size, s.target, k.taken
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN k ON d.doc_id = k.doc_id
+""")
+def op1_slot_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents"))
