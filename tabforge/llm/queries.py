@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabforge.llm.block_naming import exact_duplicates
 from tabforge.llm.common import table
 from tabforge.llm.mixing import taken_words
+from tabforge.llm.piece_bpe import encode_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +61,15 @@ FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN k ON d.doc_id = k.d
 """)
 def op1_slot_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
+
+
+def model_path() -> str:
+    """The public 32k BPE model installed beside Python."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op7_prefix_table")
+def op7_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), model_path(), with_ids=False)
