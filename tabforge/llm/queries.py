@@ -11,6 +11,7 @@ from tabforge.llm.block_naming import exact_duplicates
 from tabforge.llm.common import table
 from tabforge.llm.mixing import taken_words
 from tabforge.llm.piece_bpe import encode_documents
+from tabforge.llm.weak_supervision import score_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +74,8 @@ def model_path() -> str:
 @query("op7_prefix_table")
 def op7_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), model_path(), with_ids=False)
+
+
+@query("op10_weak_supervision")
+def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
