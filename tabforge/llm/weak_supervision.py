@@ -7,8 +7,8 @@
 2. Label model. The vote sets of all documents are counted once. Expectation
    maximisation over those counts estimates the class balance, each voter's
    rate in either class and, from the same posteriors, the pairwise
-   correlations within the toxic class; a voter's evidence is divided by the
-   number of voters it stands for, so a word and its own stem do not
+   correlations within the toxic class; a vote's evidence is divided by the
+   number of correlated votes beside it, so a word and its own stem do not
    count twice.
 3. Classifier. A logistic regression on words and word stems is trained on the
    model's posterior labels of a bounded sample of labelled rows, and scores
@@ -42,6 +42,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.llm.common import discard, materialize
 
@@ -137,15 +138,15 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _vote_counts(docs: DataFrame, voters: list[str]) -> DataFrame:
+def _vote_counts(docs: DataFrame, voters: list[str], patterns: dict = PATTERNS) -> DataFrame:
     """votes (sorted voter numbers), n: how many documents cast which set of votes."""
     number = {v: i for i, v in enumerate(voters)}
 
     def vote(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        compiled = [(number[k], re.compile(p, re.S if k == "shouting" else 0)) for k, p in PATTERNS.items()]
-        words = {v for v in voters if v not in PATTERNS}
+        compiled = [(number[k], re.compile(p, re.S if k == "shouting" else 0)) for k, p in patterns.items()]
+        words = {v for v in voters if v not in patterns}
         for batch in batches:
             seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
@@ -158,48 +159,96 @@ def _vote_counts(docs: DataFrame, voters: list[str]) -> DataFrame:
     return docs.select("text").mapInArrow(vote, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n"))
 
 
-def label_model(votes: DataFrame, m: int, prior: float, rates: np.ndarray, rounds: int = ROUNDS):
-    """(bias, weights) of the posterior log-odds of a vote set.
+def _posterior(cast: np.ndarray, bias: float, weights: np.ndarray, correlation: np.ndarray) -> float:
+    """P(toxic) of one vote set; voters that stand together share their evidence."""
+    z = bias
+    if len(cast):
+        z += float((weights[cast] / (1.0 + correlation[np.ix_(cast, cast)].sum(axis=1))).sum())
+    return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, z))))
 
-    ``votes``: distinct vote sets with counts. Only sums per voter and per
-    pair of voters (at most m * m numbers) come to the driver.
+
+def label_model(votes: DataFrame, m: int, prior: float, anchor: np.ndarray, rounds: int = ROUNDS):
+    """(bias, weights, correlation) of the generative model of the votes.
+
+    ``prior`` and ``anchor`` (rate of each voter in clean and in toxic
+    rows) start the estimate and make up half of it, which settles what the
+    two classes mean; the other half comes from the votes of all documents.
+
+    ``votes``: distinct vote sets with counts. Each round sums posteriors per
+    voter and pair of voters over all vote sets, in tasks; at most m * m sums
+    come to the driver.
     """
     total = votes.agg(F.sum("n")).first()[0] or 0
-    bias, weights = _log_odds(prior, rates, np.zeros((m, m)))
+    correlation = np.zeros((m, m))
+    bias, weights = _log_odds(prior, anchor, correlation)
     for _ in range(rounds if total else 0):
-        z = F.aggregate("votes", F.lit(float(bias)), lambda a, j: a + F.element_at(F.array(*[F.lit(float(w)) for w in weights]), j + 1))
-        scored = votes.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).withColumn("np", F.col("n") * F.col("p"))
-        i = scored.select("n", "np", F.explode(F.concat("votes", F.array(F.lit(m)))).alias("i"), "votes")
-        sums = (i.select("i", F.explode(F.filter("votes", lambda j: j >= F.col("i"))).alias("j"), "n", "np")
-                .unionByName(i.filter(F.col("i") == m).select("i", F.col("i").alias("j"), "n", "np"))
-                .groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("np").alias("np")).collect())
-        toxic = np.zeros((m + 1, m + 1))
-        every = np.zeros((m + 1, m + 1))
-        for r in sums:
-            toxic[r.i, r.j], every[r.i, r.j] = r["np"], r["n"]
+        state = (bias, weights, correlation)
+
+        def sums(batches: Iterator, state=state) -> Iterator:
+            import pyarrow as pa
+
+            toxic, every = np.zeros((m + 1, m + 1)), np.zeros((m + 1, m + 1))
+            for batch in batches:
+                for cast, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    cast = np.array(cast, dtype=np.int64)
+                    p = _posterior(cast, *state)
+                    cells = np.ix_([*cast, m], [*cast, m])
+                    toxic[cells] += n * p
+                    every[cells] += n
+            i, j = np.nonzero(every)
+            yield pa.RecordBatch.from_pydict({"i": pa.array(i.astype(np.int32)), "j": pa.array(j.astype(np.int32)),
+                                              "t": pa.array(toxic[i, j]), "n": pa.array(every[i, j])})
+
+        toxic, every = np.zeros((m + 1, m + 1)), np.zeros((m + 1, m + 1))
+        for r in (votes.select("votes", "n").mapInArrow(sums, "i int, j int, t double, n double")
+                  .groupBy("i", "j").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()):
+            toxic[r.i, r.j], every[r.i, r.j] = r["t"], r["n"]
         mass = min(max(toxic[m, m], 1e-3), total - 1e-3)
-        prior = mass / total
         ones = np.diag(toxic)[:m]
         rates = np.stack([(np.diag(every)[:m] - ones + 0.1) / (total - mass + 100.0), (ones + 0.1) / (mass + 1.0)])
-        joint = toxic[:m, :m] / mass
-        joint = joint + np.triu(joint, 1).T
         p = ones / mass
         spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-        correlation = np.clip((joint - np.outer(p, p)) / np.outer(spread, spread), 0, 1)
+        correlation = np.clip((toxic[:m, :m] / mass - np.outer(p, p)) / np.outer(spread, spread), 0, 1)
+        correlation[(correlation < 0.1) | (np.add.outer(ones, ones) < 6)] = 0
         np.fill_diagonal(correlation, 0)
-        bias, weights = _log_odds(prior, rates, correlation)
-    return bias, weights
+        bias, weights = _log_odds((mass / total + prior) / 2, (rates + anchor) / 2, correlation)
+    return bias, weights, correlation
 
 
 def _log_odds(prior: float, rates: np.ndarray, correlation: np.ndarray):
+    """Bias (no votes at all) and weight of each vote; the silence of correlated voters is shared evidence."""
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     rates = np.clip(rates, 1e-6, 1 - 1e-6)
-    share = 1.0 / (1.0 + correlation.sum(axis=1))
-    absent = np.log((1 - rates[1]) / (1 - rates[0])) * share
-    present = np.log(rates[1] / rates[0]) * share
+    absent = np.log((1 - rates[1]) / (1 - rates[0])) / (1.0 + correlation.sum(axis=1))
+    present = np.log(rates[1] / rates[0])
     return float(np.log(prior / (1 - prior)) + absent.sum()), present - absent
 
 
+def _votes_for(rows: DataFrame, voters: list[str]) -> np.ndarray:
+    """How many rows each voter marks."""
+    out = np.zeros(len(voters))
+    for r in (_vote_counts(rows, voters).select("n", F.explode("votes").alias("i")).groupBy("i")
+              .agg(F.sum("n").alias("n")).collect()):
+        out[r.i] = r["n"]
+    return out
+
+
+def _independent(sample: DataFrame, marks: list, most: int) -> list:
+    """Of the candidate marks, in order, those that do not stand for one already chosen
+    (half of the toxic rows of either hold both)."""
+    names = [r.feature for r in marks]
+    both = np.zeros((len(names), len(names)))
+    for r in (_vote_counts(sample.filter("toxic = 1"), names, {}).filter("size(votes) > 0")
+              .select("n", "votes", F.explode("votes").alias("i"))
+              .select("n", "i", F.explode("votes").alias("j")).groupBy("i", "j").agg(F.sum("n").alias("n")).collect()):
+        both[r.i, r.j] = r["n"]
+    size, chosen = np.diag(both), []
+    for i in range(len(names)):
+        if len(chosen) < most and all(both[i, c] * 2 < min(size[i], size[c]) for c in chosen):
+            chosen.append(i)
+    return [marks[i] for i in chosen]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS,
         max_voters: int = MAX_VOTERS, max_features: int = MAX_FEATURES) -> Model:
     """Learn from ``labels`` (doc_id, toxic) of training rows and the votes on all of ``docs``."""
@@ -208,35 +257,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     counts = materialize(_feature_counts(sample), "weak-counts").filter("toxic + clean >= 3")
-    marks = (counts.filter("toxic >= 4 AND toxic >= 20 * clean")
-             .orderBy(F.col("toxic").desc(), F.length("feature"), "feature").limit(max_voters).collect())
-    at = {r.feature: r for r in marks}
-    voters = [*dict.fromkeys([*at, *LEXICON]), *PATTERNS]
-    rates = np.array([[(at[v].clean + 0.1) / (n_clean + 100.0) if v in at else 0.002 for v in voters],
-                      [(at[v].toxic + 0.1) / (n_toxic + 1.0) if v in at else 0.01 for v in voters]])
-    rates[1, -len(PATTERNS):] = 0.004
+    marks = (counts.filter("toxic >= 3 AND toxic >= 20 * clean")
+             .orderBy(F.col("toxic").desc(), F.length("feature"), "feature").limit(6 * max_voters).collect())
+    marks = _independent(sample, marks, max_voters)
+    voters = [*dict.fromkeys([*(r.feature for r in marks), *LEXICON]), *PATTERNS]
+    rates = np.array([[0.002] * len(voters), [0.01] * len(voters)])
+    if n_toxic + n_clean:
+        rates = np.stack([(_votes_for(sample.filter("toxic = 0"), voters) + 0.1) / (n_clean + 20.0),
+                          (_votes_for(sample.filter("toxic = 1"), voters) + 0.1) / (n_toxic + 20.0)])
     votes = materialize(_vote_counts(docs, voters), "weak-votes")
     prior = (n_toxic + 0.5) / (n_toxic + n_clean + 5.0)
-    bias, weights = label_model(votes, len(voters), prior, rates)
+    bias, weights, correlation = label_model(votes, len(voters), prior, rates)
     discard(votes)
     by_voter = dict(zip(voters, map(float, weights)))
-    vote_model = Model(bias, {v: w for v, w in by_voter.items() if v not in PATTERNS},
-                       {k: by_voter[k] for k in PATTERNS})
     if not n_toxic + n_clean:
-        return vote_model
+        return Model(bias, {v: w for v, w in by_voter.items() if v not in PATTERNS}, {k: by_voter[k] for k in PATTERNS})
 
     strength = F.abs(F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0)))
     vocabulary = [r.feature for r in counts.orderBy((strength * F.sqrt(F.col("toxic") + F.col("clean"))).desc(), "feature")
                   .limit(max_features).collect()]
     vocabulary = [*dict.fromkeys([*vocabulary, *(v for v in voters if v not in PATTERNS)])]
     number = {f: i for i, f in enumerate(vocabulary)}
+    voter = {v: i for i, v in enumerate(voters)}
 
-    @F.udf(VectorUDT())
+    @F.udf(T.StructType([T.StructField("features", VectorUDT()), T.StructField("p", T.DoubleType())]))
     def encoded(text):
-        ids = sorted(number[f] for f in features(text) if f in number)
-        return Vectors.sparse(len(number), ids, [1.0] * len(ids))
+        found = features(text)
+        cast = [voter[f] for f in found if f in voter]
+        cast += [voter[k] for k, p in PATTERNS.items() if text and re.search(p, text, re.S if k == "shouting" else 0)]
+        ids = sorted(number[f] for f in found if f in number)
+        return Vectors.sparse(len(number), ids, [1.0] * len(ids)), _posterior(np.array(cast, dtype=np.int64), bias, weights, correlation)
 
-    rows = sample.withColumn("p", vote_model.scorer(docs.sparkSession)("text")).select(encoded("text").alias("features"), "p")
+    rows = sample.select(encoded("text").alias("e")).select("e.*")
     both = F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")),
                    F.struct(F.lit(0.0).alias("label"), (F.lit(1.0) - F.col("p")).alias("weight")))
     train = materialize(rows.select("features", F.explode(both).alias("b")).select("features", "b.*").filter("weight > 0"),
