@@ -11,6 +11,7 @@ from tabforge.llm.block_naming import exact_duplicates
 from tabforge.llm.common import table
 from tabforge.llm.mixing import taken_words
 from tabforge.llm.piece_bpe import encode_documents
+from tabforge.llm.simhash_bk import hex_fingerprint, near_duplicates
 from tabforge.llm.weak_supervision import score_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,9 @@ def op7_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_weak_supervision")
 def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_bk_tree")
+def op6_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, radius=3)
+    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
