@@ -11,6 +11,7 @@ from tabforge.llm.block_naming import exact_duplicates
 from tabforge.llm.common import table
 from tabforge.llm.mixing import taken_words
 from tabforge.llm.piece_bpe import encode_documents
+from tabforge.llm.rlz_spans import parse
 from tabforge.llm.simhash_bk import hex_fingerprint, near_duplicates
 from tabforge.llm.weak_supervision import score_documents
 
@@ -86,3 +87,20 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, radius=3)
     return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op3_rlz_parse", """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+h AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM g),
+m AS (SELECT win, min(doc_id) AS first FROM h GROUP BY win),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM h JOIN m USING (win) WHERE first < doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT x.doc_id, count(r.p) AS n_removed, string_agg(CASE WHEN r.p IS NULL THEN word END, ' ' ORDER BY x.p) AS kept
+      FROM x LEFT JOIN r ON r.doc_id = x.doc_id AND r.p = x.p GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+""")
+def op3_rlz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse(table(spark, sf_dir, "documents"), with_text=False)
