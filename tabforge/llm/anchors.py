@@ -34,7 +34,7 @@ PIECE = 1 << 20
 LOW = np.uint64((1 << 24) - 1)
 NO_ID = np.iinfo(np.int64).max
 MULTIPLIER = 0x9E3779B97F4A7C15
-NOTHING, REPEAT, CHECK = 0, 1, 2
+NOTHING, REPEAT, CHECK, HOT = 0, 1, 2, 3
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,7 +113,7 @@ class Batch:
         self.a = grams[at]
         shape = ((at - self.lo).astype(np.uint64) << np.uint64(32)) + (self.hi - self.lo).astype(np.uint64)
         self.s = mix(spans.hash(self.lo, self.hi + length) ^ mix(shape + np.uint64(1)))
-        self.spans = spans if word_at is not None else None
+        self.spans = spans
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(segment, start) of every window of the chosen segments."""
@@ -169,6 +169,7 @@ class Block:
 
     def __init__(self, table, batches, buckets: int, length: int, k: int):
         ids = table.column("doc_id").to_pylist()
+        self.buckets = buckets
         self.ids = ids
         self.order_id = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
         self.batches = list(batches(table.column("text").to_pylist(), length, k))
@@ -209,6 +210,14 @@ class Block:
             out[part] = np.frombuffer(replies[bucket], dtype=np.uint8)
         return out
 
+    def windows_of(self, per_segment: np.ndarray):
+        """(batch, segment, start, hash, doc, pos) of the windows of the chosen segments, batch by batch."""
+        for batch, wanted in self.split(per_segment):
+            seg, start = batch.windows(np.flatnonzero(wanted))
+            h = mix(batch.spans.hash(start, start + batch.length) + np.uint64(7))
+            doc = batch.doc[seg]
+            yield batch, seg, start, h, self.order_id[batch.rows[doc]], start - batch.starts[:-1][doc]
+
     def split(self, per_segment: np.ndarray):
         """(batch, its part of an array over all segments)"""
         for i, b in enumerate(self.batches):
@@ -262,8 +271,10 @@ def _table(pa, rows: list, schema: str):
     return pa.table({name: pa.array([r[i] for r in rows], types[t]) for i, (name, t) in enumerate(fields)})
 
 
-def answer(table, by_doc: bool):
-    """One state per entry of a bucket. ``by_doc``: only a smaller id is earlier."""
+def answer(table, by_doc: bool, hot: int | None = None):
+    """One state per entry of a bucket. ``by_doc``: only a smaller id is
+    earlier. ``hot``: anchors with more segments are to be checked window by
+    window, dealt by the windows' own hashes."""
     import pyarrow as pa
 
     parts = [[unpack(d.as_py(), t) for d in table.column(c)]
@@ -283,6 +294,8 @@ def answer(table, by_doc: bool):
     if not by_doc:
         earlier |= pos > pos[first]
     state = np.where(earlier, REPEAT, np.where(contexts > 1, CHECK, NOTHING)).astype(np.uint8)
+    if hot is not None:
+        state[(state == CHECK) & (contexts > hot)] = HOT
     out = np.empty(len(a), dtype=np.uint8)
     out[order] = state
     rows = [(blk.as_py(), bkt.as_py(), 0, out[lo:hi].tobytes())
@@ -290,6 +303,12 @@ def answer(table, by_doc: bool):
     return _table(pa, rows, REPLIES)
 
 
+def replies_of(table, kind: int) -> dict[int, bytes]:
+    """Bucket -> data of one kind of reply."""
+    return {b: d for b, k, d in zip(table.column("bucket").to_pylist(), table.column("kind").to_pylist(),
+                                    table.column("data").to_pylist()) if k == kind}
+
+
 def covered(batch: Batch, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which symbols of a batch lie in any of the spans."""
     step = np.zeros(batch.n + 1, dtype=np.int32)

@@ -11,6 +11,7 @@ from tabforge.llm.block_naming import exact_duplicates
 from tabforge.llm.common import table
 from tabforge.llm.mixing import taken_words
 from tabforge.llm.piece_bpe import encode_documents
+from tabforge.llm.repeat_intervals import remove_repeats
 from tabforge.llm.rlz_spans import parse
 from tabforge.llm.simhash_bk import hex_fingerprint, near_duplicates
 from tabforge.llm.weak_supervision import score_documents
@@ -104,3 +105,8 @@ FROM d LEFT JOIN k USING (doc_id)
 """)
 def op3_rlz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op8_interval_tree")
+def op8_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)

@@ -37,15 +37,6 @@ GRAM = 6
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string"
 
 
-def _window_hashes(block: A.Block, states: np.ndarray):
-    """Per batch the windows of entries to be checked: (batch, segment, start, hash, doc)."""
-    check = states[block.entry] == A.CHECK
-    for batch, wanted in block.split(check):
-        seg, start = batch.windows(np.flatnonzero(wanted))
-        h = A.mix(batch.spans.hash(start, start + batch.length) + np.uint64(7))
-        yield batch, seg, start, h, block.order_id[batch.rows[batch.doc[seg]]]
-
-
 def _distinct_windows(found: list):
     """Sorted distinct window hashes of a block with the smallest id of each."""
     h = np.concatenate([f[3] for f in found]) if found else np.empty(0, np.uint64)
@@ -57,11 +48,6 @@ def _distinct_windows(found: list):
     return h[new], doc[new]
 
 
-def _replies(table, kind: int) -> dict[int, bytes]:
-    return {b: d for b, k, d in zip(table.column("bucket").to_pylist(), table.column("kind").to_pylist(),
-                                    table.column("data").to_pylist()) if k == kind}
-
-
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
           with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row; with ``with_text`` also
@@ -82,7 +68,8 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         rows = []
         if table.num_rows:
             block = A.Block(table, A.word_batches, buckets, window, gram)
-            h, doc = _distinct_windows(list(_window_hashes(block, block.states(_replies(replies, 0)))))
+            states = block.states(A.replies_of(replies, 0))
+            h, doc = _distinct_windows(list(block.windows_of(states[block.entry] == A.CHECK)))
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             no = table.column("block")[0].as_py()
             for b in np.unique(bucket):
@@ -111,16 +98,16 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         out = {c: [] for c in ("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept")}
         if table.num_rows:
             block = A.Block(table, A.word_batches, buckets, window, gram)
-            states = block.states(_replies(replies, 0))
-            found = list(_window_hashes(block, states))
+            states = block.states(A.replies_of(replies, 0))
+            found = list(block.windows_of(states[block.entry] == A.CHECK))
             h, doc = _distinct_windows(found)
-            bits, bucket = _replies(replies, 1), (h % np.uint64(buckets)).astype(np.int64)
+            bits, bucket = A.replies_of(replies, 1), (h % np.uint64(buckets)).astype(np.int64)
             repeat = np.zeros(len(h), dtype=bool)
             for b in np.unique(bucket):
                 mine = np.flatnonzero(bucket == b)
                 repeat[mine] = np.unpackbits(np.frombuffer(bits[int(b)], np.uint8), count=len(mine)).astype(bool)
             copied = (states[block.entry] == A.REPEAT) | block.later_doc
-            for (batch, mine), (_, seg, start, wh, wdoc) in zip(block.split(copied), found):
+            for (batch, mine), (_, _, start, wh, wdoc, _) in zip(block.split(copied), found):
                 at = np.searchsorted(h, wh)
                 hit = repeat[at] | (doc[at] < wdoc)
                 factors = np.flatnonzero(mine)
