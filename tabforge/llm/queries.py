@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.block_naming import exact_duplicates
 from tabforge.llm.common import table
+from tabforge.llm.cross_polytope import nearest
 from tabforge.llm.mixing import taken_words
 from tabforge.llm.piece_bpe import encode_documents
 from tabforge.llm.repeat_intervals import remove_repeats
@@ -110,3 +111,8 @@ def op3_rlz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_interval_tree")
 def op8_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
+@query("op5_cross_polytope")
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
