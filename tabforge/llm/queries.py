@@ -13,9 +13,10 @@ from tabforge.llm.cross_polytope import nearest
 from tabforge.llm.mixing import taken_words
 from tabforge.llm.piece_bpe import encode_documents
 from tabforge.llm.repeat_intervals import remove_repeats
+from tabforge.llm.resampling import importance_sample
 from tabforge.llm.rlz_spans import parse
 from tabforge.llm.simhash_bk import hex_fingerprint, near_duplicates
-from tabforge.llm.weak_supervision import score_documents
+from tabforge.llm.weak_supervision import is_held_out, score_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +117,12 @@ def op8_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_cross_polytope")
 def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op4_importance_resampling")
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw: all documents. Target: those labelled good, a fifth of the labels held out."""
+    docs = table(spark, sf_dir, "documents")
+    good = (table(spark, sf_dir, "labels").filter("quality = 1").filter(~is_held_out(F.col("doc_id")))
+            .select("doc_id").distinct())
+    return importance_sample(docs, docs.join(good, "doc_id"), keep=0.85)
