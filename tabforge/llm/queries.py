@@ -12,6 +12,7 @@ from tabforge.llm.common import table
 from tabforge.llm.cross_polytope import nearest
 from tabforge.llm.mixing import taken_words
 from tabforge.llm.piece_bpe import encode_documents
+from tabforge.llm.quotes import reply_order
 from tabforge.llm.repeat_intervals import remove_repeats
 from tabforge.llm.resampling import importance_sample
 from tabforge.llm.rlz_spans import parse
@@ -126,3 +127,8 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = (table(spark, sf_dir, "labels").filter("quality = 1").filter(~is_held_out(F.col("doc_id")))
             .select("doc_id").distinct())
     return importance_sample(docs, docs.join(good, "doc_id"), keep=0.85)
+
+
+@query("op2_quotation_linking")
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_order(table(spark, sf_dir, "conversations"))
