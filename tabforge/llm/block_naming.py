@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import ascii_lower, discard, materialize
+from tabforge.llm.common import ascii_lower, discard, free_prefix, materialize
 
 BLOCK_BYTES = 16384
 
@@ -113,11 +113,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
+    x = free_prefix(docs)
     kept = (exact_duplicates(docs, id_col, text_col).filter("kept")
-            .select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")))
+            .select(F.col("doc_id").alias(f"{x}keep_id"), F.col("text_sha256").alias(f"{x}keep_sha")))
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    tagged = docs.withColumns({"_row_id_": F.col(id_col), "_row_sha_": sha})
-    cond = F.col("_row_id_").eqNullSafe(F.col("_keep_id")) & (F.col("_row_sha_") == F.col("_keep_sha"))
+    tagged = docs.withColumns({f"{x}id": F.col(id_col), f"{x}sha": sha})
+    cond = F.col(f"{x}id").eqNullSafe(F.col(f"{x}keep_id")) & (F.col(f"{x}sha") == F.col(f"{x}keep_sha"))
     # rows that repeat the id and the text of the row that stays: one of them
-    return (tagged.join(kept, cond, "left_semi").dropDuplicates(["_row_sha_"])
-            .drop("_row_id_", "_row_sha_"))
+    return tagged.join(kept, cond, "left_semi").dropDuplicates([f"{x}id", f"{x}sha"]).drop(f"{x}id", f"{x}sha")

@@ -34,6 +34,14 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix for helper columns that no column of ``df`` starts with."""
+    prefix = "_x"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "x"
+    return prefix + "_"
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else. ``lower`` is exact, and four times
     as fast, where a text is pure ASCII."""

@@ -30,7 +30,7 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import materialize, n_words, running_totals
+from tabforge.llm.common import free_prefix, materialize, n_words, running_totals
 
 CYCLE = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -160,13 +160,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     occurrences = (segments.groupBy(*KEY, "epoch").agg(F.sum("taken").alias("taken"))
                    .filter(F.col("taken") * 2 >= F.col("size"))
                    .groupBy(*KEY).agg(F.count("*").cast("int").alias("times")))
+    x = free_prefix(docs)
+    names = ("source", *KEY[1:])
     times = rows.join(occurrences, _same(rows, occurrences)).select(
-        *[rows[c].alias(f"_m_{c}") for c in ("source", *KEY[1:])], F.col("times").alias("_m_times"))
-    keys = {"_d_source": F.col(source_col), "_d_doc_id": F.col(id_col), "_d_size": n_words(F.col(text_col)),
-            "_d_text_key": F.xxhash64(text_col)}
-    # copies of a row that agrees in all keys are numbered as mix() numbers them
-    copies = Window.partitionBy(*keys).orderBy("_d_text_key")
-    tagged = docs.withColumns(keys).withColumn("_d_copy", F.row_number().over(copies))
-    cond = reduce(and_, [F.col(f"_d_{c}").eqNullSafe(F.col(f"_m_{c}")) for c in ("source", *KEY[1:])])
-    return (tagged.join(times, cond).withColumn("_m_time", F.explode(F.sequence(F.lit(1), F.col("_m_times"))))
+        *[rows[c].alias(f"{x}m_{c}") for c in names], F.col("times").alias(f"{x}times"))
+    keys = {f"{x}source": F.col(source_col), f"{x}doc_id": F.col(id_col), f"{x}size": n_words(F.col(text_col)),
+            f"{x}text_key": F.xxhash64(text_col)}
+    # rows that agree in all keys are numbered like the copies in mix()
+    copies = Window.partitionBy(*keys).orderBy(f"{x}text_key")
+    tagged = docs.withColumns(keys).withColumn(f"{x}copy", F.row_number().over(copies))
+    cond = reduce(and_, [F.col(f"{x}{c}").eqNullSafe(F.col(f"{x}m_{c}")) for c in names])
+    return (tagged.join(times, cond).withColumn(f"{x}time", F.explode(F.sequence(F.lit(1), F.col(f"{x}times"))))
             .select(*[f"`{c}`" for c in docs.columns]))

@@ -122,7 +122,7 @@ def quote_links(parsed: DataFrame) -> DataFrame:
     found = quotes.join(here, F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("key") == F.col("o_key"))
                         & (F.col("from_turn") < F.col("turn")), "left")
     found = found.join(first.select(F.col("key").alias("f_key"), "o"), F.col("key") == F.col("f_key"), "left")
-    elsewhere = ~F.col("o.conv_id").eqNullSafe(F.col("conv_id"))
+    elsewhere = F.col("o").isNotNull() & ~F.col("o.conv_id").eqNullSafe(F.col("conv_id"))
     found = found.select(
         "conv_id", "turn", "quote", "level",
         F.when(F.col("from_turn").isNotNull(), F.struct(F.lit(0).alias("far"), "nth", F.col("conv_id").alias("c"), F.col("from_turn").alias("t")))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import materialize
+from tabforge.llm.common import free_prefix, materialize
 from tabforge.llm.components import components
 
 SEED = 42
@@ -212,11 +212,11 @@ def hex_fingerprint(fp):
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id, all columns kept."""
+    x = free_prefix(docs)
     kept = (near_duplicates(docs, id_col, text_col, **options)
             .filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp")))
-            .select(F.col("doc_id").alias("_keep_id"), F.col("fp").alias("_keep_fp")).distinct())
-    tagged = docs.withColumns({"_row_id_": F.col(id_col),
-                               "_row_fp_": fingerprints(F.col(text_col), options.get("words_per_shingle", 3))})
-    cond = F.col("_row_id_").eqNullSafe(F.col("_keep_id")) & (F.col("_row_fp_") == F.col("_keep_fp"))
-    return (tagged.join(kept, cond, "left_semi").dropDuplicates(["_row_id_", "_row_fp_"])
-            .drop("_row_id_", "_row_fp_"))
+            .select(F.col("doc_id").alias(f"{x}keep_id"), F.col("fp").alias(f"{x}keep_fp")).distinct())
+    tagged = docs.withColumns({f"{x}id": F.col(id_col),
+                               f"{x}fp": fingerprints(F.col(text_col), options.get("words_per_shingle", 3))})
+    cond = F.col(f"{x}id").eqNullSafe(F.col(f"{x}keep_id")) & (F.col(f"{x}fp") == F.col(f"{x}keep_fp"))
+    return tagged.join(kept, cond, "left_semi").dropDuplicates([f"{x}id", f"{x}fp"]).drop(f"{x}id", f"{x}fp")
