@@ -8,7 +8,6 @@ to double, ``'yes'`` casts to boolean).
 from __future__ import annotations
 
 import datetime as _dt
-import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,19 +32,6 @@ NULL_TOKENS = (
 )
 
 
-def is_numeric_text(c: Column) -> Column:
-    return c.rlike(NUMERIC_TEXT)
-
-
-def is_integer_text(c: Column) -> Column:
-    return c.rlike(INTEGER_TEXT)
-
-
-def text_to_double(c: Column) -> Column:
-    """Parse float text (already validated) to DOUBLE, NaN kept as NaN."""
-    return F.trim(c).try_cast("double")
-
-
 def truthiness(c: Column, dt: T.DataType) -> Column:
     """Python truthiness of a value; NULL stays NULL.
 
@@ -102,15 +88,10 @@ def filter_literal(dt: T.DataType, value) -> object:
 
 def typed_lit(value, dt: T.DataType) -> Column:
     if isinstance(value, float) and is_numeric(dt):
+        # a whole number against an integer column stays an integer, so the filter reaches the scan
+        if is_integral(dt) and value.is_integer() and abs(value) < 2.0**53:
+            return F.lit(int(value)).cast("bigint")
         return F.lit(value).cast("double")
     if isinstance(value, _dt.datetime):
         return F.lit(value.isoformat(sep=" ")).cast(dt)
     return F.lit(value)
-
-
-def is_nan_value(v) -> bool:
-    return isinstance(v, float) and math.isnan(v)
-
-
-def integral_value(dt: T.DataType) -> bool:
-    return is_integral(dt)

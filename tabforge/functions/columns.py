@@ -71,7 +71,7 @@ def normalize_nans(df: DataFrame) -> DataFrame:
     if not floating:
         return df
     return df.select([
-        nan_to_null(F.col(c)).cast(field_type(df, c)).alias(c) if c in floating else F.col(c)
+        nan_to_null(F.col(f"`{c}`")).cast(field_type(df, c)).alias(c) if c in floating else F.col(f"`{c}`")
         for c in df.columns
     ])
 

@@ -325,7 +325,16 @@ _CAST_TARGETS = {
     "str": "string", "string": "string", "object": "string",
     "bool": "boolean", "boolean": "boolean",
 }
-_INT_LIMIT = 9.2e18
+# The ranges of the integer targets, upper bounds exclusive.
+_INT_RANGE = {"bigint": (-2.0**63, 2.0**63), "int": (-2.0**31, 2.0**31)}
+
+
+def _in_range(null_fail: Column, value: Column, target: str) -> tuple[Column, Column]:
+    if target == "bigint":
+        return null_fail, value.cast(target)
+    lo, hi = _INT_RANGE[target]
+    bad = (value < F.lit(int(lo))) | (value >= F.lit(int(hi)))
+    return null_fail | F.coalesce(bad, F.lit(False)), F.when(~bad, value).cast(target)
 
 
 def _cast_plan(df: DataFrame, c: str, target: str, strict: bool) -> tuple[Column, Column]:
@@ -342,11 +351,18 @@ def _cast_plan(df: DataFrame, c: str, target: str, strict: bool) -> tuple[Column
         return F.lit(True), col
     if target in ("bigint", "int"):
         null_fail = col.isNull() if strict else never
-        if is_integral(dt) or isinstance(dt, T.BooleanType):
+        lo, hi = _INT_RANGE[target]
+        if isinstance(dt, T.BooleanType):
             return null_fail, col.cast(target)
+        if is_integral(dt):
+            if target == "bigint" or not isinstance(dt, T.LongType):
+                return null_fail, col.cast(target)
+            bad = (col < F.lit(int(lo))) | (col >= F.lit(int(hi)))
+            return null_fail | (col.isNotNull() & bad), F.when(~bad, col).cast(target)
         if is_fractional(dt):
             d = col.cast("double")
-            bad = F.isnan(d) | (F.abs(d) >= F.lit(_INT_LIMIT))
+            whole = F.when(d < 0, F.ceil(d)).otherwise(F.floor(d)).cast("double") if target == "int" else d
+            bad = F.isnan(d) | (whole < F.lit(lo)) | (whole >= F.lit(hi))
             return null_fail | (col.isNotNull() & bad), F.when(bad, None).otherwise(d).cast(target)
         if isinstance(dt, T.StringType):
             parsed = F.trim(col).try_cast(target)
@@ -355,9 +371,9 @@ def _cast_plan(df: DataFrame, c: str, target: str, strict: bool) -> tuple[Column
         if isinstance(dt, T.TimestampNTZType):
             # naive timestamps count from the naive epoch, whatever the session time zone
             micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col)
-            return null_fail, (micros * 1000).cast(target)
+            return _in_range(null_fail, micros * 1000, target)
         if isinstance(dt, T.TimestampType):
-            return null_fail, (F.unix_micros(col) * 1000).cast(target)
+            return _in_range(null_fail, F.unix_micros(col) * 1000, target)
         return F.lit(True), col
     if target == "string":
         return never, col.cast("string")

@@ -8,7 +8,6 @@ number of classes never passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +71,7 @@ def confusion_matrix(df: DataFrame, actual: str = "actual", predicted: str = "pr
     lab = F.array(*[F.lit(v) for v in labels])
     grid = (df.sparkSession.range(1).select(F.explode(lab).alias("actual"))
             .select("actual", F.explode(lab).alias("predicted")))
-    return (F.broadcast(grid).join(counts, ["actual", "predicted"], "left")
+    return (grid.join(counts, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
@@ -118,12 +117,6 @@ def residual(actual: str = "actual", predicted: str = "predicted") -> Column:
     return (_q(actual).cast("double") - _q(predicted).cast("double")).alias("residual")
 
 
-def probability_column(prob_vector: str = "probability", n_classes: int = 2) -> Column:
-    """Binary: P(class 1); multiclass: the largest class probability."""
-    arr = vector_to_array(F.col(prob_vector))
-    return (arr[1] if n_classes == 2 else F.array_max(arr)).alias("probability")
-
-
 def metrics_from_counts(pairs: list[tuple]) -> dict:
     """accuracy / weighted precision, recall, f1 and the confusion matrix
     from collected (actual, predicted, n) rows — at most classes² rows,

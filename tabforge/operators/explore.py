@@ -117,7 +117,7 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS, closed_last: bool
     if bins < 1:
         raise InvalidParameter("bins must be >= 1")
     v = F.col(f"`{col}`").cast("double")
-    v = F.when(~F.isnan(v), v)
+    v = F.when(~F.isnan(v) & (F.abs(v) != F.lit(math.inf)), v)  # finite values only
     vals = df.select(v.alias("__v")).where(F.col("__v").isNotNull())
     stats = vals.agg(F.min("__v").alias("mn"), F.max("__v").alias("mx"),
                      F.count(F.lit(1)).alias("n")).first()
@@ -142,11 +142,6 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS, closed_last: bool
             .select("bin", "bin_start", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
-def bin_label(c: Column) -> Column:
-    """Bin label with one decimal."""
-    return F.format_string("%.1f", c)
-
-
 def _ordered(df: DataFrame) -> DataFrame:
     return df.orderBy(ROW_ID) if ROW_ID in df.columns else df
 

@@ -20,21 +20,16 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import OneHotEncoder as _SparkOneHot
 from pyspark.ml.feature import PCA as _SparkPCA
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.errors import InvalidParameter
 from tabforge.functions.columns import field_type, is_numeric
 from tabforge.operators.stats import LONG_FORMAT_COLUMNS, column_mode, exact_quantiles, numeric_column_stats
 
-# One-hot categories up to this count become named scalar columns; above
-# it the encoding is a sparse vector column (StringIndexer + OneHotEncoder).
-MAX_SCALAR_CATEGORIES = 256
-
-
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -110,6 +105,24 @@ def _passthrough(cols, changed: dict[str, Column]) -> list[Column]:
     return [changed[c].alias(c) if c in changed else _q(c) for c in cols]
 
 
+class FeatureAssembler(FeatureModel):
+    """The feature columns as one vector. Columns are given safe names on
+    the way, so any column name will do; booleans count as 0 and 1."""
+
+    @staticmethod
+    def of(cols: list[str], output: str) -> "FeatureAssembler":
+        m = FeatureAssembler()
+        m._set(featureCols=cols, outputCols=[output], state=json.dumps({}))
+        return m
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        cols, (output,) = self.getOrDefault(self.featureCols), self.getOrDefault(self.outputCols)
+        safe = [f"__slot{i}" for i in range(len(cols))]
+        named = df.select(*[_q(c) for c in df.columns], *[
+            (_q(c).cast("double") if isinstance(field_type(df, c), T.BooleanType) else _q(c)).alias(n) for c, n in zip(cols, safe)])
+        return VectorAssembler(inputCols=safe, outputCol=output, handleInvalid="error").transform(named).drop(*safe)
+
+
 # ---------------------------------------------------------------- scalers
 
 class StandardScalerModel(FeatureModel):
@@ -303,80 +316,88 @@ class OneHotEncoderModel(FeatureModel):
     def _exprs(self, df, cols, st):
         out = []
         for c in cols:
-            if c in st["scalar"]:
-                cats = st["scalar"][c]
-                col = _q(c).cast("string")
-                if st["handle_unknown"] == "error":
-                    col = F.when(col.isNotNull() & ~col.isin(*cats),
-                                 F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), col))).otherwise(col)
-                for v, name in zip(cats, st["names"][c]):
-                    out.append(F.when(col == F.lit(v), F.lit(1.0)).otherwise(F.lit(0.0)).alias(name))
-            elif c in st["vector"]:
-                out.append(_q(st["vector"][c]))
-            else:
+            if c not in st["categories"]:
                 out.append(_q(c))
+                continue
+            col = self._checked(c, st)
+            if c in st["vector"]:
+                out.append(_q(st["vector"][c]))
+                continue
+            for v, name in zip(st["categories"][c], st["names"][c]):
+                out.append(F.when(col == F.lit(v), F.lit(1.0)).otherwise(F.lit(0.0)).alias(name))
         return out
 
+    @staticmethod
+    def _checked(c: str, st: dict) -> Column:
+        col = _q(c).cast("string")
+        if st["handle_unknown"] == "error":
+            known = F.array_contains(F.lit(st["categories"][c]), col) if st["categories"][c] else F.lit(False)
+            col = F.when(col.isNotNull() & ~known,
+                         F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), col))).otherwise(col)
+        return col
+
     def _transform(self, df):
         st = self.feature_state()
-        if st["vector"]:
-            # Large vocabularies: Spark's indexer + sparse one-hot vectors.
+        for i, (c, out_name) in enumerate(st["vector"].items()):
             from pyspark.ml.feature import StringIndexerModel
 
-            for c, out_name in st["vector"].items():
-                idx_model = StringIndexerModel.from_labels(
-                    st["labels"][c], inputCol=c, outputCol=f"{out_name}__idx",
-                    handleInvalid="keep" if st["handle_unknown"] == "ignore" else "error")
-                df = idx_model.transform(df)
-                # the indexer's extra "unknown" slot is the one dropLast removes,
-                # so unknown values encode as all zeros
-                enc = _SparkOneHot(inputCols=[f"{out_name}__idx"], outputCols=[out_name], dropLast=True)
-                df = enc.fit(df).transform(df).drop(f"{out_name}__idx")
+            # safe internal names; unknown and missing go to the extra slot that dropLast removes: all zeros
+            df = df.withColumn(f"__cat{i}", self._checked(c, st))
+            index = StringIndexerModel.from_labels(st["categories"][c], inputCol=f"__cat{i}", outputCol=f"__idx{i}",
+                                                   handleInvalid="keep")
+            encoder = _SparkOneHot(inputCols=[f"__idx{i}"], outputCols=[f"__hot{i}"], dropLast=True)
+            df = index.transform(df)
+            df = encoder.fit(df).transform(df).drop(f"__cat{i}", f"__idx{i}").withColumnRenamed(f"__hot{i}", out_name)
         return super()._transform(df)
 
+    def feature_names(self) -> dict[str, list[str]]:
+        """Vector output column -> the names of its slots."""
+        st = self.feature_state()
+        return {out: st["names"][c] for c, out in st["vector"].items()}
+
 
 class OneHotEncoder(FeatureStep):
-    """One output per category (sorted); unknown and missing -> all zeros
-    (``handle_unknown='ignore'``) or an error. Applies to text and boolean
-    columns; numbers pass through."""
+    """One output column per category (sorted), whatever their number;
+    unknown and missing -> all zeros (``handle_unknown='ignore'``), or an
+    error for an unknown one. Applies to text and boolean columns; numbers pass through.
+
+    ``sparse=True`` gives one sparse vector column per feature instead,
+    which later steps that work on numbers leave alone; importances still
+    carry the category names.
+    """
     model_class = OneHotEncoderModel
     applies_to = "categorical"
     handle_unknown = Param(Params._dummy(), "handle_unknown", "ignore or error",
                            typeConverter=TypeConverters.toString)
-    max_scalar_categories = Param(Params._dummy(), "max_scalar_categories",
-                                  "largest vocabulary emitted as named scalar columns",
-                                  typeConverter=TypeConverters.toInt)
+    sparse = Param(Params._dummy(), "sparse", "one sparse vector per feature", typeConverter=TypeConverters.toBoolean)
 
-    def __init__(self, handle_unknown: str = "ignore", max_scalar_categories: int = MAX_SCALAR_CATEGORIES):
+    def __init__(self, handle_unknown: str = "ignore", sparse: bool = False):
         super().__init__()
-        self._setDefault(handle_unknown="ignore", max_scalar_categories=MAX_SCALAR_CATEGORIES)
-        self._set(handle_unknown=handle_unknown, max_scalar_categories=int(max_scalar_categories))
+        self._setDefault(handle_unknown="ignore", sparse=False)
+        self._set(handle_unknown=handle_unknown, sparse=bool(sparse))
 
     def _fit_state(self, df, cols):
         hu = self.getOrDefault(self.handle_unknown)
         if hu not in ("ignore", "error"):
             raise InvalidParameter(f"OneHotEncoder: handle_unknown must be ignore or error, got {hu!r}")
         _, cat = _split_numeric(df, cols)
-        limit = self.getOrDefault(self.max_scalar_categories)
-        st = {"handle_unknown": hu, "scalar": {}, "names": {}, "vector": {}, "labels": {}}
+        st = {"handle_unknown": hu, "categories": {c: [] for c in cat}, "names": {}, "vector": {}}
+        if cat:
+            # the vocabularies of all columns in one job; they name the outputs
+            cells = F.array(*[F.struct(F.lit(i).alias("i"), _q(c).cast("string").alias("v")) for i, c in enumerate(cat)])
+            for r in df.select(F.inline(cells)).where(F.col("v").isNotNull()).distinct().orderBy("i", "v").collect():
+                st["categories"][cat[r["i"]]].append(r["v"])
         out = []
         for c in cols:
             if c not in cat:
                 out.append(c)
                 continue
-            vals = (df.select(_q(c).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-                    .orderBy("v").limit(limit + 1).collect())
-            cats = [r["v"] for r in vals]
-            if len(cats) <= limit:
-                names = [f"{c}_{v}" for v in cats]
-                st["scalar"][c], st["names"][c] = cats, names
-                out.extend(names)
-            else:
-                # vocabulary is held by the fitted indexer only
-                idx = StringIndexer(inputCol=c, outputCol="__i", stringOrderType="alphabetAsc").fit(df)
+            st["names"][c] = [f"{c}_{v}" for v in st["categories"][c]]
+            if self.getOrDefault(self.sparse):
                 st["vector"][c] = f"{c}_onehot"
-                st["labels"][c] = list(idx.labels)
                 out.append(f"{c}_onehot")
+            else:
+                out.extend(st["names"][c])
         return st, out
 
 
@@ -452,18 +473,20 @@ def anova_f(df: DataFrame, cols: list[str], label: str) -> dict[str, float | Non
     base = df.where(y.isNotNull())
     if len(cols) >= LONG_FORMAT_COLUMNS:
         return _anova_f_long(base, y, cols)
+    # each feature is judged on the rows where it has a value
     per = base.groupBy(y.alias("__y")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(_q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)],
-        *[F.sum(_q(c).cast("double") * _q(c).cast("double")).alias(f"q{i}") for i, c in enumerate(cols)])
-    aggs = [F.sum("n").alias("N"), F.count(F.lit(1)).alias("G")]
+        *[F.count(_num(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.sum(_num(c)).alias(f"s{i}") for i, c in enumerate(cols)],
+        *[F.sum(_num(c) * _num(c)).alias(f"q{i}") for i, c in enumerate(cols)])
+    aggs = []
     for i in range(len(cols)):
-        aggs += [F.sum(f"s{i}").alias(f"S{i}"), F.sum(f"q{i}").alias(f"Q{i}"),
-                 F.sum(F.col(f"s{i}") * F.col(f"s{i}") / F.col("n")).alias(f"B{i}")]
+        aggs += [F.sum(f"n{i}").alias(f"N{i}"), F.count_if(F.col(f"n{i}") > 0).alias(f"G{i}"),
+                 F.sum(f"s{i}").alias(f"S{i}"), F.sum(f"q{i}").alias(f"Q{i}"),
+                 F.sum(F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") * F.col(f"s{i}") / F.col(f"n{i}"))).alias(f"B{i}")]
     row = per.agg(*aggs).first()
-    n, g = row["N"] or 0, row["G"] or 0
     out = {}
     for i, c in enumerate(cols):
+        n, g = row[f"N{i}"] or 0, row[f"G{i}"] or 0
         S, Q, B = row[f"S{i}"], row[f"Q{i}"], row[f"B{i}"]
         if n - g <= 0 or g < 2 or S is None:
             out[c] = None
@@ -479,8 +502,8 @@ def anova_f(df: DataFrame, cols: list[str], label: str) -> dict[str, float | Non
 def _anova_f_long(base: DataFrame, y: Column, cols: list[str]) -> dict[str, float | None]:
     """The same F statistics for many features: (feature, class) sums in
     long format, then one aggregate per feature — d rows reach the driver."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), _q(c).cast("double").alias("v")) for i, c in enumerate(cols)])
-    per = (base.select(y.alias("__y"), F.inline(pairs)).groupBy("i", "__y")
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), _num(c).alias("v")) for i, c in enumerate(cols)])
+    per = (base.select(y.alias("__y"), F.inline(pairs)).where(F.col("v").isNotNull()).groupBy("i", "__y")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")))
     rows = per.groupBy("i").agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("G"), F.sum("s").alias("S"),
                                 F.sum("q").alias("Q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B")).collect()
@@ -501,13 +524,18 @@ def f_regression(df: DataFrame, cols: list[str], label: str) -> dict[str, float
     if not cols:
         return {}
     y = _q(label).cast("double")
-    row = df.agg(F.count(y).alias("n"), *[F.corr(_q(c).cast("double"), y).alias(f"r{i}")
-                                          for i, c in enumerate(cols)]).first()
-    n = row["n"]
+    # a pair counts where both are present; a perfect correlation scores infinity
+    both = [F.when(y.isNotNull(), _num(c)) for c in cols]
+    row = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(both)],
+                 *[F.corr(v, F.when(v.isNotNull(), y)).alias(f"r{i}") for i, v in enumerate(both)]).first()
     out = {}
     for i, c in enumerate(cols):
-        r = row[f"r{i}"]
-        out[c] = None if r is None or abs(r) >= 1 else r * r / (1 - r * r) * (n - 2)
+        r, n = row[f"r{i}"], row[f"n{i}"]
+        if r is None or math.isnan(r) or n < 3:
+            out[c] = None
+        else:
+            rest = 1 - r * r
+            out[c] = math.inf if rest <= 1e-15 else r * r / rest * (n - 2)
     return out
 
 
@@ -674,16 +702,12 @@ def label_encode(df: DataFrame, col: str, output_col: str | None = None) -> tupl
     return coded, list(model.labels)
 
 
-def decode_labels(c: Column, labels: list) -> Column:
-    """Codes back to labels with a literal array lookup (JVM-side)."""
-    return F.element_at(F.array(*[F.lit(v) for v in labels]), c.cast("int") + 1)
-
-
-def vector_columns(df: DataFrame, col: str, names: list[str]) -> DataFrame:
-    """Expand a vector column into named DOUBLE columns."""
-    arr = vector_to_array(F.col(col))
-    keep = [_q(c) for c in df.columns if c != col]
-    return df.select(*keep, *[arr[i].alias(n) for i, n in enumerate(names)])
+def register_step(name: str):
+    """Decorator adding a preprocessing step (a ``FeatureStep``) under ``name``."""
+    def deco(cls):
+        STEP_CLASSES[name] = cls
+        return cls
+    return deco
 
 
 STEP_CLASSES = {
@@ -718,11 +742,14 @@ class RFE(FeatureStep):
                                  typeConverter=TypeConverters.toInt)
     step = Param(Params._dummy(), "step", "features removed per round", typeConverter=TypeConverters.toInt)
 
+    n_estimators = Param(Params._dummy(), "n_estimators", "trees of a forest learner", typeConverter=TypeConverters.toInt)
+    max_depth = Param(Params._dummy(), "max_depth", "depth of a forest learner's trees", typeConverter=TypeConverters.toInt)
+
     def __init__(self, estimator: str = "LinearRegression", n_features_to_select: int | None = None,
-                 step: int = 1):
+                 step: int = 1, n_estimators: int = 100, max_depth: int = 10):
         super().__init__()
-        self._setDefault(estimator="LinearRegression", step=1)
-        self._set(estimator=estimator, step=int(step))
+        self._setDefault(estimator="LinearRegression", step=1, n_estimators=100, max_depth=10)
+        self._set(estimator=estimator, step=int(step), n_estimators=int(n_estimators), max_depth=int(max_depth))
         if n_features_to_select is not None:
             self._set(n_features_to_select=int(n_features_to_select))
 
@@ -731,10 +758,11 @@ class RFE(FeatureStep):
         from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 
         name = self.getOrDefault(self.estimator)
+        trees = {"numTrees": self.getOrDefault(self.n_estimators), "maxDepth": self.getOrDefault(self.max_depth), "seed": 42}
         kinds = {"LinearRegression": lambda: LinearRegression(regParam=0.0),
                  "LogisticRegression": lambda: LogisticRegression(standardization=False),
-                 "RandomForestClassifier": lambda: RandomForestClassifier(numTrees=20, seed=42),
-                 "RandomForestRegressor": lambda: RandomForestRegressor(numTrees=20, seed=42)}
+                 "RandomForestClassifier": lambda: RandomForestClassifier(**trees),
+                 "RandomForestRegressor": lambda: RandomForestRegressor(**trees)}
         if name not in kinds:
             raise InvalidParameter(f"RFE: unsupported estimator {name!r}")
         return kinds[name]().setFeaturesCol("__rfe").setLabelCol(label)
@@ -745,13 +773,18 @@ class RFE(FeatureStep):
         target = (self.getOrDefault(self.n_features_to_select) if self.isDefined(self.n_features_to_select)
                   else max(len(num) // 2, 1))
         step = max(self.getOrDefault(self.step), 1)
-        data = df.select(*[_num(c).alias(c) for c in num], F.col(f"`{label}`").cast("double").alias("__y"))
-        data = data.na.drop().persist()
+        # safe internal names, whatever the columns are called
+        safe = {c: f"__f{i}" for i, c in enumerate(num)}
+        data = df.select(*[_num(c).alias(safe[c]) for c in num], F.col(f"`{label}`").cast("double").alias("__y")).persist()
+        gaps = data.where(" OR ".join(f"{c} IS NULL" for c in data.columns)).limit(1).count()
+        if gaps:
+            data.unpersist()
+            raise InvalidParameter("RFE: missing values in the features or the target; impute or drop them first")
         remaining = list(num)
         rounds: list[list[str]] = []
         try:
             while len(remaining) > target:
-                vec = VectorAssembler(inputCols=remaining, outputCol="__rfe").transform(data)
+                vec = VectorAssembler(inputCols=[safe[c] for c in remaining], outputCol="__rfe").transform(data)
                 m = self._ranker(remaining, "__y").fit(vec)
                 if hasattr(m, "featureImportances"):
                     imp = m.featureImportances.toArray()

@@ -4,7 +4,7 @@ mapped onto Spark ML learners (distributed training via treeAggregate).
 Parameter translation (scikit-learn convention -> Spark ML):
 * ``C`` (inverse penalty on the summed loss) -> ``regParam = 1 / (C * n_train)``
   since Spark averages the loss;
-* ``max_depth`` -> ``maxDepth`` (Spark's limit is 30);
+* ``max_depth`` -> ``maxDepth`` (above Spark's limit of 30 an error);
 * ``n_estimators`` -> ``numTrees`` / ``maxIter``;
 * ``tol`` -> ``tol`` with the reference estimators' own defaults (1e-3 for
   SVC, 1e-4 for LogisticRegression) instead of Spark's 1e-6;
@@ -23,6 +23,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import PolynomialExpansion
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +41,18 @@ class FittedEstimator:
     n_classes: int
     has_probability: bool
     pre: object = None  # optional feature-map model applied before the learner
+    margins: bool = False  # class probabilities come from the per-class boosting margins
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.pre is not None:
             df = self.pre.transform(df)
-        return self.model.transform(df)
+        out = self.model.transform(df)
+        if self.margins:
+            # each margin is half a log-odds; the class probabilities are scaled to sum to one
+            odds = F.transform(vector_to_array(F.col("rawPrediction")), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * m)))
+            total = F.aggregate(odds, F.lit(0.0), lambda a, p: a + p)
+            out = out.withColumn("probability", array_to_vector(F.transform(odds, lambda p: p / total)))
+        return out
 
 
 def _int(params, key, default):
@@ -67,7 +75,9 @@ def _depth(params, default):
     d = _int(params, "max_depth", default)
     if d < 1:
         raise InvalidParameter("max_depth must be >= 1")
-    return min(d, MAX_TREE_DEPTH)
+    if d > MAX_TREE_DEPTH:
+        raise InvalidParameter(f"max_depth must be <= {MAX_TREE_DEPTH}, the learner's limit; got {d}")
+    return d
 
 
 class RandomFourierFeatures:
@@ -85,7 +95,6 @@ class RandomFourierFeatures:
 
     def transform(self, df: DataFrame) -> DataFrame:
         import pandas as pd
-        from pyspark.ml.functions import array_to_vector, vector_to_array
 
         W, b, scale = self.W, self.b, self.scale
 
@@ -99,10 +108,10 @@ class RandomFourierFeatures:
 
 
 def fit_estimator(name: str, params: dict, train: DataFrame, features: str, label: str,
-                  n_classes: int, seed: int, n_features: int) -> FittedEstimator:
+                  n_classes: int, seed: int, n_features: int, n_rows: int | None = None) -> FittedEstimator:
     """Fit the named estimator on ``train`` (vector column ``features``)."""
     params = dict(params or {})
-    n = None
+    n = n_rows
 
     def n_train():
         nonlocal n
@@ -123,8 +132,9 @@ def fit_estimator(name: str, params: dict, train: DataFrame, features: str, labe
                             stepSize=_float(params, "learning_rate", 0.1), maxDepth=_depth(params, 3), seed=seed)
         if n_classes <= 2:
             return FittedEstimator(gbt.fit(train), True, n_classes, True)
-        ovr = OneVsRest(classifier=gbt, featuresCol=features, labelCol=label, parallelism=4).fit(train)
-        return FittedEstimator(ovr, True, n_classes, False)
+        ovr = OneVsRest(classifier=gbt, featuresCol=features, labelCol=label, parallelism=4,
+                        rawPredictionCol="rawPrediction").fit(train)
+        return FittedEstimator(ovr, True, n_classes, True, margins=True)
     if name == "LogisticRegression":
         C = _float(params, "C", 1.0)
         if C <= 0:
@@ -164,7 +174,8 @@ def fit_estimator(name: str, params: dict, train: DataFrame, features: str, labe
         # the mapped features are computed once and reused by every solver pass
         data = pre.transform(train).select(col, label).persist() if pre is not None else train
         svc = LinearSVC(featuresCol=col, labelCol=label, regParam=1.0 / (C * n_train()),
-                        tol=_float(params, "tol", 1e-3), maxIter=_int(params, "max_iter", 100))
+                        tol=_float(params, "tol", 1e-3), maxIter=_int(params, "max_iter", 100),
+                        standardization=False)
         if n_classes > 2:
             svc = OneVsRest(classifier=svc, featuresCol=col, labelCol=label, parallelism=4)
         try:

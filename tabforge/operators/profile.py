@@ -2,7 +2,7 @@
 
 Every per-column figure comes from ONE fused aggregate over the data, so a
 profile costs one scan however wide the table is. Long-format results are
-produced with ``stack`` JVM-side; nothing is melted in the driver.
+produced with ``inline`` JVM-side; nothing is melted in the driver.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ def _missing(df: DataFrame, c: str):
     return col.isNull()
 
 
-def _stack(pairs: list[tuple[str, str]], names: str) -> str:
-    body = ", ".join(f"'{label}', {expr}" for label, expr in pairs)
-    return f"stack({len(pairs)}, {body}) as ({names})"
+def _rows(rows: list[dict]):
+    """Turn one wide row into a row per dict of columns (any column name)."""
+    return F.inline(F.array(*[F.struct(*[v.alias(k) for k, v in r.items()]) for r in rows]))
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -52,8 +52,7 @@ def null_counts(df: DataFrame) -> DataFrame:
     """Long format (column_name, null_count), one aggregate for all columns."""
     cols = user_columns(df)
     wide = df.agg(*null_count_exprs(df))
-    return wide.select(F.expr(_stack(
-        [(c, f"`__nulls_{i}`") for i, c in enumerate(cols)], "column_name, null_count")))
+    return wide.select(_rows([{"column_name": F.lit(c), "null_count": F.col(f"__nulls_{i}")} for i, c in enumerate(cols)]))
 
 
 def null_summary(df: DataFrame) -> DataFrame:
@@ -63,8 +62,8 @@ def null_summary(df: DataFrame) -> DataFrame:
     """
     cols = user_columns(df)
     wide = df.agg(F.count(F.lit(1)).alias("__rows"), *null_count_exprs(df))
-    long = wide.select("__rows", F.expr(_stack(
-        [(c, f"`__nulls_{i}`") for i, c in enumerate(cols)], "column_name, null_count")))
+    long = wide.select("__rows", _rows([{"column_name": F.lit(c), "null_count": F.col(f"__nulls_{i}")}
+                                        for i, c in enumerate(cols)]))
     pct = F.when(F.col("__rows") == 0, F.lit(0.0)).otherwise(
         F.round(F.col("null_count") * 100.0 / F.col("__rows"), 1))
     return long.select("column_name", "null_count", pct.alias("null_pct"))
@@ -92,16 +91,18 @@ def numeric_stats(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "column_name string, min double, max double, mean double, std double")
     wide = df.agg(*aggs)
-    pairs = ", ".join(f"'{c}', `mn{i}`, `mx{i}`, `av{i}`, `sd{i}`" for i, c in enumerate(cols))
-    return wide.select(F.expr(f"stack({len(cols)}, {pairs}) as (column_name, min, max, mean, std)"))
+    return wide.select(_rows([{"column_name": F.lit(c), "min": F.col(f"mn{i}"), "max": F.col(f"mx{i}"),
+                               "mean": F.col(f"av{i}"), "std": F.col(f"sd{i}")} for i, c in enumerate(cols)]))
 
 
-def preview_head(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
+def preview_head(df: DataFrame, n: int = PREVIEW_ROWS, dense_row_ids: bool = False) -> DataFrame:
     """First n rows in row order (a take-ordered, not a full sort)."""
     if n < 0:
         raise InvalidParameter("n must be >= 0")
     if ROW_ID in df.columns:
-        return df.orderBy(ROW_ID).limit(n).select(user_columns(df))
+        if dense_row_ids:  # ids 0..n-1: a range filter, pruned by row-group statistics
+            df = df.where(F.col(ROW_ID) < n)
+        return df.orderBy(ROW_ID).limit(n).select([F.col(f"`{c}`") for c in user_columns(df)])
     return df.limit(n)
 
 
@@ -117,7 +118,7 @@ def preview_page(df: DataFrame, page: int = 0, page_size: int = PREVIEW_ROWS,
     start = page * page_size
     if dense_row_ids and ROW_ID in df.columns:
         return (df.where((F.col(ROW_ID) >= start) & (F.col(ROW_ID) < start + page_size))
-                .orderBy(ROW_ID).select(user_columns(df)))
+                .orderBy(ROW_ID).select([F.col(f"`{c}`") for c in user_columns(df)]))
     if ROW_ID not in df.columns:
         return df.offset(start).limit(page_size)
     if start >= DEEP_PAGE:
@@ -127,12 +128,12 @@ def preview_page(df: DataFrame, page: int = 0, page_size: int = PREVIEW_ROWS,
 
         first = kth_smallest(df, ROW_ID, start)
         if first is None:
-            return df.limit(0).select(user_columns(df))
-        return df.where(F.col(ROW_ID) >= first).orderBy(ROW_ID).limit(page_size).select(user_columns(df))
-    return df.orderBy(ROW_ID).offset(start).limit(page_size).select(user_columns(df))
+            return df.limit(0).select([F.col(f"`{c}`") for c in user_columns(df)])
+        return df.where(F.col(ROW_ID) >= first).orderBy(ROW_ID).limit(page_size).select([F.col(f"`{c}`") for c in user_columns(df)])
+    return df.orderBy(ROW_ID).offset(start).limit(page_size).select([F.col(f"`{c}`") for c in user_columns(df)])
 
 
-def describe_dataset(df: DataFrame, preview_rows: int = PREVIEW_ROWS) -> dict:
+def describe_dataset(df: DataFrame, preview_rows: int = PREVIEW_ROWS, dense_row_ids: bool = False) -> dict:
     """The profile of a dataset as a plain dict (rows, columns, dtypes,
     null counts, numeric statistics, preview). One fused aggregate plus one
     take-ordered for the preview.
@@ -150,7 +151,7 @@ def describe_dataset(df: DataFrame, preview_rows: int = PREVIEW_ROWS) -> dict:
             "dtypes": dtypes(df),
             "null_counts": {c: int(per[c]["null_count"]) for c in cols},
             "stats": {c: {k: per[c][k] for k in ("min", "max", "mean", "std")} for c in num},
-            "preview": [r.asDict() for r in preview_head(df, preview_rows).collect()],
+            "preview": [r.asDict() for r in preview_head(df, preview_rows, dense_row_ids).collect()],
         }
     aggs = [F.count(F.lit(1)).alias("__rows"), *null_count_exprs(df)]
     for i, c in enumerate(num):
@@ -162,7 +163,7 @@ def describe_dataset(df: DataFrame, preview_rows: int = PREVIEW_ROWS) -> dict:
     stats = {}
     for i, c in enumerate(num):
         stats[c] = {"min": row[f"mn{i}"], "max": row[f"mx{i}"], "mean": row[f"av{i}"], "std": row[f"sd{i}"]}
-    preview = [r.asDict() for r in preview_head(df, preview_rows).collect()]
+    preview = [r.asDict() for r in preview_head(df, preview_rows, dense_row_ids).collect()]
     return {
         "rows": int(row["__rows"]),
         "columns": len(cols),
@@ -190,11 +191,10 @@ def _describe_long(df: DataFrame) -> DataFrame:
     per = (df.select(F.inline(F.array(*cells))).groupBy("i")
            .agg(F.count_if("m").alias("null_count"), F.min("v").alias("min"), F.max("v").alias("max"),
                 F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")))
-    label = F.array(*[F.lit(c) for c in cols])
-    kind = F.array(*[F.lit(names[c]) for c in cols])
-    return per.select(F.element_at(label, F.col("i") + 1).alias("column_name"),
-                      F.element_at(kind, F.col("i") + 1).alias("dtype"),
-                      "null_count", "min", "max", "mean", "std")
+    # one row per column, also where the table is empty
+    every = df.sparkSession.createDataFrame([(i, c, names[c]) for i, c in enumerate(cols)], "i int, column_name string, dtype string")
+    return (every.join(per, "i", "left")
+            .select("column_name", "dtype", F.coalesce("null_count", F.lit(0)).alias("null_count"), "min", "max", "mean", "std"))
 
 
 def describe_columns(df: DataFrame) -> DataFrame:
@@ -216,10 +216,9 @@ def describe_columns(df: DataFrame) -> DataFrame:
             aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
                      F.avg(v).alias(f"av{i}"), F.stddev_samp(v).alias(f"sd{i}")]
     wide = df.agg(*aggs)
-    null = "CAST(NULL AS DOUBLE)"
-    parts = []
+    rows = []
     for i, c in enumerate(cols):
-        stats = (f"`mn{i}`, `mx{i}`, `av{i}`, `sd{i}`" if c in num else ", ".join([null] * 4))
-        parts.append(f"'{c}', '{names[c]}', `__nulls_{i}`, {stats}")
-    return wide.select(F.expr(
-        f"stack({len(cols)}, {', '.join(parts)}) as (column_name, dtype, null_count, min, max, mean, std)"))
+        stats = {k: F.col(f"{short}{i}") if c in num else F.lit(None).cast("double")
+                 for k, short in (("min", "mn"), ("max", "mx"), ("mean", "av"), ("std", "sd"))}
+        rows.append({"column_name": F.lit(c), "dtype": F.lit(names[c]), "null_count": F.col(f"__nulls_{i}"), **stats})
+    return wide.select(_rows(rows))

@@ -232,10 +232,6 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out
 
 
-def exact_median(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
-
-
 def column_mode(df: DataFrame, col: str):
     """Most frequent non-null value; ties go to the smallest value.
 
@@ -243,7 +239,7 @@ def column_mode(df: DataFrame, col: str):
     task before the shuffle; the top-1 is a per-partition take-ordered.
     Returns None for an all-null column.
     """
-    c = F.col(col)
+    c = F.col(f"`{col}`")
     top = (df.where(c.isNotNull() & ~_is_nan(df, col))
            .groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n"))
            .orderBy(F.desc("n"), F.asc("v")).limit(1).collect())
@@ -254,22 +250,10 @@ def _is_nan(df: DataFrame, col: str):
     from tabforge.functions.columns import field_type, is_floating
 
     if is_floating(field_type(df, col)):
-        return F.isnan(F.col(col))
+        return F.isnan(F.col(f"`{col}`"))
     return F.lit(False)
 
 
-def column_means(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Means of numeric columns ignoring nulls and NaN, in one aggregate."""
-    if not cols:
-        return {}
-    exprs = []
-    for i, c in enumerate(cols):
-        e = F.col(c).cast("double")
-        exprs.append(F.avg(F.when(~F.isnan(e), e)).alias(f"m{i}"))
-    row = df.agg(*exprs).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(cols)}
-
-
 def kth_smallest(df: DataFrame, col: str, k: int, buckets: int = 4096, final_rows: int = 100_000):
     """The k-th smallest (0-based) value of an integral column, exactly,
     without sorting the table: histograms over the value range are refined

@@ -20,16 +20,16 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.errors import InvalidParameter, UnknownStep
-from tabforge.functions.columns import ROW_ID, field_type, is_numeric, user_columns
+from tabforge.functions.columns import ROW_ID, field_type, is_floating, is_numeric, user_columns
 from tabforge.operators import evaluate as ev
-from tabforge.operators.features import STEP_CLASSES
+from tabforge.operators.features import STEP_CLASSES, FeatureAssembler, OneHotEncoderModel
 from tabforge.operators.models import ESTIMATORS, feature_importance, fit_estimator
 from tabforge.operators.split import split_counted
 from tabforge.session import checkpoint_dir
@@ -38,8 +38,7 @@ log = logging.getLogger(__name__)
 
 RESERVED = ("actual", "predicted", "probability", "residual")
 PREVIEW_PREDICTIONS = 200
-MAX_CLASSES = 10_000
-ROWS_PER_PARTITION = 100_000
+CELLS_PER_PARTITION = 2_000_000
 # Up to this many classes a label's code is an array lookup in the row.
 SMALL_LABEL_SET = 64
 _ORIG = "__orig__"
@@ -162,20 +161,29 @@ def _encode_target(df: DataFrame, target: str, is_classifier: bool):
         if not is_numeric(dt):
             raise InvalidParameter("regression needs a numeric target")
         return df.withColumn(_LABEL, y.cast("double")), None
-    vals = (df.select(y.alias("v")).where(F.col("v").isNotNull()).distinct()
-            .orderBy("v").limit(MAX_CLASSES + 1).collect())
+    # the sorted labels are part of the result (and the model is at least as large)
+    vals = df.select(y.alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").collect()
     labels = [r["v"] for r in vals]
-    if len(labels) > MAX_CLASSES:
-        raise InvalidParameter(f"more than {MAX_CLASSES} classes: use a regressor for this target")
-    base = df.where(y.isNotNull())
     if len(labels) <= SMALL_LABEL_SET:
         arr = F.array(*[F.lit(v) for v in labels])
-        return base.withColumn(_LABEL, (F.array_position(arr, y) - 1).cast("double")), labels
-    # many classes: a hash lookup through a broadcast of the (bounded) label table
-    codes = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(labels)],
-                                            T.StructType([T.StructField("__lv", field_type(df, target)),
-                                                          T.StructField(_LABEL, T.DoubleType())]))
-    return base.join(F.broadcast(codes), y == F.col("__lv")).drop("__lv"), labels
+        return df.withColumn(_LABEL, (F.array_position(arr, y) - 1).cast("double")), labels
+    codes = _codes(df, labels, field_type(df, target))
+    return df.join(codes, y == F.col("__lv")).drop("__lv").withColumnRenamed("__code", _LABEL), labels
+
+
+def _codes(df: DataFrame, labels: list, label_type: T.DataType) -> DataFrame:
+    """(__lv, __code): the label table, joined where there are many labels."""
+    schema = T.StructType([T.StructField("__lv", label_type), T.StructField("__code", T.DoubleType())])
+    return df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(labels)], schema)
+
+
+def _require_target(df: DataFrame, target: str) -> None:
+    """Rows without a target cannot be learnt from or judged: refuse them, for both kinds of run."""
+    y = F.col(f"`{target}`")
+    missing = (y.isNull() | F.isnan(y)) if is_floating(field_type(df, target)) else y.isNull()
+    n = df.where(missing).limit(1).count()
+    if n:
+        raise InvalidParameter(f"target column {target!r} has missing values: drop or fill them first")
 
 
 def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResult:
@@ -194,13 +202,14 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
     # the scoring: materialise them once instead of recomputing the input
     source = df.select(ROW_ID, *[F.col(f"`{c}`") for c in dict.fromkeys(feats + [target])])
     source = source.persist(StorageLevel.MEMORY_AND_DISK)
+    _require_target(source, target)
     data, labels = _encode_target(source, target, is_clf)
     mark("target encoding")
     # keep the untouched features for the predictions table
     data = data.select("*", *[F.col(f"`{c}`").alias(_ORIG + c) for c in feats])
     train_df, test_df, n_rows = split_counted(data, spec.test_size, spec.random_state)
     n_test = int(math.ceil(float(spec.test_size) * n_rows))
-    train_df, test_df = _spread(train_df, n_rows - n_test), _spread(test_df, n_test)
+    train_df, test_df = _spread(train_df, n_rows - n_test, len(feats)), _spread(test_df, n_test, len(feats))
     train_df = train_df.persist(StorageLevel.MEMORY_AND_DISK)
     mark("split")
     try:
@@ -217,25 +226,21 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
             mark(f"step {s.name}")
         types = {f.name: f.dataType for f in cur_train.schema.fields}
         bad = [c for c in current if not (is_numeric(types[c]) or isinstance(types[c], T.BooleanType)
-                                          or types[c].typeName() == "vector")]
+                                          or isinstance(types[c], VectorUDT))]
         if bad:
             raise InvalidParameter(f"features {bad} are not numeric: encode or drop them before the estimator")
         if not current:
             raise InvalidParameter("no features left for the estimator")
-        assembler = VectorAssembler(inputCols=current, outputCol=_FEATURES, handleInvalid="error")
+        assembler = FeatureAssembler.of(current, _FEATURES)
         stages.append(assembler)
-        fit_data = assembler.transform(cur_train.select(
-            *[F.col(f"`{c}`").cast("double").alias(c) if isinstance(types[c], T.BooleanType) else F.col(f"`{c}`")
-              for c in cur_train.columns]))
+        final = _slot_names(current, stages)
+        fit_data = assembler.transform(cur_train).select(ROW_ID, _FEATURES, _LABEL)
         fitted = fit_estimator(est_step.name, est_step.params, fit_data, _FEATURES, _LABEL,
-                               len(labels or []), spec.random_state, len(current))
+                               len(labels or []), spec.random_state, len(final), n_rows - n_test)
         mark(f"estimator {est_step.name}")
         scored = test_df
         for m in stages[:-1]:
             scored = m.transform(scored)
-        scored = scored.select(*[F.col(f"`{c}`").cast("double").alias(c)
-                                 if isinstance(types.get(c), T.BooleanType) else F.col(f"`{c}`")
-                                 for c in scored.columns])
         scored = fitted.transform(assembler.transform(scored))
         predictions = _predictions_table(scored, feats, target, is_clf, labels, fitted)
         # a reliable checkpoint: the table outlives the cached inputs and an
@@ -244,7 +249,7 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
         predictions = predictions.checkpoint()
         metrics = _metrics(predictions, is_clf)
         mark("scoring and metrics")
-        importance = feature_importance(fitted, current)
+        importance = feature_importance(fitted, final)
     finally:
         train_df.unpersist()
         source.unpersist()
@@ -252,33 +257,37 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
         job_id=job_id or uuid.uuid4().hex[:8], dataset_id=spec.dataset_id, target_column=target,
         feature_columns=feats, steps=[s.__dict__ for s in pre_steps + [est_step]], is_classifier=is_clf,
         metrics=metrics, feature_importance=importance, predictions=predictions, column_names=feats,
-        final_features=current, labels=labels, stages=stages + [fitted])
-
-
-def _spread(df: DataFrame, n_rows: int) -> DataFrame:
-    """Learners parallelise over partitions. An input read as too few
-    partitions for its size (one big file, one row group) is
-    hash-partitioned on the row id into ~ROWS_PER_PARTITION-row parts, at
-    most one per core — deterministic, so a lost partition is recomputed
-    identically. Tiny inputs are coalesced to one partition: more tasks
-    than data only adds per-iteration scheduling cost."""
-    target = min(df.sparkSession.sparkContext.defaultParallelism,
-                 max(1, math.ceil(n_rows / ROWS_PER_PARTITION)))
-    parts = df.rdd.getNumPartitions()
-    if parts < target:
-        return df.repartition(target, ROW_ID)
-    if n_rows < ROWS_PER_PARTITION and parts > 1:
-        # tiny inputs: one task per solver iteration instead of many
-        return df.coalesce(1)
-    return df
+        final_features=final, labels=labels, stages=stages + [fitted])
+
+
+def _spread(df: DataFrame, n_rows: int, n_columns: int) -> DataFrame:
+    """Learners parallelise over partitions, and sampling learners draw by
+    partition and row order. Rows are dealt by a hash of the row id into
+    parts of about CELLS_PER_PARTITION values, in row order: number and content
+    of the parts depend on the data alone, never on cores or files."""
+    parts = max(1, math.ceil(n_rows * max(n_columns, 1) / CELLS_PER_PARTITION))
+    return df.repartition(parts, ROW_ID).sortWithinPartitions(ROW_ID)
+
+
+def _slot_names(columns: list[str], stages: list) -> list[str]:
+    """The name of every slot of the assembled vector."""
+    slots: dict[str, list[str]] = {}
+    for s in stages:
+        if isinstance(s, OneHotEncoderModel):
+            slots.update(s.feature_names())
+    return [n for c in columns for n in slots.get(c, [c])]
 
 
 def _predictions_table(scored: DataFrame, feats, target, is_clf, labels, fitted) -> DataFrame:
     orig = [F.col(f"`{_ORIG + c}`").alias(c) for c in feats]
     pred = F.col("prediction")
     if is_clf:
-        arr = F.array(*[F.lit(v) for v in labels])
-        predicted = F.element_at(arr, pred.cast("int") + 1)
+        if len(labels) <= SMALL_LABEL_SET:
+            predicted = F.element_at(F.array(*[F.lit(v) for v in labels]), pred.cast("int") + 1)
+        else:
+            codes = _codes(scored, labels, field_type(scored, target))
+            scored = scored.join(codes, pred == F.col("__code"), "left")
+            predicted = F.col("__lv")
         if fitted.has_probability:
             parr = vector_to_array(F.col("probability"))
             prob = parr[1] if len(labels) == 2 else F.array_max(parr)
@@ -288,7 +297,8 @@ def _predictions_table(scored: DataFrame, feats, target, is_clf, labels, fitted)
                              predicted.alias("predicted"), prob.alias("probability"))
     actual = F.col(f"`{target}`").cast("double")
     return scored.select(ROW_ID, *orig, actual.alias("actual"), pred.alias("predicted"),
-                         F.lit(None).cast("double").alias("probability"), (actual - pred).alias("residual"))
+                         F.lit(None).cast("double").alias("probability"),
+                         ev.residual(target, "prediction"))
 
 
 def _metrics(predictions: DataFrame, is_clf: bool) -> dict:

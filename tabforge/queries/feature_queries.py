@@ -245,7 +245,7 @@ def q_one_hot_encoder_vector(spark, sf):
 
     from tabforge.queries.fixtures import customer
 
-    model, out = _fit_transform(fs.OneHotEncoder(max_scalar_categories=32), customer(spark, sf), ["c_name"])
+    model, out = _fit_transform(fs.OneHotEncoder(sparse=True), customer(spark, sf), ["c_name"])
     arr = vector_to_array(F.col("c_name_onehot"))
     return out.select("c_custkey", (F.array_position(arr, 1.0) - 1).cast("int").alias("hot_index"),
                       F.size(arr).cast("int").alias("width"))

@@ -125,7 +125,7 @@ def read_csv_text(spark: SparkSession, path: str, multiline: bool = True) -> Dat
 def infer_schema(df: DataFrame) -> dict[str, str]:
     """Infer a type per text column in ONE aggregate over all columns.
 
-    After dropping null tokens: all integer text -> bigint; all numeric text
+    After dropping null tokens: all integer text within 64 bits -> bigint; all numeric text
     -> double; all true/false spellings with no missing value -> boolean;
     otherwise string. An all-missing column -> double. Dates stay text.
     """
@@ -138,6 +138,7 @@ def infer_schema(df: DataFrame) -> dict[str, str]:
             F.count_if(present).alias(f"p{i}"),
             F.count_if(~present).alias(f"m{i}"),
             F.count_if(present & ~v.rlike(INTEGER_TEXT)).alias(f"i{i}"),
+            F.count_if(present & F.trim(v).try_cast("bigint").isNull()).alias(f"w{i}"),
             F.count_if(present & ~v.rlike(NUMERIC_TEXT)).alias(f"f{i}"),
             F.count_if(present & ~v.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}"),
         ]
@@ -147,7 +148,8 @@ def infer_schema(df: DataFrame) -> dict[str, str]:
         if row[f"p{i}"] == 0:
             out[c] = "double"
         elif row[f"i{i}"] == 0:
-            out[c] = "bigint"
+            # integers that 64 bits cannot hold stay text
+            out[c] = "bigint" if row[f"w{i}"] == 0 else "string"
         elif row[f"f{i}"] == 0:
             out[c] = "double"
         elif row[f"b{i}"] == 0 and row[f"m{i}"] == 0:

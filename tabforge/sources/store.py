@@ -53,10 +53,14 @@ class Store:
     # ------------------------------------------------------------ tables
     def _table(self, name: str, schema: str) -> DataFrame:
         path = f"{self.root}/_catalog/{name}"
-        try:
-            return self.spark.read.schema(schema).parquet(path)
-        except Exception:
+        if not self._exists(path):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _exists(self, path: str) -> bool:
+        """Whether the path is there; any other failure to look is an error."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def _append(self, name: str, schema: str, rows: list[tuple]) -> None:
         self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(
@@ -83,20 +87,22 @@ class Store:
         # the count comes from the Parquet footers of the written files
         return self.spark.read.parquet(path).count(), user_columns(df)
 
-    def ingest(self, path: str, name: str | None = None, dataset_id: str | None = None) -> dict:
+    def ingest(self, path: str, name: str | None = None, dataset_id: str | None = None, multiline: bool = True) -> dict:
         """Read a CSV (with type inference) or Parquet file/folder, snapshot
-        it as Parquet with a dense row id, record it, return its profile."""
+        it as Parquet with a dense row id, record it, return its profile.
+        ``multiline=False`` (no quoted line breaks) lets one large CSV file
+        be read by many tasks."""
         ext = os.path.splitext(path.rstrip("/"))[1].lower()
         if ext not in SUPPORTED:
             raise InvalidParameter(f"unsupported file type {ext!r}: use CSV or Parquet")
         ds_id = dataset_id or new_id()
-        df = scan_csv(self.spark, path) if ext == ".csv" else scan_parquet(self.spark, path)
+        df = scan_csv(self.spark, path, multiline=multiline) if ext == ".csv" else scan_parquet(self.spark, path)
         out = f"{self.root}/raw/{ds_id}"
         n, cols = self._write(df, out)
         name = name or os.path.basename(path.rstrip("/"))
         self._append("datasets", DATASETS_SCHEMA,
                      [(ds_id, name, "raw", out, n, len(cols), cols, True, _dt.datetime.now())])
-        info = profile.describe_dataset(self.load(ds_id))
+        info = profile.describe_dataset(self.load(ds_id), dense_row_ids=True)
         return {"id": ds_id, "name": name, **info}
 
     def load(self, dataset_id: str) -> DataFrame:
@@ -146,7 +152,7 @@ class Store:
                                                    default=str), now)])
         self._append("datasets", DATASETS_SCHEMA, [(cid, name or cid, "clean", out, n, len(cols), cols, False, now)])
         return {"clean_id": cid, "rows": n, "columns": len(cols), "column_names": cols,
-                "message": f"Saved as '{cid}'"}
+                "message": f"cleaned dataset {cid}"}
 
     def clean_history(self, dataset_id: str) -> DataFrame:
         """(position, op, params) of the operations that produced a cleaned
@@ -156,10 +162,6 @@ class Store:
                 .select(F.posexplode(ops).alias("position", "o"))
                 .select("position", F.col("o.op").alias("op"), F.col("o.params").alias("params")))
 
-    def source_of(self, dataset_id: str) -> str | None:
-        r = self.history().where(F.col("clean_id") == dataset_id).select("source_id").limit(1).collect()
-        return r[0]["source_id"] if r else None
-
     # ------------------------------------------------------------ runs
     def train(self, spec, job_id: str | None = None):
         from tabforge.plans.training import train
