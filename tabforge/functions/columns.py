@@ -18,6 +18,11 @@ _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def user_columns(df: DataFrame) -> list[str]:
     """Visible column names, in order, without the hidden row id."""
     return [c for c in df.columns if c != ROW_ID]
@@ -71,7 +76,7 @@ def normalize_nans(df: DataFrame) -> DataFrame:
     if not floating:
         return df
     return df.select([
-        nan_to_null(F.col(f"`{c}`")).cast(field_type(df, c)).alias(c) if c in floating else F.col(f"`{c}`")
+        nan_to_null(quoted(c)).cast(field_type(df, c)).alias(c) if c in floating else quoted(c)
         for c in df.columns
     ])
 

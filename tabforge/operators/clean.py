@@ -31,6 +31,7 @@ from tabforge.functions.coerce import (
     typed_lit,
 )
 from tabforge.functions.columns import (
+    quoted,
     ROW_ID,
     field_type,
     is_floating,
@@ -91,17 +92,17 @@ def apply_operation(df: DataFrame, op: str, params: dict | None = None,
 
 
 def _keep_order(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select([F.col(f"`{c}`") for c in cols])
+    return df.select([quoted(c) for c in cols])
 
 
 def _missing(df: DataFrame, c: str) -> Column:
-    col = F.col(f"`{c}`")
+    col = quoted(c)
     return (col.isNull() | F.isnan(col)) if is_floating(field_type(df, c)) else col.isNull()
 
 
 def _replace(df: DataFrame, name: str, expr: Column) -> DataFrame:
     """Replace one column in place (same position)."""
-    return df.select([expr.alias(c) if c == name else F.col(f"`{c}`") for c in df.columns])
+    return df.select([expr.alias(c) if c == name else quoted(c) for c in df.columns])
 
 
 # ---------------------------------------------------------------- columns
@@ -137,7 +138,7 @@ def rename_column(df: DataFrame, params: dict, ctx: OpContext) -> DataFrame:
 # ---------------------------------------------------------------- fills
 
 def _fill_value_expr(df: DataFrame, c: str, value: Column) -> Column:
-    return F.when(_missing(df, c), value).otherwise(F.col(f"`{c}`"))
+    return F.when(_missing(df, c), value).otherwise(quoted(c))
 
 
 def fill_with_stats(df: DataFrame, strategy: str, cols: list[str]) -> DataFrame:
@@ -154,7 +155,7 @@ def fill_with_stats(df: DataFrame, strategy: str, cols: list[str]) -> DataFrame:
     aggs = [F.count_if(_missing(df, c)).alias(f"n{i}") for i, c in enumerate(cols)]
     if strategy == "mean":
         for i, c in enumerate(cols):
-            v = F.col(f"`{c}`").cast("double")
+            v = quoted(c).cast("double")
             aggs.append(F.avg(F.when(~F.isnan(v), v)).alias(f"s{i}"))
     row = df.agg(*aggs).first()
     need = [c for i, c in enumerate(cols) if row[f"n{i}"] > 0]
@@ -169,12 +170,12 @@ def fill_with_stats(df: DataFrame, strategy: str, cols: list[str]) -> DataFrame:
     out = []
     for c in df.columns:
         if c in need:
-            v = F.col(f"`{c}`").cast("double")
+            v = quoted(c).cast("double")
             s = stats[c]
             fill = F.lit(s).cast("double") if s is not None else F.lit(None).cast("double")
             out.append(F.when(v.isNull() | F.isnan(v), fill).otherwise(v).alias(c))
         else:
-            out.append(F.col(f"`{c}`"))
+            out.append(quoted(c))
     return df.select(out)
 
 
@@ -262,11 +263,11 @@ def drop_duplicates(df: DataFrame, params: dict, ctx: OpContext) -> DataFrame:
     if ROW_ID not in df.columns:
         return df.dropDuplicates(keys)
     rest = [c for c in df.columns if c not in keys and c != ROW_ID]
-    kcols = [F.col(f"`{c}`") for c in keys]
+    kcols = [quoted(c) for c in keys]
     if not rest:
         out = df.groupBy(*kcols).agg(F.min(ROW_ID).alias(ROW_ID))
     else:
-        first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col(ROW_ID))
+        first = F.min_by(F.struct(*[quoted(c) for c in rest]), F.col(ROW_ID))
         out = (df.groupBy(*kcols)
                .agg(F.min(ROW_ID).alias(ROW_ID), first.alias("__first"))
                .select(*kcols, ROW_ID, *[F.col("__first").getField(c).alias(c) for c in rest]))
@@ -293,7 +294,7 @@ def filter_predicate(df: DataFrame, col: str, operator: str, value) -> Column:
         raise InvalidParameter(f"filter_rows: unknown operator {operator!r}")
     dt = field_type(df, col)
     v = filter_literal(dt, value)
-    c = F.col(f"`{col}`")
+    c = quoted(col)
     if isinstance(v, float) and math.isnan(v):
         return F.lit(operator == "!=")
     pred = _FILTER_OPS[operator](c, typed_lit(v, dt))
@@ -340,7 +341,7 @@ def _in_range(null_fail: Column, value: Column, target: str) -> tuple[Column, Co
 def _cast_plan(df: DataFrame, c: str, target: str, strict: bool) -> tuple[Column, Column]:
     """(failure condition per row, converted value) for an all-or-nothing cast."""
     dt = field_type(df, c)
-    col = F.col(f"`{c}`")
+    col = quoted(c)
     never = F.lit(False)
     if target in ("double", "float"):
         if is_numeric(dt) or isinstance(dt, T.BooleanType):
@@ -413,7 +414,7 @@ def cast_columns(df: DataFrame, casts: list[tuple[str, str]], strict: bool = Tru
     row = df.agg(*[F.count_if(fail).alias(f"bad{i}") for i, (fail, _) in enumerate(plans.values())]).first()
     failed = [c for i, c in enumerate(plans) if row[f"bad{i}"]]
     ok = {c: v for c, (_, v) in plans.items() if c not in failed}
-    out = df.select([ok[c].alias(c) if c in ok else F.col(f"`{c}`") for c in df.columns])
+    out = df.select([ok[c].alias(c) if c in ok else quoted(c) for c in df.columns])
     return out, failed
 
 

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.functions.columns import quoted
+
 
 def _q(c: str) -> Column:
-    return F.col(f"`{c}`")
+    return quoted(c)
 
 
 def confusion_counts(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:

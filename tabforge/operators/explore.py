@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.errors import InvalidParameter
-from tabforge.functions.columns import ROW_ID, field_type, is_numeric, user_columns
+from tabforge.functions.columns import ROW_ID, field_type, is_numeric, user_columns, quoted
 
 FILTER_OPS = ("==", "!=", ">", "<", ">=", "<=", "contains")
 HIST_BINS = 14
@@ -75,7 +75,7 @@ def rule_predicate(df: DataFrame, col: str, op: str, val: str, js_compat: bool =
     if op not in FILTER_OPS:
         raise InvalidParameter(f"unknown filter operator {op!r}")
     dt = field_type(df, col)
-    c = F.col(f"`{col}`")
+    c = quoted(col)
     text = _as_text(c, dt)
     if op == "contains":
         return F.lower(text).contains(str(val).lower())
@@ -116,7 +116,7 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS, closed_last: bool
     """
     if bins < 1:
         raise InvalidParameter("bins must be >= 1")
-    v = F.col(f"`{col}`").cast("double")
+    v = quoted(col).cast("double")
     v = F.when(~F.isnan(v) & (F.abs(v) != F.lit(math.inf)), v)  # finite values only
     vals = df.select(v.alias("__v")).where(F.col("__v").isNotNull())
     stats = vals.agg(F.min("__v").alias("mn"), F.max("__v").alias("mx"),
@@ -152,9 +152,9 @@ def scatter_sample(df: DataFrame, x: str, y: str, c: str | None = None, n: int =
     cols = set(df.columns)
     head = _ordered(df).limit(n)
     w_i = F.row_number().over(_order_window(df)) - 1
-    xe = F.col(f"`{x}`") if x in cols else w_i.cast("double")
-    ye = F.col(f"`{y}`") if y in cols else F.col("probability")
-    ce = F.col(f"`{c}`") if c and c in cols else F.lit(0)
+    xe = quoted(x) if x in cols else w_i.cast("double")
+    ye = quoted(y) if y in cols else F.col("probability")
+    ce = quoted(c) if c and c in cols else F.lit(0)
     return head.select(w_i.cast("bigint").alias("i"), xe.alias("x"), ye.alias("y"), ce.alias("c"))
 
 
@@ -167,7 +167,7 @@ def _order_window(df: DataFrame):
 def line_series(df: DataFrame, y: str, n: int = LINE_ROWS) -> DataFrame:
     """First n rows as (i, val); ``val`` is NULL when the column is absent."""
     head = _ordered(df).limit(n)
-    val = F.col(f"`{y}`") if y in df.columns else F.lit(None).cast("double")
+    val = quoted(y) if y in df.columns else F.lit(None).cast("double")
     return head.select((F.row_number().over(_order_window(df)) - 1).cast("bigint").alias("i"), val.alias("val"))
 
 
@@ -180,7 +180,7 @@ def color_scale(df: DataFrame, col: str, start=START_COLOR, end=END_COLOR) -> Co
     Returns a column expression; min/max come from one aggregate.
     """
     dt = field_type(df, col)
-    c = F.col(f"`{col}`")
+    c = quoted(col)
     s_css = F.lit(f"rgb({start[0]}, {start[1]}, {start[2]})")
     e_css = F.lit(f"rgb({end[0]}, {end[1]}, {end[2]})")
     if not is_numeric(dt):

@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.errors import InvalidParameter
-from tabforge.functions.columns import field_type, is_numeric
+from tabforge.functions.columns import field_type, is_numeric, quoted
 from tabforge.operators.stats import LONG_FORMAT_COLUMNS, column_mode, exact_quantiles, numeric_column_stats
 
 def _q(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return quoted(name)
 
 
 def _num(name: str) -> Column:
@@ -775,7 +775,7 @@ class RFE(FeatureStep):
         step = max(self.getOrDefault(self.step), 1)
         # safe internal names, whatever the columns are called
         safe = {c: f"__f{i}" for i, c in enumerate(num)}
-        data = df.select(*[_num(c).alias(safe[c]) for c in num], F.col(f"`{label}`").cast("double").alias("__y")).persist()
+        data = df.select(*[_num(c).alias(safe[c]) for c in num], quoted(label).cast("double").alias("__y")).persist()
         gaps = data.where(" OR ".join(f"{c} IS NULL" for c in data.columns)).limit(1).count()
         if gaps:
             data.unpersist()

@@ -71,6 +71,11 @@ def _float(params, key, default):
         raise InvalidParameter(f"{key} must be a number, got {v!r}")
 
 
+def _flag(params, key, default):
+    v = params.get(key, default)
+    return v if isinstance(v, bool) else str(v).strip().lower() == "true"
+
+
 def _depth(params, default):
     d = _int(params, "max_depth", default)
     if d < 1:
@@ -121,11 +126,11 @@ def fit_estimator(name: str, params: dict, train: DataFrame, features: str, labe
 
     if name == "RandomForestClassifier":
         m = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=_int(params, "n_estimators", 100),
-                                   maxDepth=_depth(params, 10), featureSubsetStrategy="sqrt", seed=seed).fit(train)
+                                   maxDepth=_depth(params, 10), featureSubsetStrategy="sqrt", bootstrap=_flag(params, "bootstrap", True), seed=seed).fit(train)
         return FittedEstimator(m, True, n_classes, True)
     if name == "RandomForestRegressor":
         m = RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=_int(params, "n_estimators", 100),
-                                  maxDepth=_depth(params, 10), featureSubsetStrategy="all", seed=seed).fit(train)
+                                  maxDepth=_depth(params, 10), featureSubsetStrategy="all", bootstrap=_flag(params, "bootstrap", True), seed=seed).fit(train)
         return FittedEstimator(m, False, 0, False)
     if name == "GradientBoostingClassifier":
         gbt = GBTClassifier(featuresCol=features, labelCol=label, maxIter=_int(params, "n_estimators", 100),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabforge.errors import InvalidParameter
 from tabforge.functions.columns import (
+    quoted,
     ROW_ID,
     dtypes,
     field_type,
@@ -26,7 +27,7 @@ DEEP_PAGE = 10_000
 
 
 def _missing(df: DataFrame, c: str):
-    col = F.col(f"`{c}`")
+    col = quoted(c)
     if is_floating(field_type(df, c)):
         return col.isNull() | F.isnan(col)
     return col.isNull()
@@ -83,7 +84,7 @@ def numeric_stats(df: DataFrame) -> DataFrame:
     cols = numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
-        v = F.col(f"`{c}`").cast("double")
+        v = quoted(c).cast("double")
         v = F.when(~F.isnan(v), v)
         aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
                  F.avg(v).alias(f"av{i}"), F.stddev_samp(v).alias(f"sd{i}")]
@@ -102,7 +103,7 @@ def preview_head(df: DataFrame, n: int = PREVIEW_ROWS, dense_row_ids: bool = Fal
     if ROW_ID in df.columns:
         if dense_row_ids:  # ids 0..n-1: a range filter, pruned by row-group statistics
             df = df.where(F.col(ROW_ID) < n)
-        return df.orderBy(ROW_ID).limit(n).select([F.col(f"`{c}`") for c in user_columns(df)])
+        return df.orderBy(ROW_ID).limit(n).select([quoted(c) for c in user_columns(df)])
     return df.limit(n)
 
 
@@ -118,7 +119,7 @@ def preview_page(df: DataFrame, page: int = 0, page_size: int = PREVIEW_ROWS,
     start = page * page_size
     if dense_row_ids and ROW_ID in df.columns:
         return (df.where((F.col(ROW_ID) >= start) & (F.col(ROW_ID) < start + page_size))
-                .orderBy(ROW_ID).select([F.col(f"`{c}`") for c in user_columns(df)]))
+                .orderBy(ROW_ID).select([quoted(c) for c in user_columns(df)]))
     if ROW_ID not in df.columns:
         return df.offset(start).limit(page_size)
     if start >= DEEP_PAGE:
@@ -128,9 +129,9 @@ def preview_page(df: DataFrame, page: int = 0, page_size: int = PREVIEW_ROWS,
 
         first = kth_smallest(df, ROW_ID, start)
         if first is None:
-            return df.limit(0).select([F.col(f"`{c}`") for c in user_columns(df)])
-        return df.where(F.col(ROW_ID) >= first).orderBy(ROW_ID).limit(page_size).select([F.col(f"`{c}`") for c in user_columns(df)])
-    return df.orderBy(ROW_ID).offset(start).limit(page_size).select([F.col(f"`{c}`") for c in user_columns(df)])
+            return df.limit(0).select([quoted(c) for c in user_columns(df)])
+        return df.where(F.col(ROW_ID) >= first).orderBy(ROW_ID).limit(page_size).select([quoted(c) for c in user_columns(df)])
+    return df.orderBy(ROW_ID).offset(start).limit(page_size).select([quoted(c) for c in user_columns(df)])
 
 
 def describe_dataset(df: DataFrame, preview_rows: int = PREVIEW_ROWS, dense_row_ids: bool = False) -> dict:
@@ -155,7 +156,7 @@ def describe_dataset(df: DataFrame, preview_rows: int = PREVIEW_ROWS, dense_row_
         }
     aggs = [F.count(F.lit(1)).alias("__rows"), *null_count_exprs(df)]
     for i, c in enumerate(num):
-        v = F.col(f"`{c}`").cast("double")
+        v = quoted(c).cast("double")
         v = F.when(~F.isnan(v), v)
         aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
                  F.avg(v).alias(f"av{i}"), F.stddev_samp(v).alias(f"sd{i}")]
@@ -185,7 +186,7 @@ def _describe_long(df: DataFrame) -> DataFrame:
     names = dtypes(df)
     cells = []
     for i, c in enumerate(cols):
-        col = F.col(f"`{c}`")
+        col = quoted(c)
         v = F.nanvl(col.cast("double"), F.lit(None).cast("double")) if c in num else F.lit(None).cast("double")
         cells.append(F.struct(F.lit(i).alias("i"), v.alias("v"), _missing(df, c).alias("m")))
     per = (df.select(F.inline(F.array(*cells))).groupBy("i")
@@ -211,7 +212,7 @@ def describe_columns(df: DataFrame) -> DataFrame:
     aggs = [*null_count_exprs(df)]
     for i, c in enumerate(cols):
         if c in num:
-            v = F.col(f"`{c}`").cast("double")
+            v = quoted(c).cast("double")
             v = F.when(~F.isnan(v), v)
             aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
                      F.avg(v).alias(f"av{i}"), F.stddev_samp(v).alias(f"sd{i}")]

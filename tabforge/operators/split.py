@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.errors import InvalidParameter
-from tabforge.functions.columns import ROW_ID
+from tabforge.functions.columns import ROW_ID, quoted
 
 _BITS = 60
 _SPAN = 1 << _BITS
@@ -29,7 +29,7 @@ _FINAL_ROWS = 200_000
 
 def split_hash(key_cols: list[str], seed: int) -> tuple[Column, Column]:
     """(60-bit hash prefix as BIGINT, full md5 hex) of the row key and seed."""
-    parts = [F.col(f"`{c}`").cast("string") for c in key_cols] + [F.lit(str(seed))]
+    parts = [quoted(c).cast("string") for c in key_cols] + [F.lit(str(seed))]
     m = F.md5(F.concat_ws("-", *parts))
     h = F.conv(F.substring(m, 1, _BITS // 4), 16, 10).cast("bigint")
     return h, m

@@ -26,6 +26,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.functions.columns import quoted
+
 DEFAULT_ACCURACY = 2_000
 # Largest number of distinct values per bracket whose counts are collected.
 BRACKET_LIMIT = 100_000
@@ -173,7 +175,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     """
     if not cols:
         return {}
-    exprs = [F.col(f"`{c}`").cast("double") for c in cols]
+    exprs = [quoted(c).cast("double") for c in cols]
     exprs = [F.when(F.isnan(e), F.lit(None)).otherwise(e) for e in exprs]
     data = df.select([e.alias(f"c{i}") for i, e in enumerate(exprs)])
     ccols = [F.col(f"c{i}") for i in range(len(cols))]
@@ -239,7 +241,7 @@ def column_mode(df: DataFrame, col: str):
     task before the shuffle; the top-1 is a per-partition take-ordered.
     Returns None for an all-null column.
     """
-    c = F.col(f"`{col}`")
+    c = quoted(col)
     top = (df.where(c.isNotNull() & ~_is_nan(df, col))
            .groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n"))
            .orderBy(F.desc("n"), F.asc("v")).limit(1).collect())
@@ -250,7 +252,7 @@ def _is_nan(df: DataFrame, col: str):
     from tabforge.functions.columns import field_type, is_floating
 
     if is_floating(field_type(df, col)):
-        return F.isnan(F.col(f"`{col}`"))
+        return F.isnan(quoted(col))
     return F.lit(False)
 
 
@@ -259,7 +261,7 @@ def kth_smallest(df: DataFrame, col: str, k: int, buckets: int = 4096, final_row
     without sorting the table: histograms over the value range are refined
     until the bucket holding rank k is small, then only that bucket is
     ordered. Returns None when the column has k or fewer values."""
-    c = F.col(f"`{col}`")
+    c = quoted(col)
     row = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("n")).first()
     if row["n"] is None or row["n"] <= k:
         return None
@@ -307,7 +309,7 @@ def numeric_column_stats(df: DataFrame, cols: list[str], metrics: list[str]) ->
     """
     if not cols:
         return {}
-    vals = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in cols]
+    vals = [F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")) for c in cols]
     if len(cols) < LONG_FORMAT_COLUMNS:
         row = df.agg(*[_METRICS[m](v).alias(f"{m}__{i}") for i, v in enumerate(vals) for m in metrics]).first()
         return {c: {m: row[f"{m}__{i}"] for m in metrics} for i, c in enumerate(cols)}

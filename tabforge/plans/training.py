@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.errors import InvalidParameter, UnknownStep
-from tabforge.functions.columns import ROW_ID, field_type, is_floating, is_numeric, user_columns
+from tabforge.functions.columns import ROW_ID, field_type, is_floating, is_numeric, user_columns, quoted
 from tabforge.operators import evaluate as ev
 from tabforge.operators.features import STEP_CLASSES, FeatureAssembler, OneHotEncoderModel
 from tabforge.operators.models import ESTIMATORS, feature_importance, fit_estimator
@@ -156,7 +156,7 @@ def _validate(df: DataFrame, spec: TrainSpec) -> tuple[list[str], Step, list[Ste
 
 def _encode_target(df: DataFrame, target: str, is_classifier: bool):
     dt = field_type(df, target)
-    y = F.col(f"`{target}`")
+    y = quoted(target)
     if not is_classifier:
         if not is_numeric(dt):
             raise InvalidParameter("regression needs a numeric target")
@@ -179,7 +179,7 @@ def _codes(df: DataFrame, labels: list, label_type: T.DataType) -> DataFrame:
 
 def _require_target(df: DataFrame, target: str) -> None:
     """Rows without a target cannot be learnt from or judged: refuse them, for both kinds of run."""
-    y = F.col(f"`{target}`")
+    y = quoted(target)
     missing = (y.isNull() | F.isnan(y)) if is_floating(field_type(df, target)) else y.isNull()
     n = df.where(missing).limit(1).count()
     if n:
@@ -200,13 +200,13 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
     target = spec.target_column
     # the selected columns are read by the encoding, the split, the fits and
     # the scoring: materialise them once instead of recomputing the input
-    source = df.select(ROW_ID, *[F.col(f"`{c}`") for c in dict.fromkeys(feats + [target])])
+    source = df.select(ROW_ID, *[quoted(c) for c in dict.fromkeys(feats + [target])])
     source = source.persist(StorageLevel.MEMORY_AND_DISK)
     _require_target(source, target)
     data, labels = _encode_target(source, target, is_clf)
     mark("target encoding")
     # keep the untouched features for the predictions table
-    data = data.select("*", *[F.col(f"`{c}`").alias(_ORIG + c) for c in feats])
+    data = data.select("*", *[quoted(c).alias(_ORIG + c) for c in feats])
     train_df, test_df, n_rows = split_counted(data, spec.test_size, spec.random_state)
     n_test = int(math.ceil(float(spec.test_size) * n_rows))
     train_df, test_df = _spread(train_df, n_rows - n_test, len(feats)), _spread(test_df, n_test, len(feats))
@@ -279,7 +279,7 @@ def _slot_names(columns: list[str], stages: list) -> list[str]:
 
 
 def _predictions_table(scored: DataFrame, feats, target, is_clf, labels, fitted) -> DataFrame:
-    orig = [F.col(f"`{_ORIG + c}`").alias(c) for c in feats]
+    orig = [quoted(_ORIG + c).alias(c) for c in feats]
     pred = F.col("prediction")
     if is_clf:
         if len(labels) <= SMALL_LABEL_SET:
@@ -293,9 +293,9 @@ def _predictions_table(scored: DataFrame, feats, target, is_clf, labels, fitted)
             prob = parr[1] if len(labels) == 2 else F.array_max(parr)
         else:
             prob = F.lit(None).cast("double")
-        return scored.select(ROW_ID, *orig, F.col(f"`{target}`").alias("actual"),
+        return scored.select(ROW_ID, *orig, quoted(target).alias("actual"),
                              predicted.alias("predicted"), prob.alias("probability"))
-    actual = F.col(f"`{target}`").cast("double")
+    actual = quoted(target).cast("double")
     return scored.select(ROW_ID, *orig, actual.alias("actual"), pred.alias("predicted"),
                          F.lit(None).cast("double").alias("probability"),
                          ev.residual(target, "prediction"))

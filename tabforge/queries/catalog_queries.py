@@ -8,11 +8,12 @@ can name them.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from tabforge.functions.columns import ROW_ID
-from tabforge.operators import profile
 from tabforge.plans.training import TrainSpec
-from tabforge.queries.registry import query
+from tabforge.queries.registry import R, query, rnd, rounded
 from tabforge.session import scratch_path
 from tabforge.sources.scan import infer_schema, read_csv_text, scan_csv, scan_parquet
 from tabforge.sources.store import Store
@@ -56,11 +57,10 @@ def q_save_clean(spark, sf):
     return _store(spark, sf).load("cln00001").drop(ROW_ID)
 
 
-@query("scan_parquet", "SELECT * FROM orders LIMIT 50 OFFSET 100")
+@query("scan_parquet", "SELECT *, o_orderkey - (SELECT min(o_orderkey) FROM orders) AS row_id FROM orders")
 def q_scan_parquet(spark, sf):
-    """File order survives ingest: page 2 of the snapshot is rows 100..149."""
-    df = scan_parquet(spark, f"{sf}/orders.parquet")
-    return profile.preview_page(df, page=2, page_size=50)
+    """Every row with its place in the file (the table is stored in key order)."""
+    return scan_parquet(spark, f"{sf}/orders.parquet").withColumnRenamed(ROW_ID, "row_id")
 
 
 def _orders_csv(spark, sf, parts: int = 4) -> str:
@@ -78,12 +78,39 @@ def q_scan_csv(spark, sf):
     return scan_csv(spark, _orders_csv(spark, sf)).drop(ROW_ID)
 
 
-@query("row_ids_csv", """SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 5000""")
+@query("row_ids_csv", "SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders")
 def q_row_ids_csv(spark, sf):
     """Row ids follow file then line order across CSV part files."""
     df = scan_csv(spark, _orders_csv(spark, sf), multiline=False)
-    return profile.preview_page(df.select(ROW_ID, "o_orderkey", "o_orderstatus"), page=100, page_size=50,
-                                dense_row_ids=True)
+    return df.select("o_orderkey", "o_orderstatus", F.col(ROW_ID).alias("row_id"))
+
+
+def _text_csv(spark, sf, name: str, line: Column, header: str, parts: int = 4) -> list[str]:
+    """CSV files of lines as they are, each file below its header."""
+    path = scratch_path(spark, name)
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    rows = o.select((F.col("o_orderkey") % parts).cast("int").alias("part"), F.lit(1).alias("below"), line.alias("line"))
+    heads = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("below"), F.lit(header).alias("line"))
+    (rows.union(heads).repartition(parts, "part").sortWithinPartitions("part", "below")
+     .select("part", "line").write.partitionBy("part").text(path))
+    return [f"{path}/part={i}" for i in range(parts)]
+
+
+@query("scan_csv_ragged", """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS o_custkey
+  FROM orders""")
+def q_scan_csv_ragged(spark, sf):
+    """Rows that end early have missing values in the columns they lack."""
+    line = F.concat_ws(",", "o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")))
+    path = _text_csv(spark, sf, "ragged-csv", line, "o_orderkey,o_orderstatus,o_custkey")
+    return scan_csv(spark, path, multiline=False).drop(ROW_ID)
+
+
+@query("infer_schema_bigint", """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) || '00000000000000000000' AS large FROM orders""")
+def q_infer_schema_bigint(spark, sf):
+    """Integers beyond 64 bits stay text."""
+    line = F.concat("o_orderkey", F.lit(","), "o_custkey", F.lit("0" * 20))
+    path = _text_csv(spark, sf, "large-csv", line, "o_orderkey,large")
+    return scan_csv(spark, path, multiline=False).drop(ROW_ID)
 
 
 def _infer_sql() -> str:
@@ -103,28 +130,117 @@ def q_infer_schema(spark, sf):
     return spark.createDataFrame(sorted(types.items()), "column_name string, dtype string")
 
 
-def _run_store(spark, sf):
+# A one-feature linear run has a closed form over the split's training rows
+# (scaling the feature does not change the predictions).
+RUN_SQL = """WITH s AS (SELECT *, row_number() OVER (
+    ORDER BY md5(CAST(p_partkey - (SELECT min(p_partkey) FROM part) AS VARCHAR) || '-42'))
+    <= (SELECT ceil(count(*) * 0.2) FROM part) AS is_test FROM part),
+m AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a,
+             stddev_pop(p_size) AS sd FROM s WHERE NOT is_test),
+p AS (SELECT p_partkey, p_size, p_retailprice AS actual, a + b * p_size AS predicted FROM s, m WHERE is_test),
+e AS (SELECT avg((actual - predicted) ** 2) AS mse, var_pop(actual) AS v FROM p)
+"""
+
+
+def run_store(spark, sf):
     st = Store(spark, scratch_path(spark, "store"))
-    st.ingest(f"{sf}/lineitem.parquet", dataset_id="li000001")
-    spec = TrainSpec(target_column="l_extendedprice", feature_columns=["l_quantity", "l_discount", "l_tax"],
+    st.ingest(f"{sf}/part.parquet", dataset_id="part0001")
+    spec = TrainSpec(target_column="p_retailprice", feature_columns=["p_size"],
                      steps=[{"name": "StandardScaler"},
-                            {"name": "LinearRegression", "category": "estimators"}], dataset_id="li000001")
+                            {"name": "LinearRegression", "category": "estimators"}], dataset_id="part0001")
     st.train(spec, job_id="run00001")
     return st
 
 
-@query("list_runs")
+_RUN_COLS = f"""'run00001' AS job_id, 'part0001' AS dataset_id, 'p_retailprice' AS target_column, false AS is_classifier,
+  {R("1 - mse / v", 6)} AS r2, {R("mse", 3)} AS mse, {R("sqrt(mse)", 4)} AS rmse"""
+_METRICS_SCHEMA = "r2 double, mse double, rmse double"
+
+
+def _metric_columns(parsed):
+    return [rnd(parsed["r2"], 6).alias("r2"), rnd(parsed["mse"], 3).alias("mse"), rnd(parsed["rmse"], 4).alias("rmse")]
+
+
+@query("list_runs", RUN_SQL + f"SELECT {_RUN_COLS} FROM e")
 def q_list_runs(spark, sf):
-    return _run_store(spark, sf).list_runs()
+    return run_store(spark, sf).list_runs().select(
+        "job_id", "dataset_id", "target_column", "is_classifier",
+        *_metric_columns(F.from_json("metrics", _METRICS_SCHEMA)))
+
+
+@query("get_run", RUN_SQL + f"""SELECT {_RUN_COLS}, 'p_size' AS feature, {R("abs(b) * sd", 4)} AS importance,
+  (SELECT least(count(*), 200) FROM p) AS previewed FROM e, m""")
+def q_get_run(spark, sf):
+    r = run_store(spark, sf).get_run("run00001")
+    m, top = r["metrics"], r["feature_importance"][0]
+    row = (r["job_id"], r["dataset_id"], r["target_column"], r["is_classifier"], m["r2"], m["mse"], m["rmse"],
+           top["feature"], top["importance"], len(r["predictions"]))
+    df = spark.createDataFrame([row], "job_id string, dataset_id string, target_column string, is_classifier boolean, "
+                                      f"{_METRICS_SCHEMA}, feature string, importance double, previewed long")
+    return df.select("job_id", "dataset_id", "target_column", "is_classifier", *_metric_columns(df), "feature",
+                     rnd(F.col("importance"), 4).alias("importance"), "previewed")
+
 
+_PRED_COLS = f"""p_size, {R("actual", 4)} AS actual, {R("predicted", 4)} AS predicted, CAST(NULL AS DOUBLE) AS probability,
+  {R("actual - predicted", 4)} AS residual"""
 
-@query("export_predictions_csv")
+
+@query("save_predictions", RUN_SQL + f"SELECT {_PRED_COLS} FROM p")
+def q_save_predictions(spark, sf):
+    return rounded(run_store(spark, sf).predictions("run00001").drop(ROW_ID), 4)
+
+
+@query("export_predictions_csv", RUN_SQL + f"SELECT {_PRED_COLS} FROM p")
 def q_export_predictions_csv(spark, sf):
-    st = _run_store(spark, sf)
+    st = run_store(spark, sf)
     out = st.export_predictions_csv("run00001", scratch_path(spark, "export"))
-    return spark.read.option("header", True).csv(out)
+    df = spark.read.option("header", True).csv(out)
+    return rounded(df.select(F.col("p_size").cast("int"), *[F.col(c).cast("double") for c in
+                                                            ("actual", "predicted", "probability", "residual")]), 4)
 
 
-@query("save_predictions")
-def q_save_predictions(spark, sf):
-    return _run_store(spark, sf).predictions("run00001").drop(ROW_ID)
+@query("predictions_preview", RUN_SQL + f"SELECT {_PRED_COLS} FROM (SELECT * FROM p ORDER BY p_partkey LIMIT 200)")
+def q_predictions_preview(spark, sf):
+    """The first 200 rows of a run's predictions, in row order."""
+    from tabforge.plans.training import train
+
+    st = run_store(spark, sf)
+    run = train(st.load("part0001"), TrainSpec(target_column="p_retailprice", feature_columns=["p_size"],
+                                               steps=[{"name": "LinearRegression", "category": "estimators"}]))
+    return rounded(spark.createDataFrame(run.predictions_preview(), run.predictions.drop(ROW_ID).schema), 4)
+
+
+@query("feature_importance", RUN_SQL + f"SELECT 'p_size' AS feature, {R('abs(b) * sd', 4)} AS importance FROM m")
+def q_feature_importance(spark, sf):
+    return rounded(spark.createDataFrame(run_store(spark, sf).get_run("run00001")["feature_importance"],
+                                         "feature string, importance double"), 4)
+
+
+@query("save_model", RUN_SQL + f"SELECT p_partkey, {R('a + b * p_size', 4)} AS prediction FROM part, m")
+def q_save_model(spark, sf):
+    """The stored stages, loaded again, score the whole table."""
+    from pyspark.ml import PipelineModel
+
+    st = run_store(spark, sf)
+    path = st.runs().where(F.col("job_id") == "run00001").first()["model_path"]
+    return rounded(PipelineModel.load(path).transform(st.load("part0001")).select("p_partkey", "prediction"), 4)
+
+
+@query("numeric_columns", """SELECT column_name FROM (DESCRIBE part)
+  WHERE column_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT', 'DOUBLE', 'FLOAT')""")
+def q_numeric_columns(spark, sf):
+    from tabforge.operators.explore import numeric_columns_of
+
+    return spark.createDataFrame([(c,) for c in numeric_columns_of(scan_parquet(spark, f"{sf}/part.parquet"))], "column_name string")
+
+
+@query("prediction_columns", RUN_SQL + f"""SELECT t.position, t.name FROM (SELECT count(*) AS n FROM p),
+  (VALUES (0, 'p_size'), (1, 'actual'), (2, 'predicted'), (3, 'residual')) AS t(position, name) WHERE n > 0""")
+def q_prediction_columns(spark, sf):
+    from tabforge.operators.explore import prediction_columns
+
+    st = run_store(spark, sf)
+    r = st.get_run("run00001")
+    offered = prediction_columns(r["feature_columns"], r["is_classifier"])
+    have = st.predictions("run00001").columns
+    return spark.createDataFrame([(i, c) for i, c in enumerate(offered) if c in have], "position int, name string")

@@ -186,6 +186,14 @@ def q_histogram_open(spark, sf):
     return rounded(ex.histogram(events(spark, sf), "value", closed_last=False), 6)
 
 
+@query("histogram_inf", _hist_sql(True))
+def q_histogram_inf(spark, sf):
+    """Infinite values are no part of the range and are not counted."""
+    ev = events(spark, sf).select("value")
+    far = ev.select(F.lit(float("inf")).alias("value")).union(ev.select(F.lit(float("-inf")).alias("value")))
+    return rounded(ex.histogram(ev.union(far), "value"), 6)
+
+
 @query("scatter_sample", """SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, value AS x, user_id AS y,
   event_type AS c FROM events ORDER BY event_id LIMIT 400""")
 def q_scatter_sample(spark, sf):

@@ -222,6 +222,41 @@ def q_rfe(spark, sf):
                                  "feature string, ranking int, selected boolean")
 
 
+@query("rfe_pair", f"""WITH c AS (SELECT covar_pop(l_quantity, l_quantity) AS aa, covar_pop(l_discount, l_discount) AS bb,
+  covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay,
+  covar_pop(l_discount, l_extendedprice) AS by_ FROM lineitem),
+w AS (SELECT abs((ay * bb - by_ * ab) / (aa * bb - ab * ab)) AS a, abs((by_ * aa - ay * ab) / (aa * bb - ab * ab)) AS b FROM c)
+SELECT 'l_quantity' AS feature, CASE WHEN a >= b THEN 1 ELSE 2 END AS ranking, a >= b AS selected FROM w UNION ALL
+SELECT 'l_discount', CASE WHEN a >= b THEN 2 ELSE 1 END, a < b FROM w""")
+def q_rfe_pair(spark, sf):
+    """Of two features the one with the smaller least-squares coefficient goes."""
+    feats = ["l_quantity", "l_discount"]
+    model, _ = _fit_transform(fs.RFE(estimator="LinearRegression", n_features_to_select=1), lineitem(spark, sf), feats,
+                              label="l_extendedprice")
+    ranking, kept = model.feature_state()["ranking"], set(model.output_columns())
+    return spark.createDataFrame([(c, int(ranking[c]), c in kept) for c in feats], "feature string, ranking int, selected boolean")
+
+
+def _anova_sql(cols: dict[str, str]) -> str:
+    one = []
+    for name, e in cols.items():
+        one.append(f"""SELECT '{name}' AS feature, {R("(b - s * s / n) / (g - 1) / ((q - b) / (n - g))", 4)} AS score FROM (
+  SELECT sum(n) AS n, count(*) AS g, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM (
+    SELECT l_returnflag, count(v) AS n, sum(v) AS s, sum(v * v) AS q FROM (SELECT l_returnflag, {e} AS v FROM lineitem)
+    WHERE v IS NOT NULL GROUP BY l_returnflag))""")
+    return "\nUNION ALL\n".join(one)
+
+
+@query("select_k_best_nulls", _anova_sql({"half": "CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice END", "whole": "l_quantity"}))
+def q_select_k_best_nulls(spark, sf):
+    """The F statistic of a feature counts the rows where it has a value."""
+    df = lineitem(spark, sf).withColumns({"half": F.when(F.col("l_linenumber") % 2 == 0, F.col("l_extendedprice")),
+                                          "whole": F.col("l_quantity")})
+    model, _ = _fit_transform(fs.SelectKBest(k=1), df, ["half", "whole"], label="l_returnflag")
+    return rounded(spark.createDataFrame([(c, float(v)) for c, v in model.feature_state()["scores"].items()],
+                                         "feature string, score double"), 4)
+
+
 @query("select_k_best_regression", "WITH f AS (" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, corr({c}, l_extendedprice) AS r, count(*) AS n FROM lineitem" for c in LI_FEATS[:1]
     + ["l_discount", "l_tax"]) + ") SELECT feature, " + R("r * r / (1 - r * r) * (n - 2)", 6) + " AS score, "
@@ -240,7 +275,7 @@ def q_select_k_best_regression(spark, sf):
   CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS hot_index,
   CAST(count(*) OVER () AS INTEGER) AS width FROM customer""")
 def q_one_hot_encoder_vector(spark, sf):
-    """A vocabulary above the scalar limit (32 here) is encoded as a sparse vector."""
+    """A vocabulary as one sparse vector column, on request."""
     from pyspark.ml.functions import vector_to_array
 
     from tabforge.queries.fixtures import customer

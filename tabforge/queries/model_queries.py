@@ -1,8 +1,10 @@
 """Queries for estimators and training runs (§2.5, §2.6).
 
-Model fits have no SQL oracle (iterative learners) except the exact KNN
-vote and the closed-form linear regression; the others are checked by row
-count here and by quality/determinism tests in ``tests/``.
+Each learner has an oracle where its fit has a closed form, always through
+``train``: linear regression, the exact KNN vote, and trees, boosting and
+logistic regression on one two-valued feature, whose best fit is the rate of
+each value. The runs with default settings on many features are checked by
+row count here and by quality and determinism tests in ``tests/``.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from tabforge.functions.columns import ROW_ID
 from tabforge.plans.training import TrainSpec, train
 from tabforge.queries.registry import R, query, rounded
-from tabforge.sources.scan import load_table
+from tabforge.sources.scan import load_table, scan_parquet
 
 N_EMB = 64
 
@@ -47,9 +49,7 @@ def _preds(run):
 
 @query("rf_classifier")
 def q_rf_classifier(spark, sf):
-    run = _emb_run(spark, sf, [{"name": "RandomForestClassifier", "category": "estimators",
-                                "params": {"n_estimators": "20", "max_depth": "6"}}])
-    return _preds(run)
+    return _preds(_emb_run(spark, sf, [{"name": "RandomForestClassifier", "category": "estimators"}]))
 
 
 @query("gbt_classifier")
@@ -57,8 +57,7 @@ def q_gbt_classifier(spark, sf):
     df = labelled_documents(spark, sf)
     spec = TrainSpec(target_column="quality", feature_columns=["n_chars", "n_words", "n_digits", "lang"],
                      steps=[{"name": "OneHotEncoder", "category": "preprocessing"},
-                            {"name": "GradientBoostingClassifier", "category": "estimators",
-                             "params": {"n_estimators": "10", "max_depth": "3"}}])
+                            {"name": "GradientBoostingClassifier", "category": "estimators"}])
     return _preds(train(df, spec))
 
 
@@ -80,23 +79,12 @@ def q_svm_classifier(spark, sf):
 
 @query("rf_regressor")
 def q_rf_regressor(spark, sf):
-    li = load_table(spark, sf, "lineitem")
-    df = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias(ROW_ID), "l_quantity", "l_discount",
-                   "l_tax", "l_extendedprice")
+    df = scan_parquet(spark, f"{sf}/lineitem.parquet").select(ROW_ID, "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     spec = TrainSpec(target_column="l_extendedprice", feature_columns=["l_quantity", "l_discount", "l_tax"],
-                     steps=[{"name": "RandomForestRegressor", "category": "estimators",
-                             "params": {"n_estimators": "10", "max_depth": "5"}}])
+                     steps=[{"name": "RandomForestRegressor", "category": "estimators"}])
     return _preds(train(df, spec))
 
 
-@query("feature_importance")
-def q_feature_importance(spark, sf):
-    run = _emb_run(spark, sf, [{"name": "VarianceThreshold"},
-                               {"name": "RandomForestClassifier", "category": "estimators",
-                                "params": {"n_estimators": "10", "max_depth": "5"}}])
-    return spark.createDataFrame(run.feature_importance, "feature string, importance double")
-
-
 @query("train_run")
 def q_train_run(spark, sf):
     """A full run: impute -> scale -> polynomial -> select -> PCA -> logistic regression."""
@@ -141,17 +129,101 @@ def q_knn_classifier(spark, sf):
     return rounded(out, 6)
 
 
-@query("linear_regression", f"""SELECT {R("regr_slope(l_extendedprice, l_quantity)", 4)} AS slope,
-  {R("regr_intercept(l_extendedprice, l_quantity)", 4)} AS intercept FROM lineitem""")
+SPLIT_ORDERS = """WITH s AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42'))
+    <= (SELECT ceil(count(*) * 0.2) FROM orders) AS is_test,
+  CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1.0 ELSE 0.0 END AS x,
+  CASE WHEN o_totalprice > 150000 THEN 'high' ELSE 'low' END AS price,
+  CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'first' ELSE 'second' END AS class,
+  CASE WHEN (o_orderpriority IN ('1-URGENT', '2-HIGH')) = (o_orderkey % 4 <> 0) THEN 'low' ELSE 'high' END AS mixed FROM orders),
+g AS (SELECT x, avg(o_totalprice) AS mean, avg(CASE WHEN price = 'low' THEN 1.0 ELSE 0.0 END) AS rate,
+             avg(CASE WHEN mixed = 'low' THEN 1.0 ELSE 0.0 END) AS mixed_rate
+      FROM s WHERE NOT is_test GROUP BY x)
+"""
+
+
+def _two_valued(spark, sf):
+    """orders with one two-valued feature, keyed and ordered by o_orderkey."""
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    return load_table(spark, sf, "orders", order_by="o_orderkey").select(
+        ROW_ID, "o_orderkey", "o_totalprice", F.when(urgent, 1.0).otherwise(0.0).alias("x"),
+        F.when(F.col("o_totalprice") > 150000, "high").otherwise("low").alias("price"),
+        F.when(urgent, "first").otherwise("second").alias("class"),
+        F.when(urgent == (F.col("o_orderkey") % 4 != 0), "low").otherwise("high").alias("mixed"))
+
+
+def _two_valued_run(spark, sf, target: str, name: str, steps=(), **params):
+    spec = TrainSpec(target_column=target, feature_columns=["x"],
+                     steps=[*steps, {"name": name, "category": "estimators", "params": params}])
+    return train(_two_valued(spark, sf), spec).predictions.withColumnRenamed(ROW_ID, "o_orderkey")
+
+
+@query("linear_regression", SPLIT_ORDERS + f"""SELECT o_orderkey, {R("mean", 3)} AS predicted,
+  {R("o_totalprice - mean", 3)} AS residual FROM s JOIN g USING (x) WHERE is_test""")
 def q_linear_regression(spark, sf):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    out = _two_valued_run(spark, sf, "o_totalprice", "LinearRegression")
+    return rounded(out.select("o_orderkey", "predicted", "residual"), 3)
+
+
+@query("train_run_linear", SPLIT_ORDERS + f"""SELECT o_orderkey, {R("mean", 3)} AS predicted FROM s JOIN g USING (x) WHERE is_test""")
+def q_train_run_linear(spark, sf):
+    """A run through every kind of step; none changes the best fit of one feature."""
+    steps = [{"name": "SimpleImputer", "params": {"strategy": "median"}}, {"name": "StandardScaler"},
+             {"name": "MinMaxScaler"}, {"name": "PolynomialFeatures", "params": {"degree": "1"}},
+             {"name": "VarianceThreshold"}, {"name": "SelectKBest", "params": {"k": "1"}},
+             {"name": "PCA", "params": {"n_components": "1"}}]
+    return rounded(_two_valued_run(spark, sf, "o_totalprice", "LinearRegression", steps).select("o_orderkey", "predicted"), 3)
+
+
+@query("rf_regressor_stump", SPLIT_ORDERS + f"SELECT o_orderkey, {R('mean', 4)} AS predicted FROM s JOIN g USING (x) WHERE is_test")
+def q_rf_regressor_stump(spark, sf):
+    out = _two_valued_run(spark, sf, "o_totalprice", "RandomForestRegressor", n_estimators="1", max_depth="1", bootstrap="false")
+    return rounded(out.select("o_orderkey", "predicted"), 4)
+
 
-    li = load_table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
-    data = VectorAssembler(inputCols=["l_quantity"], outputCol="f").transform(li)
-    m = LinearRegression(featuresCol="f", labelCol="l_extendedprice", regParam=0.0, solver="normal").fit(data)
-    return rounded(spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
-                                         "slope double, intercept double"), 4)
+_RATE_SQL = "SELECT o_orderkey, CASE WHEN {p} > 0.5 THEN 'low' ELSE 'high' END AS predicted, {r} AS probability FROM s JOIN g USING (x) WHERE is_test"
+
+
+@query("rf_classifier_stump", SPLIT_ORDERS + _RATE_SQL.format(p="mixed_rate", r=R("mixed_rate", 6)))
+def q_rf_classifier_stump(spark, sf):
+    out = _two_valued_run(spark, sf, "mixed", "RandomForestClassifier", n_estimators="1", max_depth="1", bootstrap="false")
+    return rounded(out.select("o_orderkey", "predicted", "probability"), 6)
+
+
+@query("gbt_classifier_stump", SPLIT_ORDERS + _RATE_SQL.format(p="rate", r=R("1 / (1 + exp(-2 * (2 * rate - 1)))", 6)))
+def q_gbt_classifier_stump(spark, sf):
+    """One round of boosting fits the mean of the signed label; the probability is its logistic at twice the margin."""
+    out = _two_valued_run(spark, sf, "price", "GradientBoostingClassifier", n_estimators="1", max_depth="1")
+    return rounded(out.select("o_orderkey", "predicted", "probability"), 6)
+
+
+@query("logistic_regression_rates", SPLIT_ORDERS + _RATE_SQL.format(p="rate", r=R("rate", 3)))
+def q_logistic_regression_rates(spark, sf):
+    """Practically without penalty the maximum likelihood is the rate of each value."""
+    out = _two_valued_run(spark, sf, "price", "LogisticRegression", C="1e12", tol="1e-12", max_iter="500")
+    return rounded(out.select("o_orderkey", "predicted", "probability"), 3)
+
+
+@query("svm_separable", SPLIT_ORDERS + "SELECT o_orderkey, class AS actual, class AS predicted FROM s WHERE is_test")
+def q_svm_separable(spark, sf):
+    out = _two_valued_run(spark, sf, "class", "SVC", C="10.0", max_iter="20")
+    return out.select("o_orderkey", "actual", "predicted")
+
+
+@query("one_hot_train_wide", """WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42'))
+    <= (SELECT ceil(count(*) * 0.2) FROM orders) AS is_test FROM orders)
+SELECT o_orderkey, CAST(o_orderkey % 300 AS DOUBLE) AS predicted FROM s t WHERE is_test
+  AND EXISTS (SELECT 1 FROM s u WHERE NOT u.is_test AND u.o_orderkey % 300 = t.o_orderkey % 300)""")
+def q_one_hot_train_wide(spark, sf):
+    """A text feature of 300 categories through train(); test rows whose category was trained on."""
+    o = load_table(spark, sf, "orders", order_by="o_orderkey").select(
+        ROW_ID, F.concat(F.lit("it's a `kind`. "), F.col("o_orderkey") % 300).alias("a 'kind'"),
+        (F.col("o_orderkey") % 300).cast("double").alias("y"))
+    spec = TrainSpec(target_column="y", feature_columns=["a 'kind'"],
+                     steps=[{"name": "OneHotEncoder"}, {"name": "LinearRegression", "category": "estimators"}])
+    run = train(o, spec)
+    known = {f["feature"] for f in run.feature_importance}
+    seen = run.predictions.where(F.concat(F.lit("a 'kind'_"), F.col("`a 'kind'`")).isin(*known))
+    return seen.select(F.col(ROW_ID).alias("o_orderkey"), (F.round("predicted", 1) + F.lit(0.0)).alias("predicted"))
 
 
 KNN_DIST_SQL = f"""WITH s AS (
@@ -180,36 +252,3 @@ def q_knn_classifier_distance(spark, sf):
                              "params": {"n_neighbors": "7", "weights": "distance"}}])
     out = train(c, spec).predictions.select(F.col(ROW_ID).alias("c_custkey"), "predicted", "probability")
     return rounded(out, 6)
-
-
-@query("predictions_preview")
-def q_predictions_preview(spark, sf):
-    """The first 200 rows of a run's predictions, in row order."""
-    df = labelled_documents(spark, sf)
-    spec = TrainSpec(target_column="toxic", feature_columns=["n_chars", "n_words", "n_digits"],
-                     steps=[{"name": "RandomForestClassifier", "category": "estimators",
-                             "params": {"n_estimators": "10", "max_depth": "4"}}])
-    run = train(df, spec)
-    rows = run.predictions_preview(200)
-    return spark.createDataFrame(rows, run.predictions.drop(ROW_ID).schema) if rows else \
-        run.predictions.drop(ROW_ID).limit(0)
-
-
-@query("save_model")
-def q_save_model(spark, sf):
-    """Fit, persist the stages as a PipelineModel, load them back and score
-    the whole table with the loaded model."""
-    from pyspark.ml import PipelineModel
-
-    from tabforge.session import scratch_path
-    from tabforge.sources.store import Store
-
-    st = Store(spark, scratch_path(spark, "store"))
-    ds = st.ingest(f"{sf}/part.parquet", dataset_id="part0001")["id"]
-    spec = TrainSpec(target_column="p_retailprice", feature_columns=["p_size"],
-                     steps=[{"name": "PolynomialFeatures", "params": {"degree": "2"}},
-                            {"name": "LinearRegression", "category": "estimators"}], dataset_id=ds)
-    run = st.train(spec, job_id="model001")
-    path = st.runs().where(F.col("job_id") == run.job_id).first()["model_path"]
-    loaded = PipelineModel.load(path)
-    return loaded.transform(st.load(ds)).select("p_partkey", "prediction")

@@ -9,6 +9,7 @@ from tabforge.operators import profile
 from tabforge.plans.cleaning import apply_ops
 from tabforge.queries.fixtures import ORDERS_N_SQL, customer, events, lineitem, orders_n, part
 from tabforge.queries.registry import R, query, rounded
+from tabforge.sources.scan import load_table
 
 W = f"WITH {ORDERS_N_SQL}\n"
 ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "price", "o_orderdate", "priority"]
@@ -325,3 +326,32 @@ def q_cast_many(spark, sf):
                                       ("cast_dtype", {"column": "p_brand", "dtype": "float64"}),
                                       ("cast_dtype", {"column": "p_retailprice", "dtype": "int64"})])
     return out.select("p_partkey", "p_size", "p_brand", "p_retailprice")
+
+
+@query("cast_int32_fail", "SELECT o_orderkey, o_orderkey + 3000000000 AS large, CAST(o_custkey AS INTEGER) AS small FROM orders")
+def q_cast_int32_fail(spark, sf):
+    """A column that 32 bits cannot hold is left as it is."""
+    df = load_table(spark, sf, "orders", order_by="o_orderkey").select(
+        ROW_ID, "o_orderkey", (F.col("o_orderkey") + F.lit(3_000_000_000)).alias("large"), F.col("o_custkey").alias("small"))
+    return apply_ops(df, [{"op": "cast_dtype", "params": {"column": c, "dtype": "int32"}} for c in ("large", "small")]).drop(ROW_ID)
+
+
+@query("filter_eq_bigint", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = (SELECT 7)")
+def q_filter_eq_bigint(spark, sf):
+    """An equality on a 64-bit key reaches the scan (tests/test_verdict.py reads the pushed filter)."""
+    df = load_table(spark, sf, "orders", order_by="o_orderkey")
+    return apply_ops(df, [{"op": "filter_rows", "params": {"column": "o_custkey", "operator": "==", "value": "7"}}]).select(
+        "o_orderkey", "o_custkey")
+
+
+_ODD = {"it's": "o_orderkey", "a.b": "o_totalprice", "c`d": "o_custkey", "e f": "o_orderstatus"}
+
+
+@query("odd_names", "\nUNION ALL\n".join(
+    "SELECT '" + n.replace("'", "''") + f"' AS column_name, count(*) - count({c}) AS null_count, "
+    + (f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max" if c != "o_orderstatus"
+       else "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max") + " FROM orders" for n, c in _ODD.items()))
+def q_odd_names(spark, sf):
+    """A profile over column names with quotes, dots, backticks and blanks."""
+    df = load_table(spark, sf, "orders").select(*[F.col(c).alias(n) for n, c in _ODD.items()])
+    return profile.describe_columns(df).select("column_name", "null_count", "min", "max")

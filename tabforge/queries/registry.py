@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabforge.functions.columns import quoted
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -36,7 +38,7 @@ def rounded(df: DataFrame, digits: int = 6, cols: list[str] | None = None) -> Da
     """Round every double column (or ``cols``) of a result."""
     names = cols if cols is not None else [
         f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.select([rnd(F.col(f"`{c}`"), digits).alias(c) if c in names else F.col(f"`{c}`")
+    return df.select([rnd(quoted(c), digits).alias(c) if c in names else quoted(c)
                       for c in df.columns])
 
 

@@ -26,7 +26,7 @@ from tabforge.functions.coerce import (
     NUMERIC_TEXT,
     TRUE_TOKENS,
 )
-from tabforge.functions.columns import ROW_ID, normalize_nans
+from tabforge.functions.columns import ROW_ID, normalize_nans, quoted
 
 # Above this many files/blocks the offsets table is joined, not broadcast.
 MAX_BROADCAST_OFFSETS = 20_000
@@ -109,17 +109,20 @@ def _dedupe_header(names: list[str]) -> list[str]:
 
 
 def read_csv_text(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """All-string CSV scan with the header de-duplicated like the reference."""
+    """All-string CSV scan with the header de-duplicated. Short rows are
+    filled with missing values; a row longer than the header is an error."""
     opts = {"header": "true", "quote": '"', "escape": '"', "multiLine": str(multiline).lower(),
-            "mode": "FAILFAST", "nullValue": "\u0000__never__"}
-    raw = spark.read.options(**opts).csv(path)
+            "mode": "PERMISSIVE", "nullValue": "\u0000__never__"}
     header = spark.read.options(**{**opts, "header": "false"}).csv(path).first()
     if header is None:
         raise InvalidParameter(f"empty CSV: {path}")
     names = _dedupe_header([str(v) if v is not None else "" for v in header])
-    if len(names) != len(raw.columns):
-        raise InvalidParameter("CSV header does not match its rows")
-    return raw.toDF(*names)
+    # one column more than the header has: rows that fill it are too long
+    schema = ", ".join([*(f"c{i} string" for i in range(len(names))), "more string"])
+    raw = spark.read.schema(schema).options(**opts).csv(path)
+    too_long = F.raise_error(F.lit(f"a row has more than the {len(names)} fields of the header"))
+    first = F.when(F.col("more").isNotNull(), too_long.cast("string")).otherwise(F.col("c0"))
+    return raw.select(*[(first if i == 0 else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def infer_schema(df: DataFrame) -> dict[str, str]:
@@ -132,7 +135,7 @@ def infer_schema(df: DataFrame) -> dict[str, str]:
     cols = [c for c in df.columns if c != ROW_ID]
     aggs = []
     for i, c in enumerate(cols):
-        v = F.col(f"`{c}`")
+        v = quoted(c)
         present = v.isNotNull() & ~v.isin(*NULL_TOKENS)
         aggs += [
             F.count_if(present).alias(f"p{i}"),
@@ -164,9 +167,9 @@ def apply_schema(df: DataFrame, types: dict[str, str]) -> DataFrame:
     out = []
     for c in df.columns:
         if c == ROW_ID or c not in types:
-            out.append(F.col(f"`{c}`"))
+            out.append(quoted(c))
             continue
-        v = F.col(f"`{c}`")
+        v = quoted(c)
         v = F.when(v.isNull() | v.isin(*NULL_TOKENS), F.lit(None)).otherwise(v)
         t = types[c]
         if t == "boolean":
