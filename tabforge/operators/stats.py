@@ -11,8 +11,10 @@ number of distinct values. Here the exact answer is found by narrowing:
    inside it, and verifies that the rank really lies inside (if not, the
    bracket is widened);
 3. when even a sketch bracket would hold too many rows (huge inputs), the
-   bracket is narrowed repeatedly with sketches of the bracket itself;
-   only (value, count) pairs of a small bracket ever reach the driver.
+   bracket is narrowed repeatedly with sketches of the bracket itself.
+
+Running counts over the (value, count) pairs of a small bracket pick the
+wanted ranks in the engine; the driver gets one row per rank.
 
 A value that holds a third of all rows is one (value, count) pair, so
 heavy ties cost nothing. Every step is a partial-aggregating job.
@@ -23,15 +25,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.columns import quoted
 
 DEFAULT_ACCURACY = 2_000
-# Largest number of distinct values per bracket whose counts are collected.
+# Largest number of distinct values per bracket that one window goes through.
 BRACKET_LIMIT = 100_000
-_MAX_ROUNDS = 8
 
 
 @dataclass
@@ -103,63 +104,31 @@ def _narrow(df: DataFrame, cols, targets: list[_Target], accuracy: int) -> None:
         _count_brackets(df, cols, bad)
 
 
-def _collect_brackets(df: DataFrame, cols, targets: list[_Target]) -> None:
+def _resolve(df: DataFrame, cols, targets: list[_Target]) -> list[_Target]:
+    """Find the values at the wanted ranks in one pass over the brackets.
+
+    The (value, count) pairs of a bracket are counted by group, what lies
+    below it is one more pair, and running counts pick the wanted ranks in the
+    engine: one row per rank reaches the driver. Returns the targets whose
+    bracket missed a rank."""
     entries = F.array(*[
         F.when(_in_bracket(cols[t.col], t), F.struct(F.lit(i).alias("t"), cols[t.col].alias("v")))
+        .when(cols[t.col] < F.lit(t.lo), F.struct(F.lit(i).alias("t"), F.lit(-math.inf).alias("v")))
         for i, t in enumerate(targets)
     ])
-    pairs = (df.select(F.explode(entries).alias("e"))
-             .where(F.col("e").isNotNull())
-             .select("e.t", "e.v")
-             .groupBy("t", "v").count())
-    grouped: dict[int, list] = {}
-    for r in pairs.collect():
-        grouped.setdefault(r["t"], []).append((r["v"], r["count"]))
-    for i, t in enumerate(targets):
-        seen = t.below
-        wanted = sorted(set(t.ranks))
-        for v, n in sorted(grouped.get(i, [])):
-            seen += n
-            while wanted and wanted[0] < seen:
-                t.values[wanted.pop(0)] = v
-            if not wanted:
-                break
-
-
-def _collect_with_below(df: DataFrame, cols, targets: list[_Target]) -> list[_Target]:
-    """One pass: per target, the count below its bracket and the (value,
-    count) pairs inside it. Returns the targets whose rank was not inside."""
-    entries = []
-    for i, t in enumerate(targets):
-        c = cols[t.col]
-        entries.append(F.when(_in_bracket(c, t), F.struct(F.lit(i).alias("t"), c.alias("v"), F.lit(False).alias("b")))
-                       .when(c < F.lit(t.lo), F.struct(F.lit(i).alias("t"), F.lit(None).cast("double").alias("v"),
-                                                       F.lit(True).alias("b"))))
-    pairs = (df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
-             .select("e.t", "e.v", "e.b").groupBy("t", "v", "b").count())
-    below: dict[int, int] = {}
-    inside: dict[int, list] = {}
-    for r in pairs.collect():
-        if r["b"]:
-            below[r["t"]] = r["count"]
-        else:
-            inside.setdefault(r["t"], []).append((r["v"], r["count"]))
-    missed = []
-    for i, t in enumerate(targets):
-        t.below = below.get(i, 0)
-        vals = sorted(inside.get(i, []))
-        t.inside = sum(n for _, n in vals)
-        if not (t.below <= t.ranks[0] and t.below + t.inside > t.ranks[1]):
-            missed.append(t)
-            continue
-        seen, wanted = t.below, sorted(set(t.ranks))
-        for v, n in vals:
-            seen += n
-            while wanted and wanted[0] < seen:
-                t.values[wanted.pop(0)] = v
-            if not wanted:
-                break
-    return missed
+    pairs = (df.select(F.explode(entries).alias("e")).where(F.col("e").isNotNull())
+             .select("e.t", "e.v").groupBy("t", "v").count())
+    upto = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = pairs.withColumn("seen", F.sum("count").over(upto))
+    wanted = [(i, r) for i, t in enumerate(targets) for r in sorted(set(t.ranks))]
+    ranks = df.sparkSession.createDataFrame(wanted, "t int, rank long")
+    found = running.join(F.broadcast(ranks), "t").where(
+        (F.col("rank") < F.col("seen")) & (F.col("rank") >= F.col("seen") - F.col("count")))
+    for r in found.select("t", "rank", "v").collect():
+        t = targets[r["t"]]
+        if r["v"] != -math.inf or t.lo == -math.inf:
+            t.values[r["rank"]] = r["v"]
+    return [t for t in targets if any(r not in t.values for r in t.ranks)]
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
@@ -207,21 +176,19 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     small = [t for t in targets if t.distinct <= bracket_limit]
     medium = [t for t in targets if t.distinct > bracket_limit and counts[t.col] * 2 * margin * 4 <= bracket_limit]
     large = [t for t in targets if t not in small and t not in medium]
-    if medium:
-        missed = _collect_with_below(data, ccols, medium)
-        for t in missed:  # the sketch missed its guarantee: fall back to narrowing
-            t.lo, t.hi, t.below, t.inside = -math.inf, math.inf, 0, counts[t.col]
-            large.append(t)
+    # a bracket that the sketch got wrong is searched again from the whole range
+    for t in _resolve(data, ccols, small + medium) if small or medium else []:
+        large.append(t)
     for t in large:
-        if t.lo != -math.inf or t.hi != math.inf:
-            t.lo, t.hi, t.below, t.inside = -math.inf, math.inf, 0, counts[t.col]
-    for _ in range(_MAX_ROUNDS):
-        wide = [t for t in large if t.distinct > bracket_limit]
-        if not wide:
-            break
+        t.lo, t.hi, t.below, t.inside = -math.inf, math.inf, 0, counts[t.col]
+    wide = list(large)
+    while wide:
+        before = [(t.lo, t.hi) for t in wide]
         _narrow(data, ccols, wide, accuracy)
-    if small or large:
-        _collect_brackets(data, ccols, small + large)
+        # ready when small, or when the sketch cannot split it any further
+        wide = [t for t, b in zip(wide, before) if t.distinct > bracket_limit and (t.lo, t.hi) != b]
+    if large:
+        _resolve(data, ccols, large)
 
     out: dict[str, list[float | None]] = {c: [] for c in cols}
     for i, p, ti, frac in plan:
