@@ -32,17 +32,17 @@ import logging
 import time
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabforge.errors import InvalidParameter
 from tabforge.functions.columns import ROW_ID
-from tabforge.session import checkpoint_dir
+from tabforge.session import discard, materialize
 
 _MAX_ROUNDS = 24
+_SETTINGS = ("k int, weights string, features_col string, label_col string, id_col string, n_classes int, "
+             "w array<double>, bucket_rows int")
 log = logging.getLogger(__name__)
 
 
@@ -50,21 +50,6 @@ def _sqdist(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def _prefix_counts(batches):
-    """Per partition: training rows strictly before each row (rows arrive sorted)."""
-    seen = {}
-    for pdf in batches:
-        if pdf.empty:
-            yield pdf.assign(before=pd.Series(dtype="int64"))
-            continue
-        t = pdf["is_train"].to_numpy().astype(np.int64)
-        pid = int(pdf["pid"].iloc[0])
-        start = seen.get(pid, 0)
-        before = np.cumsum(t) - t + start
-        seen[pid] = start + int(t.sum())
-        yield pdf.assign(before=before)
-
-
 class KNNModel:
     def __init__(self, train: DataFrame, k: int, weights: str, features_col: str, label_col: str,
                  id_col: str, n_classes: int, w: list[float], bucket_rows: int):
@@ -75,9 +60,9 @@ class KNNModel:
     def neighbours(self, test: DataFrame) -> DataFrame:
         """(qid, tid, label, dist2) of the exact k nearest training rows."""
         spark = test.sparkSession
-        checkpoint_dir(spark)
         t0 = time.perf_counter()
         k, S = self.k, self.S
+        scratch: list[DataFrame] = []
         w = F.array(*[F.lit(float(v)) for v in self.w])
         u_of = lambda x: F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -91,21 +76,22 @@ class KNNModel:
         ordered = (union.repartitionByRange(n_parts, "u", "is_train", "id")
                    .sortWithinPartitions("u", "is_train", "id")
                    .withColumn("pid", F.spark_partition_id()))
-        schema = T.StructType(list(ordered.schema.fields) + [T.StructField("before", T.LongType())])
-        # materialize once: offsets and ranks must come from the same partitioning
-        counted = ordered.mapInPandas(_prefix_counts, schema).checkpoint()
-        # offsets: one row per partition
-        totals = sorted((r["pid"], r["n"]) for r in
-                        counted.groupBy("pid").agg(F.sum("is_train").alias("n")).collect())
-        offs, acc = {}, 0
-        for pid, n in totals:
-            offs[pid] = acc
-            acc += int(n)
-        n_train = acc
+        # training rows before each row: a running count within the partition
+        # plus the totals of the partitions before it (one row per partition).
+        # Materialised, as counts and ranks must come from the same partitioning.
+        upto = Window.partitionBy("pid").orderBy("u", "is_train", "id").rowsBetween(Window.unboundedPreceding, -1)
+        counted = materialize(ordered, "knn-ranked")
+        scratch.append(counted)
+        totals = counted.groupBy("pid").agg(F.sum("is_train").alias("n"))
+        earlier = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select("pid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("off"))
+        n_train = int(totals.agg(F.sum("n")).first()[0] or 0)
         log.info("knn: ranked %d training rows in %.2fs", n_train, time.perf_counter() - t0)
-        off_map = F.create_map(*[x for pid, o in offs.items() for x in (F.lit(pid), F.lit(o))])
-        ranked = counted.select("id", "x", "u", "y", "is_train",
-                                (off_map[F.col("pid")] + F.col("before")).alias("pos"))
+        ranked = (counted.withColumn("before", F.coalesce(F.sum("is_train").over(upto), F.lit(0)))
+                  .join(F.broadcast(offsets), "pid")  # at most n_parts rows
+                  .select("id", "x", "u", "y", "is_train", (F.col("off") + F.col("before")).alias("pos")))
+        ranked = materialize(ranked, "knn-positions")
+        scratch.append(ranked)
         n_buckets = max((n_train + S - 1) // S, 1)
         trains = ranked.where("is_train = 1").select(
             F.col("id").alias("tid"), F.col("x").alias("tx"), F.col("u").alias("tu"), "y",
@@ -132,7 +118,9 @@ class KNNModel:
                     .select("qid", "qu", "blo", "bhi", "half", "home", "tid", "y", "tu",
                             _sqdist(F.col("qx"), F.col("tx")).alias("d2")))
             rn = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "tid"))
-            topk = cand.withColumn("rn", rn).where(F.col("rn") <= k).checkpoint()
+            topk = cand.withColumn("rn", rn).where(F.col("rn") <= k)
+            topk = materialize(topk, "knn-candidates")
+            scratch.append(topk)
             radius = topk.groupBy("qid").agg(F.max("d2").alias("r2"), F.count(F.lit(1)).alias("m"),
                                              F.first("blo").alias("blo"), F.first("bhi").alias("bhi"),
                                              F.first("qu").alias("qu"))
@@ -143,7 +131,8 @@ class KNNModel:
             right_ok = (F.col("bhi") == n_buckets - 1) | (F.col("umax") - F.col("qu") > r)
             full = (F.col("blo") == 0) & (F.col("bhi") == n_buckets - 1)
             status = cover.select("qid", ((left_ok & right_ok & (F.col("m") >= k)) | full).alias("ok"))
-            status = status.checkpoint()
+            status = materialize(status, "knn-status")
+            scratch.append(status)
             ok_ids = status.where("ok").select("qid")
             done_parts.append(topk.join(ok_ids, "qid", "left_semi").select("qid", "tid", "y", "d2"))
             pending = (pending.join(status.where("not ok").select("qid"), "qid", "left_semi")
@@ -158,10 +147,17 @@ class KNNModel:
         out = done_parts[0]
         for p in done_parts[1:]:
             out = out.unionByName(p)
+        # the answer is k rows per test vector; the search's own tables go
+        out = materialize(out, "knn-neighbours")
+        for table in scratch:
+            discard(table)
         return out
 
     def transform(self, test: DataFrame) -> DataFrame:
-        nb = self.neighbours(test)
+        # equal test vectors are searched once, by the smallest of their ids
+        keyed = test.withColumn("__knn_x", vector_to_array(F.col(self.features_col)))
+        first = keyed.groupBy("__knn_x").agg(F.min(self.id_col).alias(self.id_col))
+        nb = self.neighbours(first.withColumn(self.features_col, array_to_vector("__knn_x")))
         if self.weights == "distance":
             d = F.sqrt("d2")
             has_zero = F.min("d2").over(Window.partitionBy("qid")) == 0
@@ -177,9 +173,22 @@ class KNNModel:
             F.map_from_entries(F.collect_list(F.struct(F.col("y").cast("int"), "share"))).alias("pm"))
         nc = max(self.n_classes, 2)
         prob = F.transform(F.sequence(F.lit(0), F.lit(nc - 1)), lambda c: F.coalesce(F.col("pm")[c], F.lit(0.0)))
-        res = probs.select(F.col("qid").alias(self.id_col), "prediction",
-                           array_to_vector(prob).alias("probability"))
-        return test.join(res, self.id_col, "left")
+        res = (probs.select(F.col("qid").alias(self.id_col), "prediction", array_to_vector(prob).alias("probability"))
+               .join(first, self.id_col).drop(self.id_col))
+        return keyed.join(res, "__knn_x", "left").drop("__knn_x")
+
+    # ------------------------------------------------------------ persistence
+    def save(self, path: str) -> None:
+        """The prepared training rows and the settings, as Parquet."""
+        self.train.write.mode("overwrite").parquet(f"{path}/train")
+        row = (self.k, self.weights, self.features_col, self.label_col, self.id_col, self.n_classes, [float(v) for v in self.w], self.S)
+        self.train.sparkSession.createDataFrame([row], _SETTINGS).coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+    @staticmethod
+    def load(spark, path: str) -> "KNNModel":
+        r = spark.read.schema(_SETTINGS).parquet(f"{path}/settings").first()
+        return KNNModel(spark.read.parquet(f"{path}/train"), r.k, r.weights, r.features_col, r.label_col, r.id_col,
+                        r.n_classes, list(r.w), r.bucket_rows)
 
 
 class KNNClassifier:

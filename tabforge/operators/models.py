@@ -11,6 +11,7 @@ Parameter translation (scikit-learn convention -> Spark ML):
 * every learner is seeded with the run's ``random_state``.
 """
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.errors import InvalidParameter, UnknownStep
+from tabforge.operators.features import FeatureModel
 
 MAX_TREE_DEPTH = 30
 
@@ -85,23 +87,27 @@ def _depth(params, default):
     return d
 
 
-class RandomFourierFeatures:
+class RandomFourierFeatures(FeatureModel):
     """RBF-kernel feature map z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma),
     b ~ U(0, 2 pi) (Rahimi & Recht, 2007). Applied per Arrow batch with
     numpy (a vectorized pandas UDF), so a linear learner on z approximates
-    a kernel machine."""
+    a kernel machine. W and b follow from the stored seed and shape."""
 
-    def __init__(self, input_col: str, output_col: str, d_in: int, n_components: int, gamma: float, seed: int):
-        rng = np.random.default_rng(seed)
-        self.W = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_components, d_in))
-        self.b = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
-        self.scale = math.sqrt(2.0 / n_components)
-        self.input_col, self.output_col = input_col, output_col
+    @staticmethod
+    def of(input_col: str, output_col: str, d_in: int, n_components: int, gamma: float, seed: int):
+        m = RandomFourierFeatures()
+        m._set(featureCols=[input_col], outputCols=[output_col],
+               state=json.dumps({"d": d_in, "n": n_components, "gamma": gamma, "seed": seed}))
+        return m
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def _transform(self, df: DataFrame) -> DataFrame:
         import pandas as pd
 
-        W, b, scale = self.W, self.b, self.scale
+        st = self.feature_state()
+        rng = np.random.default_rng(st["seed"])
+        W = rng.normal(0.0, math.sqrt(2.0 * st["gamma"]), size=(st["n"], st["d"]))
+        b = rng.uniform(0.0, 2.0 * math.pi, size=st["n"])
+        scale = math.sqrt(2.0 / st["n"])
 
         @F.pandas_udf("array<double>")
         def rff(col: pd.Series) -> pd.Series:
@@ -109,7 +115,8 @@ class RandomFourierFeatures:
             Z = scale * np.cos(X @ W.T + b)
             return pd.Series(list(Z))
 
-        return df.withColumn(self.output_col, array_to_vector(rff(vector_to_array(F.col(self.input_col)))))
+        (source,), (out,) = self.getOrDefault(self.featureCols), self.getOrDefault(self.outputCols)
+        return df.withColumn(out, array_to_vector(rff(vector_to_array(F.col(source)))))
 
 
 def fit_estimator(name: str, params: dict, train: DataFrame, features: str, label: str,
@@ -168,7 +175,7 @@ def fit_estimator(name: str, params: dict, train: DataFrame, features: str, labe
                 var = float(np.mean(row["v"].toArray() + row["m"].toArray() ** 2) -
                             np.mean(row["m"].toArray()) ** 2) if n_features else 1.0
                 gamma = 1.0 / (n_features * var) if var > 0 else 1.0
-            pre = RandomFourierFeatures(features, "__rff", n_features, _int(params, "n_components", 200),
+            pre = RandomFourierFeatures.of(features, "__rff", n_features, _int(params, "n_components", 200),
                                         float(gamma), seed)
             col = "__rff"
         elif kernel == "poly":

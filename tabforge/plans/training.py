@@ -205,8 +205,6 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
     _require_target(source, target)
     data, labels = _encode_target(source, target, is_clf)
     mark("target encoding")
-    # keep the untouched features for the predictions table
-    data = data.select("*", *[quoted(c).alias(_ORIG + c) for c in feats])
     train_df, test_df, n_rows = split_counted(data, spec.test_size, spec.random_state)
     n_test = int(math.ceil(float(spec.test_size) * n_rows))
     train_df, test_df = _spread(train_df, n_rows - n_test, len(feats)), _spread(test_df, n_test, len(feats))
@@ -238,7 +236,8 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
         fitted = fit_estimator(est_step.name, est_step.params, fit_data, _FEATURES, _LABEL,
                                len(labels or []), spec.random_state, len(final), n_rows - n_test)
         mark(f"estimator {est_step.name}")
-        scored = test_df
+        # the test rows keep their untouched features for the predictions table
+        scored = test_df.select("*", *[quoted(c).alias(_ORIG + c) for c in feats])
         for m in stages[:-1]:
             scored = m.transform(scored)
         scored = fitted.transform(assembler.transform(scored))

@@ -219,11 +219,8 @@ def q_feature_importance(spark, sf):
 @query("save_model", RUN_SQL + f"SELECT p_partkey, {R('a + b * p_size', 4)} AS prediction FROM part, m")
 def q_save_model(spark, sf):
     """The stored stages, loaded again, score the whole table."""
-    from pyspark.ml import PipelineModel
-
     st = run_store(spark, sf)
-    path = st.runs().where(F.col("job_id") == "run00001").first()["model_path"]
-    return rounded(PipelineModel.load(path).transform(st.load("part0001")).select("p_partkey", "prediction"), 4)
+    return rounded(st.score("run00001", st.load("part0001")).select("p_partkey", "prediction"), 4)
 
 
 @query("numeric_columns", """SELECT column_name FROM (DESCRIBE part)

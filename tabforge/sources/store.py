@@ -37,7 +37,8 @@ DATASETS_SCHEMA = ("id string, name string, type string, path string, n_rows big
 HISTORY_SCHEMA = "clean_id string, source_id string, ops string, created_at timestamp"
 RUNS_SCHEMA = ("job_id string, dataset_id string, target_column string, is_classifier boolean, "
                "metrics string, feature_importance string, feature_columns array<string>, steps string, "
-               "column_names array<string>, predictions_path string, model_path string, created_at timestamp")
+               "column_names array<string>, predictions_path string, model_path string, labels string, "
+               "created_at timestamp")
 
 SUPPORTED = (".csv", ".parquet")
 
@@ -181,26 +182,42 @@ class Store:
             result.job_id, result.dataset_id, result.target_column, result.is_classifier,
             json.dumps(result.metrics, default=float), json.dumps(result.feature_importance),
             result.feature_columns, json.dumps(result.steps, default=str), result.column_names,
-            preds, model_path, _dt.datetime.now())])
+            preds, model_path, json.dumps(result.labels, default=str), _dt.datetime.now())])
 
-    def save_model(self, result, path: str) -> str | None:
-        """Persist the fitted stages as a PipelineModel when every stage is
-        writable (Spark ML + our feature models); None otherwise."""
+    def save_model(self, result, path: str) -> str:
+        """Persist the fitted stages: Spark ML stages as a PipelineModel,
+        nearest neighbours as their prepared training rows beside it."""
         from pyspark.ml import PipelineModel
-        from pyspark.ml.util import MLWritable
+
+        from tabforge.operators.knn import KNNModel
 
         fitted = result.stages[-1]
-        stages = list(result.stages[:-1])
-        if fitted.pre is not None:
-            if not isinstance(fitted.pre, MLWritable):
-                return None
-            stages.append(fitted.pre)
-        stages.append(fitted.model)
-        if not all(isinstance(s, MLWritable) for s in stages):
-            return None
+        stages = [*result.stages[:-1], *([fitted.pre] if fitted.pre is not None else [])]
+        if isinstance(fitted.model, KNNModel):
+            fitted.model.save(f"{path}-neighbours")
+        else:
+            stages.append(fitted.model)
         PipelineModel(stages=stages).write().overwrite().save(path)
         return path
 
+    def score(self, job_id: str, df: DataFrame) -> DataFrame:
+        """``df`` with the stored model's ``prediction`` and, for a
+        classifier, the class it names in ``predicted``."""
+        from pyspark.ml import PipelineModel
+
+        from tabforge.operators.knn import KNNModel
+
+        rows = self.runs().where(F.col("job_id") == job_id).limit(1).collect()
+        if not rows:
+            raise RunNotFound(job_id)
+        out = PipelineModel.load(rows[0]["model_path"]).transform(df)
+        if self._exists(f"{rows[0]['model_path']}-neighbours"):
+            out = KNNModel.load(self.spark, f"{rows[0]['model_path']}-neighbours").transform(out)
+        labels = json.loads(rows[0]["labels"] or "null")
+        if rows[0]["is_classifier"] and labels:
+            out = out.withColumn("predicted", F.element_at(F.lit(labels), F.col("prediction").cast("int") + 1))
+        return out
+
     def list_runs(self) -> DataFrame:
         return self.runs().select("job_id", "dataset_id", "target_column", "is_classifier", "metrics")
 
