@@ -25,6 +25,7 @@ from tabforge.operators.clean import (
     fill_with_stats,
 )
 from tabforge.operators.profile import PREVIEW_ROWS, null_count_exprs, preview_head
+from tabforge.session import materialize
 
 
 @dataclass(frozen=True)
@@ -67,13 +68,33 @@ def _cast_op(op: CleanOp, df: DataFrame):
     return None
 
 
+def _needs_data(op: CleanOp) -> bool:
+    """Whether the op reads the data to be planned (a statistic, a validity count)."""
+    if op.op == "fill_missing":
+        return op.params.get("strategy", "mean") != "constant"
+    return op.op == "cast_dtype"
+
+
 def apply_ops(df: DataFrame, ops, strict: bool = False,
               reports: list[OpReport] | None = None) -> DataFrame:
-    """Fold ops left to right. Unknown op names raise."""
+    """Fold ops left to right. Unknown op names raise.
+
+    An op that reads the data after one that shuffles it (de-duplication)
+    would repeat the shuffle in each of its passes and in the result, so
+    the prefix is written to the shared scratch folder once.
+    """
+    return _fold(df, ops, strict, reports)[0]
+
+
+def _fold(df: DataFrame, ops, strict: bool, reports: list[OpReport] | None) -> tuple[DataFrame, bool]:
+    """(result, whether its plan ends in a shuffle that a second read would repeat)"""
     ctx = OpContext(strict=strict)
     ops = [CleanOp.of(o) for o in ops]
-    i = 0
+    i, shuffled = 0, False
     while i < len(ops):
+        if shuffled and _needs_data(ops[i]):
+            df, shuffled = materialize(df, "clean-prefix"), False
+        shuffled = shuffled or ops[i].op == "drop_duplicates"
         first = _stat_fill(ops[i], df)
         if first is not None:
             strategy, cols = first[0], [first[1]]
@@ -111,7 +132,7 @@ def apply_ops(df: DataFrame, ops, strict: bool = False,
         i += 1
     if reports is not None:
         reports.extend(ctx.reports)
-    return df
+    return df, shuffled
 
 
 def preview_clean(df: DataFrame, ops, preview_rows: int = PREVIEW_ROWS) -> dict:
@@ -119,7 +140,9 @@ def preview_clean(df: DataFrame, ops, preview_rows: int = PREVIEW_ROWS) -> dict:
     original_rows = df.count()
     original_cols = len(user_columns(df))
     reports: list[OpReport] = []
-    out = apply_ops(df, ops, reports=reports)
+    out, shuffled = _fold(df, ops, False, reports)
+    if shuffled:  # read for the counts and for the preview
+        out = materialize(out, "clean-preview")
     cols = user_columns(out)
     row = out.agg(F.count(F.lit(1)).alias("__rows"), *null_count_exprs(out)).first()
     return {

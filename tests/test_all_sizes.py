@@ -165,3 +165,20 @@ def test_registered_steps_can_be_used(spark):
         assert run.feature_importance[0]["importance"] == pytest.approx(1.0)
     finally:
         fs.STEP_CLASSES.pop("Doubler")
+
+
+def test_prefix_of_a_statistic_is_computed_once(spark):
+    df = frame(spark).withColumn("x", F.when(F.col("_row_id") % 4 != 0, F.col("x")))
+    ops = [{"op": "drop_duplicates", "params": {"subset": ["line", "y"]}},
+           {"op": "fill_missing", "params": {"column": "x", "strategy": "median"}}]
+    out = apply_ops(df, ops)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # the de-duplicated prefix is read, not computed again
+    values = sorted(r.x for r in out.collect())
+    kept = {}
+    for r in df.orderBy("_row_id").collect():
+        kept.setdefault((r.line, r.y), r.x)
+    known = sorted(v for v in kept.values() if v is not None)
+    half = len(known) // 2
+    median = known[half] if len(known) % 2 else (known[half - 1] + known[half]) / 2
+    assert values == sorted(median if v is None else v for v in kept.values())
