@@ -110,7 +110,21 @@ def op3_rlz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse(table(spark, sf_dir, "documents"), with_text=False)
 
 
-@query("op8_interval_tree")
+@query("op8_interval_tree", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM d),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS byte,
+             CASE WHEN i + 100 <= length(h) // 2 THEN substr(h, 2 * i + 1, 200) END AS win FROM b),
+f AS (SELECT doc_id, i, byte, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM w),
+c AS (SELECT doc_id, i, byte, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone
+      FROM f),
+e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c),
+k AS (SELECT doc_id, count(*) AS n_bytes, sum(gone) AS n_removed, count_if(gone = 1 AND before = 0) AS n_spans,
+             string_agg(CASE WHEN gone = 0 THEN byte END, '' ORDER BY i) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(from_hex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+""")
 def op8_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
 
