@@ -143,6 +143,58 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(docs, docs.join(good, "doc_id"), keep=0.85)
 
 
-@query("op2_quotation_linking")
+# Quote levels, passages and the units they can come from, line by line; then
+# parents (recursively, for the depth) and places by turn.
+QUOTES_SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT rid, conv_id, turn, unnest(string_split(text, chr(10))) AS line,
+             unnest(range(len(string_split(text, chr(10))))) AS i FROM m WHERE contains(text, '>')),
+v AS (SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]*)+)', 1), '[^>]', '', 'g')) AS level,
+             regexp_replace(line, '^[ \t]*(?:>[ \t]*)+', '') AS body FROM l),
+n AS (SELECT *, lead(level, 1, 0) OVER w AS after, lag(level, 1, 0) OVER w AS before FROM v WINDOW w AS (PARTITION BY rid ORDER BY i)),
+o AS (SELECT rid, max(level) AS top, trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (
+        after > 0 AND regexp_matches(body, '^.*\b(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$'))), ''), chr(10)) AS own
+      FROM n GROUP BY rid),
+t AS (SELECT m.rid, conv_id, turn, role, CASE WHEN top > 0 THEN own ELSE text END AS text FROM m LEFT JOIN o USING (rid)),
+g AS (SELECT *, sum((level <> before)::INT) OVER (PARTITION BY rid ORDER BY i) AS grp FROM n),
+p AS (SELECT rid, conv_id, turn, grp, max(level) AS level, string_agg(body, ' ' ORDER BY i) AS whole,
+             arg_max(body, length(trim(regexp_replace(body, '\s+', ' ', 'g'))) * 100000 - i) AS longest
+      FROM g WHERE level > 0 GROUP BY rid, conv_id, turn, grp),
+u AS (SELECT rid, conv_id, turn, text AS unit FROM t UNION ALL
+      SELECT rid, conv_id, turn, unnest(regexp_split_to_array(text, '\n[ \t]*\n')) FROM t UNION ALL
+      SELECT rid, conv_id, turn, unnest(string_split(text, chr(10))) FROM t),
+un AS (SELECT DISTINCT conv_id, turn, lower(trim(regexp_replace(unit, '\s+', ' ', 'g'))) AS k FROM u),
+a AS (SELECT rid, conv_id, turn, grp, level, 0 AS nth, lower(trim(regexp_replace(whole, '\s+', ' ', 'g'))) AS k FROM p UNION ALL
+      SELECT rid, conv_id, turn, grp, level, 1, lower(trim(regexp_replace(longest, '\s+', ' ', 'g'))) FROM p),
+held AS (SELECT conv_id, k, min(turn) AS turn FROM un WHERE k <> '' GROUP BY conv_id, k),
+f AS (SELECT a.*, h.conv_id AS o_conv, h.turn AS o_turn,
+             CASE WHEN h.conv_id IS NOT DISTINCT FROM a.conv_id THEN 0 ELSE 1 END AS far
+      FROM a JOIN held h USING (k) WHERE (h.conv_id IS NOT DISTINCT FROM a.conv_id AND h.turn < a.turn)
+         OR (h.conv_id IS DISTINCT FROM a.conv_id AND NOT EXISTS (SELECT 1 FROM held e WHERE e.k = a.k
+             AND (e.conv_id < h.conv_id OR (e.conv_id IS NULL AND h.conv_id IS NOT NULL))))),
+links AS (SELECT conv_id, turn, rid, grp, max(level) AS level, arg_min(o_conv, far * 10 + nth) AS o_conv,
+                 arg_min(o_turn, far * 10 + nth) AS o_turn, min(far) AS far FROM f GROUP BY conv_id, turn, rid, grp),
+node AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST) - 1 AS position
+         FROM (SELECT DISTINCT conv_id, turn FROM m)),
+reply AS (SELECT conv_id, turn, max(o_turn) AS reply FROM links WHERE level = 1 AND far = 0 GROUP BY conv_id, turn),
+parent AS (SELECT node.conv_id, node.turn, node.position, CASE WHEN node.position > 0 THEN coalesce(q.position, node.position - 1) END AS up
+           FROM node LEFT JOIN reply r ON r.conv_id IS NOT DISTINCT FROM node.conv_id AND r.turn IS NOT DISTINCT FROM node.turn
+           LEFT JOIN node q ON q.conv_id IS NOT DISTINCT FROM node.conv_id AND q.turn = r.reply),
+depth AS (SELECT conv_id, position, 0 AS depth FROM parent WHERE up IS NULL UNION ALL
+          SELECT c.conv_id, c.position, d.depth + 1 FROM parent c JOIN depth d
+          ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.up = d.position),
+linked AS (SELECT conv_id, turn, count(*) AS n_linked FROM links GROUP BY conv_id, turn),
+quoted AS (SELECT rid, count(*) AS n_quotes FROM p GROUP BY rid)
+SELECT t.conv_id, t.turn, t.role, x.position, y.turn AS reply_to, d.depth::BIGINT AS depth,
+       coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked, t.text
+FROM t JOIN parent x ON x.conv_id IS NOT DISTINCT FROM t.conv_id AND x.turn IS NOT DISTINCT FROM t.turn
+JOIN depth d ON d.conv_id IS NOT DISTINCT FROM x.conv_id AND d.position = x.position
+LEFT JOIN parent y ON y.conv_id IS NOT DISTINCT FROM x.conv_id AND y.position = x.up
+LEFT JOIN linked k ON k.conv_id IS NOT DISTINCT FROM t.conv_id AND k.turn IS NOT DISTINCT FROM t.turn
+LEFT JOIN quoted q ON q.rid = t.rid
+"""
+
+
+@query("op2_quotation_linking", QUOTES_SQL)
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_order(table(spark, sf_dir, "conversations"))

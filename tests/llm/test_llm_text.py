@@ -211,6 +211,19 @@ def test_quotes_are_linked_and_removed(spark):
     assert reply_order(frame.limit(0)).count() == 0
 
 
+def test_quotes_match_their_sql():
+    import duckdb
+
+    from tabforge.llm.queries import QUOTES_SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(m) for m in MESSAGES])
+    got = {(r[0], r[1], r[8]): r[3:8] for r in con.sql(QUOTES_SQL).fetchall()}
+    assert got[(1, 3, "yes")] == (3, 0, 1, 2, 1) and got[(2, 1, "from elsewhere")] == (1, 0, 1, 1, 1)
+    assert len(got) == len(MESSAGES)
+
+
 def test_quote_levels():
     assert parse("> > two\n>one\nown") == ("own", [(2, "two"), (1, "one")])
     assert parse("1 > 0") == ("1 > 0", [])
