@@ -129,10 +129,11 @@ def nearest(vectors: DataFrame, query_filter, id_col: str = "vec_id", vec_col: s
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = shapes[0].dim
     v = v.filter(F.size("v") == dim)
-    # one item per distinct vector, with the ids that can be among any k nearest
-    some = v.distinct().groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(
-        F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    items = materialize(some.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    # one item per distinct vector, with the ids that can be among any k nearest;
+    # the limit on the row number is applied before the shuffle as well
+    first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    items = materialize(v.distinct().withColumn("n", first).filter(F.col("n") <= k + 1)
+                        .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
                         .withColumn("item", F.col("ids")[0]), "polytope-items")
     shape = Tables(dim, items.count(), tables, probes, occupancy)
 
