@@ -300,15 +300,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(float(fitted.intercept), {f: float(w[i]) for f, i in number.items() if w[i]}, {})
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    **options) -> DataFrame:
     """doc_id, held_out, score, predicted per row of ``docs``."""
-    model = fit(docs, labels, **options)
-    scored = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"),
-                         model.scorer(docs.sparkSession)("text").alias("score"))
+    model = fit(docs, labels, id_col, text_col, **options)
+    scored = docs.select(F.col(id_col).alias("doc_id"), is_held_out(F.col(id_col)).alias("held_out"),
+                         model.scorer(docs.sparkSession)(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic, all columns kept."""
-    model = fit(docs, labels)
-    return docs.filter(model.scorer(docs.sparkSession)("text") < 0.5)
+    model = fit(docs, labels, id_col, text_col)
+    return docs.filter(model.scorer(docs.sparkSession)(F.col(text_col)) < 0.5)
