@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MEMO_WORDS = 200_000
-MEMO_PAIRS = 200_000
+MEMO_WORDS = 150_000
+MEMO_PAIRS = 150_000
 MEMO_LENGTH = 64
 
 
@@ -82,6 +82,7 @@ class PieceEncoder:
         automaton.make_automaton()
         self.automaton = automaton
         self.pieces = {i: p for p, i in self.ids.items()}
+        self.digits = _Digits(self.byte0, {p: str(i) for p, i in self.ids.items()})
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo = _Memo(self, SPACE)
         self.tails = _Memo(self, "")
@@ -126,20 +127,21 @@ class PieceEncoder:
 
     def tokens(self, s: str) -> list[str]:
         """The pieces of a string that holds at most one space mark, in front."""
-        n = len(s)
-        ending: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(s):
-            if piece is not None:
-                ending[end].append(piece)
+        n, pairs = len(s), self.pairs
         last: list[str] = []
-        for end in range(n):
-            for piece in ending[end]:
-                start = end - len(piece)
-                if start < 0 or self.compatible(last[start], piece):
-                    last.append(piece)
-                    break
-            else:
-                last.append(s[end])
+        for end, piece in self.automaton.iter(s):  # by end
+            if piece is None or len(last) > end:
+                continue  # the last token of this prefix is known
+            while len(last) < end:
+                last.append(s[len(last)])  # no piece fits: a single character
+            start = end - len(piece)
+            if start < 0:
+                last.append(piece)
+                continue
+            fits = pairs.get((last[start], piece))
+            if self.compatible(last[start], piece) if fits is None else fits:
+                last.append(piece)
+        last.extend(s[len(last):])
         out, end = [], n - 1
         while end >= 0:
             out.append(last[end])
@@ -231,6 +233,12 @@ class PieceEncoder:
             out.append(self.entry(self._spaces(run)))
         return out
 
+    def spelled(self, tokens: list[str]) -> tuple[str, str]:
+        """``entry`` of the ids of ``tokens``, from the pieces: their ids as
+        text, and their texts laid end to end (the byte ids of a character
+        spell that character)."""
+        return ",".join([self.digits[t] for t in tokens]), "".join(tokens).replace(SPACE, " ")
+
     def entry(self, ids: list[int]) -> tuple[str, str]:
         return ",".join(map(str, ids)), self.pieces_text(ids)
 
@@ -238,6 +246,17 @@ class PieceEncoder:
         return [int(i) for ids, _ in self.encode_words(text) for i in ids.split(",")]
 
 
+class _Digits(dict):
+    """piece -> its id in decimal; a character without one -> its byte ids joined by commas."""
+
+    def __init__(self, byte0: int, known: dict[str, str]):
+        super().__init__(known)
+        self.byte0 = byte0
+
+    def __missing__(self, piece: str) -> str:
+        return ",".join(str(self.byte0 + b) for b in piece.encode())
+
+
 class _Memo(dict):
     """word -> (ids, decoded), filled on demand and emptied when full."""
 
@@ -254,7 +273,7 @@ class _Memo(dict):
             for p in parts[1:]:
                 found += [(line, "\n"), e.tails[p] if p else ("", "")]
             return ",".join(i for i, _ in found if i), "".join(t for _, t in found)
-        value = e.entry(e.ids_of(e.tokens(self.prefix + word)))
+        value = e.spelled(e.tokens(self.prefix + word))
         if len(word) <= MEMO_LENGTH:
             if len(self) >= MEMO_WORDS:
                 self.clear()
