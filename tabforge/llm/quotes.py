@@ -33,7 +33,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import discard, materialize, running_totals
+from tabforge.llm.common import materialize, running_totals
 
 MARK = re.compile(r"[ \t]*((?:>[ \t]*)+)(.*)", re.S)
 ANNOUNCE = re.compile(r".*\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$")
@@ -153,17 +153,17 @@ def reply_order(messages: DataFrame) -> DataFrame:
     nodes = nodes.join(by_turn, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("reply") == F.col("p_turn")), "left")
     nodes = materialize(nodes.select("conv_id", "turn", "node", "start", F.when(F.col("node") > F.col("start"),
                         F.coalesce("p_node", F.col("node") - 1)).alias("parent")), "quotes-tree")
-    # depth: each round doubles the reach of every pointer
+    # depth: each round doubles the reach of the pointers that have not arrived
     jump = materialize(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1)
                                     .cast("long").alias("depth")), "quotes-jump")
-    while jump.filter("up IS NOT NULL").limit(1).count():
-        over = jump.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        moved = materialize(jump.join(over, "up", "left").select(
-            "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "quotes-jump")
-        discard(jump)
-        jump = moved
+    arrived, pending = jump.filter("up IS NULL"), jump.filter("up IS NOT NULL")
+    while pending.limit(1).count():
+        over = arrived.unionByName(pending).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        moved = materialize(pending.join(over, "up").select(
+            "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth")), "quotes-jump")
+        arrived, pending = arrived.unionByName(moved.filter("up IS NULL")), moved.filter("up IS NOT NULL")
     names = nodes.select(F.col("node").alias("parent"), F.col("turn").alias("reply_to"))
-    tree = (nodes.join(jump.select("node", "depth"), "node").join(names, "parent", "left")
+    tree = (nodes.join(arrived.select("node", "depth"), "node").join(names, "parent", "left")
             .select(F.col("conv_id").alias("t_conv"), F.col("turn").alias("t_turn"),
                     (F.col("node") - F.col("start")).alias("position"), "reply_to", "depth"))
     linked = links.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked")).toDF("l_conv", "l_turn", "n_linked")
