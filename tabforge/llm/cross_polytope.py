@@ -9,6 +9,14 @@ nearest other ones (multiprobe). All candidates of a bucket are ranked by
 their exact distance on the original vectors, in tasks; only the best of
 each bucket leave it, and the best of all are the result.
 
+How many buckets a query visits follows from the data. The exact neighbours of
+``SAMPLE`` queries are found by one pass over all items; where each of them
+lies in its query's order of buckets tells the probes at which ``RECALL`` of
+them are found, for any number of tables and size of bucket. The cheapest such
+layout is used. Its last resort is one table of which all buckets are visited,
+which is exact, so a table on which hashing does not prune costs more and
+loses nothing.
+
 Equal vectors are one item with the ids that can ever be reported (the
 smallest k + 1), combined before the shuffle, so a vector held by a third of
 all rows is one entry of each table. A bucket above ``UNIT`` items is cut into
@@ -37,10 +45,14 @@ from pyspark.sql import functions as F
 from tabforge.llm.common import materialize
 
 TABLES = 16
-PROBES = 32
-OCCUPANCY = 64
+OCCUPANCY = (64, 256, 1024, 4096)
+RECALL = 0.995  # of the sampled queries' neighbours
+SAMPLE = 128
+MOST_BUCKETS = 1 << 14  # of a table, so that the order of all can be told for a sampled query
 UNIT = 8192
 SEED = 11
+# microseconds of a probed bucket, of a distance and of an entry of a table
+ASK_COST, PAIR_COST, ENTRY_COST = 50.0, 0.04, 5.0
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -105,6 +117,94 @@ class Tables:
         return code
 
 
+    def position(self, unit: np.ndarray, near: np.ndarray, table: int) -> np.ndarray:
+        """How many buckets the query ``unit`` visits before that of each of ``near``."""
+        total, own = np.zeros(1), np.zeros(len(near))
+        for p, held in zip(self.projections(unit[None], table), self.projections(near, table)):
+            lost = (p[0].max() - p[0]) ** 2
+            total, own = (total[:, None] + lost).ravel(), own + lost[held.argmax(axis=1)]
+        # sums in another order differ in the last place
+        return np.searchsorted(np.sort(total), own * (1 + 1e-9) + 1e-12, side="right") - 1
+
+    @property
+    def buckets(self) -> int:
+        return math.prod(2 * a for a in self.axes)
+
+
+def layout(dim: int, n_items: int, n_queries: int, sample: list[tuple[np.ndarray, np.ndarray]], most_tables: int,
+           occupancies: tuple[int, ...] = OCCUPANCY) -> tuple[int, int, int]:
+    """(tables, probes, occupancy) of least cost that find ``RECALL`` of the
+    neighbours of the sampled queries, given as (query, neighbours) of unit vectors."""
+    best = (math.inf, 1, 1, 1)
+    for occupancy in sorted({max(o, math.ceil(n_items / MOST_BUCKETS)) for o in occupancies}):
+        shape = Tables(dim, n_items, 1, 1, occupancy)
+        at = np.full(sum(len(near) for _, near in sample), shape.buckets - 1)
+        for tables in range(1, most_tables + 1):
+            here = [shape.position(query, near, tables - 1) for query, near in sample]
+            at = np.minimum(at, np.concatenate([*here, np.empty(0, at.dtype)]))
+            wanted = max(0, math.ceil(RECALL * len(at)) - 1)
+            probes = int(np.sort(at)[wanted]) + 1 if len(at) else 1
+            # with every bucket of one table more tables add nothing
+            cost = (n_queries * tables * probes * (ASK_COST + PAIR_COST * n_items / shape.buckets)
+                    + n_items * tables * ENTRY_COST)
+            best = min(best, (cost, tables, probes, occupancy))
+        exact = n_queries * shape.buckets * (ASK_COST + PAIR_COST * n_items / shape.buckets) + n_items * ENTRY_COST
+        best = min(best, (exact, 1, shape.buckets, occupancy))
+    return best[1:]
+
+
+def _closest(x: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row of ``asked`` the rows of ``x`` with the k smallest (distance, id), and the distances.
+
+    Products tell which can be among them; those are measured exactly."""
+    size = (x ** 2).sum(axis=1)
+    for lo in range(0, len(asked), 256):
+        part = asked[lo:lo + 256]
+        own = (part ** 2).sum(axis=1)[:, None]
+        rough = size + own - 2 * part @ x.T
+        if len(x) > k:
+            slack = 4e-15 * (x.shape[1] + 8) * (size.max() + own)
+            # what overflows compares as neither, and is measured
+            near = ~(rough > np.partition(rough, k - 1, axis=1)[:, k - 1:k] + slack)
+        else:
+            near = np.ones(rough.shape, dtype=bool)
+        for q, mask in zip(part, near):
+            at = np.flatnonzero(mask)
+            d = np.sqrt(((x[at] - q) ** 2).sum(axis=1))
+            best = np.lexsort((ids[at], d))[:k]
+            yield at[best], d[best]
+
+
+def _sampled(items: DataFrame, asked: list, dim: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The unit vectors of the asked rows, each with those of its k exact neighbours."""
+    matrix = np.array([r.v for r in asked], dtype=np.float64).reshape(-1, dim)
+
+    def nearby(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kept = [(np.empty((0, dim)), np.empty(0, np.int64))] * len(matrix)
+        for batch in batches:
+            if batch.num_rows:
+                x, ids = _matrix(batch.column("v"), dim), batch.column("item").to_numpy()
+                for i, (at, _) in enumerate(_closest(x, ids, matrix, k + 1)):
+                    both, names = np.concatenate([kept[i][0], x[at]]), np.concatenate([kept[i][1], ids[at]])
+                    best, _ = next(_closest(both, names, matrix[i:i + 1], k + 1))
+                    kept[i] = both[best], names[best]
+        for i, (x, ids) in enumerate(kept):
+            d = np.sqrt(((x - matrix[i]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), i, np.int32)), pa.array(d), pa.array(ids), pa.array(list(x), pa.list_(pa.float64()))],
+                names=["asked", "d", "item", "v"])
+
+    found = items.select("item", "v").mapInArrow(nearby, "asked int, d double, item long, v array<double>")
+    order = Window.partitionBy("asked").orderBy("d", "item")
+    found = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).filter("d > 0")
+    near: dict[int, list] = {}
+    for r in found.collect():  # at most SAMPLE * (k + 1) rows
+        near.setdefault(r.asked, []).append(r.v)
+    return [(_unit(matrix[i:i + 1])[0], _unit(np.array(v))) for i, v in sorted(near.items())]
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
@@ -115,9 +215,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, query_filter, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10,
-            tables: int = TABLES, probes: int = PROBES, occupancy: int = OCCUPANCY) -> DataFrame:
+            tables: int = TABLES, probes: int | None = None, occupancy: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row that
-    ``query_filter`` (a condition on column ``vec_id``) selects."""
+    ``query_filter`` (a condition on column ``vec_id``) selects. ``tables`` is
+    the largest number of tables; probes and occupancy follow from the data
+    where they are not given."""
     kind = vectors.select(F.col(vec_col)).schema[0].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v"))
@@ -135,7 +237,13 @@ def nearest(vectors: DataFrame, query_filter, id_col: str = "vec_id", vec_col: s
     items = materialize(v.distinct().withColumn("n", first).filter(F.col("n") <= k + 1)
                         .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
                         .withColumn("item", F.col("ids")[0]), "polytope-items")
-    shape = Tables(dim, items.count(), tables, probes, occupancy)
+    queries, n_items = materialize(v.filter(query_filter).distinct(), "polytope-queries"), items.count()
+    if probes is None or occupancy is None:
+        asked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+        found = layout(dim, n_items, queries.count(), _sampled(items, asked, dim, k), tables,
+                       OCCUPANCY if occupancy is None else (occupancy,))
+        tables, probes, occupancy = found[0], found[1] if probes is None else probes, found[2]
+    shape = Tables(dim, n_items, tables, probes, occupancy)
 
     def index(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -152,14 +260,14 @@ def nearest(vectors: DataFrame, query_filter, id_col: str = "vec_id", vec_col: s
 
         for batch in batches:
             unit = _unit(_matrix(batch.column("v"), dim)) if batch.num_rows else np.zeros((0, dim))
-            for t in range(tables if batch.num_rows else 0):
-                code = shape.probe(unit, t)
-                row = pa.array(np.repeat(np.arange(len(unit)), code.shape[1]))
+            step = max(1, (1 << 14) // probes)  # few enough that their probes fit one batch
+            for lo, t in ((lo, t) for lo in range(0, len(unit), step) for t in range(tables)):
+                code = shape.probe(unit[lo:lo + step], t)
+                row = pa.array(lo + np.repeat(np.arange(len(code)), code.shape[1]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(code.size, t, np.int32)), pa.array(code.ravel()), batch.column("vec_id").take(row),
                      batch.column("v").take(row)], names=["t", "bucket", "query_id", "v"])
 
-    queries = v.filter(query_filter).distinct()
     base = items.select("item", "v").mapInArrow(index, f"t int, bucket long, item long, v {kind}")
     asks = queries.mapInArrow(probe, f"t int, bucket long, query_id long, v {kind}")
     # buckets above UNIT items are cut into units
@@ -174,7 +282,7 @@ def nearest(vectors: DataFrame, query_filter, id_col: str = "vec_id", vec_col: s
             .select("t", "bucket", "unit", "query_id", "v"))
     # many small buckets make a cell, so that a group is worth its call
     per_cell = max(1, 2048 // max(1, occupancy))
-    n_cells = max(1, math.ceil(items.count() / (occupancy * per_cell)))
+    n_cells = max(1, math.ceil(n_items / (occupancy * per_cell)))
     cell = F.pmod(F.xxhash64("bucket", "unit"), F.lit(n_cells)).cast("int")
     base, asks = base.withColumn("cell", cell), asks.withColumn("cell", cell)
 
@@ -198,12 +306,10 @@ def nearest(vectors: DataFrame, query_filter, id_col: str = "vec_id", vec_col: s
                 if len(g) < 2:
                     continue
                 x, ids = bv[g["b"]], item[g["b"]]
-                for q in g["q"]:
-                    d = np.sqrt(((x - qv[q]) ** 2).sum(axis=1))
-                    best = np.lexsort((ids, d))[:k + 1]
+                for q, (best, d) in zip(g["q"], _closest(x, ids, qv[g["q"]], k + 1)):
                     out[0].append(np.full(len(best), qid[q]))
                     out[1].append(ids[best])
-                    out[2].append(d[best])
+                    out[2].append(d)
         cols = [np.concatenate([*o, np.empty(0, t)]) for o, t in zip(out, (np.int64, np.int64, np.float64))]
         return pa.table({c: pa.array(x) for c, x in zip(("query_id", "item", "score"), cols)})
 

@@ -265,6 +265,34 @@ def test_nearest_matches_brute_force(spark):
     assert nearest(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_recall_where_few_buckets_are_visited(spark):
+    from pyspark.sql import functions as F
+
+    y = np.random.default_rng(4).normal(size=(6000, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(frame, F.col("vec_id") % 100 == 0, tables=2, occupancy=8).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits / 600 >= 0.95
+
+
+def test_layout_visits_every_bucket_where_hashing_does_not_prune():
+    from tabforge.llm.cross_polytope import Tables, layout
+
+    # opposite vectors as neighbours: the last in every order of probes
+    x = np.random.default_rng(5).normal(size=(40, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tables, probes, occupancy = layout(16, 20000, 200, [(v, -v[None]) for v in x], 4)
+    assert (tables, probes) == (1, Tables(16, 20000, 1, 1, occupancy).buckets)
+    few = layout(16, 2000000, 20000, [(v, v[None] + 1e-9) for v in x], 4)
+    assert few[1] < 4
+
+
 def test_buckets_above_the_unit_size(spark, monkeypatch):
     import tabforge.llm.cross_polytope as module
     from pyspark.sql import functions as F
