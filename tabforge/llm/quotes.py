@@ -3,8 +3,9 @@
 A message's lines carry a quote level, the number of leading ``>``. Runs of
 lines of one level are passages; their text, normalised (markers off, lower
 case, single spaces), is hashed and joined to the own text of the
-conversation's messages: whole, by paragraph or by line. The original of a
-passage is the earliest message of its conversation that holds it and comes
+conversation's messages. Both sides are taken whole, by paragraph and by line;
+the largest part that is found, and of one kind the longest, tells the
+original. The original of a passage is the earliest message of its conversation that holds it and comes
 before the quoting one; failing that, the earliest message of any other
 conversation. A message replies to the latest original it quotes at level one
 in its own conversation, and to the message before it where it quotes none. Depth is
@@ -30,7 +31,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.llm.common import materialize, running_totals
@@ -86,9 +87,11 @@ def units(own: str) -> list[str]:
 
 
 def asked(passage: str) -> list[str]:
-    """The keys of a passage: all of it, else its longest line."""
-    longest = max(passage.split("\n"), key=lambda line: len(normalised(line)))
-    return [k for k in dict.fromkeys((key(passage), key(longest))) if k]
+    """The keys of a passage, best first: all of it, its paragraphs and its lines, the longest of each first."""
+    parts = [passage]
+    for pieces in (re.split(r"\n[ \t]*\n", passage), passage.split("\n")):
+        parts += sorted(pieces, key=lambda piece: -len(normalised(piece)))
+    return [k for k in dict.fromkeys(map(key, parts)) if k]
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
@@ -117,11 +120,16 @@ def quote_links(parsed: DataFrame) -> DataFrame:
     wanted = quotes.select("key").distinct()
     held = (parsed.select("conv_id", "turn", F.explode("units").alias("key")).join(wanted, "key", "left_semi")
             .groupBy("conv_id", "key").agg(F.min("turn").alias("from_turn")))
-    first = held.groupBy("key").agg(F.min(F.struct("conv_id", "from_turn")).alias("o"))
+    # the two smallest conversations of a key: one of them is not the quoting one;
+    # the limit on the row number is applied before the shuffle as well
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("conv_id"))
+    first = (held.withColumn("n", nth).filter(F.col("n") <= 2).withColumn("at", F.struct("conv_id", "from_turn"))
+             .groupBy("key").agg(F.min("at").alias("o"), F.max("at").alias("p")))
     here = held.select(F.col("conv_id").alias("o_conv"), F.col("key").alias("o_key"), "from_turn")
     found = quotes.join(here, F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("key") == F.col("o_key"))
                         & (F.col("from_turn") < F.col("turn")), "left")
-    found = found.join(first.select(F.col("key").alias("f_key"), "o"), F.col("key") == F.col("f_key"), "left")
+    found = found.join(first.select(F.col("key").alias("f_key"), "o", "p"), F.col("key") == F.col("f_key"), "left")
+    found = found.withColumn("o", F.when(~F.col("o.conv_id").eqNullSafe(F.col("conv_id")), F.col("o")).otherwise(F.col("p")))
     elsewhere = F.col("o").isNotNull() & ~F.col("o.conv_id").eqNullSafe(F.col("conv_id"))
     found = found.select(
         "conv_id", "turn", "quote", "level",

@@ -9,7 +9,7 @@ import pytest
 from tabforge.llm.cross_polytope import hadamard, nearest
 from tabforge.llm.mixing import mix, mixed_documents, taken_words
 from tabforge.llm.piece_bpe import PieceEncoder, encode_documents, read_model
-from tabforge.llm.quotes import parse, reply_order
+from tabforge.llm.quotes import _parsed, parse, quote_links, reply_order
 from tabforge.llm.resampling import hashed_ngrams, importance_sample, kth_largest
 from tabforge.llm.weak_supervision import drop_toxic, is_held_out, score_documents
 
@@ -211,6 +211,23 @@ def test_quotes_are_linked_and_removed(spark):
     assert reply_order(frame.limit(0)).count() == 0
 
 
+def test_parts_of_a_passage_and_other_conversations_are_tried(spark):
+    rows = [
+        (1, 0, "first one here\n\nsecond two here\n\nthird three"), (1, 1, "one line\na long line that is edited later\nlast line"),
+        (1, 2, "no quote"), (1, 3, "> first one\n> here\n>\n> second two, but changed a lot\nyes"),
+        (1, 4, "> a long line that was edited later\n> last line\nno"),
+        # its own conversation is the first that holds the text, but only later
+        (1, 5, "> held elsewhere too\nheld elsewhere too"), (2, 0, "held elsewhere too"), (3, 0, "held elsewhere too"),
+        (None, 0, "> held by none\nheld by none"), (5, 0, "held by none"), (4, 0, "> alone\nalone")]
+    frame = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.n_quotes, r.n_linked) for r in reply_order(frame).collect()}
+    assert got == {
+        (1, 0): (None, 0, 0), (1, 1): (0, 0, 0), (1, 2): (1, 0, 0), (1, 3): (0, 1, 1), (1, 4): (1, 1, 1), (1, 5): (4, 1, 1),
+        (2, 0): (None, 0, 0), (3, 0): (None, 0, 0), (None, 0): (None, 1, 1), (5, 0): (None, 0, 0), (4, 0): (None, 1, 0)}
+    links = {(r.conv_id, r.turn): (r.from_conv, r.from_turn) for r in quote_links(_parsed(frame)).collect()}
+    assert links[(1, 5)] == (2, 0) and links[(None, 0)] == (5, 0)
+
+
 def test_quotes_match_their_sql():
     import duckdb
 
