@@ -82,7 +82,6 @@ class PieceEncoder:
         automaton.make_automaton()
         self.automaton = automaton
         self.pieces = {i: p for p, i in self.ids.items()}
-        self.digits = _Digits(self.byte0, {p: str(i) for p, i in self.ids.items()})
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo = _Memo(self, SPACE)
         self.tails = _Memo(self, "")
@@ -233,12 +232,6 @@ class PieceEncoder:
             out.append(self.entry(self._spaces(run)))
         return out
 
-    def spelled(self, tokens: list[str]) -> tuple[str, str]:
-        """``entry`` of the ids of ``tokens``, from the pieces: their ids as
-        text, and their texts laid end to end (the byte ids of a character
-        spell that character)."""
-        return ",".join([self.digits[t] for t in tokens]), "".join(tokens).replace(SPACE, " ")
-
     def entry(self, ids: list[int]) -> tuple[str, str]:
         return ",".join(map(str, ids)), self.pieces_text(ids)
 
@@ -246,17 +239,6 @@ class PieceEncoder:
         return [int(i) for ids, _ in self.encode_words(text) for i in ids.split(",")]
 
 
-class _Digits(dict):
-    """piece -> its id in decimal; a character without one -> its byte ids joined by commas."""
-
-    def __init__(self, byte0: int, known: dict[str, str]):
-        super().__init__(known)
-        self.byte0 = byte0
-
-    def __missing__(self, piece: str) -> str:
-        return ",".join(str(self.byte0 + b) for b in piece.encode())
-
-
 class _Memo(dict):
     """word -> (ids, decoded), filled on demand and emptied when full."""
 
@@ -268,12 +250,12 @@ class _Memo(dict):
         if "\n" in word and "\n" not in e.ids:
             # no piece holds a line break, so no merge crosses one
             parts = word.split("\n")
-            line = ",".join(str(e.byte0 + b) for b in b"\n")
+            line = e.entry(e.ids_of(["\n"]))
             found = [self[parts[0]] if parts[0] or self.prefix else ("", "")]
             for p in parts[1:]:
-                found += [(line, "\n"), e.tails[p] if p else ("", "")]
+                found += [line, e.tails[p] if p else ("", "")]
             return ",".join(i for i, _ in found if i), "".join(t for _, t in found)
-        value = e.spelled(e.tokens(self.prefix + word))
+        value = e.entry(e.ids_of(e.tokens(self.prefix + word)))
         if len(word) <= MEMO_LENGTH:
             if len(self) >= MEMO_WORDS:
                 self.clear()

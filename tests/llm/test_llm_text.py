@@ -8,7 +8,7 @@ import pytest
 
 from tabforge.llm.cross_polytope import hadamard, nearest
 from tabforge.llm.mixing import mix, mixed_documents, taken_words
-from tabforge.llm.piece_bpe import PieceEncoder, encode_documents, read_model
+from tabforge.llm.piece_bpe import SPACE, PieceEncoder, encode_documents, read_model
 from tabforge.llm.quotes import _parsed, parse, quote_links, reply_order
 from tabforge.llm.resampling import hashed_ngrams, importance_sample, kth_largest
 from tabforge.llm.weak_supervision import drop_toxic, is_held_out, score_documents
@@ -192,6 +192,19 @@ def test_kth_largest(spark):
         assert kth_largest(frame, k, bins=7) == sorted(values, reverse=True)[k - 1]
 
 
+def test_the_decoded_text_is_that_of_the_ids(bpe):
+    encoder = PieceEncoder(read_model(bpe[0]))
+    for text in ("hello world", "two  spaces é\U00013000 and\nlines"):
+        words = encoder.encode_words(text)
+        assert "".join(t for _, t in words)[1:] == text == encoder.decode(encoder.encode(text))
+    encoder = PieceEncoder(read_model(bpe[0]))
+    encoder._prepare()
+    encoder.pieces[int(encoder.encode("hello")[0])] = SPACE + "other"
+    encoder.memo.clear()
+    assert [t for _, t in encoder.encode_words("hello")] == [encoder.pieces_text(encoder.encode("hello"))]
+    assert "other" in encoder.encode_words("hello")[0][1]
+
+
 MESSAGES = [
     (1, 0, "user", "Hello there\n\nHow are you?"), (1, 1, "bot", "> How are you?\nFine."), (1, 2, "user", "unrelated"),
     (1, 3, "a", "Bob wrote:\n> Hello  THERE\n>> nested old\nyes"), (1, 4, "b", "> Fine.\n>> How are you?\nok"),
