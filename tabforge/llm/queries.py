@@ -16,6 +16,7 @@ from tabforge.llm.quotes import reply_order
 from tabforge.llm.repeat_intervals import remove_repeats
 from tabforge.llm.resampling import importance_sample
 from tabforge.llm.rlz_spans import parse
+from tabforge.llm.source_audit import audit_sources
 from tabforge.llm.simhash_bk import hex_fingerprint, near_duplicates
 from tabforge.llm.weak_supervision import is_held_out, score_documents
 
@@ -199,3 +200,36 @@ LEFT JOIN quoted q ON q.rid = t.rid
 @query("op2_quotation_linking", QUOTES_SQL)
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_order(table(spark, sf_dir, "conversations"))
+
+
+# Exact integers throughout: hugeint where a product may pass 64 bits.
+AUDIT_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+           FROM documents),
+t AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS raw FROM d),
+w AS (SELECT rid, lang, source, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM t),
+k AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS lang_total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+gt AS (SELECT g.lang, g.source, coalesce(sum(n) FILTER (k.term IS NOT NULL), 0)::HUGEINT AS total
+       FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source LEFT JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (total + 2 * v) AS p,
+             1 + (1000000000::HUGEINT * (k.lang_n + 2)) // (lang_total + 2 * v) AS q
+      FROM gt g JOIN v ON v.lang = g.lang JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_length_buckets", AUDIT_SQL)
+def op13_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
