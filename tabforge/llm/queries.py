@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabforge.llm.block_naming import exact_duplicates
 from tabforge.llm.common import table
 from tabforge.llm.cross_polytope import nearest
+from tabforge.llm.infilling import fill_in_middle, restore
 from tabforge.llm.mixing import taken_words
 from tabforge.llm.piece_bpe import encode_documents
 from tabforge.llm.quotes import reply_order
@@ -18,6 +19,7 @@ from tabforge.llm.resampling import importance_sample
 from tabforge.llm.rlz_spans import parse
 from tabforge.llm.source_audit import audit_sources
 from tabforge.llm.simhash_bk import hex_fingerprint, near_duplicates
+from tabforge.llm.warc_zstd import archived
 from tabforge.llm.weak_supervision import is_held_out, score_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +235,48 @@ SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank
 @query("op13_length_buckets", AUDIT_SQL)
 def op13_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"))
+
+
+# SHA-1 as base32: eight groups of five hex digits, four letters each.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, octet_length(encode(t)) AS n, upper(sha1(t)) AS h, first_value(page_id) OVER w AS f, row_number() OVER w AS k
+      FROM p WINDOW w AS (PARTITION BY t ORDER BY page_id NULLS LAST)),
+b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::BIGINT) AS g FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((g[i // 4 + 1] >> (15 - 5 * (i % 4))::BIGINT) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to
+FROM b
+"""
+
+
+@query("op11_zstd_archive", WARC_SQL)
+def op11_zstd_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+FIM_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+x AS (SELECT doc_id, text, u, len(u)::BIGINT AS n, list_transform(range(4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+             CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain'
+                  WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM x),
+s AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+             array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM s
+"""
+
+
+@query("op12_chunk_infilling", FIM_SQL)
+def op12_chunk_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+                       sha(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
