@@ -16,8 +16,8 @@ import json
 import math
 from itertools import combinations_with_replacement
 
+import numpy as np
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import OneHotEncoder as _SparkOneHot
 from pyspark.ml.feature import PCA as _SparkPCA
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from tabforge.errors import InvalidParameter
 from tabforge.functions.columns import field_type, is_numeric, quoted
+from tabforge.operators import blocks as bl
 from tabforge.operators.stats import LONG_FORMAT_COLUMNS, column_mode, exact_quantiles, numeric_column_stats
 
 def _q(name: str) -> Column:
@@ -56,6 +57,7 @@ class FeatureModel(Model, _ModelParams, DefaultParamsReadable, DefaultParamsWrit
 
     def __init__(self):
         super().__init__()
+        self.blocks: dict[str, bl.Block] = {}
 
     def feature_state(self) -> dict:
         return json.loads(self.getOrDefault(self.state))
@@ -79,22 +81,35 @@ class FeatureStep(Estimator, _StepParams, DefaultParamsReadable, DefaultParamsWr
     model_class: type = FeatureModel
     #: feature types the step transforms; others pass through untouched
     applies_to = "numeric"
+    #: the step multiplies features with each other: one-hot slots must be columns
+    needs_columns = False
 
     def __init__(self):
         super().__init__()
+        #: one-hot features that come as blocks (a training run passes them on)
+        self.blocks: dict[str, bl.Block] = {}
 
     def _fit_state(self, df: DataFrame, cols: list[str]) -> tuple[dict, list[str]]:
         raise NotImplementedError
 
     def _fit(self, df: DataFrame) -> FeatureModel:
         cols = self.getOrDefault(self.featureCols)
-        state, out = self._fit_state(df, cols)
+        blocks = {c: self.blocks[c] for c in cols if c in self.blocks}
+        state, out = self._fit_state(df, [c for c in cols if c not in blocks])
+        blocks = self._fit_blocks(df, blocks, state)
+        if blocks:
+            out = [c for c in cols if c in blocks or c in out]
         m = self.model_class()
+        m.blocks = blocks
         m._set(featureCols=cols, outputCols=out, state=json.dumps(state))
         if self.isDefined(self.labelCol):
             m._set(labelCol=self.getOrDefault(self.labelCol))
         return m
 
+    def _fit_blocks(self, df: DataFrame, blocks: dict[str, bl.Block], state: dict) -> dict[str, bl.Block]:
+        """What the step makes of one-hot features; by default nothing changes."""
+        return blocks
+
 
 def _split_numeric(df: DataFrame, cols: list[str]) -> tuple[list[str], list[str]]:
     num = [c for c in cols if is_numeric(field_type(df, c))]
@@ -107,20 +122,46 @@ def _passthrough(cols, changed: dict[str, Column]) -> list[Column]:
 
 class FeatureAssembler(FeatureModel):
     """The feature columns as one vector. Columns are given safe names on
-    the way, so any column name will do; booleans count as 0 and 1."""
+    the way, so any column name will do; booleans count as 0 and 1, and
+    blocks of one-hot slots become sparse vectors."""
 
     @staticmethod
-    def of(cols: list[str], output: str) -> "FeatureAssembler":
+    def of(cols: list[str], output: str, blocks: dict[str, bl.Block] | None = None) -> "FeatureAssembler":
         m = FeatureAssembler()
-        m._set(featureCols=cols, outputCols=[output], state=json.dumps({}))
+        m._set(featureCols=cols, outputCols=[output], state=json.dumps({"blocks": bl.pack(blocks or {})}))
         return m
 
     def _transform(self, df: DataFrame) -> DataFrame:
         cols, (output,) = self.getOrDefault(self.featureCols), self.getOrDefault(self.outputCols)
+        blocks = bl.unpack(self.feature_state().get("blocks", {}))
         safe = [f"__slot{i}" for i in range(len(cols))]
         named = df.select(*[_q(c) for c in df.columns], *[
-            (_q(c).cast("double") if isinstance(field_type(df, c), T.BooleanType) else _q(c)).alias(n) for c, n in zip(cols, safe)])
-        return VectorAssembler(inputCols=safe, outputCol=output, handleInvalid="error").transform(named).drop(*safe)
+            (_q(c).cast("string") if c in blocks else _q(c).cast("double") if isinstance(field_type(df, c), T.BooleanType)
+             else _q(c)).alias(n) for c, n in zip(cols, safe)])
+        parts = []
+        for c, n in zip(cols, safe):
+            if c not in blocks:
+                parts.append(n)
+            elif blocks[c].categories:
+                named = bl.sparse_vector(named, blocks[c], n, f"{n}_v")
+                parts.append(f"{n}_v")
+        out = VectorAssembler(inputCols=parts, outputCol=output, handleInvalid="error").transform(named)
+        return out.drop(*safe, *parts)
+
+
+class BlockExpander(FeatureModel):
+    """One column a slot, for steps that need the slots as columns."""
+
+    @staticmethod
+    def of(cols: list[str], blocks: dict[str, bl.Block]) -> "BlockExpander":
+        m = BlockExpander()
+        m._set(featureCols=cols, outputCols=[n for c in cols for n in (blocks[c].names if c in blocks else [c])],
+               state=json.dumps({"blocks": bl.pack(blocks)}))
+        return m
+
+    def _exprs(self, df, cols, st):
+        blocks = bl.unpack(st["blocks"])
+        return [e for c in cols for e in (bl.columns_of(blocks[c]) if c in blocks else [_q(c)])]
 
 
 # ---------------------------------------------------------------- scalers
@@ -145,6 +186,17 @@ class StandardScaler(FeatureStep):
             st[c] = (m if m is not None else 0.0, s if s not in (None, 0.0) and not math.isnan(s) else 1.0)
         return st, cols
 
+    def _fit_blocks(self, df, blocks, state):
+        if not blocks:
+            return blocks
+        total, counts = bl.category_counts(df, blocks)
+        out = {}
+        for c, b in blocks.items():
+            p, scale = counts[c] / max(total, 1), np.array(b.scale)
+            spread = np.abs(scale) * np.sqrt(p * (1 - p))
+            out[c] = b.moved(np.array(b.shift) + scale * p, np.where(spread > 0, spread, 1.0))
+        return out
+
 
 class MinMaxScalerModel(FeatureModel):
     def _exprs(self, df, cols, st):
@@ -180,6 +232,17 @@ class MinMaxScaler(FeatureStep):
                 st["cols"][c] = (a, rng)
         return st, cols
 
+    def _fit_blocks(self, df, blocks, state):
+        if not blocks:
+            return blocks
+        (lo, hi), (total, counts) = state["range"], bl.category_counts(df, blocks)
+        out = {}
+        for c, b in blocks.items():
+            least, most = (np.array(b.shift) + np.array(b.scale) * z for z in bl.slot_range(total, counts[c]))
+            spread = np.where(most > least, most - least, 1.0) / (hi - lo)
+            out[c] = b.moved(least - lo * spread, spread)
+        return out
+
 
 class RobustScalerModel(FeatureModel):
     def _exprs(self, df, cols, st):
@@ -200,6 +263,16 @@ class RobustScaler(FeatureStep):
             st[c] = (med if med is not None else 0.0, iqr if iqr != 0.0 else 1.0)
         return st, cols
 
+    def _fit_blocks(self, df, blocks, state):
+        if not blocks:
+            return blocks
+        total, counts = bl.category_counts(df, blocks)
+        out = {}
+        for c, b in blocks.items():
+            q1, med, q3 = (np.array(b.shift) + np.array(b.scale) * bl.slot_quantile(total, counts[c], p) for p in (0.25, 0.5, 0.75))
+            out[c] = b.moved(med, np.where(q3 != q1, q3 - q1, 1.0))
+        return out
+
 
 class NormalizerModel(FeatureModel):
     def _exprs(self, df, cols, st):
@@ -221,6 +294,7 @@ class NormalizerModel(FeatureModel):
 class Normalizer(FeatureStep):
     """Each row divided by its l1 / l2 / max norm; a zero row is unchanged."""
     model_class = NormalizerModel
+    needs_columns = True
     norm = Param(Params._dummy(), "norm", "l1, l2 or max", typeConverter=TypeConverters.toString)
 
     def __init__(self, norm: str = "l2"):
@@ -318,52 +392,39 @@ class OneHotEncoderModel(FeatureModel):
         for c in cols:
             if c not in st["categories"]:
                 out.append(_q(c))
-                continue
-            col = self._checked(c, st)
-            if c in st["vector"]:
-                out.append(_q(st["vector"][c]))
-                continue
-            for v, name in zip(st["categories"][c], st["names"][c]):
-                out.append(F.when(col == F.lit(v), F.lit(1.0)).otherwise(F.lit(0.0)).alias(name))
+            elif st["form"] == "block":
+                out.append(_q(c).cast("string").alias(c))
+            elif st["form"] == "vector":
+                out.append(_q(f"{c}_onehot"))
+            else:
+                out += bl.columns_of(bl.Block.of(c, st["categories"][c]))
         return out
 
-    @staticmethod
-    def _checked(c: str, st: dict) -> Column:
-        col = _q(c).cast("string")
-        if st["handle_unknown"] == "error":
-            known = F.array_contains(F.lit(st["categories"][c]), col) if st["categories"][c] else F.lit(False)
-            col = F.when(col.isNotNull() & ~known,
-                         F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), col))).otherwise(col)
-        return col
-
     def _transform(self, df):
         st = self.feature_state()
-        for i, (c, out_name) in enumerate(st["vector"].items()):
-            from pyspark.ml.feature import StringIndexerModel
-
-            # safe internal names; unknown and missing go to the extra slot that dropLast removes: all zeros
-            df = df.withColumn(f"__cat{i}", self._checked(c, st))
-            index = StringIndexerModel.from_labels(st["categories"][c], inputCol=f"__cat{i}", outputCol=f"__idx{i}",
-                                                   handleInvalid="keep")
-            encoder = _SparkOneHot(inputCols=[f"__idx{i}"], outputCols=[f"__hot{i}"], dropLast=True)
-            df = index.transform(df)
-            df = encoder.fit(df).transform(df).drop(f"__cat{i}", f"__idx{i}").withColumnRenamed(f"__hot{i}", out_name)
+        for i, (c, categories) in enumerate(st["categories"].items()):
+            block, safe = bl.Block.of(c, categories), f"__cat{i}"
+            if st["handle_unknown"] == "error":
+                df = bl.index_model(block, safe, f"{safe}_i").transform(df.withColumn(safe, _q(c).cast("string")))
+                unknown = _q(safe).isNotNull() & (_q(f"{safe}_i") == len(categories))
+                df = df.withColumn(c, F.when(unknown, F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), _q(safe))))
+                                   .otherwise(_q(safe))).drop(safe, f"{safe}_i")
+            if st["form"] == "vector":
+                # safe internal names; unknown and missing go to the extra slot that is dropped: all zeros
+                df = bl.sparse_vector(df.withColumn(safe, _q(c).cast("string")), block, safe, f"{safe}_v")
+                df = df.drop(safe).withColumnRenamed(f"{safe}_v", f"{c}_onehot")
         return super()._transform(df)
 
-    def feature_names(self) -> dict[str, list[str]]:
-        """Vector output column -> the names of its slots."""
-        st = self.feature_state()
-        return {out: st["names"][c] for c, out in st["vector"].items()}
-
 
 class OneHotEncoder(FeatureStep):
     """One output column per category (sorted), whatever their number;
     unknown and missing -> all zeros (``handle_unknown='ignore'``), or an
     error for an unknown one. Applies to text and boolean columns; numbers pass through.
 
-    ``sparse=True`` gives one sparse vector column per feature instead,
-    which later steps that work on numbers leave alone; importances still
-    carry the category names.
+    ``sparse=True`` gives one sparse vector column per feature instead. A
+    training run uses the third form, ``as_blocks``: the column stays and its
+    slots travel as a ``Block``, so every later step works on them and no plan
+    grows with the vocabulary.
     """
     model_class = OneHotEncoderModel
     applies_to = "categorical"
@@ -371,34 +432,33 @@ class OneHotEncoder(FeatureStep):
                            typeConverter=TypeConverters.toString)
     sparse = Param(Params._dummy(), "sparse", "one sparse vector per feature", typeConverter=TypeConverters.toBoolean)
 
-    def __init__(self, handle_unknown: str = "ignore", sparse: bool = False):
+    def __init__(self, handle_unknown: str = "ignore", sparse: bool | str = False):
         super().__init__()
         self._setDefault(handle_unknown="ignore", sparse=False)
-        self._set(handle_unknown=handle_unknown, sparse=bool(sparse))
+        self._set(handle_unknown=handle_unknown, sparse=str(sparse).strip().lower() == "true")
+        self.as_blocks = False
 
     def _fit_state(self, df, cols):
         hu = self.getOrDefault(self.handle_unknown)
         if hu not in ("ignore", "error"):
             raise InvalidParameter(f"OneHotEncoder: handle_unknown must be ignore or error, got {hu!r}")
         _, cat = _split_numeric(df, cols)
-        st = {"handle_unknown": hu, "categories": {c: [] for c in cat}, "names": {}, "vector": {}}
+        form = "block" if self.as_blocks else "vector" if self.getOrDefault(self.sparse) else "columns"
+        st = {"handle_unknown": hu, "form": form, "categories": {c: [] for c in cat}}
         if cat:
-            # the vocabularies of all columns in one job; they name the outputs
+            # the vocabularies of all columns in one job; they name the features of the run
             cells = F.array(*[F.struct(F.lit(i).alias("i"), _q(c).cast("string").alias("v")) for i, c in enumerate(cat)])
             for r in df.select(F.inline(cells)).where(F.col("v").isNotNull()).distinct().orderBy("i", "v").collect():
                 st["categories"][cat[r["i"]]].append(r["v"])
-        out = []
-        for c in cols:
-            if c not in cat:
-                out.append(c)
-                continue
-            st["names"][c] = [f"{c}_{v}" for v in st["categories"][c]]
-            if self.getOrDefault(self.sparse):
-                st["vector"][c] = f"{c}_onehot"
-                out.append(f"{c}_onehot")
-            else:
-                out.extend(st["names"][c])
-        return st, out
+        names = {"block": lambda c: [c], "vector": lambda c: [f"{c}_onehot"],
+                 "columns": lambda c: [f"{c}_{v}" for v in st["categories"][c]]}[form]
+        return st, [n for c in cols for n in (names(c) if c in cat else [c])]
+
+    def _fit_blocks(self, df, blocks, state):
+        made = {c: bl.Block.of(c, v) for c, v in state["categories"].items()} if self.as_blocks else {}
+        if self.as_blocks and state["handle_unknown"] == "ignore":
+            state["categories"] = {c: [] for c in made}  # the assembler alone needs them
+        return {**blocks, **made}
 
 
 # ---------------------------------------------------------------- polynomial
@@ -437,6 +497,7 @@ class PolynomialFeaturesModel(FeatureModel):
 
 class PolynomialFeatures(FeatureStep):
     model_class = PolynomialFeaturesModel
+    needs_columns = True
     degree = Param(Params._dummy(), "degree", "maximal degree", typeConverter=TypeConverters.toInt)
     include_bias = Param(Params._dummy(), "include_bias", "add a constant 1 column",
                          typeConverter=TypeConverters.toBoolean)
@@ -519,6 +580,11 @@ def _anova_f_long(base: DataFrame, y: Column, cols: list[str]) -> dict[str, floa
     return out
 
 
+def _corr(x: Column, y: Column) -> Column:
+    """Pearson's r; null where one side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def f_regression(df: DataFrame, cols: list[str], label: str) -> dict[str, float | None]:
     """F statistic of a univariate linear regression of the label on each feature."""
     if not cols:
@@ -527,7 +593,7 @@ def f_regression(df: DataFrame, cols: list[str], label: str) -> dict[str, float
     # a pair counts where both are present; a perfect correlation scores infinity
     both = [F.when(y.isNotNull(), _num(c)) for c in cols]
     row = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(both)],
-                 *[F.corr(v, F.when(v.isNotNull(), y)).alias(f"r{i}") for i, v in enumerate(both)]).first()
+                 *[_corr(v, F.when(v.isNotNull(), y)).alias(f"r{i}") for i, v in enumerate(both)]).first()
     out = {}
     for i, c in enumerate(cols):
         r, n = row[f"r{i}"], row[f"n{i}"]
@@ -575,17 +641,25 @@ class SelectKBest(FeatureStep):
         fn = f_regression if self.getOrDefault(self.score_func) == "f_regression" else anova_f
         scores = fn(df, num, label)
         k = self.getOrDefault(self.k)
-        if k == "all" or int(k) >= len(num):
-            keep = list(num)
-        else:
-            kk = int(k)
-            if kk < 0:
-                raise InvalidParameter("SelectKBest: k must be >= 0")
-            order = sorted(range(len(num)), key=lambda i: (_score_key(scores[num[i]]), i))
-            chosen = set(order[len(num) - kk:]) if kk else set()
-            keep = [c for i, c in enumerate(num) if i in chosen]
-        keep = [c for c in cols if c in keep or c in other]
-        return {"scores": {c: _json_float(v) for c, v in scores.items()}}, keep
+        if k != "all" and int(k) < 0:
+            raise InvalidParameter("SelectKBest: k must be >= 0")
+        slots = {}
+        if self.blocks:
+            by_slot = bl.f_regression if fn is f_regression else bl.anova_f
+            slots = by_slot(df, self.blocks, label)
+        # every feature in order: (column, slot or None, score)
+        every = [(c, j, v) for c in self.getOrDefault(self.featureCols) for j, v in
+                 (enumerate(slots[c]) if c in slots else [(None, scores[c])] if c in scores else [])]
+        kk = len(every) if k == "all" else min(int(k), len(every))
+        order = sorted(range(len(every)), key=lambda i: (_score_key(every[i][2]), i))
+        chosen = {every[i][:2] for i in order[len(every) - kk:]}
+        self._kept = {c: [j for j in range(len(slots[c])) if (c, j) in chosen] for c in slots}
+        keep = [c for c in cols if (c, None) in chosen or c in other]
+        found = {**scores, **{self.blocks[c].names[j]: v for c in slots for j, v in enumerate(slots[c])}}
+        return {"scores": {c: _json_float(v) for c, v in found.items()}}, keep
+
+    def _fit_blocks(self, df, blocks, state):
+        return {c: b.keep(self._kept[c]) for c, b in blocks.items() if self._kept[c]}
 
 
 def _score_key(v):
@@ -626,10 +700,23 @@ class VarianceThreshold(FeatureStep):
                 v = min(v, p)
             var[c] = v
         keep = [c for c in num if var[c] is not None and var[c] > thr]
-        if not keep:
+        self._kept = {}
+        if self.blocks:
+            total, counts = bl.category_counts(df, self.blocks)
+            for c, b in self.blocks.items():
+                p, scale = counts[c] / max(total, 1), np.abs(np.array(b.scale))
+                least, most = bl.slot_range(total, counts[c])
+                spread = scale ** 2 * p * (1 - p)
+                spread = np.minimum(spread, scale * (most - least)) if thr == 0 else spread
+                self._kept[c] = np.flatnonzero(spread > thr).tolist()
+                var.update(zip(b.names, spread.tolist()))
+        if not keep and not any(self._kept.values()):
             raise InvalidParameter(f"VarianceThreshold: no feature has variance above {thr}")
         return {"variances": var}, [c for c in cols if c in keep or c in other]
 
+    def _fit_blocks(self, df, blocks, state):
+        return {c: b.keep(self._kept[c]) for c, b in blocks.items() if self._kept[c]}
+
 
 # ---------------------------------------------------------------- PCA
 
@@ -655,6 +742,7 @@ class PCA(FeatureStep):
     positive score.
     """
     model_class = PCAModel
+    needs_columns = True
     n_components = Param(Params._dummy(), "n_components", "number of components",
                          typeConverter=TypeConverters.toInt)
 
@@ -736,6 +824,7 @@ class RFE(FeatureStep):
     refit, until ``n_features_to_select`` remain (default: half). Each round
     is one distributed fit; the driver only orders the d importances."""
     model_class = RFEModel
+    needs_columns = True
     estimator = Param(Params._dummy(), "estimator", "learner used for ranking",
                       typeConverter=TypeConverters.toString)
     n_features_to_select = Param(Params._dummy(), "n_features_to_select", "features to keep",

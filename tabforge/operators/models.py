@@ -216,6 +216,13 @@ ESTIMATORS = {
 }
 
 
+def needs_columns(name: str, params: dict) -> bool:
+    """Whether a constant added to a feature changes what the learner learns
+    (polynomials and inner products without an intercept): one-hot slots must
+    then carry their shifts."""
+    return name == "SVC" and (params or {}).get("kernel", "rbf") in ("poly", "sigmoid")
+
+
 def feature_importance(fitted: FittedEstimator, names: list[str]) -> list[dict]:
     """Importances (trees) or |coefficients| (linear), paired with the
     final feature names, largest first. Multiclass linear models average

@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from tabforge.errors import InvalidParameter, UnknownStep
 from tabforge.functions.columns import ROW_ID, field_type, is_floating, is_numeric, user_columns, quoted
 from tabforge.operators import evaluate as ev
-from tabforge.operators.features import STEP_CLASSES, FeatureAssembler, OneHotEncoderModel
-from tabforge.operators.models import ESTIMATORS, feature_importance, fit_estimator
+from tabforge.operators.features import STEP_CLASSES, BlockExpander, FeatureAssembler, OneHotEncoder
+from tabforge.operators.models import ESTIMATORS, feature_importance, fit_estimator, needs_columns
 from tabforge.operators.split import split_counted
 from tabforge.session import checkpoint_dir
 
@@ -213,25 +213,39 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
     try:
         current = list(feats)
         stages = []
-        cur_train = train_df
+        cur_train, blocks = train_df, {}
+
+        def apply(model, now: DataFrame) -> DataFrame:
+            stages.append(model)
+            return model.transform(now)
+
         for s in pre_steps:
             step = build_step(s)
+            if step.needs_columns and blocks:
+                cur_train = apply(expander := BlockExpander.of(current, blocks), cur_train)
+                current, blocks = expander.output_columns(), {}
+            if isinstance(step, OneHotEncoder):
+                step.as_blocks = True
             step._set(featureCols=current, labelCol=_LABEL)
+            step.blocks = blocks
             model = step.fit(cur_train)
-            stages.append(model)
-            cur_train = model.transform(cur_train)
-            current = model.output_columns()
+            cur_train = apply(model, cur_train)
+            current, blocks = model.output_columns(), model.blocks
             mark(f"step {s.name}")
+        if blocks and needs_columns(est_step.name, est_step.params):
+            cur_train = apply(expander := BlockExpander.of(current, blocks), cur_train)
+            current, blocks = expander.output_columns(), {}
+        current = [c for c in current if c not in blocks or blocks[c].categories]
         types = {f.name: f.dataType for f in cur_train.schema.fields}
-        bad = [c for c in current if not (is_numeric(types[c]) or isinstance(types[c], T.BooleanType)
+        bad = [c for c in current if not (c in blocks or is_numeric(types[c]) or isinstance(types[c], T.BooleanType)
                                           or isinstance(types[c], VectorUDT))]
         if bad:
             raise InvalidParameter(f"features {bad} are not numeric: encode or drop them before the estimator")
         if not current:
             raise InvalidParameter("no features left for the estimator")
-        assembler = FeatureAssembler.of(current, _FEATURES)
+        assembler = FeatureAssembler.of(current, _FEATURES, blocks)
         stages.append(assembler)
-        final = _slot_names(current, stages)
+        final = [n for c in current for n in (blocks[c].names if c in blocks else [c])]
         fit_data = assembler.transform(cur_train).select(ROW_ID, _FEATURES, _LABEL)
         fitted = fit_estimator(est_step.name, est_step.params, fit_data, _FEATURES, _LABEL,
                                len(labels or []), spec.random_state, len(final), n_rows - n_test)
@@ -268,15 +282,6 @@ def _spread(df: DataFrame, n_rows: int, n_columns: int) -> DataFrame:
     return df.repartition(parts, ROW_ID).sortWithinPartitions(ROW_ID)
 
 
-def _slot_names(columns: list[str], stages: list) -> list[str]:
-    """The name of every slot of the assembled vector."""
-    slots: dict[str, list[str]] = {}
-    for s in stages:
-        if isinstance(s, OneHotEncoderModel):
-            slots.update(s.feature_names())
-    return [n for c in columns for n in slots.get(c, [c])]
-
-
 def _predictions_table(scored: DataFrame, feats, target, is_clf, labels, fitted) -> DataFrame:
     orig = [quoted(_ORIG + c).alias(c) for c in feats]
     pred = F.col("prediction")

@@ -226,6 +226,26 @@ def q_one_hot_train_wide(spark, sf):
     return seen.select(F.col(ROW_ID).alias("o_orderkey"), (F.round("predicted", 1) + F.lit(0.0)).alias("predicted"))
 
 
+@query("one_hot_select_train", f"""WITH s AS (SELECT o_orderkey, o_totalprice AS y, 'c' || (o_custkey % 700) AS kind,
+    row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42')) <= (SELECT ceil(count(*) * 0.2) FROM orders) AS is_test FROM orders),
+t AS (SELECT count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM s WHERE NOT is_test),
+c AS (SELECT kind, count(*) / any_value(n) AS p, sum(y - m) / any_value(n) AS d, any_value(v) AS v
+      FROM s, t WHERE NOT is_test GROUP BY kind),
+b AS (SELECT kind FROM c ORDER BY d * d / (p * (1 - p) * v) DESC LIMIT 1),
+r AS (SELECT s.kind = b.kind AS hit, avg(y) AS predicted FROM s, b WHERE NOT is_test GROUP BY ALL)
+SELECT o_orderkey, {R("predicted", 3)} AS predicted FROM s, b, r WHERE is_test AND r.hit = (s.kind = b.kind)""")
+def q_one_hot_select_train(spark, sf):
+    """700 categories through scaling, a variance threshold and univariate
+    selection: the regression on the best slot predicts two means."""
+    o = load_table(spark, sf, "orders", order_by="o_orderkey").select(
+        ROW_ID, F.concat(F.lit("c"), F.col("o_custkey") % 700).alias("kind"), F.col("o_totalprice").alias("y"))
+    run = train(o, TrainSpec(target_column="y", steps=[
+        {"name": "OneHotEncoder"}, {"name": "VarianceThreshold"}, {"name": "MinMaxScaler"},
+        {"name": "SelectKBest", "params": {"k": "1", "score_func": "f_regression"}},
+        {"name": "LinearRegression", "category": "estimators"}]))
+    return rounded(run.predictions.select(F.col(ROW_ID).alias("o_orderkey"), "predicted"), 3)
+
+
 KNN_DIST_SQL = f"""WITH s AS (
   SELECT *, row_number() OVER (ORDER BY md5(CAST(c_custkey AS VARCHAR) || '-42'))
             <= (SELECT ceil(count(*) * 0.2) FROM customer) AS is_test FROM customer),
