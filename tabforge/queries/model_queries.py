@@ -272,3 +272,34 @@ def q_knn_classifier_distance(spark, sf):
                              "params": {"n_neighbors": "7", "weights": "distance"}}])
     out = train(c, spec).predictions.select(F.col(ROW_ID).alias("c_custkey"), "predicted", "probability")
     return rounded(out, 6)
+
+
+def _knn_embeddings_sql(k: int, weight: str) -> str:
+    return f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || '-42'))
+    <= (SELECT ceil(count(*) * 0.2) FROM embeddings) AS is_test FROM embeddings),
+d AS (SELECT te.vec_id AS qid, tr.vec_id AS tid, tr.label AS y,
+             list_sum(list_transform(list_zip(te.embedding, tr.embedding), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))) AS d2
+      FROM s te, s tr WHERE te.is_test AND NOT tr.is_test),
+nn AS (SELECT *, min(d2) OVER (PARTITION BY qid) = 0 AS zero FROM (
+         SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, tid) AS rn FROM d) WHERE rn <= {k}),
+v AS (SELECT qid, y, sum({weight}) AS v FROM nn GROUP BY qid, y),
+b AS (SELECT qid, y, v, sum(v) OVER (PARTITION BY qid) AS total, row_number() OVER (PARTITION BY qid ORDER BY v DESC, y) AS r FROM v)
+SELECT qid AS vec_id, y AS predicted, {R("CASE WHEN (SELECT count(DISTINCT label) FROM s) = 2 THEN NULL ELSE v / total END", 6)} AS probability
+FROM b WHERE r = 1"""
+
+
+def _knn_embeddings(spark, sf, k: int, weights: str):
+    run = _emb_run(spark, sf, [{"name": "KNeighborsClassifier", "category": "estimators",
+                                "params": {"n_neighbors": str(k), "weights": weights}}])
+    return rounded(run.predictions.select(F.col(ROW_ID).alias("vec_id"), "predicted", "probability"), 6)
+
+
+@query("knn_embeddings", _knn_embeddings_sql(5, "1.0"))
+def q_knn_embeddings(spark, sf):
+    """64 features: cells and rings prune where a projection cannot."""
+    return _knn_embeddings(spark, sf, 5, "uniform")
+
+
+@query("knn_embeddings_distance", _knn_embeddings_sql(9, "CASE WHEN zero THEN CASE WHEN d2 = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / sqrt(d2) END"))
+def q_knn_embeddings_distance(spark, sf):
+    return _knn_embeddings(spark, sf, 9, "distance")

@@ -9,9 +9,11 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tabforge.functions.columns import ROW_ID
+from tabforge.operators import knn
 from tabforge.operators import split as split_mod
 from tabforge.operators import stats
 from tabforge.operators.knn import KNNClassifier
@@ -94,6 +96,63 @@ def test_knn_matches_brute_force(spark, weights, k, bucket):
         assert got[q][1] == pytest.approx(want[q][1])
 
 
+def _vectors(spark, points):
+    rows = [(i, p.tolist(), i % 3) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, f"{ROW_ID} bigint, x array<double>, label int")
+    return df.select(ROW_ID, array_to_vector("x").alias("f"), "label")
+
+
+@pytest.mark.parametrize("bucket", [None, 16])
+def test_knn_of_clustered_vectors_prunes(spark, bucket):
+    """40 dimensions, 60 clusters, a third of the rows in one of them: exact,
+    and far from all pairs."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 10, (60, 40))
+    of = np.where(rng.random(6000) < 0.33, 0, rng.integers(0, 60, 6000))
+    points = centres[of] + rng.normal(0, 0.3, (6000, 40))
+    df = _vectors(spark, points)
+    model = KNNClassifier(k=5, features_col="f", label_col="label", bucket_rows=bucket).fit(df.where(F.col(ROW_ID) % 6 != 0))
+    got = {}
+    for r in model.neighbours(df.where(F.col(ROW_ID) % 6 == 0)).collect():
+        got.setdefault(r["qid"], []).append((r["d2"], r["tid"]))
+    tid = np.array([i for i in range(6000) if i % 6])
+    for q in range(0, 6000, 6):
+        d2 = ((points[tid] - points[q]) ** 2).sum(1)
+        want = tid[np.lexsort((tid, d2))[:5]].tolist()
+        assert [t for _, t in sorted(got[q])] == want
+    assert model.all_pairs == 1000 * 5000
+    assert model.examined < 0.2 * model.all_pairs
+
+
+def test_knn_blocks_of_test_rows_and_stored_index(spark, monkeypatch, store_root):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 16)  # every unit is visited in many blocks
+    monkeypatch.setattr(knn, "SAMPLE_ROWS", 100)
+    rng = np.random.default_rng(12)
+    points = rng.normal(size=(900, 8)) * 1e6 + 1e8  # far from the origin: rounding of the screen matters
+    points[::10] = points[0]
+    df = _vectors(spark, points)
+    model = KNNClassifier(k=7, features_col="f", label_col="label", bucket_rows=20).fit(df.where(F.col(ROW_ID) % 3 != 0))
+    test = df.where(F.col(ROW_ID) % 3 == 0)
+    got = sorted(tuple(r) for r in model.neighbours(test).collect())
+    tid = np.array([i for i in range(900) if i % 3])
+    seen = {}
+    for q, t, _, d2 in got:
+        seen.setdefault(q, []).append((d2, t))
+    for q in range(0, 900, 3):
+        d2 = ((points[tid] - points[q]) ** 2).sum(1)
+        assert [t for _, t in sorted(seen[q])] == tid[np.lexsort((tid, d2))[:7]].tolist()
+    model.save(f"{store_root}/knn-index")
+    again = knn.KNNModel.load(spark, f"{store_root}/knn-index")
+    assert sorted(tuple(r) for r in again.neighbours(test).collect()) == got
+    assert again.neighbours(test.limit(0)).count() == 0
+
+
+def test_knn_with_fewer_rows_than_k(spark):
+    df = _vectors(spark, np.array([[0.0], [1.0], [5.0]]))
+    model = KNNClassifier(k=9, features_col="f", label_col="label").fit(df)
+    assert model.neighbours(df).count() == 9
+
+
 def test_kth_smallest_and_deep_page(spark):
     from tabforge.operators import profile
     from tabforge.operators.stats import kth_smallest
