@@ -204,13 +204,14 @@ def read_archive(data: bytes, strict: bool = True) -> Iterator[dict]:
         yield {"error": str(e)}
 
 
-def train_dictionary(pages: DataFrame, payload: str, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from the ``SAMPLE_ROWS`` payloads of least hash (their
-    first ``SAMPLE_CHARS`` characters); empty where they are too few to train one."""
-    text = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    rows = (pages.select(F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.xxhash64(text).alias("h"))
-            .orderBy("h", "t").limit(SAMPLE_ROWS).collect())
-    sample = [r["t"].encode() for r in rows if r["t"]]
+def train_dictionary(bodies: DataFrame, keys: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary from the ``SAMPLE_ROWS`` different payloads of least key
+    (their first ``SAMPLE_CHARS`` characters); empty where they are too few to
+    train one. Keys alone are ordered, so a task returns no text to the driver
+    but that of the chosen payloads."""
+    last = keys.select("key").orderBy("key").limit(SAMPLE_ROWS).agg(F.max("key")).first()[0]
+    rows = bodies.filter(F.col("key") <= F.lit(last)).select("key", F.substring("payload", 1, SAMPLE_CHARS).alias("t")).collect()
+    sample = [r["t"].encode() for r in sorted(rows) if r["t"]]
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, sample)) // 8), sample).as_bytes()
     except zstandard.ZstdError:
@@ -263,7 +264,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     responses = (marked.filter(~F.col("revisit")).join(bodies, "key")
                  .withColumn("refers_to", F.lit(None).cast("long")).select(columns))
     revisits = marked.filter("revisit").withColumn("payload", F.lit(None).cast("string")).select(columns)
-    dictionary = train_dictionary(pages, payload)
+    dictionary = train_dictionary(bodies, rows.select("key").distinct())
     frame = responses.unionByName(revisits).mapInArrow(_writer(dictionary, date), "frame binary")
     frame.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
 
