@@ -8,7 +8,9 @@ merges from the latest on, no merge across the border would have come first.
 The ids are then recovered backwards from the end of the table.
 
 The vocabulary (a fixed public table) is read on the driver and broadcast;
-the workers keep it, with a bounded memo of encoded words, between tasks.
+the workers keep it, with a bounded memo of encoded words, between tasks. A
+new word is first cut wherever no piece holds its two neighbouring characters
+side by side (before a full stop, say), and the parts are looked up as well.
 Encoding and decoding are one scan without a shuffle.
 
 Defined cases: null text is empty text; empty text has no ids and decodes to
@@ -20,7 +22,6 @@ other than id and text play no part and may have any name.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MEMO_WORDS = 150_000
+# Words of one memo generation (of two, about 350 bytes a word).
+MEMO_WORDS = 250_000
 MEMO_PAIRS = 150_000
 MEMO_LENGTH = 64
 
@@ -84,7 +86,8 @@ class PieceEncoder:
         self.pieces = {i: p for p, i in self.ids.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo = _Memo(self, SPACE)
-        self.tails = _Memo(self, "")
+        self.parts = _Memo(self, "")
+        self.side_by_side = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.spaces: dict[int, list[int]] = {}
         self.ready = True
 
@@ -176,6 +179,9 @@ class PieceEncoder:
         return self.spaces[n]
 
     def ids_of(self, tokens: list[str]) -> list[int]:
+        out = [self.ids.get(t) for t in tokens]
+        if None not in out:
+            return out
         out = []
         for t in tokens:
             i = self.ids.get(t)
@@ -187,7 +193,10 @@ class PieceEncoder:
 
     def pieces_text(self, ids: list[int]) -> str:
         """Text of ids before the leading space is taken off."""
-        out, raw = [], bytearray()
+        try:
+            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
+        except KeyError:  # byte pieces
+            out, raw = [], bytearray()
         for i in ids:
             if self.byte0 <= i < self.byte0 + 256:
                 raw.append(i - self.byte0)
@@ -240,62 +249,65 @@ class PieceEncoder:
 
 
 class _Memo(dict):
-    """word -> (ids, decoded), filled on demand and emptied when full."""
+    """word -> (ids, decoded), filled on demand. A full memo becomes the old
+    generation: a word that is met again comes back from there, others go."""
 
     def __init__(self, encoder: PieceEncoder, prefix: str):
-        self.encoder, self.prefix = encoder, prefix
+        self.encoder, self.prefix, self.old = encoder, prefix, {}
 
     def __missing__(self, word: str) -> tuple[str, str]:
-        e = self.encoder
-        if "\n" in word and "\n" not in e.ids:
-            # no piece holds a line break, so no merge crosses one
-            parts = word.split("\n")
-            line = e.entry(e.ids_of(["\n"]))
-            found = [self[parts[0]] if parts[0] or self.prefix else ("", "")]
-            for p in parts[1:]:
-                found += [line, e.tails[p] if p else ("", "")]
-            return ",".join(i for i, _ in found if i), "".join(t for _, t in found)
-        value = e.entry(e.ids_of(e.tokens(self.prefix + word)))
+        value = self.old.get(word) or self._encoded(word)
         if len(word) <= MEMO_LENGTH:
             if len(self) >= MEMO_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = value
         return value
 
+    def _encoded(self, word: str) -> tuple[str, str]:
+        e, w = self.encoder, self.prefix + word
+        # no piece holds these two characters side by side, so no merge crosses here
+        cuts = [i for i in range(1, len(w)) if w[i - 1:i + 1] not in e.side_by_side]
+        if not cuts:
+            return e.entry(e.ids_of(e.tokens(w)))
+        found = [e.parts[w[i:j]] for i, j in zip([0, *cuts], [*cuts, len(w)])]
+        return ",".join([i for i, _ in found]), "".join([t for _, t in found])
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                     with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and
-    decoded, of every row. The digests are of the decimal ids joined by
-    commas, and of the decoded text in UTF-8."""
+
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded (the text that the ids stand for) and n_tokens of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(PieceEncoder(read_model(model_path)))  # fixed size: the vocabulary
 
     def encode(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         encoder = shared.value
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
-                n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    words = encoder.encode_words(text or "")
+            for at in range(0, big.num_rows, 256):
+                batch = big.slice(at, 256)
+                all_ids, texts, ends = [], [], [0]
+                for text in batch.column(1):
+                    words = encoder.encode_words(text.as_py() or "")
                     ids = ",".join([w[0] for w in words])
-                    decoded = "".join([w[1] for w in words])[1:]
-                    n.append(ids.count(",") + 1 if ids else 0)
-                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if with_ids:
-                        all_ids.append([int(i) for i in ids.split(",")] if ids else [])
-                        texts.append(decoded)
-                cols = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()),
-                        "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
-                if with_ids:
-                    cols |= {"ids": pa.array(all_ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
-                yield pa.RecordBatch.from_pydict(cols)
+                    all_ids.append(ids)
+                    texts.append("".join([w[1] for w in words])[1:])
+                    ends.append(ends[-1] + (ids.count(",") + 1 if ids else 0))
+                numbers = np.fromstring(",".join(filter(None, all_ids)), np.int32, sep=",")
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())],
+                                                 ["doc_id", "ids", "decoded"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return slim.mapInArrow(encode, schema + (", ids array<int>, decoded string" if with_ids else ""))
+    return (slim.mapInArrow(encode, f"doc_id {id_type}, ids array<int>, decoded string")
+            .withColumn("n_tokens", F.size("ids").cast("long")))
+
+
+def with_digests(encoded: DataFrame) -> DataFrame:
+    """``encoded`` with ids_sha256 (of the decimal ids joined by commas) and
+    decoded_sha256 (of the decoded text in UTF-8)."""
+    return encoded.withColumns({
+        "ids_sha256": F.sha2(F.encode(F.concat_ws(",", F.col("ids").cast("array<string>")), "utf-8"), 256),
+        "decoded_sha256": F.sha2(F.encode("decoded", "utf-8"), 256)})

@@ -12,7 +12,7 @@ from tabforge.llm.common import table
 from tabforge.llm.cross_polytope import nearest
 from tabforge.llm.infilling import fill_in_middle, restore
 from tabforge.llm.mixing import taken_words
-from tabforge.llm.piece_bpe import encode_documents
+from tabforge.llm.piece_bpe import encode_documents, with_digests
 from tabforge.llm.quotes import reply_order
 from tabforge.llm.repeat_intervals import remove_repeats
 from tabforge.llm.resampling import importance_sample
@@ -82,7 +82,8 @@ def model_path() -> str:
 
 @query("op7_prefix_table")
 def op7_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), model_path(), with_ids=False)
+    encoded = with_digests(encode_documents(table(spark, sf_dir, "documents"), model_path()))
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @query("op10_weak_supervision")

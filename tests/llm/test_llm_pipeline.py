@@ -99,7 +99,7 @@ def test_pipeline_matches_plain_python(spark, folder):
     for i, t, _ in rows:
         tokens = library.encode(t or "")
         want += [(i, len(tokens), hashlib.sha256(",".join(map(str, tokens)).encode()).hexdigest(),
-                  hashlib.sha256(library.decode(tokens).encode()).hexdigest())] * times.get(i, 0)
+                  hashlib.sha256(library.decode(tokens).encode()).hexdigest(), tokens, library.decode(tokens))] * times.get(i, 0)
     got = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, got.collect())) == sorted(want)
 

@@ -119,6 +119,28 @@ def test_encoded_documents(spark, bpe):
     assert encode_documents(docs(spark, []), path).count() == 0
 
 
+def test_words_are_cut_only_where_no_merge_crosses(bpe, monkeypatch):
+    from tabforge.llm import piece_bpe
+
+    monkeypatch.setattr(piece_bpe, "MEMO_WORDS", 40)  # both generations turn over many times
+    path, _, library = bpe
+    encoder = PieceEncoder(read_model(path))
+    rng = random.Random(12)
+    marks = [".", ",", "\n", "é", "日本", "\U00013000", "''", "...", "%%%", "don't", "e.g.", "x=1", SPACE, "-", "", "a" * 90]
+    for _ in range(1500):
+        text = " ".join("".join(rng.choice(marks + ["the", "ing", "Th", "er"]) for _ in range(rng.randrange(6))) for _ in range(4))
+        ids = encoder.encode(text)
+        assert ids == library.encode(text) and encoder.decode(ids) == library.decode(ids)
+    assert len(encoder.memo) <= 40 and len(encoder.memo.old) <= 40 and len(encoder.parts) <= 40
+
+
+def test_very_long_texts_are_encoded_whole(spark, bpe):
+    path, _, library = bpe
+    text = "long words, and lines.\nagain é  " * 40_000 + "z" * 200_000
+    (row,) = encode_documents(docs(spark, [(1, text, "s")]), path).collect()
+    assert row.ids == library.encode(text) and row.decoded == library.decode(row.ids) and row.n_tokens == len(row.ids)
+
+
 def toxic_corpus(spark, n=600):
     rng = random.Random(6)
     rows, labels = [], []
