@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabforge.llm.block_naming import drop_exact_duplicates
 from tabforge.llm.common import materialize, table
 from tabforge.llm.mixing import mixed_documents
-from tabforge.llm.piece_bpe import encode_documents
+from tabforge.llm.piece_bpe import encode_documents, with_digests
 from tabforge.llm.queries import model_path
 from tabforge.llm.simhash_bk import drop_near_duplicates
 from tabforge.llm.weak_supervision import drop_toxic
@@ -36,7 +36,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, model_path(), with_ids=False)
+    encoded = with_digests(encode_documents(docs, model_path()))
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
