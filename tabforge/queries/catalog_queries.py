@@ -85,13 +85,13 @@ def q_row_ids_csv(spark, sf):
     return df.select("o_orderkey", "o_orderstatus", F.col(ROW_ID).alias("row_id"))
 
 
-def _text_csv(spark, sf, name: str, line: Column, header: str, parts: int = 4) -> list[str]:
+def _text_csv(spark, sf, name: str, line: Column, header: str, parts: int = 4, key: str = "o_custkey") -> list[str]:
     """CSV files of lines as they are, each file below its header."""
     path = scratch_path(spark, name)
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    rows = o.select((F.col("o_orderkey") % parts).cast("int").alias("part"), F.lit(1).alias("below"), line.alias("line"))
-    heads = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("below"), F.lit(header).alias("line"))
-    (rows.union(heads).repartition(parts, "part").sortWithinPartitions("part", "below")
+    rows = o.select((F.col("o_orderkey") % parts).cast("int").alias("part"), F.lit(1).alias("below"), F.col(key).alias("key"), line.alias("line"))
+    heads = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("below"), F.lit(None).alias("key"), F.lit(header).alias("line"))
+    (rows.union(heads).repartition(parts, "part").sortWithinPartitions("part", "below", "key")
      .select("part", "line").write.partitionBy("part").text(path))
     return [f"{path}/part={i}" for i in range(parts)]
 
@@ -105,6 +105,15 @@ def q_scan_csv_ragged(spark, sf):
     return scan_csv(spark, path, multiline=False).drop(ROW_ID)
 
 
+@query("scan_csv_breaks", """SELECT o_orderkey, 'status ""' || o_orderstatus || '"",' || chr(10) || chr(10) || 'customer ' || o_custkey AS note,
+  o_totalprice, row_number() OVER (ORDER BY o_orderkey % 4, o_orderkey) - 1 AS row_id FROM orders""".replace('""', '"'))
+def q_scan_csv_breaks(spark, sf):
+    """Quoted fields with line breaks, commas and quotes, read in splits; row ids in file order."""
+    line = F.concat("o_orderkey", F.lit(',"status ""'), "o_orderstatus", F.lit('"",\n\ncustomer '), "o_custkey", F.lit('",'), "o_totalprice")
+    path = _text_csv(spark, sf, "breaks-csv", line, '"o_orderkey",note,o_totalprice', key="o_orderkey")
+    return scan_csv(spark, path).select("o_orderkey", "note", "o_totalprice", F.col(ROW_ID).alias("row_id"))
+
+
 @query("infer_schema_bigint", """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) || '00000000000000000000' AS large FROM orders""")
 def q_infer_schema_bigint(spark, sf):
     """Integers beyond 64 bits stay text."""

@@ -4,7 +4,8 @@ Row order is made explicit as ``_row_id`` without shuffling the data:
 
 * Parquet: ``offset(file) + _metadata.row_index``;
 * CSV: ``offset(file, block) + (monotonic id - first monotonic id of the
-  block)`` — a block is read by one task, so ids inside it are consecutive.
+  block)`` — a block is read by one task, so ids inside it are consecutive;
+  records with line breaks are numbered by ``sources.records``.
 
 Offsets are cumulative row counts of a tiny per-file (per-block) aggregate;
 that table has one row per file/block, its size is known from the file
@@ -27,6 +28,7 @@ from tabforge.functions.coerce import (
     TRUE_TOKENS,
 )
 from tabforge.functions.columns import ROW_ID, normalize_nans, quoted
+from tabforge.sources import records
 
 # Above this many files/blocks the offsets table is joined, not broadcast.
 MAX_BROADCAST_OFFSETS = 20_000
@@ -108,21 +110,32 @@ def _dedupe_header(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv_text(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, multiline: bool = True, row_ids: bool = False) -> DataFrame:
     """All-string CSV scan with the header de-duplicated. Short rows are
-    filled with missing values; a row longer than the header is an error."""
-    opts = {"header": "true", "quote": '"', "escape": '"', "multiLine": str(multiline).lower(),
-            "mode": "PERMISSIVE", "nullValue": "\u0000__never__"}
-    header = spark.read.options(**{**opts, "header": "false"}).csv(path).first()
+    filled with missing values; a row longer than the header is an error.
+
+    With ``multiline``, quoted fields may hold line breaks; files that do are
+    read in splits all the same (``sources.records``)."""
+    opts = {"header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0000__never__"}
+    header = spark.read.options(**{**opts, "header": "false", "multiLine": str(multiline).lower()}).csv(path).first()
     if header is None:
         raise InvalidParameter(f"empty CSV: {path}")
     names = _dedupe_header([str(v) if v is not None else "" for v in header])
     # one column more than the header has: rows that fill it are too long
     schema = ", ".join([*(f"c{i} string" for i in range(len(names))), "more string"])
-    raw = spark.read.schema(schema).options(**opts).csv(path)
+    if multiline and records.has_open_lines(spark, path):
+        whole = records.records(spark, path)
+        # as multiLine reads them: line breaks within quotes stay as they are
+        fields = F.from_csv("text", schema, {**opts, "multiLine": "true", "lineSep": "\n"})
+        raw = whole.select(ROW_ID, fields.alias("f")).select(ROW_ID, "f.*")
+        raw = raw if row_ids else raw.drop(ROW_ID)
+    else:
+        raw = spark.read.schema(schema).options(**opts).csv(path)
+        raw = with_row_ids_text(raw) if row_ids else raw
     too_long = F.raise_error(F.lit(f"a row has more than the {len(names)} fields of the header"))
     first = F.when(F.col("more").isNotNull(), too_long.cast("string")).otherwise(F.col("c0"))
-    return raw.select(*[(first if i == 0 else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
+    return raw.select(*[(first if i == 0 else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)],
+                      *([ROW_ID] if row_ids else []))
 
 
 def infer_schema(df: DataFrame) -> dict[str, str]:
@@ -183,8 +196,6 @@ def apply_schema(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str, multiline: bool = True, row_ids: bool = True) -> DataFrame:
-    text = read_csv_text(spark, path, multiline=multiline)
-    types = infer_schema(text)  # inference needs no row order
-    if row_ids:
-        text = with_row_ids_text(text)
+    text = read_csv_text(spark, path, multiline=multiline, row_ids=row_ids)
+    types = infer_schema(text.drop(ROW_ID))  # inference needs no row order
     return apply_schema(text, types)
