@@ -45,7 +45,7 @@ from tabforge.llm.common import materialize
 
 # Fixed values of the audit: documents a kept term needs, and the scale of a share (1000^3, see ``share``).
 MIN_DOCUMENTS, SCALE = 10, 1_000_000_000
-PIECE = 8 << 20
+PIECE = 4 << 20
 BUCKET_BYTES, MAX_BUCKETS = 4 << 20, 4096
 MERGE_ROWS = 1 << 20
 # Sources looked up by broadcast; beyond, by a join.
