@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.errors import InvalidParameter, UnknownStep
+from tabforge.functions.columns import ROW_ID
 from tabforge.operators.features import FeatureModel
 
 MAX_TREE_DEPTH = 30
@@ -87,36 +88,67 @@ def _depth(params, default):
     return d
 
 
-class RandomFourierFeatures(FeatureModel):
-    """RBF-kernel feature map z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma),
-    b ~ U(0, 2 pi) (Rahimi & Recht, 2007). Applied per Arrow batch with
-    numpy (a vectorized pandas UDF), so a linear learner on z approximates
-    a kernel machine. W and b follow from the stored seed and shape."""
+class NystroemFeatures(FeatureModel):
+    """Kernel feature map z(x) = K(x, L) U |D|^(-1/2) over landmark rows L,
+    with K(L, L) = U D U' (Williams & Seeger, 2001): a linear learner on z is a
+    kernel machine whose solution lies in the span of the landmarks. Applied
+    per Arrow batch with numpy. ``rbf``: exp(-gamma |x - y|^2); ``sigmoid``:
+    tanh(gamma x.y + coef0), an indefinite kernel, hence |D|."""
 
     @staticmethod
-    def of(input_col: str, output_col: str, d_in: int, n_components: int, gamma: float, seed: int):
-        m = RandomFourierFeatures()
+    def of(input_col: str, output_col: str, kernel: str, landmarks: np.ndarray, gamma: float, coef0: float):
+        m = NystroemFeatures()
         m._set(featureCols=[input_col], outputCols=[output_col],
-               state=json.dumps({"d": d_in, "n": n_components, "gamma": gamma, "seed": seed}))
+               state=json.dumps({"kernel": kernel, "gamma": gamma, "coef0": coef0, "landmarks": landmarks.tolist()}))
         return m
 
+    @staticmethod
+    def kernel(st: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if st["kernel"] == "sigmoid":
+            return np.tanh(st["gamma"] * (x @ y.T) + st["coef0"])
+        d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
+        return np.exp(-st["gamma"] * np.maximum(d2, 0.0))
+
     def _transform(self, df: DataFrame) -> DataFrame:
         import pandas as pd
 
-        st = self.feature_state()
-        rng = np.random.default_rng(st["seed"])
-        W = rng.normal(0.0, math.sqrt(2.0 * st["gamma"]), size=(st["n"], st["d"]))
-        b = rng.uniform(0.0, 2.0 * math.pi, size=st["n"])
-        scale = math.sqrt(2.0 / st["n"])
+        st, kernel = self.feature_state(), self.kernel
+        land = np.array(st.pop("landmarks"), dtype=float)
+        values, vectors = np.linalg.eigh(kernel(st, land, land))
+        used = np.abs(values) > 1e-10 * np.abs(values).max()
+        back = vectors[:, used] / np.sqrt(np.abs(values[used]))
 
         @F.pandas_udf("array<double>")
-        def rff(col: pd.Series) -> pd.Series:
-            X = np.stack(col.to_numpy()) if len(col) else np.zeros((0, W.shape[1]))
-            Z = scale * np.cos(X @ W.T + b)
-            return pd.Series(list(Z))
+        def features(col: pd.Series) -> pd.Series:
+            x = np.stack(col.to_numpy()) if len(col) else np.zeros((0, land.shape[1]))
+            return pd.Series(list(kernel(st, x, land) @ back))
 
         (source,), (out,) = self.getOrDefault(self.featureCols), self.getOrDefault(self.outputCols)
-        return df.withColumn(out, array_to_vector(rff(vector_to_array(F.col(source)))))
+        return df.withColumn(out, array_to_vector(features(vector_to_array(F.col(source)))))
+
+
+def landmark_rows(train: DataFrame, features: str, wanted: int, n: int, seed: int) -> np.ndarray:
+    """The ``wanted`` feature rows of least seeded hash of the row id, so the
+    choice follows the data and never the layout. Only about four times as
+    many candidates are ordered."""
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col(ROW_ID)), F.lit(1 << 40))
+    least = min(1 << 40, int((1 << 40) * (4 * wanted + 40) / max(n, 1)))
+    rows = (train.select(h.alias("h"), F.col(ROW_ID).alias("i"), vector_to_array(F.col(features)).alias("x"))
+            .where(F.col("h") < least).orderBy("h", "i").limit(wanted).collect())
+    return np.array([r["x"] for r in rows], dtype=float)
+
+
+def _scale_gamma(train: DataFrame, features: str, n_features: int) -> float:
+    """1 / (features x variance of all values), the default width of a kernel."""
+    from pyspark.ml.stat import Summarizer
+
+    row = train.select(Summarizer.variance(F.col(features)).alias("v"), Summarizer.mean(F.col(features)).alias("m"),
+                       Summarizer.count(F.col(features)).alias("n")).first()
+    if not n_features or not row["n"]:
+        return 1.0
+    mean, within = row["m"].toArray(), row["v"].toArray() * (row["n"] - 1) / row["n"]
+    var = float(np.mean(within + mean ** 2) - np.mean(mean) ** 2)
+    return 1.0 / (n_features * var) if var > 0 else 1.0
 
 
 def fit_estimator(name: str, params: dict, train: DataFrame, features: str, label: str,
@@ -165,24 +197,18 @@ def fit_estimator(name: str, params: dict, train: DataFrame, features: str, labe
         kernel = params.get("kernel", "rbf")
         pre = None
         col = features
-        if kernel == "rbf":
+        if kernel in ("rbf", "sigmoid"):
             gamma = params.get("gamma", "scale")
-            if gamma == "scale":
-                from pyspark.ml.stat import Summarizer
-
-                row = train.select(Summarizer.variance(F.col(features)).alias("v"),
-                                   Summarizer.mean(F.col(features)).alias("m")).first()
-                var = float(np.mean(row["v"].toArray() + row["m"].toArray() ** 2) -
-                            np.mean(row["m"].toArray()) ** 2) if n_features else 1.0
-                gamma = 1.0 / (n_features * var) if var > 0 else 1.0
-            pre = RandomFourierFeatures.of(features, "__rff", n_features, _int(params, "n_components", 200),
-                                        float(gamma), seed)
-            col = "__rff"
+            gamma = (_scale_gamma(train, features, n_features) if gamma == "scale" else 1.0 / max(n_features, 1) if gamma == "auto"
+                     else _float(params, "gamma", 1.0))
+            land = landmark_rows(train, features, _int(params, "n_components", 200), n_train(), seed)
+            pre = NystroemFeatures.of(features, "__kernel", kernel, land, gamma, _float(params, "coef0", 0.0))
+            col = "__kernel"
         elif kernel == "poly":
             pre = PolynomialExpansion(inputCol=features, outputCol="__poly", degree=_int(params, "degree", 3))
             col = "__poly"
         elif kernel != "linear":
-            raise InvalidParameter(f"SVC kernel {kernel!r} is not supported (linear, rbf, poly)")
+            raise InvalidParameter(f"SVC kernel {kernel!r} is not supported (linear, rbf, poly, sigmoid)")
         # the mapped features are computed once and reused by every solver pass
         data = pre.transform(train).select(col, label).persist() if pre is not None else train
         svc = LinearSVC(featuresCol=col, labelCol=label, regParam=1.0 / (C * n_train()),

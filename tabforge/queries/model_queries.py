@@ -209,6 +209,12 @@ def q_svm_separable(spark, sf):
     return out.select("o_orderkey", "actual", "predicted")
 
 
+@query("svm_sigmoid_separable", SPLIT_ORDERS + "SELECT o_orderkey, class AS actual, class AS predicted FROM s WHERE is_test")
+def q_svm_sigmoid_separable(spark, sf):
+    out = _two_valued_run(spark, sf, "class", "SVC", kernel="sigmoid", C="10.0", max_iter="20")
+    return out.select("o_orderkey", "actual", "predicted")
+
+
 @query("one_hot_train_wide", """WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42'))
     <= (SELECT ceil(count(*) * 0.2) FROM orders) AS is_test FROM orders)
 SELECT o_orderkey, CAST(o_orderkey % 300 AS DOUBLE) AS predicted FROM s t WHERE is_test

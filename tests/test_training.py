@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tabforge.errors import InvalidParameter, UnknownStep
 from tabforge.functions.columns import ROW_ID
 from tabforge.plans.cleaning import apply_ops
+from tabforge.operators.models import NystroemFeatures, landmark_rows
 from tabforge.plans.training import TrainSpec, train
 from tabforge.queries.model_queries import embeddings_wide
+from tabforge.sources.store import Store
 
 SF = "/root/testdata/sf0.01"
 EST = "estimators"
@@ -99,7 +101,49 @@ def test_predictions_vary(spark):
     assert run.predictions.select("predicted").distinct().count() > 1
 
 
-@pytest.mark.parametrize("kernel", ["linear", "rbf", "poly"])
+def _plane(spark, rule, n=1500):
+    df = spark.range(0, n, 1, 3).select(F.col("id").alias("_row_id"), *[
+        (F.pmod(F.xxhash64(F.lit(s), "id"), F.lit(100_000)) / 25_000 - 2).alias(c) for s, c in ((1, "a"), (2, "b"))])
+    return df.withColumn("label", F.when(rule(F.col("a"), F.col("b")), "in").otherwise("out"))
+
+
+CURVES = {"rbf": lambda a, b: a * a + b * b < 2.5, "sigmoid": lambda a, b: b > F.sin(2.5 * a)}
+
+
+@pytest.mark.parametrize("kernel", list(CURVES))
+def test_kernels_learn_curves(spark, kernel, store_root):
+    df = _plane(spark, CURVES[kernel])
+    params = {"rbf": {"kernel": "rbf", "C": 100}, "sigmoid": {"kernel": "sigmoid", "C": 1000, "gamma": 1.0, "max_iter": 300}}[kernel]
+
+    def run(p):
+        return train(df, TrainSpec("label", [{"name": "SVC", "category": EST, "params": p}], feature_columns=["a", "b"]))
+
+    curved, straight = run(params), run({"kernel": "linear"})
+    assert curved.metrics["accuracy"] > 0.93 > straight.metrics["accuracy"] + 0.02
+    store = Store(spark, f"{store_root}/{kernel}")
+    store.save_run(curved)
+    scored = store.score(curved.job_id, df).join(curved.predictions.select("_row_id", F.col("predicted").alias("p")), "_row_id")
+    assert scored.count() == 300 and scored.where("predicted <> p").count() == 0
+
+
+def test_nystroem_features_give_the_kernel_back(spark):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "_row_id long, x array<double>")
+    df = df.select("_row_id", array_to_vector("x").alias("v"))
+    land = landmark_rows(df, "v", 100, 40, seed=1)
+    assert len(land) == 40 and sorted(map(tuple, land)) == sorted(map(tuple, x))
+    assert np.array_equal(landmark_rows(df.repartition(7), "v", 12, 40, seed=1), landmark_rows(df, "v", 12, 40, seed=1))
+    m = NystroemFeatures.of("v", "z", "rbf", land, 0.7, 0.0)
+    rows = m.transform(df).orderBy("_row_id").select(vector_to_array("z").alias("z")).collect()
+    z = np.array([r["z"] for r in rows])
+    want = np.exp(-0.7 * ((x[:, None] - x[None]) ** 2).sum(2))
+    np.testing.assert_allclose(z @ z.T, want, atol=1e-6)
+
+
+@pytest.mark.parametrize("kernel", ["linear", "rbf", "poly", "sigmoid"])
 def test_svc_kernels(spark, kernel):
     df = embeddings_wide(spark, SF).where(F.col("label") < 2)
     run = train(df, TrainSpec("label", [{"name": "StandardScaler"},
