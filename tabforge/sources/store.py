@@ -10,10 +10,14 @@ Layout under one root folder (shared storage on a cluster)::
     _catalog/history     one row per cleaned dataset: source id + ops JSON
     _catalog/runs        one row per training run
 
-Row counts are recorded at write time (read from the Parquet footers of
-the written files), so listing datasets never rescans the data. A dataset
-becomes visible only once its catalog row is appended after a successful
-write, so a failed ingest leaves nothing behind in the catalog.
+    _staging/<uuid>      what is being written
+
+Data are written below ``_staging`` and renamed into place when complete. A
+catalog row is a file of its own, named by its id and renamed into the table
+only if no such file is there: two writers never share an output folder, one
+id is taken once, and readers see whole rows. A failed write leaves neither
+data nor a row. Row counts come from the Parquet footers of the written files,
+so neither saving nor listing reads the data again.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ import datetime as _dt
 import json
 import os
 import uuid
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.errors import DatasetNotFound, InvalidParameter, RunNotFound
-from tabforge.functions.columns import ROW_ID, user_columns
+from tabforge.functions.columns import ROW_ID, field_type, user_columns
 from tabforge.operators import profile
 from tabforge.plans.cleaning import CleanOp, apply_ops, preview_clean
 from tabforge.sources.scan import scan_csv, scan_parquet
@@ -63,9 +69,59 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def _append(self, name: str, schema: str, rows: list[tuple]) -> None:
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/_catalog/{name}")
+    def _move(self, source: str, target: str) -> None:
+        """Rename a complete file or folder; an existing target is an error."""
+        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
+        # Rename.NONE, unlike FileSystem.rename, neither replaces nor nests into what is there
+        context = hadoop.FileContext.getFileContext(hadoop.Path(target).toUri(), self.spark._jsc.hadoopConfiguration())
+        kind = getattr(hadoop, "Options$Rename")
+        how = gateway.new_array(kind, 1)
+        how[0] = kind.NONE
+        context.mkdir(hadoop.Path(target).getParent(), hadoop.permission.FsPermission.getDirDefault(), True)
+        try:
+            context.rename(hadoop.Path(source), hadoop.Path(target), how)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise InvalidParameter(f"{target} exists already")
+            raise
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    @contextmanager
+    def _staged(self, target: str):
+        """A folder to write to that becomes ``target`` if the block succeeds."""
+        if self._exists(target):
+            raise InvalidParameter(f"{target} exists already")
+        folder = f"{self.root}/_staging/{uuid.uuid4().hex}"
+        try:
+            yield folder
+            self._move(folder, target)
+        finally:
+            self._delete(folder)
+
+    @contextmanager
+    def _undone_unless_listed(self, *paths: str):
+        """Take back what was put in place if its catalog row cannot be added."""
+        try:
+            yield
+        except Exception:
+            for path in paths:
+                self._delete(path)
+            raise
+
+    def _append(self, name: str, schema: str, row: tuple) -> str:
+        """Add one row under the id it begins with; returns its file."""
+        folder = f"{self.root}/_staging/{uuid.uuid4().hex}"
+        target = f"{self.root}/_catalog/{name}/{row[0]}.parquet"
+        try:
+            self.spark.createDataFrame([row], schema).coalesce(1).write.parquet(folder)
+            (part,) = self.spark.read.schema(schema).parquet(folder).inputFiles()
+            self._move(part, target)
+        finally:
+            self._delete(folder)
+        return target
 
     def datasets(self) -> DataFrame:
         return self._table("datasets", DATASETS_SCHEMA)
@@ -84,15 +140,17 @@ class Store:
 
     # ------------------------------------------------------------ ingest
     def _write(self, df: DataFrame, path: str) -> tuple[int, list[str]]:
-        df.write.mode("errorifexists").parquet(path)
-        # the count comes from the Parquet footers of the written files
-        return self.spark.read.parquet(path).count(), user_columns(df)
+        with self._staged(path) as folder:
+            df.write.parquet(folder)
+            # from the footers of the written files; an Observation would make every later
+            # checkpoint of the session fail (its manager cannot be serialized)
+            n = self.spark.read.parquet(folder).count()
+        return n, user_columns(df)
 
     def ingest(self, path: str, name: str | None = None, dataset_id: str | None = None, multiline: bool = True) -> dict:
         """Read a CSV (with type inference) or Parquet file/folder, snapshot
         it as Parquet with a dense row id, record it, return its profile.
-        ``multiline=False`` (no quoted line breaks) lets one large CSV file
-        be read by many tasks."""
+        ``multiline=False`` spares the look for quoted line breaks."""
         ext = os.path.splitext(path.rstrip("/"))[1].lower()
         if ext not in SUPPORTED:
             raise InvalidParameter(f"unsupported file type {ext!r}: use CSV or Parquet")
@@ -101,8 +159,8 @@ class Store:
         out = f"{self.root}/raw/{ds_id}"
         n, cols = self._write(df, out)
         name = name or os.path.basename(path.rstrip("/"))
-        self._append("datasets", DATASETS_SCHEMA,
-                     [(ds_id, name, "raw", out, n, len(cols), cols, True, _dt.datetime.now())])
+        with self._undone_unless_listed(out):
+            self._append("datasets", DATASETS_SCHEMA, (ds_id, name, "raw", out, n, len(cols), cols, True, _dt.datetime.now()))
         info = profile.describe_dataset(self.load(ds_id), dense_row_ids=True)
         return {"id": ds_id, "name": name, **info}
 
@@ -148,10 +206,11 @@ class Store:
         out = f"{self.root}/clean/{cid}"
         n, cols = self._write(out_df, out)
         now = _dt.datetime.now()
-        self._append("history", HISTORY_SCHEMA,
-                     [(cid, dataset_id, json.dumps([{"op": o.op, "params": o.params} for o in ops],
-                                                   default=str), now)])
-        self._append("datasets", DATASETS_SCHEMA, [(cid, name or cid, "clean", out, n, len(cols), cols, False, now)])
+        done = json.dumps([{"op": o.op, "params": o.params} for o in ops], default=str)
+        with self._undone_unless_listed(out):
+            lineage = self._append("history", HISTORY_SCHEMA, (cid, dataset_id, done, now))
+            with self._undone_unless_listed(lineage):
+                self._append("datasets", DATASETS_SCHEMA, (cid, name or cid, "clean", out, n, len(cols), cols, False, now))
         return {"clean_id": cid, "rows": n, "columns": len(cols), "column_names": cols,
                 "message": f"cleaned dataset {cid}"}
 
@@ -175,14 +234,19 @@ class Store:
 
     def save_run(self, result) -> None:
         base = f"{self.root}/runs/{result.job_id}"
-        preds = f"{base}/predictions"
-        result.predictions.write.mode("errorifexists").parquet(preds)
-        model_path = self.save_model(result, f"{base}/model")
-        self._append("runs", RUNS_SCHEMA, [(
-            result.job_id, result.dataset_id, result.target_column, result.is_classifier,
-            json.dumps(result.metrics, default=float), json.dumps(result.feature_importance),
-            result.feature_columns, json.dumps(result.steps, default=str), result.column_names,
-            preds, model_path, json.dumps(result.labels, default=str), _dt.datetime.now())])
+        with self._staged(base) as folder:
+            result.predictions.write.parquet(f"{folder}/predictions")
+            self.save_model(result, f"{folder}/model")
+        labels = None
+        if result.labels is not None:
+            kind = field_type(result.predictions, "actual").simpleString()
+            labels = {"type": kind, "values": [str(v).lower() if isinstance(v, bool) else str(v) for v in result.labels]}
+        with self._undone_unless_listed(base):
+            self._append("runs", RUNS_SCHEMA, (
+                result.job_id, result.dataset_id, result.target_column, result.is_classifier,
+                json.dumps(result.metrics, default=float), json.dumps(result.feature_importance),
+                result.feature_columns, json.dumps(result.steps, default=str), result.column_names,
+                f"{base}/predictions", f"{base}/model", json.dumps(labels), _dt.datetime.now()))
 
     def save_model(self, result, path: str) -> str:
         """Persist the fitted stages: Spark ML stages as a PipelineModel,
@@ -215,7 +279,9 @@ class Store:
             out = KNNModel.load(self.spark, f"{rows[0]['model_path']}-neighbours").transform(out)
         labels = json.loads(rows[0]["labels"] or "null")
         if rows[0]["is_classifier"] and labels:
-            out = out.withColumn("predicted", F.element_at(F.lit(labels), F.col("prediction").cast("int") + 1))
+            # the classes have the type of the target
+            names = F.lit(labels["values"]).cast(f"array<{labels['type']}>")
+            out = out.withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1))
         return out
 
     def list_runs(self) -> DataFrame:
