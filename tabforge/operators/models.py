@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tabforge.errors import InvalidParameter, UnknownStep
 from tabforge.functions.columns import ROW_ID
+from tabforge.operators.boosting import fit_softmax_boosting
 from tabforge.operators.features import FeatureModel
 
 MAX_TREE_DEPTH = 30
@@ -44,18 +45,9 @@ class FittedEstimator:
     n_classes: int
     has_probability: bool
     pre: object = None  # optional feature-map model applied before the learner
-    margins: bool = False  # class probabilities come from the per-class boosting margins
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if self.pre is not None:
-            df = self.pre.transform(df)
-        out = self.model.transform(df)
-        if self.margins:
-            # each margin is half a log-odds; the class probabilities are scaled to sum to one
-            odds = F.transform(vector_to_array(F.col("rawPrediction")), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * m)))
-            total = F.aggregate(odds, F.lit(0.0), lambda a, p: a + p)
-            out = out.withColumn("probability", array_to_vector(F.transform(odds, lambda p: p / total)))
-        return out
+        return self.model.transform(self.pre.transform(df) if self.pre is not None else df)
 
 
 def _int(params, key, default):
@@ -172,13 +164,12 @@ def fit_estimator(name: str, params: dict, train: DataFrame, features: str, labe
                                   maxDepth=_depth(params, 10), featureSubsetStrategy="all", bootstrap=_flag(params, "bootstrap", True), seed=seed).fit(train)
         return FittedEstimator(m, False, 0, False)
     if name == "GradientBoostingClassifier":
-        gbt = GBTClassifier(featuresCol=features, labelCol=label, maxIter=_int(params, "n_estimators", 100),
-                            stepSize=_float(params, "learning_rate", 0.1), maxDepth=_depth(params, 3), seed=seed)
+        rounds, rate, depth = _int(params, "n_estimators", 100), _float(params, "learning_rate", 0.1), _depth(params, 3)
         if n_classes <= 2:
+            gbt = GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed)
             return FittedEstimator(gbt.fit(train), True, n_classes, True)
-        ovr = OneVsRest(classifier=gbt, featuresCol=features, labelCol=label, parallelism=4,
-                        rawPredictionCol="rawPrediction").fit(train)
-        return FittedEstimator(ovr, True, n_classes, True, margins=True)
+        return FittedEstimator(fit_softmax_boosting(train, features, label, n_classes, n_features, rounds, rate, depth, seed),
+                               True, n_classes, True)
     if name == "LogisticRegression":
         C = _float(params, "C", 1.0)
         if C <= 0:

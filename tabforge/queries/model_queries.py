@@ -203,6 +203,25 @@ def q_logistic_regression_rates(spark, sf):
     return rounded(out.select("o_orderkey", "predicted", "probability"), 3)
 
 
+@query("gbt_multiclass_stump", f"""WITH s AS (SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AS x,
+    CASE WHEN o_orderkey % 7 < 3 AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'a' WHEN o_orderkey % 5 < 3 THEN 'b' ELSE 'c' END AS y,
+    row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42')) <= (SELECT ceil(count(*) * 0.2) FROM orders) AS is_test FROM orders),
+p AS (SELECT y AS k, count(*) / (SELECT count(*) FROM s WHERE NOT is_test) AS p FROM s WHERE NOT is_test GROUP BY y),
+g AS (SELECT x, k, ln(any_value(p)) + 0.1 * 2 / 3 * sum((y = k)::INT - p) / sum(abs((y = k)::INT - p) * (1 - abs((y = k)::INT - p))) AS raw
+      FROM s, p WHERE NOT is_test GROUP BY x, k),
+r AS (SELECT x, arg_max(k, raw) AS predicted, exp(max(raw)) / sum(exp(raw)) AS probability FROM g GROUP BY x)
+SELECT o_orderkey, predicted, {R("probability", 6)} AS probability FROM s JOIN r USING (x) WHERE is_test""")
+def q_gbt_multiclass_stump(spark, sf):
+    """One round of joint boosting over three classes: a stump and a Newton step a class."""
+    urgent, key = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.col("o_orderkey")
+    o = load_table(spark, sf, "orders", order_by="o_orderkey").select(
+        ROW_ID, urgent.cast("double").alias("x"),
+        F.when((key % 7 < 3) & urgent, "a").when(key % 5 < 3, "b").otherwise("c").alias("y"))
+    run = train(o, TrainSpec(target_column="y", steps=[{"name": "GradientBoostingClassifier", "category": "estimators",
+                                                        "params": {"n_estimators": "1", "max_depth": "1"}}]))
+    return rounded(run.predictions.select(F.col(ROW_ID).alias("o_orderkey"), "predicted", "probability"), 6)
+
+
 @query("svm_separable", SPLIT_ORDERS + "SELECT o_orderkey, class AS actual, class AS predicted FROM s WHERE is_test")
 def q_svm_separable(spark, sf):
     out = _two_valued_run(spark, sf, "class", "SVC", C="10.0", max_iter="20")

@@ -161,6 +161,36 @@ def test_gbt_multiclass(spark):
     assert run.predictions.count() == math.ceil(0.2 * df.count())
 
 
+def test_joint_boosting_beats_one_against_the_rest(spark, store_root):
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from tabforge.operators.boosting import fit_softmax_boosting
+
+    df = _plane(spark, lambda a, b: a > b).drop("label")
+    odds = [F.exp(2 * (F.col("a") + F.col("b"))), F.exp(2 * (F.col("a") - F.col("b"))), F.exp(-3 * F.col("a"))]
+    u = F.pmod(F.xxhash64(F.lit(3), "_row_id"), F.lit(100_000)) / 100_000 * (odds[0] + odds[1] + odds[2])
+    df = df.withColumn("y", F.when(u < odds[0], 0).when(u < odds[0] + odds[1], 1).otherwise(2).cast("double"))
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(df)
+    fit, test = data.where("_row_id % 4 <> 0"), data.where("_row_id % 4 = 0")
+    model = fit_softmax_boosting(fit, "f", "y", 3, 2, rounds=12, rate=0.3, depth=2, seed=1)
+    p = model.transform(test).select("y", "prediction", vector_to_array("probability").alias("p")).collect()
+    assert all(sum(r["p"]) == pytest.approx(1.0) for r in p)
+    joint = -np.mean([np.log(r["p"][int(r["y"])]) for r in p])
+    rest = OneVsRest(classifier=GBTClassifier(featuresCol="f", labelCol="y", maxIter=12, stepSize=0.3, maxDepth=2, seed=1),
+                     featuresCol="f", labelCol="y").fit(fit).transform(test)
+    odds = [(1 / (1 + np.exp(-2 * r["rawPrediction"].toArray())), int(r["y"])) for r in rest.select("rawPrediction", "y").collect()]
+    assert joint < -np.mean([np.log(o[y] / o.sum()) for o, y in odds])
+    assert np.mean([r["prediction"] == r["y"] for r in p]) > 0.8
+    # more rounds than a checkpoint apart, the stored model, and importances of both features
+    model.write().overwrite().save(f"{store_root}/boosting")
+    again = type(model).load(f"{store_root}/boosting")
+    x = np.array([[0.1, 0.2], [1.5, -1.0]])
+    assert np.array_equal(again.raw_scores(x), model.raw_scores(x))
+    assert model.featureImportances.toArray().sum() == pytest.approx(1.0) and (model.featureImportances.toArray() > 0.1).all()
+
+
 def test_local_metrics_match_spark_metrics(spark):
     from tabforge.operators import evaluate as ev
     from tabforge.queries.evaluation_queries import predictions_multi
