@@ -21,6 +21,7 @@ window or byte by byte.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -130,9 +131,24 @@ def byte_batches(texts: list, length: int, k: int):
         yield Batch(rows, raw, table[np.frombuffer(raw, dtype=np.uint8)], starts, length, k)
 
 
+def word_symbols(raw: bytes, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A symbol for each word: its bytes, mixed reversibly, up to eight bytes
+    without a zero byte; a cryptographic digest of 64 bits beyond. (A running
+    polynomial modulo 2^64 gives equal values to long words of a known form.)"""
+    size = end - at
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    keep = np.array([0] + [(1 << 8 * n) - 1 for n in range(1, 9)], np.uint64)
+    out = mix((eight[at] & keep[np.minimum(size, 8)]) + np.uint64(MULTIPLIER))
+    zeros = np.cumsum(np.r_[False, data == 0])
+    for_digest = np.flatnonzero((size > 8) | (zeros[end] > zeros[at]))
+    if len(for_digest):
+        digests = [hashlib.blake2b(raw[s:e], digest_size=8).digest() for s, e in zip(at[for_digest].tolist(), end[for_digest].tolist())]
+        out[for_digest] = np.frombuffer(b"".join(digests), np.uint64)
+    return out
+
+
 def word_batches(texts: list, length: int, k: int):
     """Batches over the words (runs of anything but ASCII white space)."""
-    table = mix(np.arange(1, 257, dtype=np.uint64))
     space = np.zeros(256, dtype=bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
     for rows, raw, starts in _grouped(texts, sep=b" "):
@@ -140,8 +156,7 @@ def word_batches(texts: list, length: int, k: int):
         inside = np.concatenate([[False], ~space[data], [False]])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         at, end = edge[::2], edge[1::2]
-        words = mix(Spans(table[data]).hash(at, end) + (end - at).astype(np.uint64))
-        yield Batch(rows, raw, words, np.searchsorted(at, starts), length, k, at, end)
+        yield Batch(rows, raw, word_symbols(raw, data, at, end), np.searchsorted(at, starts), length, k, at, end)
 
 
 def _grouped(texts: list, sep: bytes = b""):

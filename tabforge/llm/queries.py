@@ -111,7 +111,8 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 FROM d LEFT JOIN k USING (doc_id)
 """)
 def op3_rlz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(table(spark, sf_dir, "documents"), with_text=False)
+    found = parse(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
 @query("op8_interval_tree", """
@@ -130,7 +131,8 @@ SELECT d.doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)
 FROM d LEFT JOIN k USING (doc_id)
 """)
 def op8_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query("op5_cross_polytope")

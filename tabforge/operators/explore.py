@@ -146,11 +146,23 @@ def _ordered(df: DataFrame) -> DataFrame:
     return df.orderBy(ROW_ID) if ROW_ID in df.columns else df
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, c: str | None = None, n: int = SCATTER_ROWS) -> DataFrame:
-    """First n rows (row order) as (i, x, y, c); a missing x axis is the row
-    index, a missing y is ``probability``, a missing colour is 0."""
+def scatter_sample(df: DataFrame, x: str, y: str, c: str | None = None, n: int = SCATTER_ROWS,
+                   seed: int | None = None) -> DataFrame:
+    """n rows as (i, x, y, c), in row order; a missing x axis is the row's
+    place ``i``, a missing y is ``probability``, a missing colour is 0.
+
+    Without a seed these are the first rows. With one they are a sample of
+    all rows: those of least md5 of ``row id-seed``. A task keeps its n least,
+    so the sample follows the data and never the layout."""
     cols = set(df.columns)
-    head = _ordered(df).limit(n)
+    if seed is None:
+        head = _ordered(df).limit(n)
+    else:
+        if ROW_ID not in cols:
+            raise InvalidParameter(f"a seeded sample needs the {ROW_ID} row order column")
+        used = [ROW_ID, *dict.fromkeys(k for k in (x, y if y in cols else "probability", c) if k in cols and k != ROW_ID)]
+        drawn = F.md5(F.concat(F.col(ROW_ID).cast("string"), F.lit(f"-{seed}")))
+        head = df.select(*[quoted(k) for k in used]).orderBy(drawn, ROW_ID).limit(n)
     w_i = F.row_number().over(_order_window(df)) - 1
     xe = quoted(x) if x in cols else w_i.cast("double")
     ye = quoted(y) if y in cols else F.col("probability")

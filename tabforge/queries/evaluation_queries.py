@@ -200,6 +200,13 @@ def q_scatter_sample(spark, sf):
     return ex.scatter_sample(events(spark, sf), "value", "user_id", "event_type")
 
 
+@query("scatter_sample_seeded", """WITH s AS (SELECT * FROM events ORDER BY md5(CAST(event_id AS VARCHAR) || '-7'), event_id LIMIT 400)
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, value AS x, user_id AS y, event_type AS c FROM s""")
+def q_scatter_sample_seeded(spark, sf):
+    """A sample of all rows, the same whatever the layout."""
+    return ex.scatter_sample(events(spark, sf).repartition(5, "value"), "value", "user_id", "event_type", seed=7)
+
+
 @query("line_series", """SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, value AS val
 FROM events ORDER BY event_id LIMIT 80""")
 def q_line_series(spark, sf):

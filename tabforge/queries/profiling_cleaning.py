@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.functions.columns import ROW_ID, user_columns
 from tabforge.operators import profile
-from tabforge.plans.cleaning import apply_ops
+from tabforge.plans.cleaning import apply_ops, preview_clean
 from tabforge.queries.fixtures import ORDERS_N_SQL, customer, events, lineitem, orders_n, part
 from tabforge.queries.registry import R, query, rounded
 from tabforge.sources.scan import load_table
@@ -293,18 +294,37 @@ def q_apply_ops(spark, sf):
     return _clean_orders(spark, sf, CHAIN)
 
 
-@query("preview_clean", W + f""", f1 AS (
+CHAIN_SQL = f""", f1 AS (
   SELECT o_orderkey, o_custkey, o_orderstatus,
          COALESCE(price, (SELECT quantile_cont(price, 0.5) FROM orders_n)) AS price, o_orderdate, priority
   FROM orders_n),
 f2 AS (SELECT * FROM f1 WHERE priority IS DISTINCT FROM '1-URGENT'),
-f3 AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS rn FROM f2)
-SELECT o_orderkey, o_custkey, o_orderstatus, {R('price', 4)} AS total_price, priority FROM f3 WHERE rn = 1
-ORDER BY o_orderkey LIMIT 50""")
+f3 AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS rn FROM f2),
+f4 AS (SELECT o_orderkey, o_custkey, o_orderstatus, {R('price', 4)} AS total_price, priority FROM f3 WHERE rn = 1)
+"""
+
+
+@query("preview_clean", W + CHAIN_SQL + "SELECT * FROM f4 ORDER BY o_orderkey LIMIT 50")
 def q_preview_clean(spark, sf):
-    """The first 50 rows of the op chain's result, as the clean preview shows them."""
-    out = apply_ops(orders_n(spark, sf), CHAIN)
-    return rounded(profile.preview_head(out, 50), 4)
+    """The first 50 rows of the op chain's result, as the clean preview returns them."""
+    df = orders_n(spark, sf)
+    fields = [f for f in apply_ops(df, CHAIN).schema.fields if f.name != ROW_ID]
+    rows = [tuple(r[f.name] for f in fields) for r in preview_clean(df, CHAIN)["preview"]]
+    return rounded(spark.createDataFrame(rows, T.StructType(fields)), 4)
+
+
+@query("preview_clean_counts", W + CHAIN_SQL + """SELECT 'original_rows' AS item, count(*) AS value FROM orders_n
+UNION ALL SELECT 'original_cols', 6
+UNION ALL SELECT 'result_rows', count(*) FROM f4
+UNION ALL SELECT 'result_cols', 5
+""" + "\n".join(f"UNION ALL SELECT 'nulls of {c}', count(*) - count({c}) FROM f4"
+               for c in ("o_orderkey", "o_custkey", "o_orderstatus", "total_price", "priority")))
+def q_preview_clean_counts(spark, sf):
+    """Shapes, column names and null counts of the clean preview."""
+    found = preview_clean(orders_n(spark, sf), CHAIN)
+    rows = [(k, int(found[k])) for k in ("original_rows", "original_cols", "result_rows", "result_cols")]
+    rows += [(f"nulls of {c}", found["null_counts"][c]) for c in found["column_names"]]
+    return spark.createDataFrame(rows, "item string, value long")
 
 
 @query("preview_page_deep", W + """SELECT * FROM orders_n WHERE priority IS DISTINCT FROM '1-URGENT'
