@@ -41,7 +41,7 @@ from tabforge.functions.columns import (
     numeric_columns,
     user_columns,
 )
-from tabforge.operators.stats import column_mode, exact_quantiles
+from tabforge.operators.stats import column_mode, quantiles
 
 
 @dataclass
@@ -141,8 +141,8 @@ def _fill_value_expr(df: DataFrame, c: str, value: Column) -> Column:
     return F.when(_missing(df, c), value).otherwise(quoted(c))
 
 
-def fill_with_stats(df: DataFrame, strategy: str, cols: list[str]) -> DataFrame:
-    """Fill nulls of ``cols`` with their mean or exact median.
+def fill_with_stats(df: DataFrame, strategy: str, cols: list[str], approximate: bool = False) -> DataFrame:
+    """Fill nulls of ``cols`` with their mean or median (exact unless ``approximate``).
 
     One aggregate computes every statistic and every null count; columns
     without nulls keep their type untouched, filled ones become DOUBLE.
@@ -162,7 +162,7 @@ def fill_with_stats(df: DataFrame, strategy: str, cols: list[str]) -> DataFrame:
     if strategy == "mean":
         stats = {c: row[f"s{i}"] for i, c in enumerate(cols)}
     elif strategy == "median":
-        stats = {c: v[0] for c, v in exact_quantiles(df, need, [0.5]).items()}
+        stats = {c: v[0] for c, v in quantiles(df, need, [0.5], approximate).items()}
     else:
         raise InvalidParameter(f"unknown statistic {strategy!r}")
     if not need:
@@ -212,19 +212,21 @@ def fill_constant(df: DataFrame, c: str, value) -> DataFrame:
 @register_op("fill_missing")
 def fill_missing(df: DataFrame, params: dict, ctx: OpContext) -> DataFrame:
     """Fill one column (mean/median/mode/constant) or, without a known
-    column, every numeric column (mean/median; mode/constant do nothing)."""
+    column, every numeric column (mean/median; mode/constant do nothing).
+    ``approximate`` takes medians from a sketch, in one scan."""
     col = params.get("column")
     strategy = params.get("strategy", "mean")
+    approximate = str(params.get("approximate", False)).lower() == "true"
     if strategy not in ("mean", "median", "mode", "constant"):
         raise InvalidParameter(f"fill_missing: unknown strategy {strategy!r}")
     if col and col in user_columns(df):
         if strategy in ("mean", "median"):
-            return fill_with_stats(df, strategy, [col])
+            return fill_with_stats(df, strategy, [col], approximate)
         if strategy == "mode":
             return fill_mode(df, col)
         return fill_constant(df, col, params.get("value", 0))
     if strategy in ("mean", "median"):
-        return fill_with_stats(df, strategy, numeric_columns(df))
+        return fill_with_stats(df, strategy, numeric_columns(df), approximate)
     ctx.skipped("fill_missing", params, f"strategy {strategy} needs a known column")
     return df
 

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from tabforge.errors import InvalidParameter
 from tabforge.functions.columns import field_type, is_numeric, quoted
 from tabforge.operators import blocks as bl
-from tabforge.operators.stats import LONG_FORMAT_COLUMNS, column_mode, exact_quantiles, numeric_column_stats
+from tabforge.operators.stats import LONG_FORMAT_COLUMNS, column_mode, numeric_column_stats, quantiles
 
 def _q(name: str) -> Column:
     return quoted(name)
@@ -250,12 +250,19 @@ class RobustScalerModel(FeatureModel):
 
 
 class RobustScaler(FeatureStep):
-    """(x - median) / (q75 - q25) with exact quantiles; zero IQR divides by 1."""
+    """(x - median) / (q75 - q25) with exact quantiles (or a sketch's, if
+    ``approximate``); zero IQR divides by 1."""
     model_class = RobustScalerModel
+    approximate = Param(Params._dummy(), "approximate", "quantiles from a sketch", typeConverter=TypeConverters.toBoolean)
+
+    def __init__(self, approximate: bool | str = False):
+        super().__init__()
+        self._setDefault(approximate=False)
+        self._set(approximate=str(approximate).strip().lower() == "true")
 
     def _fit_state(self, df, cols):
         num, _ = _split_numeric(df, cols)
-        qs = exact_quantiles(df, num, [0.25, 0.5, 0.75])
+        qs = quantiles(df, num, [0.25, 0.5, 0.75], self.getOrDefault(self.approximate))
         st = {}
         for c in num:
             q1, med, q3 = qs[c]
@@ -342,10 +349,12 @@ class SimpleImputer(FeatureStep):
                      typeConverter=TypeConverters.toString)
     fill_value = Param(Params._dummy(), "fill_value", "constant fill value", typeConverter=TypeConverters.toString)
 
-    def __init__(self, strategy: str = "mean", fill_value: str | None = None):
+    approximate = Param(Params._dummy(), "approximate", "medians from a sketch", typeConverter=TypeConverters.toBoolean)
+
+    def __init__(self, strategy: str = "mean", fill_value: str | None = None, approximate: bool | str = False):
         super().__init__()
-        self._setDefault(strategy="mean")
-        self._set(strategy=strategy)
+        self._setDefault(strategy="mean", approximate=False)
+        self._set(strategy=strategy, approximate=str(approximate).strip().lower() == "true")
         if fill_value is not None:
             self._set(fill_value=str(fill_value))
 
@@ -358,7 +367,7 @@ class SimpleImputer(FeatureStep):
             if strategy == "mean":
                 vals = {c: v["mean"] for c, v in numeric_column_stats(df, num, ["mean"]).items()}
             else:
-                vals = {c: v[0] for c, v in exact_quantiles(df, num, [0.5]).items()}
+                vals = {c: v[0] for c, v in quantiles(df, num, [0.5], self.getOrDefault(self.approximate)).items()}
             for c in num:
                 if vals[c] is None:
                     dropped.append(c)

@@ -201,6 +201,38 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out
 
 
+# Items of a KLL sketch: 99 % of its ranks are off by less than 0.13 % of the rows.
+SKETCH_ITEMS = 4096
+
+
+def sketch_quantiles(df: DataFrame, cols: list[str], probs: list[float], items: int = SKETCH_ITEMS) -> dict[str, list[float | None]]:
+    """Quantiles within the sketch's rank error: values of the column, all
+    probabilities of all columns from one mergeable KLL sketch a column, in one
+    scan. Nulls and NaN are ignored; an all-null column gives None. Which of
+    the values within the error is returned may differ between two calls."""
+    if not cols:
+        return {}
+    vals = [F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")) for c in cols]
+    if len(cols) < LONG_FORMAT_COLUMNS:
+        agg = df.agg(*[F.struct(F.count(v).alias("n"), F.kll_sketch_agg_double(v, items).alias("k")).alias(f"s{i}") for i, v in enumerate(vals)])
+        rows = agg.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"s{i}.n").alias("n"), F.col(f"s{i}.k").alias("k"))
+                                             for i in range(len(cols))])))
+    else:
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(vals)])
+        rows = (df.select(F.inline(pairs)).where(F.col("v").isNotNull()).groupBy("i")
+                .agg(F.count("v").alias("n"), F.kll_sketch_agg_double("v", items).alias("k")))
+    found = rows.where("n > 0").select("i", *[F.kll_sketch_get_quantile_double("k", F.lit(float(p))).alias(f"q{j}") for j, p in enumerate(probs)])
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    for r in found.collect():
+        out[cols[r["i"]]] = [r[f"q{j}"] for j in range(len(probs))]
+    return out
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], approximate: bool = False) -> dict[str, list[float | None]]:
+    """Exact quantiles (several scans, interpolated) or, on request, a sketch's."""
+    return sketch_quantiles(df, cols, probs) if approximate else exact_quantiles(df, cols, probs)
+
+
 def column_mode(df: DataFrame, col: str):
     """Most frequent non-null value; ties go to the smallest value.
 

@@ -284,3 +284,19 @@ def q_one_hot_encoder_vector(spark, sf):
     arr = vector_to_array(F.col("c_name_onehot"))
     return out.select("c_custkey", (F.array_position(arr, 1.0) - 1).cast("int").alias("hot_index"),
                       F.size(arr).cast("int").alias("width"))
+
+
+SKETCH_PROBS = [0.33, 0.61, 0.95]
+
+
+@query("sketch_quantiles", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS prob, CAST(quantile_disc({c}, {p}) AS DOUBLE) AS value FROM lineitem"
+    for c in ("l_quantity", "l_discount") for p in SKETCH_PROBS))
+def q_sketch_quantiles(spark, sf):
+    """Quantiles from one sketch a column; the values lie far enough apart for the rank error not to matter."""
+    from tabforge.operators.stats import sketch_quantiles
+
+    cols = ["l_quantity", "l_discount"]
+    found = sketch_quantiles(lineitem(spark, sf), cols, SKETCH_PROBS)
+    return spark.createDataFrame([(c, p, v) for c in cols for p, v in zip(SKETCH_PROBS, found[c])],
+                                 "column_name string, prob double, value double")

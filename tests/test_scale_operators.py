@@ -96,6 +96,37 @@ def test_knn_matches_brute_force(spark, weights, k, bucket):
         assert got[q][1] == pytest.approx(want[q][1])
 
 
+@pytest.mark.parametrize("n_cols", [3, 64])
+def test_sketch_quantiles_keep_their_rank_error(spark, n_cols):
+    rng = np.random.default_rng(5)
+    x = rng.lognormal(size=40_000)
+    x[:10_000] = 1.5  # a quarter of the rows share a value
+    df = spark.createDataFrame(zip(x.tolist()), "x double")
+    df = df.select(*[(F.when(F.col("x") > 0.01 * i, F.col("x") + i)).alias(f"c{i}") for i in range(n_cols - 1)], F.lit(None).cast("double").alias("no"))
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = stats.sketch_quantiles(df, df.columns, probs)
+    for i in range(n_cols - 1):
+        v = np.sort(x[x > 0.01 * i] + i)
+        for p, q in zip(probs, got[f"c{i}"]):
+            low, high = np.searchsorted(v, q, "left") / len(v), np.searchsorted(v, q, "right") / len(v)
+            assert q in v and low - 0.003 <= p <= high + 0.003
+    assert got["no"] == [None] * 5
+
+
+def test_approximate_steps(spark):
+    from tabforge.operators import features as fs
+    from tabforge.plans.cleaning import apply_ops
+
+    df = spark.range(0, 10_001).select(F.col("id").alias(ROW_ID), F.when(F.col("id") % 10 != 3, F.col("id").cast("double")).alias("x"))
+    filled = apply_ops(df, [("fill_missing", {"column": "x", "strategy": "median", "approximate": "true"})])
+    assert abs(filled.where(f"{ROW_ID} = 3").first()["x"] - 5000) < 40
+    for step in (fs.RobustScaler(approximate=True), fs.SimpleImputer(strategy="median", approximate=True)):
+        step._set(featureCols=["x"])
+        state = step.fit(df).feature_state()
+        middle = state["x"][0] if "x" in state else state["fill"]["x"]
+        assert abs(middle - 5000) < 40
+
+
 def _vectors(spark, points):
     rows = [(i, p.tolist(), i % 3) for i, p in enumerate(points)]
     df = spark.createDataFrame(rows, f"{ROW_ID} bigint, x array<double>, label int")
