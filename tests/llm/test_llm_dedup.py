@@ -160,6 +160,34 @@ def brute_words(rows):
     return sorted(out, key=str)
 
 
+def thue_morse(n, a="a", b="b"):
+    word = a
+    other = b
+    while len(word) < n:
+        word, other = word + other, other + word
+    return word, other
+
+
+def test_different_long_words_are_told_apart(spark):
+    one, other = thue_morse(1024)
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"{one} {tail}"), (4, "ab\0 " + tail), (5, "ab " + tail),
+            (6, "x" * 9 + " " + tail), (7, "x" * 10 + " " + tail)]
+    got = {r.doc_id: r.n_removed for r in parse(docs(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13, 4: 0, 5: 0, 6: 0, 7: 0}
+
+
+def test_parse_of_texts_of_megabytes(spark):
+    rng = random.Random(21)
+    long = [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(250_000)]
+    shared = long[100_000:100_400]
+    rows = [(1, " ".join(shared)), (2, " ".join(long)), (3, "z" * 1_200_000), (4, "new " + " ".join(shared[:50]) + " end")]
+    assert len(rows[1][1]) > 1_500_000
+    got = {r.doc_id: r for r in parse(docs(spark, rows)).collect()}
+    assert {i: (r.n_words, r.n_removed) for i, r in got.items()} == {1: (400, 0), 2: (250_000, 400), 3: (1, 0), 4: (52, 50)}
+    assert [(s.start, s.end) for s in got[2].spans] == [(100_000, 100_400)] and got[4].kept == "new end"
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_parse_matches_brute_force(spark, seed):
     rows = text_rows(seed)
