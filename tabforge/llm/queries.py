@@ -176,7 +176,7 @@ a AS (SELECT rid, conv_id, turn, grp, level, 0 AS nth, lower(trim(regexp_replace
 held AS (SELECT conv_id, k, min(turn) AS turn FROM un WHERE k <> '' GROUP BY conv_id, k),
 f AS (SELECT a.*, h.conv_id AS o_conv, h.turn AS o_turn,
              CASE WHEN h.conv_id IS NOT DISTINCT FROM a.conv_id THEN 0 ELSE 1 END AS far
-      FROM a JOIN held h USING (k) WHERE (h.conv_id IS NOT DISTINCT FROM a.conv_id AND h.turn < a.turn)
+      FROM a JOIN held h USING (k) WHERE (h.conv_id IS NOT DISTINCT FROM a.conv_id AND (h.turn < a.turn OR a.turn IS NULL AND h.turn IS NOT NULL))
          OR (h.conv_id IS DISTINCT FROM a.conv_id AND NOT EXISTS (SELECT 1 FROM held e WHERE e.k = a.k
              AND (e.conv_id < h.conv_id OR (e.conv_id IS NULL AND h.conv_id IS NOT NULL))))),
 links AS (SELECT conv_id, turn, rid, grp, max(level) AS level, arg_min(o_conv, far * 10 + nth) AS o_conv,

@@ -127,7 +127,8 @@ def quote_links(parsed: DataFrame) -> DataFrame:
              .groupBy("key").agg(F.min("at").alias("o"), F.max("at").alias("p")))
     here = held.select(F.col("conv_id").alias("o_conv"), F.col("key").alias("o_key"), "from_turn")
     found = quotes.join(here, F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("key") == F.col("o_key"))
-                        & (F.col("from_turn") < F.col("turn")), "left")
+                        # a null turn comes last, after every other
+                        & ((F.col("from_turn") < F.col("turn")) | (F.col("turn").isNull() & F.col("from_turn").isNotNull())), "left")
     found = found.join(first.select(F.col("key").alias("f_key"), "o", "p"), F.col("key") == F.col("f_key"), "left")
     found = found.withColumn("o", F.when(~F.col("o.conv_id").eqNullSafe(F.col("conv_id")), F.col("o")).otherwise(F.col("p")))
     elsewhere = F.col("o").isNotNull() & ~F.col("o.conv_id").eqNullSafe(F.col("conv_id"))

@@ -263,6 +263,24 @@ def test_parts_of_a_passage_and_other_conversations_are_tried(spark):
     assert links[(1, 5)] == (2, 0) and links[(None, 0)] == (5, 0)
 
 
+def test_a_message_without_a_turn_quotes_earlier_ones(spark):
+    import duckdb
+
+    from tabforge.llm.queries import QUOTES_SQL
+
+    rows = [(1, 0, "u", "the first text"), (1, 1, "u", "another"), (1, None, "u", "> the first text\nreply"),
+            (2, None, "u", "> alone\nalone")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(tuple(r) for r in reply_order(frame).select("conv_id", "text", "position", "reply_to", "depth", "n_quotes", "n_linked").collect())
+    assert got == [(1, "another", 1, 0, 1, 0, 0), (1, "reply", 2, 0, 1, 1, 1), (1, "the first text", 0, None, 0, 0, 0),
+                   (2, "alone", 0, None, 0, 1, 0)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(r) for r in rows])
+    want = con.sql(f"SELECT conv_id, text, position, reply_to, depth, n_quotes, n_linked FROM ({QUOTES_SQL})").fetchall()
+    assert sorted(want) == got
+
+
 def test_quotes_match_their_sql():
     import duckdb
 
