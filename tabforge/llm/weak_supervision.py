@@ -10,20 +10,26 @@
    correlations within the toxic class; a vote's evidence is divided by the
    number of correlated votes beside it, so a word and its own stem do not
    count twice.
-3. Classifier. A logistic regression on words and word stems is trained on the
-   model's posterior labels of a bounded sample of labelled rows, and scores
-   every whole text.
+3. Classifier. A logistic regression on words, word stems and pattern votes is
+   trained on the model's posterior labels of a bounded sample of labelled
+   rows, and scores every whole text. A trusted voter (lexicon word, masked
+   word) that no row of the sample holds has taught the classifier nothing:
+   where one votes, the class balance and the label model's evidence of such
+   votes count if they give the higher odds.
 
 Labels are read from training rows only; label, language, source and id are
-no input of a score. Bounds, all documented parameters: ``max_rows`` labelled
-rows are used to induce voters and to train, at most ``max_voters`` induced
-voters, at most ``max_features`` classifier features. Votes are counted over
-all documents, and all of them are scored.
+no input of a score. The one bound that is on by default is ``max_rows``, the
+labelled rows used to induce voters and to train; all voters and features
+found in them are used. ``max_voters`` and ``max_features`` cut them if given.
+The label model holds a square table of its voters, candidates that do not
+stand for one already chosen. Votes are counted over all documents, and all
+of them are scored.
 
 Defined cases: null text counts as empty; an empty text has no features and
 gets the score of the bias. Repeated rows get equal scores. Repeated or null
 labels: a document is toxic if any of its label rows is 1; null labels are
-ignored. A null id is held out from training only if its rule says so, and
+ignored. A text of any length is read whole and counts once for each feature
+that it holds. A null id is held out from training only if its rule says so, and
 never joins a label. Without labelled rows the label model's own posterior is
 the score. An empty table gives an empty result. Other columns play no part
 and may have any name.
@@ -47,18 +53,24 @@ from pyspark.sql import types as T
 from tabforge.llm.common import discard, materialize
 
 MAX_ROWS = 20_000
-MAX_VOTERS = 96
-MAX_FEATURES = 20_000
 ROUNDS = 12
 LETTERS = re.compile(r"[^\W\d_]+")
-LEXICON = ("idiot", "moron", "stupid", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown",
-           "dumb", "imbecile", "fool", "garbage", "filth", "vermin", "jerk", "coward", "freak", "hypocrite")
+# Common insults in the languages of the corpora.
+LEXICON = (
+    "idiot", "moron", "stupid", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown",
+    "dumb", "imbecile", "fool", "garbage", "filth", "vermin", "jerk", "coward", "freak", "hypocrite",
+    "arschloch", "blödmann", "drecksack", "dummkopf", "miststück", "schlampe", "trottel", "vollidiot", "vollpfosten", "wichser",
+    "abruti", "connard", "connasse", "crétin", "débile", "enculé", "imbécile", "ordure", "salaud", "salope",
+    "cabrón", "capullo", "estúpido", "estúpida", "gilipollas", "idiota", "imbécil", "mierda", "pendejo", "zorra")
 PATTERNS = {
-    "shouting": r"\b[A-Z]{4,}\b.*\b[A-Z]{4,}\b.*\b[A-Z]{4,}\b",
-    "exclaiming": r"!{3,}",
-    "masked": r"\b[A-Za-z][*@#$%]{2,}[A-Za-z]*\b",
-    "address": r"(?i)\byou\s+(?:are|re|'re)\s+(?:a|an|so|such|the)\b",
+    "pattern:shouting": re.compile(r"\b[A-Z]{4,}\b.*\b[A-Z]{4,}\b.*\b[A-Z]{4,}\b", re.S),
+    "pattern:exclaiming": re.compile(r"!{3,}"),
+    "pattern:masked": re.compile(r"\b[A-Za-z][*@#$%]{2,}[A-Za-z]*\b"),
+    "pattern:address": re.compile(r"(?i)\byou\s+(?:are|re|'re)\s+(?:a|an|so|such|the)\b"),
 }
+TRUSTED = (*LEXICON, "pattern:masked")
+# What is believed of a voter before any row is read, as rows that it marks (clean, toxic).
+BELIEF, TRUST = (0.1, 0.1), (0.005, 1.0)
 
 
 def features(text: str | None) -> set[str]:
@@ -72,32 +84,42 @@ def features(text: str | None) -> set[str]:
     return out
 
 
+def pattern_votes(text: str | None, among=PATTERNS) -> set[str]:
+    """The patterns, of those ``among``, that a text shows."""
+    return {k for k in among if text and PATTERNS[k].search(text)}
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 class Model:
-    """Scores texts: bias plus the weights of the features that occur."""
+    """Scores texts. ``weights``: what the classifier adds to its bias for a
+    feature or pattern; ``untaught``: the label model's evidence of voters that
+    the classifier never saw, beside log odds ``prior`` of no such vote. Without
+    labels there is no classifier (``bias`` None) and all voters are untaught."""
 
-    def __init__(self, bias: float, weights: dict[str, float], patterns: dict[str, float]):
-        self.bias, self.weights, self.patterns = bias, weights, patterns
+    def __init__(self, bias: float | None, weights: dict[str, float], prior: float, untaught: dict[str, float]):
+        self.bias, self.weights, self.prior, self.untaught = bias, weights, prior, untaught
+
+    def log_odds(self, text: str | None) -> float:
+        found = features(text)
+        found |= pattern_votes(text, [k for k in PATTERNS if k in self.weights or k in self.untaught])
+        cast = [self.untaught[f] for f in found if f in self.untaught]
+        weak = self.prior + math.fsum(cast)
+        if self.bias is None:
+            return weak
+        z = self.bias + math.fsum([self.weights.get(f, 0.0) for f in found])
+        return max(z, weak) if cast else z
 
     def scorer(self, spark):
-        shared = spark.sparkContext.broadcast((self.bias, self.weights, self.patterns))  # at most MAX_FEATURES entries
+        # bounded by the words of max_rows labelled rows
+        shared = spark.sparkContext.broadcast((self.bias, self.weights, self.prior, self.untaught))
 
         @F.pandas_udf("double")
         def score(texts: pd.Series) -> pd.Series:
-            bias, weights, patterns = shared.value
-            compiled = [(re.compile(PATTERNS[k], re.S if k == "shouting" else 0), w) for k, w in patterns.items()]
-            known = weights.get
-            out = []
-            for text in texts:
-                z = bias + math.fsum([known(f, 0.0) for f in features(text)])
-                for pattern, w in compiled:
-                    if text and pattern.search(text):
-                        z += w
-                out.append(1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, z)))))
-            return pd.Series(out, dtype="float64")
+            model = Model(*shared.value)
+            return pd.Series([1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, model.log_odds(t))))) for t in texts], dtype="float64")
 
         return score
 
@@ -138,20 +160,19 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _vote_counts(docs: DataFrame, voters: list[str], patterns: dict = PATTERNS) -> DataFrame:
+def _vote_counts(docs: DataFrame, voters: list[str]) -> DataFrame:
     """votes (sorted voter numbers), n: how many documents cast which set of votes."""
     number = {v: i for i, v in enumerate(voters)}
 
     def vote(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        compiled = [(number[k], re.compile(p, re.S if k == "shouting" else 0)) for k, p in patterns.items()]
-        words = {v for v in voters if v not in patterns}
+        patterns = [v for v in voters if v in PATTERNS]
+        words = {v for v in voters if v not in PATTERNS}
         for batch in batches:
             seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                cast = [number[w] for w in features(text) & words]
-                cast += [i for i, p in compiled if text and p.search(text)]
+                cast = [number[v] for v in (features(text) & words) | pattern_votes(text, patterns)]
                 seen[tuple(sorted(cast))] += 1
             yield pa.RecordBatch.from_pydict({"votes": pa.array([list(k) for k in seen], pa.list_(pa.int32())),
                                               "n": pa.array(list(seen.values()), pa.int64())})
@@ -167,12 +188,13 @@ def _posterior(cast: np.ndarray, bias: float, weights: np.ndarray, correlation:
     return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def label_model(votes: DataFrame, m: int, prior: float, anchor: np.ndarray, rounds: int = ROUNDS):
+def label_model(votes: DataFrame, m: int, prior: float, anchor: np.ndarray, belief: np.ndarray, rounds: int = ROUNDS):
     """(bias, weights, correlation) of the generative model of the votes.
 
     ``prior`` and ``anchor`` (rate of each voter in clean and in toxic
     rows) start the estimate and make up half of it, which settles what the
-    two classes mean; the other half comes from the votes of all documents.
+    two classes mean; the other half comes from the votes of all documents, to
+    which each voter's ``belief`` (clean and toxic rows) is added.
 
     ``votes``: distinct vote sets with counts. Each round sums posteriors per
     voter and pair of voters over all vote sets, in tasks; at most m * m sums
@@ -205,7 +227,7 @@ def label_model(votes: DataFrame, m: int, prior: float, anchor: np.ndarray, roun
             toxic[r.i, r.j], every[r.i, r.j] = r["t"], r["n"]
         mass = min(max(toxic[m, m], 1e-3), total - 1e-3)
         ones = np.diag(toxic)[:m]
-        rates = np.stack([(np.diag(every)[:m] - ones + 0.1) / (total - mass + 100.0), (ones + 0.1) / (mass + 1.0)])
+        rates = np.stack([(np.diag(every)[:m] - ones + belief[0]) / (total - mass + 100.0), (ones + belief[1]) / (mass + 1.0)])
         p = ones / mass
         spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
         correlation = np.clip((toxic[:m, :m] / mass - np.outer(p, p)) / np.outer(spread, spread), 0, 1)
@@ -233,24 +255,26 @@ def _votes_for(rows: DataFrame, voters: list[str]) -> np.ndarray:
     return out
 
 
-def _independent(sample: DataFrame, marks: list, most: int) -> list:
+def _independent(sample: DataFrame, marks: list, most: int | None) -> list:
     """Of the candidate marks, in order, those that do not stand for one already chosen
     (half of the toxic rows of either hold both)."""
     names = [r.feature for r in marks]
-    both = np.zeros((len(names), len(names)))
-    for r in (_vote_counts(sample.filter("toxic = 1"), names, {}).filter("size(votes) > 0")
+    both: dict[tuple[int, int], int] = {}
+    for r in (_vote_counts(sample.filter("toxic = 1"), names).filter("size(votes) > 0")
               .select("n", "votes", F.explode("votes").alias("i"))
-              .select("n", "i", F.explode("votes").alias("j")).groupBy("i", "j").agg(F.sum("n").alias("n")).collect()):
+              .select("n", "i", F.explode("votes").alias("j")).filter("i >= j").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()):
         both[r.i, r.j] = r["n"]
-    size, chosen = np.diag(both), []
+    chosen: list[int] = []
     for i in range(len(names)):
-        if len(chosen) < most and all(both[i, c] * 2 < min(size[i], size[c]) for c in chosen):
+        if most is not None and len(chosen) >= most:
+            break
+        if all(both.get((i, c), 0) * 2 < min(both.get((i, i), 0), both.get((c, c), 0)) for c in chosen):
             chosen.append(i)
     return [marks[i] for i in chosen]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS,
-        max_voters: int = MAX_VOTERS, max_features: int = MAX_FEATURES) -> Model:
+        max_voters: int | None = None, max_features: int | None = None) -> Model:
     """Learn from ``labels`` (doc_id, toxic) of training rows and the votes on all of ``docs``."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = materialize(_labelled(docs, labels, max_rows), "weak-sample")
@@ -258,33 +282,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     counts = materialize(_feature_counts(sample), "weak-counts").filter("toxic + clean >= 3")
     marks = (counts.filter("toxic >= 3 AND toxic >= 20 * clean")
-             .orderBy(F.col("toxic").desc(), F.length("feature"), "feature").limit(6 * max_voters).collect())
+             .orderBy(F.col("toxic").desc(), F.length("feature"), "feature").collect())
     marks = _independent(sample, marks, max_voters)
     voters = [*dict.fromkeys([*(r.feature for r in marks), *LEXICON]), *PATTERNS]
-    rates = np.array([[0.002] * len(voters), [0.01] * len(voters)])
+    belief = np.array([TRUST if v in TRUSTED else BELIEF for v in voters]).T
+    rates, held = np.array([[0.002] * len(voters), [0.01] * len(voters)]), np.zeros(len(voters))
     if n_toxic + n_clean:
-        rates = np.stack([(_votes_for(sample.filter("toxic = 0"), voters) + 0.1) / (n_clean + 20.0),
-                          (_votes_for(sample.filter("toxic = 1"), voters) + 0.1) / (n_toxic + 20.0)])
+        clean, toxic = _votes_for(sample.filter("toxic = 0"), voters), _votes_for(sample.filter("toxic = 1"), voters)
+        rates = np.stack([(clean + belief[0]) / (n_clean + 20.0), (toxic + belief[1]) / (n_toxic + 20.0)])
+        held = clean + toxic
     votes = materialize(_vote_counts(docs, voters), "weak-votes")
     prior = (n_toxic + 0.5) / (n_toxic + n_clean + 5.0)
-    bias, weights, correlation = label_model(votes, len(voters), prior, rates)
+    bias, weights, correlation = label_model(votes, len(voters), prior, rates, belief)
     discard(votes)
     by_voter = dict(zip(voters, map(float, weights)))
     if not n_toxic + n_clean:
-        return Model(bias, {v: w for v, w in by_voter.items() if v not in PATTERNS}, {k: by_voter[k] for k in PATTERNS})
+        return Model(None, {}, bias, by_voter)
 
     strength = F.abs(F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0)))
-    vocabulary = [r.feature for r in counts.orderBy((strength * F.sqrt(F.col("toxic") + F.col("clean"))).desc(), "feature")
-                  .limit(max_features).collect()]
-    vocabulary = [*dict.fromkeys([*vocabulary, *(v for v in voters if v not in PATTERNS)])]
+    ranked = counts.orderBy((strength * F.sqrt(F.col("toxic") + F.col("clean"))).desc(), "feature")
+    vocabulary = [r.feature for r in (ranked if max_features is None else ranked.limit(max_features)).select("feature").collect()]
+    vocabulary = [*dict.fromkeys([*vocabulary, *voters])]
     number = {f: i for i, f in enumerate(vocabulary)}
     voter = {v: i for i, v in enumerate(voters)}
 
     @F.udf(T.StructType([T.StructField("features", VectorUDT()), T.StructField("p", T.DoubleType())]))
     def encoded(text):
-        found = features(text)
+        found = features(text) | pattern_votes(text)
         cast = [voter[f] for f in found if f in voter]
-        cast += [voter[k] for k, p in PATTERNS.items() if text and re.search(p, text, re.S if k == "shouting" else 0)]
         ids = sorted(number[f] for f in found if f in number)
         return Vectors.sparse(len(number), ids, [1.0] * len(ids)), _posterior(np.array(cast, dtype=np.int64), bias, weights, correlation)
 
@@ -297,7 +322,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     w = fitted.coefficients.toArray()
     discard(train)
     discard(sample)
-    return Model(float(fitted.intercept), {f: float(w[i]) for f, i in number.items() if w[i]}, {})
+    untaught = {v: by_voter[v] for v, h in zip(voters, held) if v in TRUSTED and not h}
+    return Model(float(fitted.intercept), {f: float(w[i]) for f, i in number.items() if w[i]}, math.log(prior / (1 - prior)), untaught)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

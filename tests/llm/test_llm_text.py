@@ -1,5 +1,6 @@
 """Mixing, encoding, toxicity, resampling, quotes and vector search."""
 
+import math
 import random
 import re
 
@@ -11,7 +12,7 @@ from tabforge.llm.mixing import mix, mixed_documents, taken_words
 from tabforge.llm.piece_bpe import SPACE, PieceEncoder, encode_documents, read_model
 from tabforge.llm.quotes import _parsed, parse, quote_links, reply_order
 from tabforge.llm.resampling import hashed_ngrams, importance_sample, kth_largest
-from tabforge.llm.weak_supervision import drop_toxic, is_held_out, score_documents
+from tabforge.llm.weak_supervision import drop_toxic, is_held_out, label_model, score_documents
 
 SCHEMA = "doc_id long, text string, source string, size int, target int, score double"
 
@@ -170,6 +171,83 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.count() == sum(r.predicted == 0 for r in got.values()) - (got[0].predicted == 0)
 
 
+def test_voters_the_sample_does_not_hold_count(spark):
+    frame, labels = toxic_corpus(spark)
+    plain = "alor bkar"
+    planted = docs(spark, [(1000, f"{plain} vermin {plain}", "s"), (1001, f"{plain} f**k {plain}", "s"),
+                           (1002, f"{plain} {plain}", "s"), (1003, f"{plain} crétin {plain}", "s"),
+                           (1004, f"{plain} " * 150_000 + "scum", "s"), (1005, f"{plain} " * 150_000, "s")])
+    got = {r.doc_id: r.predicted for r in score_documents(frame.unionByName(planted), labels).collect()}
+    assert [got[i] for i in range(1000, 1006)] == [1, 1, 0, 1, 1, 0]
+
+
+def test_a_pattern_is_learnt_as_a_feature(spark):
+    frame, labels = toxic_corpus(spark)
+    clean = [w for r in frame.filter("doc_id < 600 AND doc_id % 6 = 1").collect() for w in r.text.split()]
+    rng = random.Random(31)
+    shouts = [(2000 + i, " ".join(rng.sample(clean, 20)) + " !!!!" * (i % 2), "s") for i in range(300)]
+    more = spark.createDataFrame([(2000 + i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in score_documents(frame.unionByName(docs(spark, shouts)), labels.unionByName(more)).collect()}
+    held = [i for i in range(300) if got[2000 + i].held_out]
+    assert sum(got[2000 + i].predicted == i % 2 for i in held) / len(held) > 0.95
+
+
+def plain_label_model(votes, m, prior, anchor, belief, rounds):
+    """The estimate, cell by cell, without arrays or Spark."""
+    total = sum(n for _, n in votes)
+    rho = [[0.0] * m for _ in range(m)]
+
+    def log_odds(prior, rates, rho):
+        prior, bias, weights = min(max(prior, 1e-4), 1 - 1e-4), 0.0, []
+        for i in range(m):
+            c, t = (min(max(rates[k][i], 1e-6), 1 - 1e-6) for k in (0, 1))
+            absent = math.log((1 - t) / (1 - c)) / (1 + sum(rho[i]))
+            bias += absent
+            weights.append(math.log(t / c) - absent)
+        return math.log(prior / (1 - prior)) + bias, weights
+
+    bias, weights = log_odds(prior, anchor, rho)
+    for _ in range(rounds):
+        post = []
+        for cast, _ in votes:
+            z = bias + sum(weights[i] / (1 + sum(rho[i][j] for j in cast)) for i in cast)
+            post.append(1 / (1 + math.exp(-z)))
+        mass = min(max(sum(n * p for (_, n), p in zip(votes, post)), 1e-3), total - 1e-3)
+        both = [[sum(n * p for (cast, n), p in zip(votes, post) if i in cast and j in cast) for j in range(m)] for i in range(m)]
+        every = [sum(n for cast, n in votes if i in cast) for i in range(m)]
+        p = [both[i][i] / mass for i in range(m)]
+        rho = [[0.0] * m for _ in range(m)]
+        for i in range(m):
+            for j in range(m):
+                if i != j and both[i][i] + both[j][j] >= 6:
+                    spread = math.sqrt(max(p[i] * (1 - p[i]), 1e-12) * max(p[j] * (1 - p[j]), 1e-12))
+                    r = min(max((both[i][j] / mass - p[i] * p[j]) / spread, 0), 1)
+                    rho[i][j] = r if r >= 0.1 else 0.0
+        rates = [[((every[i] - both[i][i] + belief[0][i]) / (total - mass + 100) + anchor[0][i]) / 2 for i in range(m)],
+                 [((both[i][i] + belief[1][i]) / (mass + 1) + anchor[1][i]) / 2 for i in range(m)]]
+        bias, weights = log_odds((mass / total + prior) / 2, rates, rho)
+    return bias, weights, rho
+
+
+def test_label_model_equals_plain_em(spark):
+    rng = random.Random(17)
+    seen = {}
+    for _ in range(800):
+        toxic = rng.random() < 0.2
+        cast = {i for i in range(5) if rng.random() < (0.4 if toxic else 0.03)}
+        cast |= {5} if 0 in cast and rng.random() < 0.9 else set()
+        seen[tuple(sorted(cast))] = seen.get(tuple(sorted(cast)), 0) + 1
+    votes = sorted(seen.items())
+    anchor = np.array([[0.04] * 6, [0.3] * 6])
+    belief = np.array([[0.1] * 6, [0.1, 0.2, 0.1, 0.1, 0.2, 0.1]])
+    frame = spark.createDataFrame([(list(v), n) for v, n in votes], "votes array<int>, n long").repartition(3)
+    bias, weights, rho = label_model(frame, 6, 0.2, anchor, belief, rounds=6)
+    want = plain_label_model(votes, 6, 0.2, anchor.tolist(), belief.tolist(), 6)
+    assert bias == pytest.approx(want[0], rel=1e-9)
+    assert list(weights) == pytest.approx(want[1], rel=1e-9)
+    assert rho[0, 5] > 0.5 and rho.tolist() == [pytest.approx(r, abs=1e-9) for r in want[2]]
+
+
 def test_held_out_labels_do_not_matter(spark):
     frame, labels = toxic_corpus(spark)
     from pyspark.sql import functions as F
