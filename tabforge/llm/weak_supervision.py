@@ -70,7 +70,7 @@ PATTERNS = {
 }
 TRUSTED = (*LEXICON, "pattern:masked")
 # What is believed of a voter before any row is read, as rows that it marks (clean, toxic).
-BELIEF, TRUST = (0.1, 0.1), (0.005, 1.0)
+BELIEF, TRUST = (0.1, 0.1), (0.005, 0.4)
 
 
 def features(text: str | None) -> set[str]:
@@ -227,7 +227,7 @@ def label_model(votes: DataFrame, m: int, prior: float, anchor: np.ndarray, beli
             toxic[r.i, r.j], every[r.i, r.j] = r["t"], r["n"]
         mass = min(max(toxic[m, m], 1e-3), total - 1e-3)
         ones = np.diag(toxic)[:m]
-        rates = np.stack([(np.diag(every)[:m] - ones + belief[0]) / (total - mass + 100.0), (ones + belief[1]) / (mass + 1.0)])
+        rates = np.stack([(np.diag(every)[:m] - ones + belief[0]) / (total - mass + 100.0), (ones + belief[1]) / (mass + 20.0)])
         p = ones / mass
         spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
         correlation = np.clip((toxic[:m, :m] / mass - np.outer(p, p)) / np.outer(spread, spread), 0, 1)

@@ -224,7 +224,7 @@ def plain_label_model(votes, m, prior, anchor, belief, rounds):
                     r = min(max((both[i][j] / mass - p[i] * p[j]) / spread, 0), 1)
                     rho[i][j] = r if r >= 0.1 else 0.0
         rates = [[((every[i] - both[i][i] + belief[0][i]) / (total - mass + 100) + anchor[0][i]) / 2 for i in range(m)],
-                 [((both[i][i] + belief[1][i]) / (mass + 1) + anchor[1][i]) / 2 for i in range(m)]]
+                 [((both[i][i] + belief[1][i]) / (mass + 20) + anchor[1][i]) / 2 for i in range(m)]]
         bias, weights = log_odds((mass / total + prior) / 2, rates, rho)
     return bias, weights, rho
 
