@@ -14,7 +14,9 @@ one block row per map task (the distinct is combined before the shuffle), and
 its thin occurrence rows are split by adaptive skew joins.
 
 Defined cases: null text counts as empty; an empty text is one empty block.
-Rows that agree in everything are separate rows and one of them stays. A null
+Rows that agree in everything are separate rows and one of them stays; of rows
+that share id and text but differ elsewhere, the smallest by those columns. A
+text of any length is read whole, block by block. A null
 ``doc_id`` sorts below any number. An empty table gives an empty result.
 Columns other than the id and the text play no part and may have any name.
 """
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import ascii_lower, discard, free_prefix, materialize
+from tabforge.llm.common import ascii_lower, discard, free_prefix, materialize, one_of_each
 
 BLOCK_BYTES = 16384
 
@@ -119,5 +121,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
     tagged = docs.withColumns({f"{x}id": F.col(id_col), f"{x}sha": sha})
     cond = F.col(f"{x}id").eqNullSafe(F.col(f"{x}keep_id")) & (F.col(f"{x}sha") == F.col(f"{x}keep_sha"))
-    # rows that repeat the id and the text of the row that stays: one of them
-    return tagged.join(kept, cond, "left_semi").dropDuplicates([f"{x}id", f"{x}sha"]).drop(f"{x}id", f"{x}sha")
+    # rows that repeat the id and the text of the row that stays: the smallest by their other columns
+    return one_of_each(tagged.join(kept, cond, "left_semi"), [f"{x}id", f"{x}sha"], text_col).drop(f"{x}id", f"{x}sha")

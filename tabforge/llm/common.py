@@ -42,6 +42,17 @@ def free_prefix(df: DataFrame) -> str:
     return prefix + "_"
 
 
+def one_of_each(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """One row for each value of ``keys``: the smallest by the other columns, in
+    their order (maps are not compared), then by a hash of the text. Which row
+    stays depends on the rows alone; a hot value is combined before the shuffle."""
+    rest = [f for f in df.schema.fields if f.name not in keys]
+    order = [F.col(f"`{f.name}`") for f in rest if f.name != text_col and "map<" not in f.dataType.simpleString()
+             and "variant" not in f.dataType.simpleString()]
+    row = F.min_by(F.struct(*[F.col(f"`{f.name}`") for f in rest]), F.struct(*order, F.xxhash64(text_col)))
+    return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, *[F.col("_row").getField(f.name).alias(f.name) for f in rest])
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else. ``lower`` is exact, and four times
     as fast, where a text is pure ASCII."""

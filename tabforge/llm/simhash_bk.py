@@ -16,7 +16,7 @@ components in Spark.
 Defined cases: null or wordless text has fingerprint zero and links like any
 other. With fewer words than a shingle the whole sequence is the one
 shingle. Rows that repeat share fingerprint and component. A null id is
-smaller than none: a component has a null id only if all its ids are null. An
+smaller than none, and a text of any length is hashed whole: a component has a null id only if all its ids are null. An
 empty table gives an empty result. Columns other than id and text play no part
 and may have any name.
 """
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import free_prefix, materialize
+from tabforge.llm.common import free_prefix, materialize, one_of_each
 from tabforge.llm.components import components
 
 SEED = 42
@@ -211,12 +211,17 @@ def hex_fingerprint(fp):
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id, all columns kept."""
+    """``docs`` with one row of each component, that of the smallest id, all
+    columns kept; of rows that share id and fingerprint, the smallest by their
+    other columns. Texts are fingerprinted again only where rows share an id."""
     x = free_prefix(docs)
-    kept = (near_duplicates(docs, id_col, text_col, **options)
-            .filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp")))
-            .select(F.col("doc_id").alias(f"{x}keep_id"), F.col("fp").alias(f"{x}keep_fp")).distinct())
-    tagged = docs.withColumns({f"{x}id": F.col(id_col),
-                               f"{x}fp": fingerprints(F.col(text_col), options.get("words_per_shingle", 3))})
-    cond = F.col(f"{x}id").eqNullSafe(F.col(f"{x}keep_id")) & (F.col(f"{x}fp") == F.col(f"{x}keep_fp"))
-    return tagged.join(kept, cond, "left_semi").dropDuplicates([f"{x}id", f"{x}fp"]).drop(f"{x}id", f"{x}fp")
+    found = near_duplicates(docs, id_col, text_col, **options)
+    kept = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp")))
+            .select(F.col("doc_id").alias(f"{x}keep_id"), F.col("fp").alias(f"{x}fp")).distinct())
+    rows = found.groupBy("doc_id").agg(F.count("*").alias(f"{x}rows")).withColumnRenamed("doc_id", f"{x}row_id")
+    kept = kept.join(rows, F.col(f"{x}keep_id").eqNullSafe(F.col(f"{x}row_id"))).drop(f"{x}row_id")
+    joined = docs.withColumn(f"{x}id", F.col(id_col)).join(kept, F.col(f"{x}id").eqNullSafe(F.col(f"{x}keep_id")))
+    own = fingerprints(F.when(F.col(f"{x}rows") > 1, F.col(text_col)), options.get("words_per_shingle", 3))
+    left = joined.withColumn(f"{x}own", own).filter((F.col(f"{x}rows") == 1) | (F.col(f"{x}own") == F.col(f"{x}fp")))
+    left = left.drop(f"{x}keep_id", f"{x}rows", f"{x}own")
+    return one_of_each(left, [f"{x}id", f"{x}fp"], text_col).select(*[F.col(f"`{c}`") for c in docs.columns])

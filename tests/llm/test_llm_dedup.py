@@ -256,3 +256,33 @@ def test_interval_tree_lists_maximal_repeats():
     assert got == want
     order, lcp = suffix_array(data, np.array([0]), np.array([4]))
     assert list(intervals(lcp, 1)) == []
+
+
+def test_the_row_that_stays_depends_on_the_rows_alone(spark):
+    from tabforge.llm.simhash_bk import drop_near_duplicates
+
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, s) for s in ("d", "b", None, "c")] * 20 + [(1, "another text of its own words", "z"), (2, text.upper(), "a"),
+                                                                 (None, text, "n"), (None, None, "n"), (None, "", "m")]
+    schema = "doc_id long, text string, source string"
+    for drop in (drop_exact_duplicates, drop_near_duplicates):
+        got = []
+        for parts, order in ((1, rows), (7, rows[::-1])):
+            out = drop(spark.createDataFrame(order, schema).repartition(parts))
+            assert out.columns == ["doc_id", "text", "source"]
+            got.append(sorted(map(tuple, out.collect()), key=str))
+        assert got[0] == got[1]
+    near = {(i, s) for i, _, s in got[0]}
+    assert near == {(1, None), (1, "z"), (None, "m")} or near == {(1, None), (1, "z"), (None, "n")}
+
+
+def test_texts_above_a_megabyte_are_compared_whole(spark):
+    from tabforge.llm.simhash_bk import near_duplicates
+
+    base = " ".join(f"w{i * 7919 % 100_003}" for i in range(200_000))
+    rows = [(1, base), (2, base + " tail"), (3, base.upper()), (4, "x" * 2_000_000), (5, "x" * 1_999_999 + "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.keep_id for r in exact_duplicates(frame).collect()}
+    assert kept == {1: 3, 2: 2, 3: 3, 4: 4, 5: 5}
+    near = {r.doc_id: r.component_id for r in near_duplicates(frame).collect()}
+    assert near == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
