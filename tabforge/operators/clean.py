@@ -16,6 +16,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -250,9 +252,12 @@ def drop_nulls(df: DataFrame, params: dict, ctx: OpContext) -> DataFrame:
 def drop_duplicates(df: DataFrame, params: dict, ctx: OpContext) -> DataFrame:
     """Keep the first row (by row order) of every group of equal rows.
 
-    Nulls compare equal. Implemented as a partial-aggregating group-by:
-    map-side combine collapses a hot key before the shuffle, so a key that
-    holds a third of the rows costs one row per task.
+    Nulls compare equal. Only keys and row ids are aggregated (by hash, combined
+    before the shuffle, so a key that holds a third of the rows costs one row
+    per task). The keys that occur more than once are then joined back, and
+    their later rows go: rows are never sorted whole, and do not move at all
+    while the repeated keys are few enough to be broadcast by the engine. A hot
+    key of a larger join is split by its skew handling.
     """
     subset = _as_list(params.get("subset"))
     missing = [c for c in subset if c not in df.columns]
@@ -262,17 +267,18 @@ def drop_duplicates(df: DataFrame, params: dict, ctx: OpContext) -> DataFrame:
     for c in keys:
         if isinstance(field_type(df, c), T.MapType):
             raise InvalidParameter(f"drop_duplicates: map column {c!r} cannot be compared")
+    rest = [c for c in df.columns if c not in keys and c != ROW_ID]
     if ROW_ID not in df.columns:
+        if rest:
+            raise InvalidParameter(f"drop_duplicates: without the {ROW_ID} row order column no row is the first of its key")
         return df.dropDuplicates(keys)
-    rest = [c for c in df.columns if c not in keys and c != ROW_ID]
-    kcols = [quoted(c) for c in keys]
+    groups = df.groupBy(*[quoted(c) for c in keys]).agg(F.min(ROW_ID).alias(ROW_ID), F.count(F.lit(1)).alias("__rows"))
     if not rest:
-        out = df.groupBy(*kcols).agg(F.min(ROW_ID).alias(ROW_ID))
-    else:
-        first = F.min_by(F.struct(*[quoted(c) for c in rest]), F.col(ROW_ID))
-        out = (df.groupBy(*kcols)
-               .agg(F.min(ROW_ID).alias(ROW_ID), first.alias("__first"))
-               .select(*kcols, ROW_ID, *[F.col("__first").getField(c).alias(c) for c in rest]))
+        return _keep_order(groups, df.columns)
+    repeated = groups.where(F.col("__rows") > 1).select(
+        *[quoted(c).alias(f"__key_{i}") for i, c in enumerate(keys)], F.col(ROW_ID).alias("__first"))
+    same = reduce(and_, [quoted(c).eqNullSafe(F.col(f"__key_{i}")) for i, c in enumerate(keys)])
+    out = df.join(repeated, same, "left").where(F.col("__first").isNull() | (F.col(ROW_ID) == F.col("__first")))
     return _keep_order(out, df.columns)
 
 

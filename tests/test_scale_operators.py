@@ -249,3 +249,22 @@ def test_describe_dataset_wide_table(spark):
     info = profile.describe_dataset(df)
     assert info["rows"] == 50 and info["columns"] == 20 and info["stats"]["c3"]["max"] == 147.0
     assert info["null_counts"]["c0"] == 0 and len(info["preview"]) == 50
+
+
+def test_drop_duplicates_sorts_no_whole_rows(spark):
+    from tabforge.errors import InvalidParameter
+    from tabforge.plans.cleaning import apply_ops
+
+    # one key holds a third of the rows; nulls and NaN are keys like any other
+    rows = [(i, [None, float("nan"), 0.0, -0.0, 7.0, float(i)][i % 6] if i % 3 else 7.0, f"v{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "_row_id long, `k.1` double, v string").repartition(6)
+    ops = [{"op": "drop_duplicates", "params": {"subset": ["k.1"]}}]
+    out = apply_ops(df, ops)
+    assert "SortAggregate" not in out._jdf.queryExecution().toString()
+    first = {}
+    for i, k, v in rows:
+        first.setdefault("null" if k is None else "nan" if k != k else k, (i, v))
+    assert sorted((r["_row_id"], r["v"]) for r in out.collect()) == sorted(first.values())
+    assert out.columns == df.columns
+    with pytest.raises(InvalidParameter):
+        apply_ops(df.drop("_row_id"), ops)
