@@ -18,9 +18,10 @@
    votes count if they give the higher odds.
 
 Labels are read from training rows only; label, language, source and id are
-no input of a score. The one bound that is on by default is ``max_rows``, the
-labelled rows used to induce voters and to train; all voters and features
-found in them are used. ``max_voters`` and ``max_features`` cut them if given.
+no input of a score. Bounds of the fit: ``max_rows``, the labelled rows used to
+induce voters and to train, and ``max_features``, the classifier's strongest
+features of that sample (None: all; with all, rare words fit the noise). All
+voters found are used; ``max_voters`` cuts them if given.
 The label model holds a square table of its voters, candidates that do not
 stand for one already chosen. Votes are counted over all documents, and all
 of them are scored.
@@ -53,6 +54,7 @@ from pyspark.sql import types as T
 from tabforge.llm.common import discard, materialize
 
 MAX_ROWS = 20_000
+MAX_FEATURES = 20_000
 ROUNDS = 12
 LETTERS = re.compile(r"[^\W\d_]+")
 # Common insults in the languages of the corpora.
@@ -274,7 +276,7 @@ def _independent(sample: DataFrame, marks: list, most: int | None) -> list:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS,
-        max_voters: int | None = None, max_features: int | None = None) -> Model:
+        max_voters: int | None = None, max_features: int | None = MAX_FEATURES) -> Model:
     """Learn from ``labels`` (doc_id, toxic) of training rows and the votes on all of ``docs``."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = materialize(_labelled(docs, labels, max_rows), "weak-sample")
