@@ -39,6 +39,7 @@ log = logging.getLogger(__name__)
 RESERVED = ("actual", "predicted", "probability", "residual")
 PREVIEW_PREDICTIONS = 200
 CELLS_PER_PARTITION = 2_000_000
+CELLS_AT_LEAST, WIDE_PARTS, NEAR_COLUMNS = 100_000, 48, 8
 # Up to this many classes a label's code is an array lookup in the row.
 SMALL_LABEL_SET = 64
 _ORIG = "__orig__"
@@ -207,7 +208,7 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
     mark("target encoding")
     train_df, test_df, n_rows = split_counted(data, spec.test_size, spec.random_state)
     n_test = int(math.ceil(float(spec.test_size) * n_rows))
-    train_df, test_df = _spread(train_df, n_rows - n_test, len(feats)), _spread(test_df, n_test, len(feats))
+    train_df, test_df = _spread(train_df, n_rows - n_test, feats), _spread(test_df, n_test, feats)
     train_df = train_df.persist(StorageLevel.MEMORY_AND_DISK)
     mark("split")
     try:
@@ -273,13 +274,21 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
         final_features=final, labels=labels, stages=stages + [fitted])
 
 
-def _spread(df: DataFrame, n_rows: int, n_columns: int) -> DataFrame:
+def _spread(df: DataFrame, n_rows: int, columns: list[str]) -> DataFrame:
     """Learners parallelise over partitions, and sampling learners draw by
     partition and row order. Rows are dealt by a hash of the row id into
-    parts of about CELLS_PER_PARTITION values, in row order: number and content
-    of the parts depend on the data alone, never on cores or files."""
-    parts = max(1, math.ceil(n_rows * max(n_columns, 1) / CELLS_PER_PARTITION))
-    return df.repartition(parts, ROW_ID).sortWithinPartitions(ROW_ID)
+    parts of about CELLS_PER_PARTITION values, several parts in the order of their
+    first features and one part in row order: number and content
+    of the parts depend on the data alone, never on cores or files. Up to
+    WIDE_PARTS parts are smaller (CELLS_AT_LEAST values), so a table of a few
+    million values keeps a cluster busy; beyond, every part more is another copy
+    of a forest's statistics in each of its passes."""
+    cells = n_rows * max(len(columns), 1)
+    parts = max(1, math.ceil(cells / CELLS_PER_PARTITION), min(WIDE_PARTS, math.ceil(cells / CELLS_AT_LEAST)))
+    # neighbours in a part then fall into the same tree nodes, whose statistics are still in the processor's cache
+    plain = [c for c in columns if is_numeric(t := field_type(df, c)) or isinstance(t, (T.StringType, T.BooleanType))]
+    near = [quoted(c) for c in plain[:NEAR_COLUMNS]] if parts > 1 else []
+    return df.repartition(parts, ROW_ID).sortWithinPartitions(*near, ROW_ID)
 
 
 def _predictions_table(scored: DataFrame, feats, target, is_clf, labels, fitted) -> DataFrame:
