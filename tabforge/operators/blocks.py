@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from tabforge.functions.columns import quoted
 
+BROADCAST_CATEGORIES = 100_000
+
 
 @dataclass
 class Block:
@@ -146,6 +148,23 @@ def sparse_vector(df: DataFrame, block: Block, source: str, out: str) -> DataFra
     return df
 
 
+def indicator_vector(df: DataFrame, categories: list[str], source: str, out: str) -> DataFrame:
+    """Add the slots of ``categories`` as a sparse vector; unknown and missing
+    have no slot. The vocabulary is joined: neither the plan, the column's
+    metadata nor a task holds all of it (Spark's encoder names every slot in
+    the metadata), and a small one is broadcast, so rows stay where they are."""
+    import pyarrow as pa
+    from pyspark.ml.linalg import VectorUDT
+
+    width = len(categories)
+    slots = df.sparkSession.createDataFrame(pa.table({f"{out}_c": pa.array(categories, pa.string()),
+                                                      f"{out}_i": pa.array(np.arange(width, dtype=np.int32))}))
+    slots = F.broadcast(slots) if width <= BROADCAST_CATEGORIES else slots
+    hot = F.udf(lambda i: Vectors.sparse(width, [] if i is None else [(i, 1.0)]), VectorUDT())
+    joined = df.join(slots, F.col(source) == F.col(f"{out}_c"), "left")
+    return joined.withColumn(out, hot(f"{out}_i")).drop(f"{out}_c", f"{out}_i")
+
+
 def columns_of(block: Block) -> list[Column]:
     """One column a slot, shift and scale applied."""
     v = quoted(block.column).cast("string")

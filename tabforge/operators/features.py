@@ -419,8 +419,8 @@ class OneHotEncoderModel(FeatureModel):
                 df = df.withColumn(c, F.when(unknown, F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), _q(safe))))
                                    .otherwise(_q(safe))).drop(safe, f"{safe}_i")
             if st["form"] == "vector":
-                # safe internal names; unknown and missing go to the extra slot that is dropped: all zeros
-                df = bl.sparse_vector(df.withColumn(safe, _q(c).cast("string")), block, safe, f"{safe}_v")
+                # safe internal names; unknown and missing are all zeros
+                df = bl.indicator_vector(df.withColumn(safe, _q(c).cast("string")), categories, safe, f"{safe}_v")
                 df = df.drop(safe).withColumnRenamed(f"{safe}_v", f"{c}_onehot")
         return super()._transform(df)
 
@@ -457,8 +457,9 @@ class OneHotEncoder(FeatureStep):
         if cat:
             # the vocabularies of all columns in one job; they name the features of the run
             cells = F.array(*[F.struct(F.lit(i).alias("i"), _q(c).cast("string").alias("v")) for i, c in enumerate(cat)])
-            for r in df.select(F.inline(cells)).where(F.col("v").isNotNull()).distinct().orderBy("i", "v").collect():
-                st["categories"][cat[r["i"]]].append(r["v"])
+            found = df.select(F.inline(cells)).where(F.col("v").isNotNull()).distinct().orderBy("i", "v").toArrow()
+            for i, v in zip(found["i"].to_pylist(), found["v"].to_pylist()):
+                st["categories"][cat[i]].append(v)
         names = {"block": lambda c: [c], "vector": lambda c: [f"{c}_onehot"],
                  "columns": lambda c: [f"{c}_{v}" for v in st["categories"][c]]}[form]
         return st, [n for c in cols for n in (names(c) if c in cat else [c])]

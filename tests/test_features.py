@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
 from tabforge.errors import InvalidParameter
 from tabforge.functions.columns import ROW_ID
@@ -131,3 +132,26 @@ def test_anova_long_matches_wide(spark):
     wide = fs.anova_f(df, cols[:5], "y")
     for c in cols[:5]:
         assert long[c] == pytest.approx(wide[c], rel=1e-9)
+
+
+def test_one_hot_vectors_of_a_wide_vocabulary_stay_sparse(spark):
+    """Spelt out, 30,000 slots in 30,000 rows are 7 GB, and their names in the column's metadata grow with them."""
+    from tabforge.operators import blocks
+
+    n = 30_000
+    df = spark.range(0, n, 1, 4).select("id", F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("kind"))
+    df = df.withColumn("kind", F.when(F.col("id") != 5, F.col("kind")))
+    model = fs.OneHotEncoder(sparse=True)
+    model._set(featureCols=["kind"])
+    fitted = model.fit(df)
+    for limit in (blocks.BROADCAST_CATEGORIES, 10):
+        blocks.BROADCAST_CATEGORIES, kept = limit, blocks.BROADCAST_CATEGORIES
+        try:
+            out = fitted.transform(df.unionByName(spark.createDataFrame([(n, "new")], "id long, kind string")))
+        finally:
+            blocks.BROADCAST_CATEGORIES = kept
+        assert len(out.schema.json()) < 5_000
+        v = F.unwrap_udt("kind_onehot")
+        rows = out.select("id", v["size"].alias("size"), v["indices"].alias("at"), v["values"].alias("x")).collect()
+        assert len(rows) == n + 1 and {r["size"] for r in rows} == {n - 1}
+        assert all(r["at"] == ([] if r["id"] in (5, n) else [r["id"] - (r["id"] > 5)]) and len(r["x"]) == len(r["at"]) for r in rows)
