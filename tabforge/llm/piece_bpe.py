@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-# Words of one memo generation (of two, about 350 bytes a word).
-MEMO_WORDS = 250_000
+# Words of one memo generation (of two, about 220 bytes a word).
+MEMO_WORDS = 150_000
 MEMO_PAIRS = 150_000
 MEMO_LENGTH = 64
 
@@ -221,15 +221,12 @@ class PieceEncoder:
             self._prepare()
         if not text:
             return []
-        words = (text.replace(SPACE, " ") if SPACE in text else text).split(" ")
-        if "" not in words:
-            return list(map(self.memo.__getitem__, words))
         out, run = [], 0
-        for w in words:
+        for w in (text.replace(SPACE, " ") if SPACE in text else text).split(" "):
             run += 1
             if w:
                 if run == 1:
-                    out.append(self.memo[w])
+                    out.append(_pair(self.memo[w], " " + w))
                 else:
                     # the last mark of the run joins the word, if the word's own merges take it in
                     ids = self.ids_of(self.tokens(SPACE + w))
@@ -241,6 +238,23 @@ class PieceEncoder:
             out.append(self.entry(self._spaces(run)))
         return out
 
+    def encode_text(self, text: str) -> tuple[str, str]:
+        """(ids joined by commas, decoded text) of a whole text."""
+        if not self.ready:
+            self._prepare()
+        if not text:
+            return "", ""
+        plain = text.replace(SPACE, " ") if SPACE in text else text
+        words = plain.split(" ")
+        if "" not in words:
+            found = list(map(self.memo.__getitem__, words))
+            try:
+                return ",".join(found), plain  # every word decodes to itself
+            except TypeError:
+                pass
+        pairs = self.encode_words(plain)
+        return ",".join([ids for ids, _ in pairs]), "".join([t for _, t in pairs])[1:]
+
     def entry(self, ids: list[int]) -> tuple[str, str]:
         return ",".join(map(str, ids)), self.pieces_text(ids)
 
@@ -248,14 +262,20 @@ class PieceEncoder:
         return [int(i) for ids, _ in self.encode_words(text) for i in ids.split(",")]
 
 
+def _pair(value, own: str) -> tuple[str, str]:
+    """A memo's value as (ids, decoded)."""
+    return (value, own) if isinstance(value, str) else value
+
+
 class _Memo(dict):
-    """word -> (ids, decoded), filled on demand. A full memo becomes the old
-    generation: a word that is met again comes back from there, others go."""
+    """word -> its ids, where their decoded text is the word itself, else
+    (ids, decoded); filled on demand. A full memo becomes the old generation:
+    a word that is met again comes back from there, others go."""
 
     def __init__(self, encoder: PieceEncoder, prefix: str):
         self.encoder, self.prefix, self.old = encoder, prefix, {}
 
-    def __missing__(self, word: str) -> tuple[str, str]:
+    def __missing__(self, word: str) -> str | tuple[str, str]:
         value = self.old.get(word) or self._encoded(word)
         if len(word) <= MEMO_LENGTH:
             if len(self) >= MEMO_WORDS:
@@ -264,14 +284,17 @@ class _Memo(dict):
             self[word] = value
         return value
 
-    def _encoded(self, word: str) -> tuple[str, str]:
+    def _encoded(self, word: str) -> str | tuple[str, str]:
         e, w = self.encoder, self.prefix + word
         # no piece holds these two characters side by side, so no merge crosses here
         cuts = [i for i in range(1, len(w)) if w[i - 1:i + 1] not in e.side_by_side]
         if not cuts:
-            return e.entry(e.ids_of(e.tokens(w)))
-        found = [e.parts[w[i:j]] for i, j in zip([0, *cuts], [*cuts, len(w)])]
-        return ",".join([i for i, _ in found]), "".join([t for _, t in found])
+            ids, text = e.entry(e.ids_of(e.tokens(w)))
+        else:
+            parts = [w[i:j] for i, j in zip([0, *cuts], [*cuts, len(w)])]
+            found = [_pair(e.parts[p], p.replace(SPACE, " ")) for p in parts]
+            ids, text = ",".join([i for i, _ in found]), "".join([t for _, t in found])
+        return ids if text == w.replace(SPACE, " ") else (ids, text)
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,10 +312,9 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 batch = big.slice(at, 256)
                 all_ids, texts, ends = [], [], [0]
                 for text in batch.column(1):
-                    words = encoder.encode_words(text.as_py() or "")
-                    ids = ",".join([w[0] for w in words])
+                    ids, decoded = encoder.encode_text(text.as_py() or "")
                     all_ids.append(ids)
-                    texts.append("".join([w[1] for w in words])[1:])
+                    texts.append(decoded)
                     ends.append(ends[-1] + (ids.count(",") + 1 if ids else 0))
                 numbers = np.fromstring(",".join(filter(None, all_ids)), np.int32, sep=",")
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers))

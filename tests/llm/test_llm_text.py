@@ -456,3 +456,17 @@ def test_hadamard_is_orthonormal():
     x = np.random.default_rng(1).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(hadamard(hadamard(x)), x)
+
+
+def test_a_word_that_decodes_to_itself_is_kept_once():
+    """The memo held each word's ids, its decoded text and a tuple of both: of an executor's memory too much."""
+    from tabforge.llm import piece_bpe
+    from tabforge.llm.queries import model_path
+
+    encoder = piece_bpe.PieceEncoder(piece_bpe.read_model(model_path()))
+    for text in ("plain words, and 日本語 too", "\u2581x\u2581 y", " a  b ", "a\x00b \U0001f642", "", "  ", "a\nb"):
+        pairs = encoder.encode_words(text)
+        assert encoder.encode_text(text) == (",".join(i for i, _ in pairs), "".join(t for _, t in pairs)[1:])
+    assert encoder.memo and all(isinstance(v, str) for v in (*encoder.memo.values(), *encoder.parts.values()))
+    encoder.memo["odd"] = ("1,2", " other")  # a word that decodes to something else keeps it
+    assert encoder.encode_text("an odd word")[1] == "an other word"
