@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabforge.functions.columns import ROW_ID
 from tabforge.plans.training import TrainSpec
 from tabforge.queries.registry import R, query, rnd, rounded
-from tabforge.session import scratch_path
+from tabforge.session import discard, materialize, scratch_path
 from tabforge.sources.scan import infer_schema, read_csv_text, scan_csv, scan_parquet
 from tabforge.sources.store import Store
 
@@ -63,10 +63,14 @@ def q_scan_parquet(spark, sf):
     return scan_parquet(spark, f"{sf}/orders.parquet").withColumnRenamed(ROW_ID, "row_id")
 
 
+# Rows of a written CSV file: its sort is one task's.
+FILE_ROWS = 250_000
+
+
 def _orders_csv(spark, sf, parts: int = 4) -> str:
     path = scratch_path(spark, "orders-csv")
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    (o.repartitionByRange(parts, "o_orderkey").sortWithinPartitions("o_orderkey")
+    (o.repartitionByRange(max(parts, -(-o.count() // FILE_ROWS)), "o_orderkey").sortWithinPartitions("o_orderkey")
      .write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
     return path
 
@@ -86,14 +90,21 @@ def q_row_ids_csv(spark, sf):
 
 
 def _text_csv(spark, sf, name: str, line: Column, header: str, parts: int = 4, key: str = "o_custkey") -> list[str]:
-    """CSV files of lines as they are, each file below its header."""
+    """CSV files of lines as they are, each file below its header: by part, in
+    ranges of the key of about FILE_ROWS rows. The folders are in file order."""
     path = scratch_path(spark, name)
     o = spark.read.parquet(f"{sf}/orders.parquet")
     rows = o.select((F.col("o_orderkey") % parts).cast("int").alias("part"), F.lit(1).alias("below"), F.col(key).alias("key"), line.alias("line"))
-    heads = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("below"), F.lit(None).alias("key"), F.lit(header).alias("line"))
-    (rows.union(heads).repartition(parts, "part").sortWithinPartitions("part", "below", "key")
-     .select("part", "line").write.partitionBy("part").text(path))
-    return [f"{path}/part={i}" for i in range(parts)]
+    # written once: a range partitioning that runs again may cut elsewhere
+    dealt = materialize(rows.repartitionByRange(max(1, -(-o.count() // FILE_ROWS)), "part", "key")
+                        .withColumn("piece", F.format_string("%06d", F.spark_partition_id())), f"{name}-lines")
+    found = {tuple(r) for r in dealt.select("part", "piece").distinct().collect()}
+    files = sorted(found | {(i, "000000") for i in range(parts) if i not in {p for p, _ in found}}, key=lambda f: (f[0] is not None, f))
+    heads = spark.createDataFrame([(p, 0, None, header, q) for p, q in files], dealt.schema)
+    (dealt.union(heads).repartition(len(files), "part", "piece").sortWithinPartitions("part", "piece", "below", "key")
+     .select("part", "piece", "line").write.partitionBy("part", "piece").text(path))
+    discard(dealt)
+    return [f"{path}/part={p}/piece={q}" for p, q in files if p is not None]
 
 
 @query("scan_csv_ragged", """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS o_custkey

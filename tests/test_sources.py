@@ -99,3 +99,24 @@ def test_run_round_trip(spark, store_root):
 
     model = PipelineModel.load(st.runs().where(F.col("job_id") == run.job_id).first()["model_path"])
     assert len(model.stages) == 3
+
+
+def test_written_csv_files_are_bounded_whatever_the_table(spark, tmp_path, monkeypatch):
+    """A part was one file, sorted whole by one task."""
+    from tabforge.queries import catalog_queries as cq
+
+    n = 3000
+    o = spark.range(1, n + 1).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") * 7 % 100).alias("o_custkey"), F.lit("O").alias("o_orderstatus"),
+        (F.col("id") + 0.5).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority"))
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(cq, "FILE_ROWS", 250)
+    rows = cq.q_scan_csv_breaks(spark, str(tmp_path)).orderBy("row_id").collect()
+    want = sorted(range(1, n + 1), key=lambda k: (k % 4, k))
+    assert [(r.o_orderkey, r.row_id) for r in rows] == [(k, i) for i, k in enumerate(want)]
+    assert rows[0].note == f'status "O",\n\ncustomer {want[0] * 7 % 100}'
+    assert sorted(tuple(r) for r in cq.q_infer_schema_bigint(spark, str(tmp_path)).collect()) == [
+        (k, f"{k * 7 % 100}" + "0" * 20) for k in range(1, n + 1)]
+    files = cq._text_csv(spark, str(tmp_path), "bounded", F.col("o_orderkey").cast("string"), "h", key="o_orderkey")
+    sizes = [spark.read.text(f).count() for f in files]
+    assert len(files) >= 12 and sum(sizes) == n + len(files) and max(sizes) < 600
