@@ -20,7 +20,7 @@ the smaller training id) without comparing all pairs:
    far. What is left out is strictly farther, so the answer is exact.
 
 A visit is a cogroup of a unit's rows with the test rows that visit it, in
-blocks of ``QUERY_BLOCK`` test rows, so a popular unit is many tasks. Inside,
+blocks of ``QUERY_BLOCK`` test rows (wide rows: more), so a popular unit is many tasks. Inside,
 a matrix product screens the pairs and the distances of those that may be
 among the k best are computed directly. Centres and the unit directory are
 broadcast; both are bounded (``CENTRE_CELLS`` numbers, ``MAX_UNITS`` rings:
@@ -45,6 +45,8 @@ from tabforge.session import discard, materialize
 # Rows that k-means sees; centres steer the search and never its result.
 SAMPLE_ROWS = 50_000
 MAX_CENTRES, CENTRE_CELLS, MAX_UNITS = 1024, 8_000_000, 500_000
+# Rows of so many features are wide: few cells, cut into few units of up to so many bytes.
+WIDE, WIDE_CELLS, WIDE_UNITS, WIDE_BYTES = 16, 128, 64, 1 << 26
 QUERY_BLOCK = 8192
 PAIRS_AT_ONCE = 1 << 21
 # Units visited in the first two rounds; the third visits what is left.
@@ -54,6 +56,25 @@ _UNITS = "unit long, cell int, rmin double, rmax double, n long"
 log = logging.getLogger(__name__)
 
 
+def _cell_count(n: int, d: int) -> int:
+    """Cells, each a unit at least."""
+    return max(1, min(round(math.sqrt(n)), MAX_CENTRES if d < WIDE else WIDE_CELLS, CENTRE_CELLS // d))
+
+
+def _unit_rows(n: int, d: int, k: int) -> int:
+    """Rows of a unit. A visit ships a test row's d numbers, and rows of WIDE
+    features and more are hardly ever ruled out by distance: about WIDE_UNITS
+    units beside one a cell, as far as a task holds them, keep what is shipped
+    in proportion to the test rows."""
+    least = max(256, 4 * k, -(-n // MAX_UNITS))
+    return least if d < WIDE else max(least, min(-(-n // WIDE_UNITS), WIDE_BYTES // (8 * d)))
+
+
+def _block_rows(d: int) -> int:
+    """Test rows of a block. Every block is sent the unit's training rows, so wide rows come in larger ones."""
+    return QUERY_BLOCK if d < WIDE else max(QUERY_BLOCK, WIDE_BYTES // (16 * d))
+
+
 def _matrix(column) -> np.ndarray:
     """A list column as one matrix of doubles."""
     column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
@@ -179,7 +200,7 @@ class KNNModel:
                 break
             self.examined += int(looked)
             log.info("knn: %d of %d pairs after the round to %s", self.examined, self.all_pairs, until)
-            blocks = visits.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
+            blocks = visits.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / _block_rows(self.centres.shape[1])).cast("int").alias("blocks"))
             asked = visits.join(blocks, "unit").withColumn("block", F.pmod(F.hash("qid"), "blocks"))
             asked = asked.select("unit", "block", "qid", "x", "r2")
             held = (self.train.join(blocks, "unit").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -191,7 +212,8 @@ class KNNModel:
             best = materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "knn-best")
             scratch.append(best)
             radius = best.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).otherwise(F.lit(math.inf)).alias("r2"))
-            pending = queries.join(radius, "qid")
+            # as large as the test rows: a broadcast would bring them all to the driver
+            pending = queries.join(radius.hint("merge"), "qid")
         for table in scratch:
             if table is not best:
                 discard(table)
@@ -222,8 +244,8 @@ class KNNModel:
         nc = max(self.n_classes, 2)
         prob = F.transform(F.sequence(F.lit(0), F.lit(nc - 1)), lambda c: F.coalesce(F.col("pm")[c], F.lit(0.0)))
         res = (probs.select(F.col("qid").alias(self.id_col), "prediction", array_to_vector(prob).alias("probability"))
-               .join(first, self.id_col).drop(self.id_col))
-        return keyed.join(res, "__knn_x", "left").drop("__knn_x")
+               .join(first.hint("merge"), self.id_col).drop(self.id_col))
+        return keyed.join(res.hint("merge"), "__knn_x", "left").drop("__knn_x")
 
     # ------------------------------------------------------------ persistence
     def save(self, path: str) -> None:
@@ -276,7 +298,7 @@ class KNNClassifier:
         sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
         earlier = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         place = F.row_number().over(Window.partitionBy("part").orderBy("cell", "dist", "id")) - 1 + F.col("before")
-        size = self.bucket_rows or max(256, 4 * self.k, -(-n // MAX_UNITS))
+        size = self.bucket_rows or _unit_rows(n, centres.shape[1], self.k)
         ranked = (dealt.join(F.broadcast(sizes.select("part", earlier.alias("before"))), "part")  # one row a partition
                   .withColumn("unit", F.col("cell") * F.lit(1 << 40) + F.floor(place / size))
                   .select("id", "x", "y", "unit", "cell", "dist"))
@@ -292,7 +314,7 @@ class KNNClassifier:
     def _centres(self, base: DataFrame, n: int) -> np.ndarray:
         """Cell centres: k-means on the rows of least hash."""
         d = max(1, len(base.select("x").first()[0]))
-        cells = max(1, min(round(math.sqrt(n)), MAX_CENTRES, CENTRE_CELLS // d))
+        cells = _cell_count(n, d)
         sample = base if n <= SAMPLE_ROWS else base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE_ROWS / n) + 1)
         sample = sample.select("id", array_to_vector("x").alias("v")).repartition(4, "id").sortWithinPartitions("id").persist()
         try:

@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.functions.columns import ROW_ID
 from tabforge.operators import knn
@@ -268,3 +270,35 @@ def test_drop_duplicates_sorts_no_whole_rows(spark):
     assert out.columns == df.columns
     with pytest.raises(InvalidParameter):
         apply_ops(df.drop("_row_id"), ops)
+
+
+def test_wide_rows_are_searched_in_few_units(spark, monkeypatch):
+    """Every visit ships a wide test row, and every cell was a unit of its own: sqrt(n) shipments a row and more."""
+    from tabforge.operators.knn import _block_rows, _cell_count, _unit_rows
+
+    monkeypatch.setattr(knn, "WIDE_CELLS", 5)
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2400, 20)), rng.integers(0, 3, 2400)
+    rows = [(i, Vectors.dense(v), float(c)) for i, (v, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, T.StructType([
+        T.StructField(ROW_ID, T.LongType()), T.StructField("f", VectorUDT()), T.StructField("label", T.DoubleType())]))
+    model = KNNClassifier(k=5, features_col="f", label_col="label").fit(df.where(F.col(ROW_ID) % 6 != 0))
+    assert len(model.units) <= 5 + 2000 // 256
+    monkeypatch.undo()
+    assert _cell_count(400_000, 64) == _cell_count(4_000_000, 64) == 128 and _cell_count(10**6, 2) == 1000
+    out = model.transform(df.where(F.col(ROW_ID) % 6 == 0))
+    train = np.array([i for i in range(2400) if i % 6])
+    for r in out.collect():
+        near = train[np.lexsort((train, ((x[train] - x[r[ROW_ID]]) ** 2).sum(1)))[:5]]
+        assert r["prediction"] == np.bincount(y[near], minlength=3).argmax()
+    # the shipped rows grow with the test rows, the units do not; narrow rows are cut as before
+    assert 400_000 // _unit_rows(400_000, 64, 5) == 4_000_000 // _unit_rows(4_000_000, 64, 5) == 64
+    assert _unit_rows(10**9, 64, 5) * 64 * 8 <= 1 << 26 and _unit_rows(10**6, 2, 5) == 256 and _block_rows(64) > _block_rows(2)
+
+
+def test_answers_as_many_as_the_test_rows_are_not_broadcast(spark):
+    df = spark.createDataFrame([(i, Vectors.dense([float(i), float(i % 7)]), float(i % 2)) for i in range(200)], T.StructType([
+        T.StructField(ROW_ID, T.LongType()), T.StructField("f", VectorUDT()), T.StructField("label", T.DoubleType())]))
+    out = KNNClassifier(k=3, features_col="f", label_col="label").fit(df).transform(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
