@@ -39,7 +39,8 @@ log = logging.getLogger(__name__)
 RESERVED = ("actual", "predicted", "probability", "residual")
 PREVIEW_PREDICTIONS = 200
 CELLS_PER_PARTITION = 2_000_000
-CELLS_AT_LEAST, WIDE_PARTS, NEAR_COLUMNS = 100_000, 48, 8
+# A table of more than SPREAD_CELLS values is dealt into parts of CELLS_AT_LEAST, up to WIDE_PARTS of them.
+SPREAD_CELLS, CELLS_AT_LEAST, WIDE_PARTS, NEAR_COLUMNS = 400_000, 100_000, 48, 8
 # Up to this many classes a label's code is an array lookup in the row.
 SMALL_LABEL_SET = 64
 _ORIG = "__orig__"
@@ -279,12 +280,13 @@ def _spread(df: DataFrame, n_rows: int, columns: list[str]) -> DataFrame:
     partition and row order. Rows are dealt by a hash of the row id into
     parts of about CELLS_PER_PARTITION values, several parts in the order of their
     first features and one part in row order: number and content
-    of the parts depend on the data alone, never on cores or files. Up to
-    WIDE_PARTS parts are smaller (CELLS_AT_LEAST values), so a table of a few
-    million values keeps a cluster busy; beyond, every part more is another copy
+    of the parts depend on the data alone, never on cores or files. Beyond
+    SPREAD_CELLS values, up to WIDE_PARTS parts are smaller (CELLS_AT_LEAST), so
+    a table of a few million values keeps a cluster busy; beyond, every part more is another copy
     of a forest's statistics in each of its passes."""
     cells = n_rows * max(len(columns), 1)
-    parts = max(1, math.ceil(cells / CELLS_PER_PARTITION), min(WIDE_PARTS, math.ceil(cells / CELLS_AT_LEAST)))
+    wide = min(WIDE_PARTS, math.ceil(cells / CELLS_AT_LEAST)) if cells > SPREAD_CELLS else 1
+    parts = max(1, math.ceil(cells / CELLS_PER_PARTITION), wide)
     # neighbours in a part then fall into the same tree nodes, whose statistics are still in the processor's cache
     plain = [c for c in columns if is_numeric(t := field_type(df, c)) or isinstance(t, (T.StringType, T.BooleanType))]
     near = [quoted(c) for c in plain[:NEAR_COLUMNS]] if parts > 1 else []

@@ -207,13 +207,13 @@ def test_a_table_of_a_few_hundred_thousand_values_is_learnt_in_several_tasks(spa
     """One part held two million values, so a forest over half a million rows was one task."""
     from tabforge.plans.training import _spread
 
-    df = spark.range(0, 120_000, 1, 3).select(F.col("id").alias(ROW_ID), (F.col("id") % 7).cast("double").alias("a"),
+    df = spark.range(0, 300_000, 1, 3).select(F.col("id").alias(ROW_ID), (F.col("id") % 7).cast("double").alias("a"),
                                               F.concat(F.lit("k"), F.col("id") % 3).alias("b"))
-    out = _spread(df, 120_000, ["a", "b"])
-    assert out.rdd.getNumPartitions() == 3
-    assert out.count() == 120_000 and out.select(ROW_ID).distinct().count() == 120_000
-    again = _spread(df.repartition(5), 120_000, ["a", "b"])
+    out = _spread(df, 300_000, ["a", "b"])
+    assert out.rdd.getNumPartitions() == 6
+    assert out.count() == 300_000 and out.select(ROW_ID).distinct().count() == 300_000
+    again = _spread(df.repartition(5), 300_000, ["a", "b"])
     parts = [[[tuple(r) for r in p] for p in d.select(ROW_ID, "a", "b").rdd.glom().collect()] for d in (out, again)]
     assert parts[0] == parts[1]
     assert all(p == sorted(p, key=lambda r: (r[1], r[2], r[0])) for p in parts[0])
-    assert _spread(df, 100, ["a"]).rdd.getNumPartitions() == 1
+    assert _spread(df, 100_000, ["a", "b"]).rdd.getNumPartitions() == 1
