@@ -8,10 +8,11 @@ merges from the latest on, no merge across the border would have come first.
 The ids are then recovered backwards from the end of the table.
 
 The vocabulary (a fixed public table) is read on the driver and broadcast;
-the workers keep it, with a bounded memo of encoded words, between tasks. A
-new word is first cut wherever no piece holds its two neighbouring characters
-side by side (before a full stop, say), and the parts are looked up as well.
-Encoding and decoding are one scan without a shuffle.
+the workers keep it, with a bounded memo of encoded parts, between tasks. The
+texts of a batch are cut wherever no piece holds two neighbouring characters
+side by side (before a space or a full stop, say), as no merge crosses there;
+each different part of a batch is looked up or encoded once, and the ids are
+laid out by part. Encoding and decoding are one scan without a shuffle.
 
 Defined cases: null text is empty text; empty text has no ids and decodes to
 the empty string. Every row is encoded on its own, so repeated rows give
@@ -23,16 +24,20 @@ other than id and text play no part and may have any name.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-# Words of one memo generation (of two, about 220 bytes a word).
+# Words, or parts, of one memo generation (of two, about 220 bytes a word).
 MEMO_WORDS = 150_000
 MEMO_PAIRS = 150_000
 MEMO_LENGTH = 64
+# Characters of the texts of a batch (a longer text is one of its own) and of the slices it is cut in.
+BATCH_CHARS = 500_000
+SLICE_CHARS = 50_000
+CHAR_KINDS = 4_000
 
 
 def read_model(path: str) -> dict:
@@ -66,6 +71,7 @@ class PieceEncoder:
     def _prepare(self) -> None:
         """Merge order, last merge of each reachable piece, automaton."""
         import ahocorasick
+        import numpy as np
 
         self.ids, self.byte0 = self.model["ids"], self.model["byte0"]
         scores = self.model["scores"]
@@ -74,20 +80,31 @@ class PieceEncoder:
         self.rank = {p: i for i, p in enumerate(order)}
         self.last_merge: dict[str, tuple[str, str]] = {}
         automaton = ahocorasick.Automaton()
+        self.n_pairs, self.fits = 0, []
         for p in order:
             if p.strip(SPACE):  # runs of spaces are encoded by _spaces
                 merged = self._merge(p)
                 if merged:
                     self.last_merge[p] = merged
-                    automaton.add_word(p, p)
+                    self.fits.append(_Fits(self, p))
+                    automaton.add_word(p, self.fits[-1])
         automaton.add_word("\0\0", None)  # never empty
         automaton.make_automaton()
         self.automaton = automaton
         self.pieces = {i: p for p, i in self.ids.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo = _Memo(self, SPACE)
-        self.parts = _Memo(self, "")
-        self.side_by_side = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.memo = _Memo(self._word)
+        self.parts = _Memo(self._part)
+        self.side_by_side = {pair for p in self.ids for pair in zip(p, p[1:])}
+        # characters by number, 0 for those that only stand alone, and whether two numbers part;
+        # the last number is shared where a vocabulary has more characters, so that texts are cut less there
+        chars = sorted({c for pair in self.side_by_side for c in pair}, key=lambda c: (c != SPACE, c))
+        kinds = min(len(chars), CHAR_KINDS)
+        self.numbers = np.zeros(0x110000, np.uint16)
+        self.numbers[[ord(c) for c in chars]] = np.minimum(np.arange(1, len(chars) + 1), kinds)
+        self.numbers[ord(" ")] = self.numbers[ord(SPACE)]
+        self.apart = np.ones((kinds + 1, kinds + 1), bool)
+        for a, b in self.side_by_side:
+            self.apart[self.numbers[ord(a)], self.numbers[ord(b)]] = False
         self.spaces: dict[int, list[int]] = {}
         self.ready = True
 
@@ -105,15 +122,6 @@ class PieceEncoder:
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether ``a`` and ``b`` stay neighbours when their text is encoded."""
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._compatible(a, b)
-        return known
-
-    def _compatible(self, a: str, b: str) -> bool:
         rank, limit = self.rank, 1 << 30
         while True:
             if rank.get(a + b, 1 << 30) < limit:
@@ -129,20 +137,18 @@ class PieceEncoder:
 
     def tokens(self, s: str) -> list[str]:
         """The pieces of a string that holds at most one space mark, in front."""
-        n, pairs = len(s), self.pairs
+        n, known = len(s), 0
         last: list[str] = []
-        for end, piece in self.automaton.iter(s):  # by end
-            if piece is None or len(last) > end:
+        for end, fits in self.automaton.iter(s):  # by end
+            if known > end or fits is None:
                 continue  # the last token of this prefix is known
-            while len(last) < end:
-                last.append(s[len(last)])  # no piece fits: a single character
-            start = end - len(piece)
-            if start < 0:
-                last.append(piece)
-                continue
-            fits = pairs.get((last[start], piece))
-            if self.compatible(last[start], piece) if fits is None else fits:
-                last.append(piece)
+            while known < end:
+                last.append(s[known])  # no piece fits: a single character
+                known += 1
+            start = end - fits.size
+            if start < 0 or fits[last[start]]:
+                last.append(fits.piece)
+                known += 1
         last.extend(s[len(last):])
         out, end = [], n - 1
         while end >= 0:
@@ -178,6 +184,12 @@ class PieceEncoder:
             self.spaces[n] = ids
         return self.spaces[n]
 
+    def _spaced(self, run: int, w: str) -> list[int]:
+        """Ids of a run of space marks with a word after it."""
+        # the last mark of the run joins the word, if the word's own merges take it in
+        ids = self.ids_of(self.tokens(SPACE + w))
+        return self._spaces(run) + ids[1:] if ids[0] == self.ids[SPACE] else self._spaces(run - 1) + ids
+
     def ids_of(self, tokens: list[str]) -> list[int]:
         out = [self.ids.get(t) for t in tokens]
         if None not in out:
@@ -194,7 +206,7 @@ class PieceEncoder:
     def pieces_text(self, ids: list[int]) -> str:
         """Text of ids before the leading space is taken off."""
         try:
-            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
+            return "".join(map(self.pieces.__getitem__, ids)).replace(SPACE, " ")
         except KeyError:  # byte pieces
             out, raw = [], bytearray()
         for i in ids:
@@ -228,11 +240,7 @@ class PieceEncoder:
                 if run == 1:
                     out.append(_pair(self.memo[w], " " + w))
                 else:
-                    # the last mark of the run joins the word, if the word's own merges take it in
-                    ids = self.ids_of(self.tokens(SPACE + w))
-                    lone = self.ids[SPACE]
-                    ids = self._spaces(run) + ids[1:] if ids[0] == lone else self._spaces(run - 1) + ids
-                    out.append(self.entry(ids))
+                    out.append(self.entry(self._spaced(run, w)))
                 run = 0
         if run:
             out.append(self.entry(self._spaces(run)))
@@ -255,6 +263,71 @@ class PieceEncoder:
         pairs = self.encode_words(plain)
         return ",".join([ids for ids, _ in pairs]), "".join([t for _, t in pairs])[1:]
 
+    def encode_batch(self, texts: list[str | None]) -> tuple:
+        """The ids of all texts end to end, where each text's ids end (from 0 on), and the decoded texts."""
+        import numpy as np
+        import pyarrow as pa
+
+        if not self.ready:
+            self._prepare()
+        plain = [" " + t.replace(SPACE, " ") if t else "" for t in texts]
+        borders = np.cumsum([0, *map(len, plain)])
+        joined = "".join(plain)
+        if not joined:
+            return np.zeros(0, np.int32), borders, plain
+        cut, width = np.ones(len(joined) + 1, bool), np.ones(len(joined), np.uint8)
+        for i in range(0, len(joined), SLICE_CHARS):  # and the first character of the next slice
+            points = np.frombuffer(joined[i:i + SLICE_CHARS + 1].encode("utf-32-le"), np.uint32)
+            numbers = self.numbers[points]
+            cut[i + 1:i + len(points)] = self.apart[numbers[:-1], numbers[1:]]
+            width[i:i + len(points)] = np.uint8(1) + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        cut[borders] = True
+        cuts = np.flatnonzero(cut)
+        at = np.zeros(len(cuts), np.int64)  # of each part among the bytes
+        np.cumsum(np.add.reduceat(width, cuts[:-1], dtype=np.int64), out=at[1:])
+        parts = pa.LargeStringArray.from_buffers(
+            len(cuts) - 1, pa.py_buffer(at), pa.py_buffer(joined.encode())).dictionary_encode()
+        names, codes = parts.dictionary.to_pylist(), parts.indices
+        found = list(map(self.parts.__getitem__, names))
+        odd = [i for i, v in enumerate(found) if not isinstance(v, str)]
+        for i in odd:
+            found[i], names[i] = found[i]
+        ends = np.cumsum([0] + [v.count(",") + 1 for v in found], dtype=np.int32)
+        ids = np.fromstring(",".join(found), np.int32, sep=",")
+        taken = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)).take(codes)
+        texts_at = np.searchsorted(cuts, borders)
+        decoded = [t[1:] for t in plain]
+        if odd:
+            codes = codes.to_numpy()
+            strange = np.isin(codes, odd)
+            for i, (a, b) in enumerate(zip(texts_at, texts_at[1:])):
+                if strange[a:b].any():
+                    decoded[i] = "".join([names[c] for c in codes[a:b]])[1:]
+        return taken.flatten().to_numpy(), taken.offsets.to_numpy()[texts_at], decoded
+
+    def _word(self, word: str) -> str | tuple[str, str]:
+        """The memo's value of a word without the space before it."""
+        w, side_by_side = SPACE + word, self.side_by_side
+        # no piece holds these two characters side by side, so no merge crosses here
+        cuts = [i for i, pair in enumerate(zip(w, w[1:]), 1) if pair not in side_by_side]
+        if not cuts:
+            return self._part(" " + word)
+        parts = [(" " + word)[i:j] for i, j in zip([0, *cuts], [*cuts, len(w)])]
+        found = [_pair(self.parts[p], p) for p in parts]
+        ids, text = ",".join([i for i, _ in found]), "".join([t for _, t in found])
+        return ids if text == " " + word else (ids, text)
+
+    def _part(self, part: str) -> str | tuple[str, str]:
+        """The memo's value of a part, with the spaces before it."""
+        w = part.replace(" ", SPACE)
+        run = len(w) - len(w.lstrip(SPACE))
+        if run < 2:
+            found = self.ids_of(self.tokens(w))
+        else:
+            found = self._spaced(run, w[run:]) if w[run:] else self._spaces(run)
+        ids, text = self.entry(found)
+        return ids if text == part else (ids, text)
+
     def entry(self, ids: list[int]) -> tuple[str, str]:
         return ",".join(map(str, ids)), self.pieces_text(ids)
 
@@ -267,16 +340,35 @@ def _pair(value, own: str) -> tuple[str, str]:
     return (value, own) if isinstance(value, str) else value
 
 
+class _Fits(dict):
+    """piece before -> whether ``piece`` stays its neighbour; filled on demand."""
+
+    __slots__ = ("encoder", "piece", "size")
+
+    def __init__(self, encoder: PieceEncoder, piece: str):
+        self.encoder, self.piece, self.size = encoder, piece, len(piece)
+
+    def __missing__(self, before: str) -> bool:
+        e = self.encoder
+        if e.n_pairs >= MEMO_PAIRS:
+            for known in e.fits:
+                known.clear()
+            e.n_pairs = 0
+        e.n_pairs += 1
+        value = self[before] = e.compatible(before, self.piece)
+        return value
+
+
 class _Memo(dict):
     """word -> its ids, where their decoded text is the word itself, else
     (ids, decoded); filled on demand. A full memo becomes the old generation:
     a word that is met again comes back from there, others go."""
 
-    def __init__(self, encoder: PieceEncoder, prefix: str):
-        self.encoder, self.prefix, self.old = encoder, prefix, {}
+    def __init__(self, encode: Callable):
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> str | tuple[str, str]:
-        value = self.old.get(word) or self._encoded(word)
+        value = self.old.get(word) or self.encode(word)
         if len(word) <= MEMO_LENGTH:
             if len(self) >= MEMO_WORDS:
                 self.old = dict(self)
@@ -284,18 +376,6 @@ class _Memo(dict):
             self[word] = value
         return value
 
-    def _encoded(self, word: str) -> str | tuple[str, str]:
-        e, w = self.encoder, self.prefix + word
-        # no piece holds these two characters side by side, so no merge crosses here
-        cuts = [i for i in range(1, len(w)) if w[i - 1:i + 1] not in e.side_by_side]
-        if not cuts:
-            ids, text = e.entry(e.ids_of(e.tokens(w)))
-        else:
-            parts = [w[i:j] for i, j in zip([0, *cuts], [*cuts, len(w)])]
-            found = [_pair(e.parts[p], p.replace(SPACE, " ")) for p in parts]
-            ids, text = ",".join([i for i, _ in found]), "".join([t for _, t in found])
-        return ids if text == w.replace(SPACE, " ") else (ids, text)
-
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, decoded (the text that the ids stand for) and n_tokens of every row."""
@@ -303,21 +383,20 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     shared = spark.sparkContext.broadcast(PieceEncoder(read_model(model_path)))  # fixed size: the vocabulary
 
     def encode(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         encoder = shared.value
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                batch = big.slice(at, 256)
-                all_ids, texts, ends = [], [], [0]
-                for text in batch.column(1):
-                    ids, decoded = encoder.encode_text(text.as_py() or "")
-                    all_ids.append(ids)
-                    texts.append(decoded)
-                    ends.append(ends[-1] + (ids.count(",") + 1 if ids else 0))
-                numbers = np.fromstring(",".join(filter(None, all_ids)), np.int32, sep=",")
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers))
+            at = 0
+            lengths = pc.fill_null(pc.utf8_length(big.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+            while at < big.num_rows:
+                before = lengths[at - 1] if at else 0
+                rows = max(1, int(lengths.searchsorted(before + BATCH_CHARS, "right")) - at)
+                batch = big.slice(at, rows)
+                at += rows
+                ids, ends, texts = encoder.encode_batch(batch.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())],
                                                  ["doc_id", "ids", "decoded"])
 
