@@ -33,6 +33,7 @@ from tabforge.errors import InvalidParameter, UnknownStep
 from tabforge.functions.columns import ROW_ID
 from tabforge.operators.boosting import fit_softmax_boosting
 from tabforge.operators.features import FeatureModel
+from tabforge.operators.forest import fit_grid_forest
 
 MAX_TREE_DEPTH = 30
 
@@ -160,8 +161,11 @@ def fit_estimator(name: str, params: dict, train: DataFrame, features: str, labe
                                    maxDepth=_depth(params, 10), featureSubsetStrategy="sqrt", bootstrap=_flag(params, "bootstrap", True), seed=seed).fit(train)
         return FittedEstimator(m, True, n_classes, True)
     if name == "RandomForestRegressor":
-        m = RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=_int(params, "n_estimators", 100),
-                                  maxDepth=_depth(params, 10), featureSubsetStrategy="all", bootstrap=_flag(params, "bootstrap", True), seed=seed).fit(train)
+        trees, depth, bootstrap = _int(params, "n_estimators", 100), _depth(params, 10), _flag(params, "bootstrap", True)
+        m = fit_grid_forest(train, features, label, n_train(), n_features, trees, depth, bootstrap, seed)
+        if m is None:
+            m = RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth,
+                                      featureSubsetStrategy="all", bootstrap=bootstrap, seed=seed).fit(train)
         return FittedEstimator(m, False, 0, False)
     if name == "GradientBoostingClassifier":
         rounds, rate, depth = _int(params, "n_estimators", 100), _float(params, "learning_rate", 0.1), _depth(params, 3)
