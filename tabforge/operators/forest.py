@@ -150,7 +150,8 @@ def _read(batches, n_features: int) -> tuple[np.ndarray, np.ndarray]:
     """All rows of a part: features (a row a feature) and labels."""
     xs, ys = [np.zeros((n_features, 0))], [np.zeros(0)]
     for b in batches:
-        xs.append(_columns(b.column("x"), n_features))
+        xs.append(_columns(b.column("x"), n_features) if "x" in b.schema.names else
+                  np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(n_features)]))
         ys.append(b.column("y").to_numpy(zero_copy_only=False))
     return np.concatenate(xs, axis=1), np.concatenate(ys)
 
@@ -190,16 +191,17 @@ def _grid(rows: DataFrame, n_features: int) -> tuple[list[np.ndarray], float]:
 
 
 def fit_grid_forest(train: DataFrame, features: str, label: str, n_rows: int, n_features: int, trees: int, depth: int,
-                    bootstrap: bool, seed: int) -> GridForestModel | None:
+                    bootstrap: bool, seed: int, plain: DataFrame | None = None) -> GridForestModel | None:
     """The forest, or None where a grid has no use. Rows are drawn by part and
-    row order and sums are added in the order of the parts."""
+    row order and sums are added in the order of the parts. ``plain``, the features
+    as columns and ``y``, saves making vectors to take them apart again."""
     import pandas as pd
     import pyarrow as pa
 
     attributes = train.schema[features].metadata.get("ml_attr", {}).get("attrs", {})
     if n_rows * n_features <= GRID_FROM or n_features > GRID_FEATURES or attributes.keys() & {"nominal", "binary"}:
         return None
-    rows = train.select(vector_to_array(F.col(features)).alias("x"), F.col(label).alias("y"))
+    rows = plain if plain is not None else train.select(vector_to_array(F.col(features)).alias("x"), F.col(label).alias("y"))
     bounds, center = _grid(rows, n_features)
     shape = tuple(len(b) + 1 for b in bounds)
     if math.prod(shape) > n_rows or math.prod(shape) * trees > GRID_MOST:

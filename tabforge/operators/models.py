@@ -145,8 +145,10 @@ def _scale_gamma(train: DataFrame, features: str, n_features: int) -> float:
 
 
 def fit_estimator(name: str, params: dict, train: DataFrame, features: str, label: str,
-                  n_classes: int, seed: int, n_features: int, n_rows: int | None = None) -> FittedEstimator:
-    """Fit the named estimator on ``train`` (vector column ``features``)."""
+                  n_classes: int, seed: int, n_features: int, n_rows: int | None = None,
+                  plain: DataFrame | None = None) -> FittedEstimator:
+    """Fit the named estimator on ``train`` (vector column ``features``);
+    ``plain`` has the same rows with a column a feature, then ``y``."""
     params = dict(params or {})
     n = n_rows
 
@@ -162,7 +164,7 @@ def fit_estimator(name: str, params: dict, train: DataFrame, features: str, labe
         return FittedEstimator(m, True, n_classes, True)
     if name == "RandomForestRegressor":
         trees, depth, bootstrap = _int(params, "n_estimators", 100), _depth(params, 10), _flag(params, "bootstrap", True)
-        m = fit_grid_forest(train, features, label, n_train(), n_features, trees, depth, bootstrap, seed)
+        m = fit_grid_forest(train, features, label, n_train(), n_features, trees, depth, bootstrap, seed, plain)
         if m is None:
             m = RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth,
                                       featureSubsetStrategy="all", bootstrap=bootstrap, seed=seed).fit(train)

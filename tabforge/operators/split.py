@@ -3,11 +3,12 @@
 A row's place in the shuffled order is ``md5(key || '-' || seed)``; the
 test set is the ``ceil(n * test_size)`` rows with the smallest hashes.
 Instead of sorting all rows (a single-partition global limit at scale),
-the exact cut is found by bucketing: a histogram of the 60-bit hash
-prefix over B buckets (one partial-aggregating pass) locates the bucket
+the exact cut is found by bucketing: a histogram of the first hash digits
+over B buckets (one partial-aggregating pass) locates the bucket
 holding the cut; buckets are refined until one holds few rows, and only
 those rows are ordered. Hashes are uniform, so every level divides the
-candidates by ~B whatever the key skew. The result is two lazy filters
+candidates by ~B whatever the key skew. Digits are compared as text: a
+number made of them (``conv``) costs more a row than the hash. The result is two lazy filters
 over the same deterministic hash — recomputable after an executor loss.
 """
 
@@ -21,30 +22,29 @@ from pyspark.sql import functions as F
 from tabforge.errors import InvalidParameter
 from tabforge.functions.columns import ROW_ID, quoted
 
-_BITS = 60
-_SPAN = 1 << _BITS
 _BUCKETS = 4096
 _FINAL_ROWS = 200_000
+_DIGITS = 32
 
 
-def split_hash(key_cols: list[str], seed: int) -> tuple[Column, Column]:
-    """(60-bit hash prefix as BIGINT, full md5 hex) of the row key and seed."""
+def split_hash(key_cols: list[str], seed: int) -> Column:
+    """The md5 of the row key and seed: 32 hex digits, whose order as text is
+    that of the numbers they spell."""
     parts = [quoted(c).cast("string") for c in key_cols] + [F.lit(str(seed))]
-    m = F.md5(F.concat_ws("-", *parts))
-    h = F.conv(F.substring(m, 1, _BITS // 4), 16, 10).cast("bigint")
-    return h, m
+    return F.md5(F.concat_ws("-", *parts))
 
 
-def _cut(scored: DataFrame, test_size: float) -> tuple[int, str, int] | None:
-    """(hash, md5) of the last test row, i.e. the k-th smallest (0-based)
-    by (hash, md5) with k = ceil(n * test_size) - 1. The first histogram
-    also gives n, so no separate count pass is needed."""
-    lo, hi, below = 0, _SPAN, 0
+def _cut(scored: DataFrame, test_size: float) -> tuple[str, int] | None:
+    """md5 of the last test row, i.e. the k-th smallest (0-based) with
+    k = ceil(n * test_size) - 1, and n. A bucket is the rows that share their
+    first digits; the first histogram also gives n, so no separate count pass
+    is needed."""
+    prefix, below = "", 0
+    digits = max(1, round(math.log(_BUCKETS, 16)))
     k = None
     while True:
-        width = max((hi - lo + _BUCKETS - 1) // _BUCKETS, 1)
-        hist = (scored.where((F.col("__h") >= lo) & (F.col("__h") < hi))
-                .groupBy(F.floor((F.col("__h") - F.lit(lo)) / F.lit(width)).cast("bigint").alias("b"))
+        inside = scored.where(F.col("__m").startswith(prefix)) if prefix else scored
+        hist = (inside.groupBy(F.substring("__m", len(prefix) + 1, digits).alias("b"))
                 .count().collect())
         counts = sorted((r["b"], r["count"]) for r in hist)
         if k is None:
@@ -64,11 +64,13 @@ def _cut(scored: DataFrame, test_size: float) -> tuple[int, str, int] | None:
         if target is None:
             return None
         b, n = target
-        lo, hi, below = lo + b * width, min(lo + (b + 1) * width, hi), seen
-        if n <= _FINAL_ROWS or width == 1:
-            rows = (scored.where((F.col("__h") >= lo) & (F.col("__h") < hi))
-                    .select("__h", "__m").orderBy("__h", "__m").offset(k - below).limit(1).collect())
-            return (rows[0]["__h"], rows[0]["__m"], total) if rows else None
+        prefix, below = prefix + b, seen
+        if len(prefix) >= _DIGITS:  # rows of one key
+            return prefix, total
+        if n <= _FINAL_ROWS:
+            rows = (scored.where(F.col("__m").startswith(prefix))
+                    .select("__m").orderBy("__m").offset(k - below).limit(1).collect())
+            return (rows[0]["__m"], total) if rows else None
 
 
 def test_condition(df: DataFrame, test_size: float = 0.2, seed: int = 42,
@@ -80,14 +82,12 @@ def test_condition(df: DataFrame, test_size: float = 0.2, seed: int = 42,
 def _condition(df: DataFrame, test_size: float, seed: int, key_cols: list[str] | None) -> tuple[Column, int]:
     if not (0.0 < float(test_size) < 1.0):
         raise InvalidParameter("test_size must be in (0, 1)")
-    keys = key_cols or [ROW_ID]
-    h, m = split_hash(keys, seed)
-    scored = df.select(h.alias("__h"), m.alias("__m"))
-    cut = _cut(scored, test_size)
+    m = split_hash(key_cols or [ROW_ID], seed)
+    cut = _cut(df.select(m.alias("__m")), test_size)
     if cut is None:
         raise RuntimeError("split: cut not found")
-    ht, mt, n = cut
-    return (h < F.lit(ht)) | ((h == F.lit(ht)) & (m <= F.lit(mt))), n
+    last, n = cut
+    return m <= F.lit(last), n
 
 
 def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,

@@ -249,8 +249,11 @@ def train(df: DataFrame, spec: TrainSpec, job_id: str | None = None) -> RunResul
         stages.append(assembler)
         final = [n for c in current for n in (blocks[c].names if c in blocks else [c])]
         fit_data = assembler.transform(cur_train).select(ROW_ID, _FEATURES, _LABEL)
+        plain = None
+        if not any(c in blocks or isinstance(types[c], VectorUDT) for c in current):
+            plain = cur_train.select(*[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(current)], F.col(_LABEL).alias("y"))
         fitted = fit_estimator(est_step.name, est_step.params, fit_data, _FEATURES, _LABEL,
-                               len(labels or []), spec.random_state, len(final), n_rows - n_test)
+                               len(labels or []), spec.random_state, len(final), n_rows - n_test, plain)
         mark(f"estimator {est_step.name}")
         # the test rows keep their untouched features for the predictions table
         scored = test_df.select("*", *[quoted(c).alias(_ORIG + c) for c in feats])

@@ -115,3 +115,24 @@ def test_values_beyond_those_kept_close_equal_shares():
     shares = np.diff(np.searchsorted(np.sort(x), [-np.inf, *points, np.inf])) / len(x)
     assert abs(shares - 1 / 32).max() < 0.02
     assert forest.split_points(np.array([1.0, 2.0, 4.0]), np.array([5, 1, 1])) == [1.5, 3.0]
+
+
+def test_plain_columns_give_the_forest_of_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(forest, "GRID_FROM", 100)
+    rows = _rows(spark, 9_000)
+    vectors, plain = _vectors(rows), rows.select(F.col("a").alias("x0"), F.col("b").alias("x1"), F.col("c").alias("x2"), "y")
+    a, b = (forest.fit_grid_forest(vectors, "f", "y", 9_000, 3, 5, 4, True, 1, p).feature_state() for p in (None, plain))
+    assert a == b
+
+
+def test_the_split_compares_hashes_as_text(spark, monkeypatch):
+    """A number made of the hash's digits cost more a row than the hash, in each of four passes."""
+    from tabforge.operators import split
+
+    train_rows, test_rows = split.train_test_split(_rows(spark, 3_000), 0.2, 42)
+    assert "conv(" not in test_rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert (train_rows.count(), test_rows.count()) == (2_400, 600)
+    # rows of one key cannot be told apart: the cut ends all the same
+    monkeypatch.setattr(split, "_FINAL_ROWS", 5)
+    same = spark.range(100).select(F.lit(7).alias(ROW_ID))
+    assert split.train_test_split(same, 0.2, 42)[1].count() == 100
